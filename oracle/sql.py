@@ -214,3 +214,162 @@ FROM (
   GROUP BY 1, 2, 3
 ) daily_hourly_sessions
 GROUP BY hr""")
+
+
+# --- pages, landing pages, bounce --------------------------------------------
+
+def _gnb(cond: str) -> str:
+    return f"""sessions_g_nb AS (
+  SELECT website_sessions.website_session_id FROM website_sessions
+  WHERE utm_source = 'gsearch' AND utm_campaign = 'nonbrand' AND {cond}
+), joint_table AS (
+  SELECT website_pageview_id, created_at, website_pageviews.website_session_id, pageview_url
+  FROM website_pageviews
+  INNER JOIN sessions_g_nb ON website_pageviews.website_session_id = sessions_g_nb.website_session_id
+)"""
+
+
+QUAL = _gnb("created_at < TIMESTAMP '2024-01-28'")
+
+SQL["first_seen"] = click(f"""{QUAL}
+SELECT MIN(CAST(created_at AS DATE)) AS first_date, MIN(website_pageview_id) AS first_pv_id
+FROM joint_table WHERE pageview_url = 'signup'""")
+
+SQL["first_seen_row"] = click("""
+SELECT created_at AS first_created_at, website_pageview_id AS first_pv_id
+FROM website_pageviews WHERE pageview_url = 'signup'
+ORDER BY created_at, website_pageview_id LIMIT 1""")
+
+_LAST = f"""
+SELECT MAX(website_sessions.website_session_id) AS last_session_id
+FROM website_sessions
+LEFT JOIN website_pageviews ON website_pageviews.website_session_id = website_sessions.website_session_id
+WHERE utm_source = 'gsearch' AND utm_campaign = 'nonbrand' AND pageview_url = 'view'
+  AND website_sessions.created_at < TIMESTAMP '{CUT}'"""
+SQL["last_seen"] = click(_LAST)
+
+SQL["sessions_since"] = click(f"""
+SELECT COUNT(website_session_id) AS sessions_since_test
+FROM website_sessions
+WHERE created_at < TIMESTAMP '{CUT}'
+  AND website_session_id > ({_LAST})
+  AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'""")
+
+SQL["top_pages"] = click("""
+SELECT pageview_url, COUNT(DISTINCT website_pageview_id) AS sessions FROM website_pageviews
+WHERE created_at < TIMESTAMP '2024-01-09'
+GROUP BY pageview_url ORDER BY sessions DESC""")
+
+SQL["first_pageview"] = click("""
+SELECT website_session_id, min(website_pageview_id) AS min_pageview_id
+FROM website_pageviews WHERE created_at < TIMESTAMP '2024-01-12'
+GROUP BY website_session_id""")
+
+
+def _landing(until: str) -> str:
+    return f"""first_pgv AS (
+  SELECT MIN(website_pageviews.website_pageview_id) AS min_pgv, website_pageviews.website_session_id
+  FROM website_pageviews WHERE website_pageviews.created_at < TIMESTAMP '{until}'
+  GROUP BY website_session_id
+), landing_pg AS (
+  SELECT website_pageviews.pageview_url, website_pageviews.website_session_id
+  FROM first_pgv LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_pgv.min_pgv
+), bounce_rate AS (
+  SELECT landing_pg.website_session_id, landing_pg.pageview_url AS land,
+         COUNT(website_pageviews.website_pageview_id) AS pgv
+  FROM landing_pg
+  LEFT JOIN website_pageviews ON website_pageviews.website_session_id = landing_pg.website_session_id
+  GROUP BY landing_pg.website_session_id, landing_pg.pageview_url
+  HAVING COUNT(website_pageviews.website_pageview_id) = 1
+)"""
+
+
+SQL["landing_page"] = click(f"""{_landing('2024-01-14')}
+SELECT website_session_id, pageview_url AS landing_page FROM landing_pg""")
+
+SQL["top_entry_pages"] = click(f"""{_landing('2024-01-12')}
+SELECT COUNT(DISTINCT landing_pg.website_session_id) AS sessions_hitting_this_landing_page,
+       pageview_url AS landing_page
+FROM landing_pg GROUP BY pageview_url""")
+
+SQL["bounced_sessions"] = click(f"""{_landing('2024-01-14')}
+SELECT website_session_id, land, pgv FROM bounce_rate""")
+
+SQL["bounce_rate"] = click(f"""{_landing('2024-01-14')}
+SELECT COUNT(landing_pg.website_session_id) AS sessions,
+       COUNT(bounce_rate.website_session_id) AS bounced_sessions,
+       {div("COUNT(bounce_rate.website_session_id)", "COUNT(landing_pg.website_session_id)")} AS bounce_rate
+FROM landing_pg LEFT JOIN bounce_rate ON bounce_rate.website_session_id = landing_pg.website_session_id""")
+
+# the first lander view at or after the first 'signup' view (one bound, inclusive)
+SQL["bounce_rate_by_landing"] = click(f"""{QUAL},
+marker AS (SELECT MIN(website_pageview_id) AS first_pv FROM joint_table WHERE pageview_url = 'signup'),
+min_pgv AS (
+  SELECT MIN(joint_table.website_pageview_id) AS min_pgv, joint_table.website_session_id
+  FROM joint_table
+  WHERE joint_table.website_pageview_id >= (SELECT first_pv FROM marker)
+    AND joint_table.pageview_url IN ('view', 'signup')
+  GROUP BY website_session_id
+), landing_pg AS (
+  SELECT website_pageviews.pageview_url AS land, website_pageviews.website_session_id
+  FROM min_pgv LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = min_pgv.min_pgv
+), bounce_rate AS (
+  SELECT landing_pg.website_session_id, landing_pg.land AS land, COUNT(joint_table.website_pageview_id) AS pgv
+  FROM landing_pg LEFT JOIN joint_table ON joint_table.website_session_id = landing_pg.website_session_id
+  GROUP BY landing_pg.website_session_id, landing_pg.land
+  HAVING COUNT(joint_table.website_pageview_id) = 1
+)
+SELECT landing_pg.land AS land, COUNT(landing_pg.website_session_id) AS sessions,
+       COUNT(bounce_rate.website_session_id) AS bounced_sessions,
+       {div("COUNT(bounce_rate.website_session_id)", "COUNT(landing_pg.website_session_id)")} AS bounce_rate
+FROM landing_pg LEFT JOIN bounce_rate ON bounce_rate.website_session_id = landing_pg.website_session_id
+GROUP BY landing_pg.land""")
+
+TREND = _gnb("created_at < TIMESTAMP '2024-01-31' AND created_at >= TIMESTAMP '2024-01-01'")
+_WEEK = "CAST(landing_pg.created_at AS DATE) - CAST(dayofweek(landing_pg.created_at) AS INTEGER)"
+
+# one landing row per session (first lander view), total and bounced counts
+SQL["weekly_bounce_trend"] = click(f"""{TREND},
+min_pgv AS (
+  SELECT MIN(website_pageview_id) AS min_pgv, website_session_id FROM joint_table
+  WHERE pageview_url IN ('view', 'signup') GROUP BY website_session_id
+), landing_pg AS (
+  SELECT p.pageview_url AS land, p.website_session_id, p.created_at
+  FROM min_pgv LEFT JOIN website_pageviews p ON p.website_pageview_id = min_pgv.min_pgv
+), pgv AS (
+  SELECT website_session_id, COUNT(website_pageview_id) AS pgv FROM joint_table GROUP BY 1
+)
+SELECT MIN(CAST(landing_pg.created_at AS DATE)) AS week_start_date,
+  COUNT(*) AS sessions,
+  COUNT(CASE WHEN pgv.pgv = 1 THEN 1 END) AS bounced_sessions,
+  {div("COUNT(CASE WHEN pgv.pgv = 1 THEN 1 END)", "COUNT(*)")} AS bounce_rate,
+  COUNT(CASE WHEN land = 'view' THEN 1 END) AS home_sessions,
+  COUNT(CASE WHEN land = 'view' AND pgv.pgv = 1 THEN 1 END) AS home_bounced,
+  COUNT(CASE WHEN land = 'signup' THEN 1 END) AS lander_sessions,
+  COUNT(CASE WHEN land = 'signup' AND pgv.pgv = 1 THEN 1 END) AS lander_bounced
+FROM landing_pg JOIN pgv ON pgv.website_session_id = landing_pg.website_session_id
+GROUP BY {_WEEK}""")
+
+SQL["weekly_bounce_trend_legacy"] = click(f"""{TREND},
+min_pgv AS (
+  SELECT MIN(joint_table.website_pageview_id) AS min_pgv, joint_table.website_session_id, created_at
+  FROM joint_table WHERE joint_table.pageview_url IN ('view', 'signup')
+  GROUP BY website_session_id, created_at
+), landing_pg AS (
+  SELECT website_pageviews.pageview_url AS land, website_pageviews.website_session_id, min_pgv.created_at
+  FROM min_pgv LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = min_pgv.min_pgv
+), bounce_rate AS (
+  SELECT landing_pg.website_session_id, landing_pg.land AS land, COUNT(joint_table.website_pageview_id) AS pgv
+  FROM landing_pg LEFT JOIN joint_table ON joint_table.website_session_id = landing_pg.website_session_id
+  GROUP BY landing_pg.website_session_id, landing_pg.land
+  HAVING COUNT(joint_table.website_pageview_id) = 1
+)
+SELECT MIN(CAST(landing_pg.created_at AS DATE)) AS week_start_date,
+  {div("COUNT(bounce_rate.website_session_id)", "COUNT(landing_pg.website_session_id)")} AS bounce_rate,
+  COUNT(DISTINCT CASE WHEN landing_pg.land = 'view' THEN bounce_rate.website_session_id END) AS home_sessions,
+  COUNT(DISTINCT CASE WHEN landing_pg.land = 'signup' THEN bounce_rate.website_session_id END) AS lander_sessions
+FROM landing_pg LEFT JOIN bounce_rate ON bounce_rate.website_session_id = landing_pg.website_session_id
+GROUP BY {_WEEK}""")
+
+SQL["qualifying_pageviews"] = click(f"""{QUAL}
+SELECT * FROM joint_table""")

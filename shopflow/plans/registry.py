@@ -135,3 +135,106 @@ def q_weekly_portfolio(spark, folder):
 def q_hour_by_weekday(spark, folder):
     return traffic.hour_by_weekday(data(spark, folder).sessions,
                                    between("created_at", "2024-01-03", "2024-01-28"))
+
+
+# --- pages, landing pages, bounce --------------------------------------------
+from shopflow.operators import pages  # noqa: E402
+
+LANDERS = ["view", "signup"]
+MARKER_URL = "signup"
+
+
+def gsearch_nonbrand():
+    return src("gsearch") & campaign("nonbrand")
+
+
+def qual_sessions():
+    return gsearch_nonbrand() & before("created_at", "2024-01-28")
+
+
+@query("first_seen")
+def q_first_seen(spark, folder):
+    d = data(spark, folder)
+    return pages.first_seen(pages.qualifying_pageviews(d.sessions, d.pageviews, qual_sessions()),
+                            MARKER_URL)
+
+
+@query("first_seen_row")
+def q_first_seen_row(spark, folder):
+    return pages.first_seen(data(spark, folder).pageviews, MARKER_URL, mode="row")
+
+
+def _last_control(d):
+    return pages.last_seen(d.sessions, d.pageviews, LANDERS[0],
+                           gsearch_nonbrand() & before("created_at", CUT))
+
+
+@query("last_seen")
+def q_last_seen(spark, folder):
+    return _last_control(data(spark, folder))
+
+
+@query("sessions_since")
+def q_sessions_since(spark, folder):
+    d = data(spark, folder)
+    return pages.sessions_since(d.sessions, _last_control(d).scalar(),
+                                gsearch_nonbrand() & before("created_at", CUT))
+
+
+@query("top_pages")
+def q_top_pages(spark, folder):
+    return pages.top_pages(data(spark, folder).pageviews, before("created_at", "2024-01-09"))
+
+
+@query("first_pageview")
+def q_first_pageview(spark, folder):
+    return pages.first_pageview(data(spark, folder).pageviews, before("created_at", "2024-01-12"))
+
+
+@query("landing_page")
+def q_landing_page(spark, folder):
+    return pages.landing_page(data(spark, folder).pageviews, before("created_at", "2024-01-14"))
+
+
+@query("top_entry_pages")
+def q_top_entry_pages(spark, folder):
+    return pages.top_entry_pages(data(spark, folder).pageviews, before("created_at", "2024-01-12"))
+
+
+@query("bounced_sessions")
+def q_bounced_sessions(spark, folder):
+    return pages.bounced_sessions(data(spark, folder).pageviews, before("created_at", "2024-01-14"))
+
+
+@query("bounce_rate")
+def q_bounce_rate(spark, folder):
+    return pages.bounce_rate(data(spark, folder).pageviews, before("created_at", "2024-01-14"))
+
+
+@query("bounce_rate_by_landing")
+def q_bounce_by_landing(spark, folder):
+    d = data(spark, folder)
+    return pages.bounce_rate_by_landing(d.sessions, d.pageviews, LANDERS, MARKER_URL, qual_sessions())
+
+
+def _trend_sessions():
+    return gsearch_nonbrand() & before("created_at", "2024-01-31") & ~before("created_at", "2024-01-01")
+
+
+@query("weekly_bounce_trend")
+def q_weekly_bounce(spark, folder):
+    d = data(spark, folder)
+    return pages.weekly_bounce_trend(d.sessions, d.pageviews, LANDERS, session_where=_trend_sessions())
+
+
+@query("weekly_bounce_trend_legacy")
+def q_weekly_bounce_legacy(spark, folder):
+    d = data(spark, folder)
+    return pages.weekly_bounce_trend(d.sessions, d.pageviews, LANDERS, session_where=_trend_sessions(),
+                                     legacy=True)
+
+
+@query("qualifying_pageviews")
+def q_qualifying_pageviews(spark, folder):
+    d = data(spark, folder)
+    return pages.qualifying_pageviews(d.sessions, d.pageviews, qual_sessions())
