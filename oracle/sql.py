@@ -373,3 +373,150 @@ GROUP BY {_WEEK}""")
 
 SQL["qualifying_pageviews"] = click(f"""{QUAL}
 SELECT * FROM joint_table""")
+
+
+# --- tests and funnels -------------------------------------------------------
+
+_FIRST_TEST = """first_test_pageviews AS (
+  SELECT website_pageviews.website_session_id, MIN(website_pageviews.website_pageview_id) AS min_pageview_id
+  FROM website_pageviews
+  INNER JOIN website_sessions
+    ON website_sessions.website_session_id = website_pageviews.website_session_id
+    AND website_sessions.created_at < TIMESTAMP '2024-01-28'
+    AND website_pageviews.website_pageview_id >= (SELECT MIN(website_pageview_id) FROM website_pageviews
+                                                  WHERE pageview_url = 'signup')
+    AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
+  GROUP BY website_pageviews.website_session_id
+), nonbrand_test_sessions_w_landing_pages AS (
+  SELECT first_test_pageviews.website_session_id, website_pageviews.pageview_url AS landing_page
+  FROM first_test_pageviews
+  LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_test_pageviews.min_pageview_id
+  WHERE website_pageviews.pageview_url IN ('view', 'signup')
+), nonbrand_test_sessions_w_orders AS (
+  SELECT l.website_session_id, l.landing_page, web_orders.order_id AS order_id
+  FROM nonbrand_test_sessions_w_landing_pages l
+  LEFT JOIN web_orders ON web_orders.website_session_id = l.website_session_id
+), conv AS (
+  SELECT landing_page, COUNT(DISTINCT website_session_id) AS sessions,
+         COUNT(DISTINCT order_id) AS orders,
+         CAST(COUNT(DISTINCT order_id) AS DOUBLE) / nullif(COUNT(DISTINCT website_session_id), 0) AS conv_rate
+  FROM nonbrand_test_sessions_w_orders GROUP BY 1
+)"""
+
+SQL["conversion_by_landing"] = click(f"""{_FIRST_TEST}
+SELECT * FROM conv""")
+
+SQL["landing_test_lift"] = click(f"""{_FIRST_TEST}, one AS (
+  SELECT MAX(CASE WHEN landing_page = 'view' THEN conv_rate END) AS control_conv_rate,
+         MAX(CASE WHEN landing_page = 'signup' THEN conv_rate END) AS test_conv_rate
+  FROM conv
+), last_ctl AS ({_LAST}
+), since AS (
+  SELECT COUNT(website_session_id) AS sessions_since_test FROM website_sessions
+  WHERE created_at < TIMESTAMP '{CUT}' AND website_session_id > (SELECT last_session_id FROM last_ctl)
+    AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
+)
+SELECT control_conv_rate, test_conv_rate, test_conv_rate - control_conv_rate AS lift,
+       (SELECT last_session_id FROM last_ctl) AS last_control_session_id,
+       (SELECT sessions_since_test FROM since) AS sessions_since_test,
+       (test_conv_rate - control_conv_rate) * (SELECT sessions_since_test FROM since) AS extra_orders
+FROM one""")
+
+
+def _flags_sql(lo, hi, segments=True):
+    cols = [("saw_view", "view"), ("saw_signup", "signup")] if segments else []
+    cols += [(f"{s}_made_it", s) for s in ["view", "click", "signup", "purchase"]]
+    inner = ",\n    ".join(f"CASE WHEN pageview_url = '{u}' THEN 1 ELSE 0 END AS {c}_page" for c, u in cols)
+    outer = ", ".join(f"CAST(MAX({c}_page) AS INTEGER) AS {c}" for c, _ in cols)
+    return f"""session_level_made_it_flagged AS (
+  SELECT website_session_id, {outer}
+  FROM (
+    SELECT website_sessions.website_session_id, website_pageviews.pageview_url,
+    {inner}
+    FROM website_sessions
+    LEFT JOIN website_pageviews ON website_sessions.website_session_id = website_pageviews.website_session_id
+    WHERE website_sessions.utm_source = 'gsearch' AND website_sessions.utm_campaign = 'nonbrand'
+      AND website_sessions.created_at < TIMESTAMP '{hi}' AND website_sessions.created_at > TIMESTAMP '{lo}'
+  ) AS pageview_level
+  GROUP BY website_session_id
+)"""
+
+
+SQL["funnel_flags"] = click(f"""{_flags_sql('2024-01-05', '2024-01-28')}
+SELECT * FROM session_level_made_it_flagged""")
+
+SQL["funnel_counts"] = click(f"""{_flags_sql('2024-01-05', '2024-01-25', False)}
+SELECT COUNT(DISTINCT website_session_id) AS sessions,
+  {", ".join(f"COUNT(DISTINCT CASE WHEN {s}_made_it = 1 THEN website_session_id END) AS to_{s}"
+             for s in ["view", "click", "signup", "purchase"])}
+FROM session_level_made_it_flagged""")
+
+_SEG = """CASE WHEN saw_view = 1 THEN 'saw_view' WHEN saw_signup = 1 THEN 'saw_signup' ELSE '{other}' END"""
+SQL["funnel_counts_by_segment"] = click(f"""{_flags_sql('2024-01-05', '2024-01-28')}
+SELECT {_SEG.format(other='something wrong')} AS segment,
+  COUNT(DISTINCT website_session_id) AS sessions,
+  {", ".join(f"COUNT(DISTINCT CASE WHEN {s}_made_it = 1 THEN website_session_id END) AS to_{s}"
+             for s in ["click", "signup", "purchase"])}
+FROM session_level_made_it_flagged GROUP BY 1""")
+
+
+def _cd(s):
+    return f"COUNT(DISTINCT CASE WHEN {s}_made_it = 1 THEN website_session_id END)"
+
+
+SQL["funnel_rates"] = click(f"""{_flags_sql('2024-01-05', '2024-01-28')}
+SELECT {_SEG.format(other='uh oh... check logic')} AS segment,
+  {div(_cd('click'), 'COUNT(DISTINCT website_session_id)')} AS lander_click_rt,
+  {div(_cd('signup'), _cd('click'))} AS click_click_rt,
+  {div(_cd('purchase'), _cd('signup'))} AS signup_click_rt
+FROM session_level_made_it_flagged GROUP BY 1""")
+
+SQL["page_version_conversion"] = click(f"""
+SELECT pageview_url, COUNT(DISTINCT website_session_id) AS sessions,
+  COUNT(DISTINCT order_id) AS orders,
+  {div("COUNT(DISTINCT order_id)", "COUNT(DISTINCT website_session_id)")} AS billing_to_order_rt
+FROM (
+  SELECT website_pageviews.pageview_url, website_pageviews.website_session_id, web_orders.order_id
+  FROM website_pageviews
+  LEFT JOIN web_orders ON website_pageviews.website_session_id = web_orders.website_session_id
+  WHERE website_pageviews.created_at < TIMESTAMP '2024-01-25'
+    AND website_pageview_id >= (SELECT website_pageview_id FROM website_pageviews WHERE pageview_url = 'signup'
+                                ORDER BY created_at, website_pageview_id LIMIT 1)
+    AND website_pageviews.pageview_url IN ('click', 'signup')
+) AS billing_session_w_orders
+GROUP BY pageview_url""")
+
+_REV = """
+SELECT billing_version_seen, COUNT(DISTINCT website_session_id) AS sessions,
+  CAST(SUM(price_usd) AS DOUBLE) / nullif(COUNT(DISTINCT website_session_id), 0) AS revenue_per_billing_page_seen
+FROM (
+  SELECT website_pageviews.website_session_id, website_pageviews.pageview_url AS billing_version_seen,
+         web_orders.order_id, web_orders.price_usd
+  FROM website_pageviews
+  LEFT JOIN web_orders ON web_orders.website_session_id = website_pageviews.website_session_id
+  WHERE website_pageviews.created_at > TIMESTAMP '2024-01-05'
+    AND website_pageviews.created_at < TIMESTAMP '2024-01-25'
+    AND website_pageviews.pageview_url IN ('click', 'signup')
+) AS billing_pageviews_and_order_data
+GROUP BY 1"""
+SQL["page_version_revenue"] = click(_REV)
+
+SQL["page_test_value"] = click(f"""rev AS ({_REV}
+), one AS (
+  SELECT MAX(CASE WHEN billing_version_seen = 'click' THEN revenue_per_billing_page_seen END) AS old_rev_per_session,
+         MAX(CASE WHEN billing_version_seen = 'signup' THEN revenue_per_billing_page_seen END) AS new_rev_per_session
+  FROM rev
+), vol AS (
+  SELECT COUNT(website_session_id) AS billing_pageviews,
+         COUNT(DISTINCT website_session_id) AS billing_sessions
+  FROM website_pageviews
+  WHERE website_pageviews.pageview_url IN ('click', 'signup')
+    AND created_at BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-27'
+)
+SELECT old_rev_per_session, new_rev_per_session, new_rev_per_session - old_rev_per_session AS lift,
+       billing_pageviews, billing_sessions,
+       (new_rev_per_session - old_rev_per_session) * billing_pageviews AS test_value
+FROM one, vol""")
+
+SQL["sessions_detail"] = click(f"""
+SELECT * FROM website_pageviews WHERE website_session_id > ({_LAST})""")

@@ -238,3 +238,78 @@ def q_weekly_bounce_legacy(spark, folder):
 def q_qualifying_pageviews(spark, folder):
     d = data(spark, folder)
     return pages.qualifying_pageviews(d.sessions, d.pageviews, qual_sessions())
+
+
+# --- tests and funnels -------------------------------------------------------
+from shopflow.operators import funnels  # noqa: E402
+
+STEPS = ["view", "click", "signup", "purchase"]
+VERSIONS = ["click", "signup"]
+SEGMENTS = [("saw_view", "saw_view"), ("saw_signup", "saw_signup")]
+
+
+@query("conversion_by_landing")
+def q_conversion_by_landing(spark, folder):
+    d = data(spark, folder)
+    return funnels.conversion_by_landing(d.facts, d.pageviews, LANDERS, session_where=qual_sessions())
+
+
+@query("landing_test_lift")
+def q_landing_test_lift(spark, folder):
+    d = data(spark, folder)
+    return funnels.landing_test_lift(d.facts, d.sessions, d.pageviews, LANDERS, qual_sessions(),
+                                     gsearch_nonbrand() & before("created_at", CUT))
+
+
+def _flags(d, lo, hi, segments=True):
+    cols = {"saw_view": "view", "saw_signup": "signup"} if segments else {}
+    cols.update({f"{s}_made_it": s for s in STEPS})
+    return funnels.funnel_flags(d.sessions, d.pageviews, cols,
+                                gsearch_nonbrand() & after("created_at", lo) & before("created_at", hi))
+
+
+@query("funnel_flags")
+def q_funnel_flags(spark, folder):
+    return _flags(data(spark, folder), "2024-01-05", "2024-01-28")
+
+
+@query("funnel_counts")
+def q_funnel_counts(spark, folder):
+    return funnels.funnel_counts(_flags(data(spark, folder), "2024-01-05", "2024-01-25", False), STEPS)
+
+
+@query("funnel_counts_by_segment")
+def q_funnel_counts_by_segment(spark, folder):
+    return funnels.funnel_counts(_flags(data(spark, folder), "2024-01-05", "2024-01-28"), STEPS[1:],
+                                 SEGMENTS)
+
+
+@query("funnel_rates")
+def q_funnel_rates(spark, folder):
+    return funnels.funnel_rates(_flags(data(spark, folder), "2024-01-05", "2024-01-28"), STEPS[1:],
+                                SEGMENTS)
+
+
+@query("page_version_conversion")
+def q_page_version_conversion(spark, folder):
+    d = data(spark, folder)
+    return funnels.page_version_conversion(d.pageviews, d.web_orders, VERSIONS, until="2024-01-25")
+
+
+@query("page_version_revenue")
+def q_page_version_revenue(spark, folder):
+    d = data(spark, folder)
+    return funnels.page_version_revenue(d.pageviews, d.web_orders, VERSIONS, "2024-01-05", "2024-01-25")
+
+
+@query("page_test_value")
+def q_page_test_value(spark, folder):
+    d = data(spark, folder)
+    return funnels.page_test_value(d.pageviews, d.web_orders, VERSIONS, "2024-01-05", "2024-01-25",
+                                   "2024-01-20", "2024-01-27")
+
+
+@query("sessions_detail")
+def q_sessions_detail(spark, folder):
+    d = data(spark, folder)
+    return funnels.sessions_detail(d.pageviews, F.col("website_session_id") > _last_control(d).scalar())
