@@ -520,3 +520,259 @@ FROM one, vol""")
 
 SQL["sessions_detail"] = click(f"""
 SELECT * FROM website_pageviews WHERE website_session_id > ({_LAST})""")
+
+
+# --- products ----------------------------------------------------------------
+
+PTYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+SQL["sales_trend"] = commerce("""
+SELECT CAST(year(created_at) AS INTEGER) AS yr, CAST(month(created_at) AS INTEGER) AS mo,
+       COUNT(DISTINCT order_id) AS number_of_sales, CAST(SUM(price_usd) AS DOUBLE) AS total_revenue,
+       CAST(SUM(price_usd - cogs_usd) AS DOUBLE) AS total_margin
+FROM shop_orders WHERE created_at < TIMESTAMP '2001-01-04'
+GROUP BY 1, 2""")
+
+SQL["sales_trend_quarterly"] = commerce("""
+SELECT CAST(year(created_at) AS INTEGER) AS yr, CAST(quarter(created_at) AS INTEGER) AS qtr,
+       COUNT(DISTINCT order_id) AS number_of_sales, CAST(SUM(price_usd) AS DOUBLE) AS total_revenue,
+       CAST(SUM(price_usd - cogs_usd) AS DOUBLE) AS total_margin
+FROM shop_orders GROUP BY 1, 2""")
+
+
+def _launch_sql(numerator):
+    b, g = yq("website_sessions.created_at", "week")
+    return click(f"""
+SELECT {b}, COUNT(DISTINCT order_id) AS orders,
+  {div("COUNT(DISTINCT order_id)", "COUNT(website_sessions.website_session_id)")} AS conv_rate,
+  {div(numerator, "COUNT(website_sessions.website_session_id)")} AS revenue_per_session,
+  COUNT(DISTINCT CASE WHEN primary_product_id = 1 THEN order_id END) AS product_1_orders,
+  COUNT(DISTINCT CASE WHEN primary_product_id = 2 THEN order_id END) AS product_2_orders
+FROM website_sessions
+LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
+WHERE website_sessions.created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-29'
+GROUP BY {g}""")
+
+
+SQL["launch_trend"] = _launch_sql("SUM(price_usd)")
+SQL["launch_trend_legacy"] = _launch_sql("COUNT(price_usd)")
+
+SQL["product_revenue_trend"] = commerce(f"""
+SELECT CAST(year(created_at) AS INTEGER) AS yr, CAST(month(created_at) AS INTEGER) AS mo,
+  {", ".join(f"CAST(SUM(CASE WHEN product_id = '{p}' THEN price_usd END) AS DOUBLE) AS {p.lower()}_rev, "
+             f"CAST(SUM(CASE WHEN product_id = '{p}' THEN price_usd - cogs_usd END) AS DOUBLE) AS {p.lower()}_marg"
+             for p in PTYPES)},
+  CAST(SUM(price_usd) AS DOUBLE) AS total_revenue,
+  CAST(SUM(price_usd - cogs_usd) AS DOUBLE) AS total_margin
+FROM shop_items GROUP BY 1, 2 ORDER BY 1, 2""")
+
+_PRODUCTS_PV = """products_pageviews AS (
+  SELECT website_session_id, website_pageview_id, created_at,
+    CASE WHEN created_at < TIMESTAMP '2024-01-16' THEN 'pre_product_2'
+         WHEN created_at >= TIMESTAMP '2024-01-16' THEN 'post_product_2'
+         ELSE 'check again' END AS time_period
+  FROM website_pageviews
+  WHERE pageview_url = 'view' AND created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-27'
+), sessions_w_next_pageview_id AS (
+  SELECT time_period, products_pageviews.website_session_id,
+         MIN(website_pageviews.website_pageview_id) AS min_next_pageview_id
+  FROM products_pageviews
+  LEFT JOIN website_pageviews
+    ON products_pageviews.website_session_id = website_pageviews.website_session_id
+    AND website_pageviews.website_pageview_id > products_pageviews.website_pageview_id
+  GROUP BY 1, 2
+), sessions_w_next_pageview_url AS (
+  SELECT time_period, s.website_session_id, s.min_next_pageview_id, website_pageviews.pageview_url
+  FROM sessions_w_next_pageview_id s
+  LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = s.min_next_pageview_id
+)"""
+
+SQL["period_tag"] = click(f"""{_PRODUCTS_PV}
+SELECT website_session_id, website_pageview_id, created_at, time_period FROM products_pageviews""")
+
+SQL["next_pageview"] = click(f"""{_PRODUCTS_PV}
+SELECT * FROM sessions_w_next_pageview_url""")
+
+
+def _cdp(cond):
+    return f"COUNT(DISTINCT CASE WHEN {cond} THEN website_session_id END)"
+
+
+SQL["pathing_summary"] = click(f"""{_PRODUCTS_PV}
+SELECT time_period, COUNT(DISTINCT website_session_id) AS sessions,
+  {_cdp('min_next_pageview_id IS NOT NULL')} AS w_next_pg,
+  {div(_cdp('min_next_pageview_id IS NOT NULL'), 'COUNT(DISTINCT website_session_id)')} AS pct_w_next_pg,
+  {_cdp("pageview_url = 'click'")} AS to_click,
+  {div(_cdp("pageview_url = 'click'"), 'COUNT(DISTINCT website_session_id)')} AS pct_to_click,
+  {_cdp("pageview_url = 'signup'")} AS to_signup,
+  {div(_cdp("pageview_url = 'signup'"), 'COUNT(DISTINCT website_session_id)')} AS pct_to_signup
+FROM sessions_w_next_pageview_url GROUP BY 1""")
+
+SQL["pages_after"] = click("""sessions_seeing_product_pages AS (
+  SELECT website_session_id, website_pageview_id, pageview_url AS product_page_seen
+  FROM website_pageviews
+  WHERE created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-20'
+    AND pageview_url IN ('click', 'signup')
+)
+SELECT DISTINCT pageview_url FROM sessions_seeing_product_pages
+LEFT JOIN website_pageviews
+  ON sessions_seeing_product_pages.website_session_id = website_pageviews.website_session_id
+  AND website_pageviews.website_pageview_id > sessions_seeing_product_pages.website_pageview_id""")
+
+_PFUNNEL = """session_id_convert_number AS (
+  SELECT website_session_id,
+    CASE WHEN pageview_url = 'view' THEN 1 ELSE NULL END AS to_view,
+    CASE WHEN pageview_url = 'purchase' THEN 1 ELSE NULL END AS to_purchase
+  FROM website_pageviews
+  WHERE created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-20'
+), groupby_sessions AS (
+  SELECT website_session_id, MAX(to_view) AS to_view, MAX(to_purchase) AS to_purchase
+  FROM session_id_convert_number GROUP BY 1
+), filter_sessions AS (
+  SELECT CASE WHEN pageview_url = 'click' THEN 'click' WHEN pageview_url = 'signup' THEN 'signup'
+              ELSE NULL END AS product_seen,
+         groupby_sessions.website_session_id, to_view, to_purchase
+  FROM groupby_sessions
+  LEFT JOIN website_pageviews ON website_pageviews.website_session_id = groupby_sessions.website_session_id
+  WHERE pageview_url IN ('click', 'signup')
+)"""
+
+SQL["product_funnel_counts"] = click(f"""{_PFUNNEL}
+SELECT product_seen, COUNT(DISTINCT website_session_id) AS sessions,
+       COUNT(to_view) AS to_view, COUNT(to_purchase) AS to_purchase
+FROM filter_sessions GROUP BY 1""")
+
+SQL["product_funnel_rates"] = click(f"""{_PFUNNEL}
+SELECT product_seen, COUNT(DISTINCT website_session_id) AS sessions,
+  {div("COUNT(to_view)", "COUNT(DISTINCT website_session_id)")} AS product_page_click_rt,
+  {div("COUNT(to_purchase)", "COUNT(to_view)")} AS view_click_rt
+FROM filter_sessions GROUP BY 1""")
+
+_sp = "COUNT(DISTINCT prodcut_pages.website_session_id)"
+SQL["listing_page_trend"] = click(f"""prodcut_pages AS (
+  SELECT website_pageview_id, website_session_id, created_at FROM website_pageviews WHERE pageview_url = 'view'
+)
+SELECT CAST(prodcut_pages.created_at AS DATE) - CAST(dayofweek(prodcut_pages.created_at) AS INTEGER) AS wk_start,
+  {_sp} AS sessions_to_product,
+  {div("COUNT(DISTINCT website_pageviews.website_session_id)", _sp)} AS click_thro_rate,
+  {div("COUNT(DISTINCT web_orders.order_id)", _sp)} AS conversion_rate
+FROM prodcut_pages
+LEFT JOIN website_pageviews
+  ON website_pageviews.website_session_id = prodcut_pages.website_session_id
+  AND website_pageviews.website_pageview_id > prodcut_pages.website_pageview_id
+LEFT JOIN web_orders ON web_orders.website_session_id = prodcut_pages.website_session_id
+GROUP BY 1""")
+
+_CART = """go_cart_sessions AS (
+  SELECT CASE WHEN created_at < TIMESTAMP '2024-01-16' THEN 'A.pre_cross_sell'
+              WHEN created_at > TIMESTAMP '2024-01-16' THEN 'B.post_cross_sell'
+              ELSE 'WRONG' END AS time_period,
+         website_pageview_id, website_session_id
+  FROM website_pageviews
+  WHERE created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-26' AND pageview_url = 'click'
+), after_cart_sessions AS (
+  SELECT go_cart_sessions.time_period, go_cart_sessions.website_session_id,
+         MIN(website_pageviews.website_pageview_id) AS after_cart_pageview_id
+  FROM go_cart_sessions
+  LEFT JOIN website_pageviews
+    ON website_pageviews.website_session_id = go_cart_sessions.website_session_id
+    AND website_pageviews.website_pageview_id > go_cart_sessions.website_pageview_id
+  GROUP BY go_cart_sessions.time_period, go_cart_sessions.website_session_id
+  HAVING MIN(website_pageviews.website_pageview_id) IS NOT NULL
+), order_sessions AS (
+  SELECT time_period, after_cart_sessions.website_session_id, after_cart_pageview_id, order_id,
+         items_purchased, price_usd
+  FROM after_cart_sessions
+  LEFT JOIN web_orders ON web_orders.website_session_id = after_cart_sessions.website_session_id
+)"""
+
+SQL["clickthrough_after"] = click(f"""{_CART}
+SELECT * FROM after_cart_sessions""")
+
+SQL["cross_sell_period_summary_legacy"] = click(f"""{_CART}
+SELECT time_period, COUNT(DISTINCT website_session_id) AS sessions,
+  CAST(SUM(click_to_another_page) AS BIGINT) AS clickthroughs,
+  {div("SUM(click_to_another_page)", "COUNT(DISTINCT website_session_id)")} AS cart_ctr,
+  {div("SUM(items_purchased)", "SUM(place_order)")} AS products_per_order,
+  {div("SUM(price_usd)", "SUM(place_order)")} AS aov,
+  {div("SUM(price_usd)", "COUNT(DISTINCT website_session_id)")} AS rev_per_cart_session
+FROM (
+  SELECT go_cart_sessions.time_period, go_cart_sessions.website_session_id,
+    CASE WHEN after_cart_sessions.website_session_id IS NULL THEN 0 ELSE 1 END AS click_to_another_page,
+    CASE WHEN order_sessions.order_id IS NULL THEN 0 ELSE 1 END AS place_order,
+    order_sessions.items_purchased, order_sessions.price_usd
+  FROM go_cart_sessions
+  LEFT JOIN after_cart_sessions ON after_cart_sessions.website_session_id = go_cart_sessions.website_session_id
+  LEFT JOIN order_sessions ON order_sessions.website_session_id = go_cart_sessions.website_session_id
+) AS full_data
+GROUP BY 1""")
+
+# one row per (period, cart session); orders of sessions that clicked through
+SQL["cross_sell_period_summary"] = click(f"""{_CART}, per_session AS (
+  SELECT g.time_period, g.website_session_id,
+         MAX(CASE WHEN a.website_session_id IS NULL THEN 0 ELSE 1 END) AS clicked
+  FROM go_cart_sessions g
+  LEFT JOIN after_cart_sessions a
+    ON a.website_session_id = g.website_session_id AND a.time_period = g.time_period
+  GROUP BY 1, 2
+), o AS (
+  SELECT website_session_id, COUNT(order_id) AS n_orders, SUM(items_purchased) AS items,
+         SUM(price_usd) AS revenue
+  FROM web_orders GROUP BY 1
+)
+SELECT time_period, COUNT(*) AS sessions, CAST(SUM(clicked) AS BIGINT) AS clickthroughs,
+  {div("SUM(clicked)", "COUNT(*)")} AS cart_ctr,
+  {div("SUM(CASE WHEN clicked = 1 THEN items END)", "SUM(CASE WHEN clicked = 1 THEN n_orders ELSE 0 END)")} AS products_per_order,
+  {div("SUM(CASE WHEN clicked = 1 THEN revenue END)", "SUM(CASE WHEN clicked = 1 THEN n_orders ELSE 0 END)")} AS aov,
+  {div("SUM(CASE WHEN clicked = 1 THEN revenue END)", "COUNT(*)")} AS rev_per_cart_session
+FROM per_session LEFT JOIN o ON o.website_session_id = per_session.website_session_id
+GROUP BY 1""")
+
+SQL["portfolio_period_summary"] = click(f"""
+SELECT CASE WHEN website_sessions.created_at < TIMESTAMP '2024-01-16' THEN 'A.Pre_Launch'
+            WHEN website_sessions.created_at >= TIMESTAMP '2024-01-16' THEN 'B.Post_Launch'
+            ELSE 'WRONG' END AS time_period,
+  {div("COUNT(DISTINCT order_id)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS conv_rate,
+  {div("SUM(price_usd)", "COUNT(DISTINCT order_id)")} AS aov,
+  {div("SUM(items_purchased)", "COUNT(DISTINCT order_id)")} AS products_per_order,
+  {div("SUM(price_usd)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS rev_per_session
+FROM website_sessions
+LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
+WHERE website_sessions.created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-29'
+GROUP BY 1""")
+
+_xs = ", ".join(f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN after_product.order_id END) AS cross_sell_{p.lower()}"
+                for p in PTYPES)
+_xr = ", ".join(div(f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN after_product.order_id END)",
+                    "COUNT(DISTINCT after_product.order_id)") + f" AS cross_sell_{p.lower()}_rt" for p in PTYPES)
+SQL["cross_sell_matrix"] = commerce(f"""after_product AS (
+  SELECT order_id, primary_product_id FROM shop_orders WHERE created_at > TIMESTAMP '1997-06-30'
+)
+SELECT primary_product_id, {_xs}, {_xr}
+FROM after_product
+LEFT JOIN shop_items ON shop_items.order_id = after_product.order_id AND is_primary_item = 0
+GROUP BY 1""")
+
+
+def _refund_sql(legacy):
+    cols = []
+    for i, p in enumerate(PTYPES):
+        orders_of = f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN shop_items.order_id END)"
+        den_p = PTYPES[1] if legacy and i >= 2 else p
+        den = f"COUNT(DISTINCT CASE WHEN product_id = '{den_p}' THEN shop_items.order_id END)"
+        ref = f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN shop_refunds.order_id END)"
+        cols.append(f"{orders_of} AS {p.lower()}_orders, {div(ref, den)} AS {p.lower()}_refund_rt")
+    return commerce(f"""
+SELECT CAST(year(shop_items.created_at) AS INTEGER) AS yr, CAST(month(shop_items.created_at) AS INTEGER) AS mo,
+  {", ".join(cols)}
+FROM shop_items
+LEFT JOIN shop_refunds
+  ON shop_refunds.l_orderkey = shop_items.l_orderkey AND shop_refunds.l_linenumber = shop_items.l_linenumber
+  AND shop_refunds.l_partkey = shop_items.l_partkey AND shop_refunds.l_suppkey = shop_items.l_suppkey
+  AND shop_refunds.l_quantity = shop_items.l_quantity AND shop_refunds.l_extendedprice = shop_items.l_extendedprice
+WHERE shop_items.created_at < TIMESTAMP '2001-01-01'
+GROUP BY 1, 2""")
+
+
+SQL["refund_rate_trend"] = _refund_sql(False)
+SQL["refund_rate_trend_legacy"] = _refund_sql(True)

@@ -313,3 +313,141 @@ def q_page_test_value(spark, folder):
 def q_sessions_detail(spark, folder):
     d = data(spark, folder)
     return funnels.sessions_detail(d.pageviews, F.col("website_session_id") > _last_control(d).scalar())
+
+
+# --- products ----------------------------------------------------------------
+from shopflow.operators import products  # noqa: E402
+
+# fixture values: the part types of the commerce tables are the products
+PRODUCT_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+PRODUCT_PAGES = {"click": "click", "signup": "signup"}
+PATH_CUT = "2024-01-16"
+
+
+@query("sales_trend")
+def q_sales_trend(spark, folder):
+    return products.sales_trend(data(spark, folder).shop_orders, "month",
+                                before("created_at", "2001-01-04"))
+
+
+@query("sales_trend_quarterly")
+def q_sales_trend_q(spark, folder):
+    return products.sales_trend(data(spark, folder).shop_orders, "quarter")
+
+
+def _launch(spark, folder, legacy):
+    d = data(spark, folder)
+    return products.launch_trend(d.sessions, d.web_orders, [1, 2], "week",
+                                 between("created_at", "2024-01-02", "2024-01-29"), legacy=legacy)
+
+
+@query("launch_trend")
+def q_launch_trend(spark, folder):
+    return _launch(spark, folder, False)
+
+
+@query("launch_trend_legacy")
+def q_launch_trend_legacy(spark, folder):
+    return _launch(spark, folder, True)
+
+
+@query("product_revenue_trend")
+def q_product_revenue_trend(spark, folder):
+    return products.product_revenue_trend(data(spark, folder).order_items, PRODUCT_TYPES, "month")
+
+
+def _view_anchors(d):
+    return products.period_tag(d.pageviews, "view", "2024-01-06", "2024-01-27", PATH_CUT,
+                               ("pre_product_2", "post_product_2"))
+
+
+@query("period_tag")
+def q_period_tag(spark, folder):
+    return _view_anchors(data(spark, folder))
+
+
+@query("next_pageview")
+def q_next_pageview(spark, folder):
+    d = data(spark, folder)
+    return products.next_pageview(_view_anchors(d), d.pageviews)
+
+
+@query("pathing_summary")
+def q_pathing_summary(spark, folder):
+    d = data(spark, folder)
+    return products.pathing_summary(products.next_pageview(_view_anchors(d), d.pageviews), PRODUCT_PAGES)
+
+
+@query("pages_after")
+def q_pages_after(spark, folder):
+    d = data(spark, folder)
+    anchors = d.pageviews.filter(F.col("pageview_url").isin(*PRODUCT_PAGES.values())
+                                 & between("created_at", "2024-01-06", "2024-01-20"))
+    return products.pages_after(d.pageviews, anchors)
+
+
+@query("product_funnel_counts")
+def q_product_funnel_counts(spark, folder):
+    return products.product_funnel_counts(data(spark, folder).pageviews, PRODUCT_PAGES,
+                                          ["view", "purchase"], "2024-01-06", "2024-01-20")
+
+
+@query("product_funnel_rates")
+def q_product_funnel_rates(spark, folder):
+    return products.product_funnel_rates(data(spark, folder).pageviews, PRODUCT_PAGES,
+                                         ["view", "purchase"], "2024-01-06", "2024-01-20")
+
+
+@query("listing_page_trend")
+def q_listing_page_trend(spark, folder):
+    d = data(spark, folder)
+    return products.listing_page_trend(d.pageviews, d.web_orders, "view", "week")
+
+
+def _cart_anchors(d):
+    return products.period_tag(d.pageviews, "click", "2024-01-06", "2024-01-26", PATH_CUT,
+                               ("A.pre_cross_sell", "B.post_cross_sell"), "WRONG", after_inclusive=False)
+
+
+@query("clickthrough_after")
+def q_clickthrough_after(spark, folder):
+    d = data(spark, folder)
+    return products.clickthrough_after(_cart_anchors(d), d.pageviews)
+
+
+@query("cross_sell_period_summary")
+def q_cross_sell_summary(spark, folder):
+    d = data(spark, folder)
+    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders)
+
+
+@query("cross_sell_period_summary_legacy")
+def q_cross_sell_summary_legacy(spark, folder):
+    d = data(spark, folder)
+    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders, legacy=True)
+
+
+@query("portfolio_period_summary")
+def q_portfolio_summary(spark, folder):
+    return products.portfolio_period_summary(data(spark, folder).facts, PATH_CUT, "2024-01-02",
+                                             "2024-01-29", ("A.Pre_Launch", "B.Post_Launch"))
+
+
+@query("cross_sell_matrix")
+def q_cross_sell_matrix(spark, folder):
+    d = data(spark, folder)
+    return products.cross_sell_matrix(d.shop_orders, d.order_items, PRODUCT_TYPES, since="1997-06-30")
+
+
+@query("refund_rate_trend")
+def q_refund_rate_trend(spark, folder):
+    d = data(spark, folder)
+    return products.refund_rate_trend(d.order_items, d.refunds, PRODUCT_TYPES, "month",
+                                      before("created_at", "2001-01-01"))
+
+
+@query("refund_rate_trend_legacy")
+def q_refund_rate_trend_legacy(spark, folder):
+    d = data(spark, folder)
+    return products.refund_rate_trend(d.order_items, d.refunds, PRODUCT_TYPES, "month",
+                                      before("created_at", "2001-01-01"), legacy=True)
