@@ -776,3 +776,103 @@ GROUP BY 1, 2""")
 
 SQL["refund_rate_trend"] = _refund_sql(False)
 SQL["refund_rate_trend_legacy"] = _refund_sql(True)
+
+
+# --- users -------------------------------------------------------------------
+
+_REPEATS = """
+SELECT new_sessions.user_id, new_sessions.website_session_id AS new_id,
+       website_sessions.website_session_id AS repeated_id
+FROM (
+  SELECT user_id, website_session_id FROM website_sessions
+  WHERE created_at < TIMESTAMP '2024-01-31' AND created_at >= TIMESTAMP '2024-01-01' AND is_repeat_session = 0
+) AS new_sessions
+LEFT JOIN website_sessions
+  ON website_sessions.user_id = new_sessions.user_id
+  AND website_sessions.is_repeat_session = 1
+  AND website_sessions.created_at < TIMESTAMP '2024-01-31' AND website_sessions.created_at >= TIMESTAMP '2024-01-01'
+  AND website_sessions.website_session_id > new_sessions.website_session_id"""
+
+SQL["repeat_sessions"] = click(_REPEATS)
+
+SQL["repeat_histogram"] = click(f"""session_w_repeats AS ({_REPEATS}
+)
+SELECT repeated_sessions, COUNT(new_id) AS users FROM (
+  SELECT new_id, COUNT(repeated_id) AS repeated_sessions FROM session_w_repeats GROUP BY new_id
+) AS user_level
+GROUP BY 1""")
+
+_FIRST_SECOND = """first_second_session AS (
+  SELECT new_sessions.user_id, new_sessions.website_session_id AS first_id,
+         MIN(website_sessions.website_session_id) AS second_id,
+         MIN(website_sessions.created_at) AS second_time,
+         new_sessions.created_at AS first_time
+  FROM (
+    SELECT user_id, website_session_id, created_at FROM website_sessions
+    WHERE created_at < TIMESTAMP '2024-01-29' AND created_at >= TIMESTAMP '2024-01-01' AND is_repeat_session = 0
+  ) AS new_sessions
+  LEFT JOIN website_sessions
+    ON website_sessions.user_id = new_sessions.user_id
+    AND website_sessions.is_repeat_session = 1
+    AND website_sessions.created_at < TIMESTAMP '2024-01-29' AND website_sessions.created_at >= TIMESTAMP '2024-01-01'
+    AND website_sessions.website_session_id > new_sessions.website_session_id
+  GROUP BY 1, 2, 5
+)"""
+
+SQL["first_to_second"] = click(f"""{_FIRST_SECOND}
+SELECT * FROM first_second_session""")
+
+_dd = "date_diff('day', CAST(first_time AS DATE), CAST(second_time AS DATE))"
+SQL["time_to_repeat"] = click(f"""{_FIRST_SECOND}
+SELECT CAST(MIN({_dd}) AS INTEGER) AS min_days_first_to_second,
+       CAST(MAX({_dd}) AS INTEGER) AS max_days_first_to_second,
+       AVG({_dd}) AS avg_days_first_to_second
+FROM first_second_session WHERE second_id IS NOT NULL""")
+
+SQL["channel_new_vs_repeat"] = click("""
+SELECT CASE
+    WHEN utm_source IS NULL AND http_referer IN ('https://www.gsearch.com', 'https://www.bsearch.com') THEN 'organic_search'
+    WHEN utm_source IS NULL AND http_referer IS NULL THEN 'direct_type_in'
+    WHEN utm_campaign = 'brand' THEN 'paid_brand'
+    WHEN utm_campaign = 'nonbrand' THEN 'paid_nonbrand'
+    WHEN utm_source = 'socialbook' THEN 'paid_social'
+  END AS channel_group,
+  COUNT(CASE WHEN is_repeat_session = 0 THEN website_session_id END) AS new_sessions,
+  COUNT(CASE WHEN is_repeat_session = 1 THEN website_session_id END) AS repeat_sessions
+FROM website_sessions
+WHERE created_at < TIMESTAMP '2024-01-31' AND created_at >= TIMESTAMP '2024-01-01'
+GROUP BY 1""")
+
+SQL["new_vs_repeat_value"] = click(f"""
+SELECT is_repeat_session, COUNT(DISTINCT website_sessions.website_session_id) AS sessions,
+  {div("COUNT(DISTINCT web_orders.order_id)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS conv_rate,
+  {div("SUM(price_usd)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS rev_per_session
+FROM website_sessions
+LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
+WHERE website_sessions.created_at < TIMESTAMP '2024-01-31' AND website_sessions.created_at >= TIMESTAMP '2024-01-01'
+GROUP BY 1""")
+
+_CHANNEL = """CASE
+    WHEN utm_source IS NULL AND http_referer IN ('https://www.gsearch.com', 'https://www.bsearch.com') THEN 'organic_search'
+    WHEN utm_source IS NULL AND http_referer IS NULL THEN 'direct_type_in'
+    WHEN utm_campaign = 'brand' THEN 'paid_brand'
+    WHEN utm_campaign = 'nonbrand' THEN 'paid_nonbrand'
+    WHEN utm_source = 'socialbook' THEN 'paid_social'
+  END"""
+# no query in the reference: the user-level value the README asks for
+_CUST = f"""per_user AS (
+  SELECT s.user_id,
+         arg_min({_CHANNEL}, s.website_session_id) AS first_channel,
+         COUNT(DISTINCT s.website_session_id) AS sessions,
+         COUNT(o.order_id) AS orders,
+         CAST(coalesce(SUM(o.price_usd), 0) AS DOUBLE) AS revenue
+  FROM website_sessions s LEFT JOIN web_orders o ON o.website_session_id = s.website_session_id
+  GROUP BY 1
+)"""
+SQL["customer_value"] = click(f"""{_CUST}
+SELECT * FROM per_user ORDER BY revenue DESC, user_id""")
+
+SQL["customer_value_by_channel"] = click(f"""{_CUST}
+SELECT first_channel, COUNT(user_id) AS users, COUNT(CASE WHEN orders > 0 THEN 1 END) AS buyers,
+       SUM(revenue) AS revenue, SUM(revenue) / nullif(COUNT(user_id), 0) AS rev_per_user
+FROM per_user GROUP BY 1""")

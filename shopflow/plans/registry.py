@@ -451,3 +451,49 @@ def q_refund_rate_trend_legacy(spark, folder):
     d = data(spark, folder)
     return products.refund_rate_trend(d.order_items, d.refunds, PRODUCT_TYPES, "month",
                                       before("created_at", "2001-01-01"), legacy=True)
+
+
+# --- users -------------------------------------------------------------------
+from shopflow.operators import users  # noqa: E402
+
+P_LO, P_HI = "2024-01-01", "2024-01-31"
+
+
+@query("repeat_sessions")
+def q_repeat_sessions(spark, folder):
+    return users.repeat_sessions(data(spark, folder).sessions, P_LO, P_HI)
+
+
+@query("repeat_histogram")
+def q_repeat_histogram(spark, folder):
+    return users.repeat_histogram(data(spark, folder).sessions, P_LO, P_HI)
+
+
+@query("first_to_second")
+def q_first_to_second(spark, folder):
+    return users.first_to_second(data(spark, folder).sessions, P_LO, "2024-01-29")
+
+
+@query("time_to_repeat")
+def q_time_to_repeat(spark, folder):
+    return users.time_to_repeat(data(spark, folder).sessions, P_LO, "2024-01-29")
+
+
+@query("channel_new_vs_repeat")
+def q_channel_new_vs_repeat(spark, folder):
+    return users.channel_new_vs_repeat(data(spark, folder).sessions, P_LO, P_HI)
+
+
+@query("new_vs_repeat_value")
+def q_new_vs_repeat_value(spark, folder):
+    return users.new_vs_repeat_value(data(spark, folder).facts, P_LO, P_HI)
+
+
+@query("customer_value")
+def q_customer_value(spark, folder):
+    return users.customer_value(data(spark, folder).facts)
+
+
+@query("customer_value_by_channel")
+def q_customer_value_by_channel(spark, folder):
+    return users.customer_value_by_channel(data(spark, folder).facts)
