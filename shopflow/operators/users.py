@@ -44,8 +44,9 @@ def repeat_sessions(sessions: DataFrame, lo, hi) -> DataFrame:
     so its size is the number of repeat sessions.
     """
     new, rep = new_and_repeat(sessions, lo, hi)
-    return (new.join(rep, (new.user_id == rep.user_id) & (F.col("rid") > F.col("new_id")), "left")
-            .select(new.user_id, "new_id", F.col("rid").alias("repeated_id")))
+    rep = rep.withColumnRenamed("user_id", "r_user")
+    return (new.join(rep, (F.col("user_id") == F.col("r_user")) & (F.col("rid") > F.col("new_id")), "left")
+            .select("user_id", "new_id", F.col("rid").alias("repeated_id")))
 
 
 def later_repeats(sessions: DataFrame, lo, hi, id_bucket: int = 1 << 20) -> DataFrame:
