@@ -60,41 +60,55 @@ def tag_sessions(events: DataFrame, gap: str = "12 hours",
     Order inside a user is (``ts``, ``event_id``). ``website_session_id`` is
     the ``event_id`` of the session's first event. Work is partitioned by
     (``user_id``, ``split``), where ``split`` is ``split_hours`` of wall
-    time; a user's busy period spreads over many tasks.
+    time, so a user's busy period spreads over many tasks:
+
+    1. one ordered pass per (user, split) finds, for every event but the
+       split's first, whether it starts a session and the last start so far;
+    2. one summary row per (user, split) (first and last event, last start
+       after the first event), scanned in split order per user, decides
+       whether each split's first event starts a session and which session
+       is open when the split begins;
+    3. events take their session from (1), else from the split's first
+       event, else from the open session of (2).
     """
     hours = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) * 24 + F.hour("ts")
-    ev = events.select(
-        "event_id", "ts", "user_id", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.floor(hours / split_hours).alias("split"))
-
+    gap_iv = F.expr(f"INTERVAL {gap}")
     in_split = Window.partitionBy("user_id", "split").orderBy("ts", "event_id")
-    per_user = Window.partitionBy("user_id").orderBy("split")
+    upto_here = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    # one row per (user, split): last event time, and the previous split's
-    splits = (ev.groupBy("user_id", "split").agg(F.max("ts").alias("last_ts"))
-              .withColumn("carry_ts", F.lag("last_ts").over(per_user)))
+    ev = (events.select("event_id", "ts", "user_id", "event_type", "value",
+                        F.get_json_object("props", "$.k").cast("int").alias("k"),
+                        F.floor(hours / split_hours).alias("split"))
+          .withColumn("prev_in", F.lag("ts").over(in_split))
+          .withColumn("local_start", F.col("prev_in").isNotNull() & (F.col("ts") > F.col("prev_in") + gap_iv))
+          .withColumn("sid_local", F.last(F.when(F.col("local_start"), F.col("event_id")), ignorenulls=True)
+                      .over(upto_here)))
 
-    gap_iv = F.expr(f"INTERVAL {gap}")
-    ev = (ev.withColumn("prev_in", F.lag("ts").over(in_split))
-          .join(splits.select("user_id", "split", "carry_ts"), ["user_id", "split"])
-          .withColumn("prev_ts", F.coalesce("prev_in", "carry_ts"))
-          .withColumn("is_first", F.col("prev_ts").isNull())
-          .withColumn("is_start", F.col("is_first") | (F.col("ts") > F.col("prev_ts") + gap_iv))
-          .withColumn("sid_in", F.last(F.when(F.col("is_start"), F.col("event_id")), ignorenulls=True)
-                      .over(in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-
-    # session open at the start of each split: last start of earlier splits
-    starts = (ev.filter("is_start").groupBy("user_id", "split")
-              .agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_start")))
-    carry = (splits.select("user_id", "split")
-             .join(starts, ["user_id", "split"], "left")
-             .withColumn("carry_sid", F.last("last_start", ignorenulls=True)
-                         .over(per_user.rowsBetween(Window.unboundedPreceding, -1)))
-             .select("user_id", "split", "carry_sid"))
-    return (ev.join(carry, ["user_id", "split"])
-            .withColumn("website_session_id", F.coalesce("sid_in", "carry_sid"))
-            .drop("sid_in", "carry_sid", "prev_in", "carry_ts"))
+    per_user = Window.partitionBy("user_id").orderBy("split")
+    splits = (ev.groupBy("user_id", "split").agg(
+                  F.min(F.struct("ts", "event_id")).alias("first"),
+                  F.max("ts").alias("last_ts"),
+                  F.max_by(F.when(F.col("local_start"), F.col("event_id")),
+                           F.when(F.col("local_start"), F.struct("ts", "event_id"))).alias("last_local"))
+              .withColumn("carry_ts", F.lag("last_ts").over(per_user))
+              .withColumn("first_is_start", F.col("carry_ts").isNull()
+                          | (F.col("first.ts") > F.col("carry_ts") + gap_iv))
+              .withColumn("last_start", F.coalesce(
+                  "last_local", F.when(F.col("first_is_start"), F.col("first.event_id"))))
+              .withColumn("carry_sid", F.last("last_start", ignorenulls=True)
+                          .over(per_user.rowsBetween(Window.unboundedPreceding, -1)))
+              .select("user_id", "split", F.col("first.event_id").alias("first_id"),
+                      "carry_ts", "first_is_start", "carry_sid"))
+
+    is_split_first = F.col("prev_in").isNull()
+    return (ev.join(splits, ["user_id", "split"])
+            .withColumn("is_first", is_split_first & F.col("carry_ts").isNull())
+            .withColumn("is_start", F.when(is_split_first, F.col("first_is_start"))
+                        .otherwise(F.col("local_start")))
+            .withColumn("website_session_id", F.coalesce(
+                "sid_local", F.when(F.col("first_is_start"), F.col("first_id")), "carry_sid"))
+            .drop("prev_in", "local_start", "sid_local", "first_id", "carry_ts", "first_is_start",
+                  "carry_sid"))
 
 
 def sessions_from_tagged(tagged: DataFrame) -> DataFrame:
@@ -145,8 +159,8 @@ ITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
 RANK_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
-def commerce(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> dict[str, DataFrame]:
-    """``orders``, ``order_items`` and ``order_item_refunds`` (lazy).
+def commerce_items(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """Order items (with ``l_returnflag``) from line items, orders and parts.
 
     The primary item of an order is its first item by (line number, part,
     supplier, quantity, price); it is found by a per-order minimum, which
@@ -157,7 +171,7 @@ def commerce(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> dict[st
              .join(part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice"), "l_partkey")
              .withColumn("rank_key", F.struct(*RANK_KEY)))
     first = items.groupBy("l_orderkey").agg(F.min("rank_key").alias("first_key"))
-    order_items = (items.join(first, "l_orderkey").select(
+    return items.join(first, "l_orderkey").select(
         F.struct(*ITEM_KEY).alias("order_item_id"),
         F.col("o_orderdate").alias("created_at"),
         F.col("l_orderkey").alias("order_id"),
@@ -165,7 +179,11 @@ def commerce(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> dict[st
         (F.col("rank_key") == F.col("first_key")).cast("int").alias("is_primary_item"),
         F.col("l_extendedprice").cast(MONEY).alias("price_usd"),
         (F.col("l_quantity") * F.col("p_retailprice")).cast(MONEY).alias("cogs_usd"),
-        "l_returnflag"))
+        "l_returnflag")
+
+
+def commerce_from_items(orders: DataFrame, order_items: DataFrame) -> dict[str, DataFrame]:
+    """``orders`` (one row per order, items summed) and ``order_item_refunds``."""
     per_order = order_items.groupBy("order_id").agg(
         F.max(F.when(F.col("is_primary_item") == 1, F.col("product_id"))).alias("primary_product_id"),
         F.count(F.lit(1)).cast("int").alias("items_purchased"),
@@ -181,6 +199,10 @@ def commerce(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> dict[st
                            "price_usd", "cogs_usd"))
     refunds = (order_items.filter(F.col("l_returnflag") == "R")
                .select("order_item_id", "order_id"))
-    return {"orders": shop_orders,
-            "order_items": order_items.drop("l_returnflag"),
-            "order_item_refunds": refunds}
+    return {"orders": shop_orders, "order_item_refunds": refunds}
+
+
+def commerce(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> dict[str, DataFrame]:
+    """``orders``, ``order_items`` and ``order_item_refunds`` (lazy)."""
+    items = commerce_items(orders, lineitem, part)
+    return {**commerce_from_items(orders, items), "order_items": items.drop("l_returnflag")}

@@ -90,8 +90,13 @@ class ShopData:
         if not self.materialize:
             return lazy
         sig = self._sig("orders", "lineitem", "part")
-        return {name: store.materialize(self.spark, lambda d=df: d, f"shop_{name}", sig)
-                for name, df in lazy.items()}
+        # write the items once; orders and refunds are derived from the written table
+        items = store.materialize(self.spark, lambda: fixtures.commerce_items(
+            self.raw("orders"), self.raw("lineitem"), self.raw("part")), "shop_items", sig)
+        derived = fixtures.commerce_from_items(self.raw("orders"), items)
+        return {"order_items": items.drop("l_returnflag"),
+                **{name: store.materialize(self.spark, lambda d=derived[name]: d, f"shop_{name}", sig)
+                   for name in ("orders", "order_item_refunds")}}
 
     @property
     def shop_orders(self) -> DataFrame:
