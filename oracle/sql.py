@@ -196,36 +196,36 @@ WHERE created_at > TIMESTAMP '2024-01-04' AND created_at < TIMESTAMP '2024-01-29
 GROUP BY CAST(created_at AS DATE) - CAST(dayofweek(created_at) AS INTEGER)""")
 
 
-def _round_avg(wk):
+def _round_avg(day):
     # MySQL rounds the exact average of integers half up: do the same with integers
-    s = f"SUM(CASE WHEN wk = {wk} THEN sessions END)"
-    n = f"COUNT(CASE WHEN wk = {wk} THEN sessions END)"
+    s = f"SUM(CASE WHEN dow = {day} THEN sessions END)"
+    n = f"COUNT(CASE WHEN dow = {day} THEN sessions END)"
     return f"CASE WHEN {n} > 0 THEN CAST((20 * {s} + {n}) // (2 * {n}) AS DOUBLE) / 10 END"
 
 
 SQL["hour_by_weekday"] = click(f"""
 SELECT hr, {", ".join(f"{_round_avg(i)} AS {d}" for i, d in enumerate(["mon", "tue", "wed", "thu", "fri", "sat", "sun"]))}
 FROM (
-  SELECT CAST(created_at AS DATE) AS da, CAST(hour(created_at) AS INTEGER) AS hr,
-         CAST(isodow(created_at) - 1 AS INTEGER) AS wk,
+  SELECT CAST(created_at AS DATE) AS d, CAST(hour(created_at) AS INTEGER) AS hr,
+         CAST(isodow(created_at) - 1 AS INTEGER) AS dow,
          COUNT(DISTINCT website_session_id) AS sessions
   FROM website_sessions
   WHERE created_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28'
   GROUP BY 1, 2, 3
-) daily_hourly_sessions
+) hourly_cells
 GROUP BY hr""")
 
 
 # --- pages, landing pages, bounce --------------------------------------------
 
 def _gnb(cond: str) -> str:
-    return f"""sessions_g_nb AS (
+    return f"""test_sessions AS (
   SELECT website_sessions.website_session_id FROM website_sessions
   WHERE utm_source = 'gsearch' AND utm_campaign = 'nonbrand' AND {cond}
-), joint_table AS (
+), test_views AS (
   SELECT website_pageview_id, created_at, website_pageviews.website_session_id, pageview_url
   FROM website_pageviews
-  INNER JOIN sessions_g_nb ON website_pageviews.website_session_id = sessions_g_nb.website_session_id
+  INNER JOIN test_sessions ON website_pageviews.website_session_id = test_sessions.website_session_id
 )"""
 
 
@@ -233,7 +233,7 @@ QUAL = _gnb("created_at < TIMESTAMP '2024-01-28'")
 
 SQL["first_seen"] = click(f"""{QUAL}
 SELECT MIN(CAST(created_at AS DATE)) AS first_date, MIN(website_pageview_id) AS first_pv_id
-FROM joint_table WHERE pageview_url = 'signup'""")
+FROM test_views WHERE pageview_url = 'signup'""")
 
 SQL["first_seen_row"] = click("""
 SELECT created_at AS first_created_at, website_pageview_id AS first_pv_id
@@ -267,79 +267,79 @@ GROUP BY website_session_id""")
 
 
 def _landing(until: str) -> str:
-    return f"""first_pgv AS (
-  SELECT MIN(website_pageviews.website_pageview_id) AS min_pgv, website_pageviews.website_session_id
+    return f"""first_view AS (
+  SELECT MIN(website_pageviews.website_pageview_id) AS first_view_id, website_pageviews.website_session_id
   FROM website_pageviews WHERE website_pageviews.created_at < TIMESTAMP '{until}'
   GROUP BY website_session_id
-), landing_pg AS (
+), landings AS (
   SELECT website_pageviews.pageview_url, website_pageviews.website_session_id
-  FROM first_pgv LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_pgv.min_pgv
-), bounce_rate AS (
-  SELECT landing_pg.website_session_id, landing_pg.pageview_url AS land,
+  FROM first_view LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_view.first_view_id
+), bounced AS (
+  SELECT landings.website_session_id, landings.pageview_url AS land,
          COUNT(website_pageviews.website_pageview_id) AS pgv
-  FROM landing_pg
-  LEFT JOIN website_pageviews ON website_pageviews.website_session_id = landing_pg.website_session_id
-  GROUP BY landing_pg.website_session_id, landing_pg.pageview_url
+  FROM landings
+  LEFT JOIN website_pageviews ON website_pageviews.website_session_id = landings.website_session_id
+  GROUP BY landings.website_session_id, landings.pageview_url
   HAVING COUNT(website_pageviews.website_pageview_id) = 1
 )"""
 
 
 SQL["landing_page"] = click(f"""{_landing('2024-01-14')}
-SELECT website_session_id, pageview_url AS landing_page FROM landing_pg""")
+SELECT website_session_id, pageview_url AS landing_page FROM landings""")
 
 SQL["top_entry_pages"] = click(f"""{_landing('2024-01-12')}
-SELECT COUNT(DISTINCT landing_pg.website_session_id) AS sessions_hitting_this_landing_page,
+SELECT COUNT(DISTINCT landings.website_session_id) AS sessions_hitting_this_landing_page,
        pageview_url AS landing_page
-FROM landing_pg GROUP BY pageview_url""")
+FROM landings GROUP BY pageview_url""")
 
 SQL["bounced_sessions"] = click(f"""{_landing('2024-01-14')}
-SELECT website_session_id, land, pgv FROM bounce_rate""")
+SELECT website_session_id, land, pgv FROM bounced""")
 
 SQL["bounce_rate"] = click(f"""{_landing('2024-01-14')}
-SELECT COUNT(landing_pg.website_session_id) AS sessions,
-       COUNT(bounce_rate.website_session_id) AS bounced_sessions,
-       {div("COUNT(bounce_rate.website_session_id)", "COUNT(landing_pg.website_session_id)")} AS bounce_rate
-FROM landing_pg LEFT JOIN bounce_rate ON bounce_rate.website_session_id = landing_pg.website_session_id""")
+SELECT COUNT(landings.website_session_id) AS sessions,
+       COUNT(bounced.website_session_id) AS bounced_sessions,
+       {div("COUNT(bounced.website_session_id)", "COUNT(landings.website_session_id)")} AS bounce_rate
+FROM landings LEFT JOIN bounced ON bounced.website_session_id = landings.website_session_id""")
 
 # the first lander view at or after the first 'signup' view (one bound, inclusive)
 SQL["bounce_rate_by_landing"] = click(f"""{QUAL},
-marker AS (SELECT MIN(website_pageview_id) AS first_pv FROM joint_table WHERE pageview_url = 'signup'),
-min_pgv AS (
-  SELECT MIN(joint_table.website_pageview_id) AS min_pgv, joint_table.website_session_id
-  FROM joint_table
-  WHERE joint_table.website_pageview_id >= (SELECT first_pv FROM marker)
-    AND joint_table.pageview_url IN ('view', 'signup')
+marker AS (SELECT MIN(website_pageview_id) AS first_pv FROM test_views WHERE pageview_url = 'signup'),
+first_view_id AS (
+  SELECT MIN(test_views.website_pageview_id) AS first_view_id, test_views.website_session_id
+  FROM test_views
+  WHERE test_views.website_pageview_id >= (SELECT first_pv FROM marker)
+    AND test_views.pageview_url IN ('view', 'signup')
   GROUP BY website_session_id
-), landing_pg AS (
+), landings AS (
   SELECT website_pageviews.pageview_url AS land, website_pageviews.website_session_id
-  FROM min_pgv LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = min_pgv.min_pgv
-), bounce_rate AS (
-  SELECT landing_pg.website_session_id, landing_pg.land AS land, COUNT(joint_table.website_pageview_id) AS pgv
-  FROM landing_pg LEFT JOIN joint_table ON joint_table.website_session_id = landing_pg.website_session_id
-  GROUP BY landing_pg.website_session_id, landing_pg.land
-  HAVING COUNT(joint_table.website_pageview_id) = 1
+  FROM first_view_id LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_view_id.first_view_id
+), bounced AS (
+  SELECT landings.website_session_id, landings.land AS land, COUNT(test_views.website_pageview_id) AS pgv
+  FROM landings LEFT JOIN test_views ON test_views.website_session_id = landings.website_session_id
+  GROUP BY landings.website_session_id, landings.land
+  HAVING COUNT(test_views.website_pageview_id) = 1
 )
-SELECT landing_pg.land AS land, COUNT(landing_pg.website_session_id) AS sessions,
-       COUNT(bounce_rate.website_session_id) AS bounced_sessions,
-       {div("COUNT(bounce_rate.website_session_id)", "COUNT(landing_pg.website_session_id)")} AS bounce_rate
-FROM landing_pg LEFT JOIN bounce_rate ON bounce_rate.website_session_id = landing_pg.website_session_id
-GROUP BY landing_pg.land""")
+SELECT landings.land AS land, COUNT(landings.website_session_id) AS sessions,
+       COUNT(bounced.website_session_id) AS bounced_sessions,
+       {div("COUNT(bounced.website_session_id)", "COUNT(landings.website_session_id)")} AS bounce_rate
+FROM landings LEFT JOIN bounced ON bounced.website_session_id = landings.website_session_id
+GROUP BY landings.land""")
 
 TREND = _gnb("created_at < TIMESTAMP '2024-01-31' AND created_at >= TIMESTAMP '2024-01-01'")
-_WEEK = "CAST(landing_pg.created_at AS DATE) - CAST(dayofweek(landing_pg.created_at) AS INTEGER)"
+_WEEK = "CAST(landings.created_at AS DATE) - CAST(dayofweek(landings.created_at) AS INTEGER)"
 
 # one landing row per session (first lander view), total and bounced counts
 SQL["weekly_bounce_trend"] = click(f"""{TREND},
-min_pgv AS (
-  SELECT MIN(website_pageview_id) AS min_pgv, website_session_id FROM joint_table
+first_view_id AS (
+  SELECT MIN(website_pageview_id) AS first_view_id, website_session_id FROM test_views
   WHERE pageview_url IN ('view', 'signup') GROUP BY website_session_id
-), landing_pg AS (
+), landings AS (
   SELECT p.pageview_url AS land, p.website_session_id, p.created_at
-  FROM min_pgv LEFT JOIN website_pageviews p ON p.website_pageview_id = min_pgv.min_pgv
+  FROM first_view_id LEFT JOIN website_pageviews p ON p.website_pageview_id = first_view_id.first_view_id
 ), pgv AS (
-  SELECT website_session_id, COUNT(website_pageview_id) AS pgv FROM joint_table GROUP BY 1
+  SELECT website_session_id, COUNT(website_pageview_id) AS pgv FROM test_views GROUP BY 1
 )
-SELECT MIN(CAST(landing_pg.created_at AS DATE)) AS week_start_date,
+SELECT MIN(CAST(landings.created_at AS DATE)) AS week_start_date,
   COUNT(*) AS sessions,
   COUNT(CASE WHEN pgv.pgv = 1 THEN 1 END) AS bounced_sessions,
   {div("COUNT(CASE WHEN pgv.pgv = 1 THEN 1 END)", "COUNT(*)")} AS bounce_rate,
@@ -347,38 +347,38 @@ SELECT MIN(CAST(landing_pg.created_at AS DATE)) AS week_start_date,
   COUNT(CASE WHEN land = 'view' AND pgv.pgv = 1 THEN 1 END) AS home_bounced,
   COUNT(CASE WHEN land = 'signup' THEN 1 END) AS lander_sessions,
   COUNT(CASE WHEN land = 'signup' AND pgv.pgv = 1 THEN 1 END) AS lander_bounced
-FROM landing_pg JOIN pgv ON pgv.website_session_id = landing_pg.website_session_id
+FROM landings JOIN pgv ON pgv.website_session_id = landings.website_session_id
 GROUP BY {_WEEK}""")
 
 SQL["weekly_bounce_trend_legacy"] = click(f"""{TREND},
-min_pgv AS (
-  SELECT MIN(joint_table.website_pageview_id) AS min_pgv, joint_table.website_session_id, created_at
-  FROM joint_table WHERE joint_table.pageview_url IN ('view', 'signup')
+first_view_id AS (
+  SELECT MIN(test_views.website_pageview_id) AS first_view_id, test_views.website_session_id, created_at
+  FROM test_views WHERE test_views.pageview_url IN ('view', 'signup')
   GROUP BY website_session_id, created_at
-), landing_pg AS (
-  SELECT website_pageviews.pageview_url AS land, website_pageviews.website_session_id, min_pgv.created_at
-  FROM min_pgv LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = min_pgv.min_pgv
-), bounce_rate AS (
-  SELECT landing_pg.website_session_id, landing_pg.land AS land, COUNT(joint_table.website_pageview_id) AS pgv
-  FROM landing_pg LEFT JOIN joint_table ON joint_table.website_session_id = landing_pg.website_session_id
-  GROUP BY landing_pg.website_session_id, landing_pg.land
-  HAVING COUNT(joint_table.website_pageview_id) = 1
+), landings AS (
+  SELECT website_pageviews.pageview_url AS land, website_pageviews.website_session_id, first_view_id.created_at
+  FROM first_view_id LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_view_id.first_view_id
+), bounced AS (
+  SELECT landings.website_session_id, landings.land AS land, COUNT(test_views.website_pageview_id) AS pgv
+  FROM landings LEFT JOIN test_views ON test_views.website_session_id = landings.website_session_id
+  GROUP BY landings.website_session_id, landings.land
+  HAVING COUNT(test_views.website_pageview_id) = 1
 )
-SELECT MIN(CAST(landing_pg.created_at AS DATE)) AS week_start_date,
-  {div("COUNT(bounce_rate.website_session_id)", "COUNT(landing_pg.website_session_id)")} AS bounce_rate,
-  COUNT(DISTINCT CASE WHEN landing_pg.land = 'view' THEN bounce_rate.website_session_id END) AS home_sessions,
-  COUNT(DISTINCT CASE WHEN landing_pg.land = 'signup' THEN bounce_rate.website_session_id END) AS lander_sessions
-FROM landing_pg LEFT JOIN bounce_rate ON bounce_rate.website_session_id = landing_pg.website_session_id
+SELECT MIN(CAST(landings.created_at AS DATE)) AS week_start_date,
+  {div("COUNT(bounced.website_session_id)", "COUNT(landings.website_session_id)")} AS bounce_rate,
+  COUNT(DISTINCT CASE WHEN landings.land = 'view' THEN bounced.website_session_id END) AS home_sessions,
+  COUNT(DISTINCT CASE WHEN landings.land = 'signup' THEN bounced.website_session_id END) AS lander_sessions
+FROM landings LEFT JOIN bounced ON bounced.website_session_id = landings.website_session_id
 GROUP BY {_WEEK}""")
 
 SQL["qualifying_pageviews"] = click(f"""{QUAL}
-SELECT * FROM joint_table""")
+SELECT * FROM test_views""")
 
 
 # --- tests and funnels -------------------------------------------------------
 
-_FIRST_TEST = """first_test_pageviews AS (
-  SELECT website_pageviews.website_session_id, MIN(website_pageviews.website_pageview_id) AS min_pageview_id
+_FIRST_TEST = """post_start_first_view AS (
+  SELECT website_pageviews.website_session_id, MIN(website_pageviews.website_pageview_id) AS first_id_after
   FROM website_pageviews
   INNER JOIN website_sessions
     ON website_sessions.website_session_id = website_pageviews.website_session_id
@@ -387,20 +387,20 @@ _FIRST_TEST = """first_test_pageviews AS (
                                                   WHERE pageview_url = 'signup')
     AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
   GROUP BY website_pageviews.website_session_id
-), nonbrand_test_sessions_w_landing_pages AS (
-  SELECT first_test_pageviews.website_session_id, website_pageviews.pageview_url AS landing_page
-  FROM first_test_pageviews
-  LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_test_pageviews.min_pageview_id
+), test_landings AS (
+  SELECT post_start_first_view.website_session_id, website_pageviews.pageview_url AS landing_page
+  FROM post_start_first_view
+  LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = post_start_first_view.first_id_after
   WHERE website_pageviews.pageview_url IN ('view', 'signup')
-), nonbrand_test_sessions_w_orders AS (
+), test_landing_orders AS (
   SELECT l.website_session_id, l.landing_page, web_orders.order_id AS order_id
-  FROM nonbrand_test_sessions_w_landing_pages l
+  FROM test_landings l
   LEFT JOIN web_orders ON web_orders.website_session_id = l.website_session_id
 ), conv AS (
   SELECT landing_page, COUNT(DISTINCT website_session_id) AS sessions,
          COUNT(DISTINCT order_id) AS orders,
          CAST(COUNT(DISTINCT order_id) AS DOUBLE) / nullif(COUNT(DISTINCT website_session_id), 0) AS conv_rate
-  FROM nonbrand_test_sessions_w_orders GROUP BY 1
+  FROM test_landing_orders GROUP BY 1
 )"""
 
 SQL["conversion_by_landing"] = click(f"""{_FIRST_TEST}
@@ -428,7 +428,7 @@ def _flags_sql(lo, hi, segments=True):
     cols += [(f"{s}_made_it", s) for s in ["view", "click", "signup", "purchase"]]
     inner = ",\n    ".join(f"CASE WHEN pageview_url = '{u}' THEN 1 ELSE 0 END AS {c}_page" for c, u in cols)
     outer = ", ".join(f"CAST(MAX({c}_page) AS INTEGER) AS {c}" for c, _ in cols)
-    return f"""session_level_made_it_flagged AS (
+    return f"""session_steps AS (
   SELECT website_session_id, {outer}
   FROM (
     SELECT website_sessions.website_session_id, website_pageviews.pageview_url,
@@ -437,19 +437,19 @@ def _flags_sql(lo, hi, segments=True):
     LEFT JOIN website_pageviews ON website_sessions.website_session_id = website_pageviews.website_session_id
     WHERE website_sessions.utm_source = 'gsearch' AND website_sessions.utm_campaign = 'nonbrand'
       AND website_sessions.created_at < TIMESTAMP '{hi}' AND website_sessions.created_at > TIMESTAMP '{lo}'
-  ) AS pageview_level
+  ) AS view_steps
   GROUP BY website_session_id
 )"""
 
 
 SQL["funnel_flags"] = click(f"""{_flags_sql('2024-01-05', '2024-01-28')}
-SELECT * FROM session_level_made_it_flagged""")
+SELECT * FROM session_steps""")
 
 SQL["funnel_counts"] = click(f"""{_flags_sql('2024-01-05', '2024-01-25', False)}
 SELECT COUNT(DISTINCT website_session_id) AS sessions,
   {", ".join(f"COUNT(DISTINCT CASE WHEN {s}_made_it = 1 THEN website_session_id END) AS to_{s}"
              for s in ["view", "click", "signup", "purchase"])}
-FROM session_level_made_it_flagged""")
+FROM session_steps""")
 
 _SEG = """CASE WHEN saw_view = 1 THEN 'saw_view' WHEN saw_signup = 1 THEN 'saw_signup' ELSE '{other}' END"""
 SQL["funnel_counts_by_segment"] = click(f"""{_flags_sql('2024-01-05', '2024-01-28')}
@@ -457,7 +457,7 @@ SELECT {_SEG.format(other='something wrong')} AS segment,
   COUNT(DISTINCT website_session_id) AS sessions,
   {", ".join(f"COUNT(DISTINCT CASE WHEN {s}_made_it = 1 THEN website_session_id END) AS to_{s}"
              for s in ["click", "signup", "purchase"])}
-FROM session_level_made_it_flagged GROUP BY 1""")
+FROM session_steps GROUP BY 1""")
 
 
 def _cd(s):
@@ -469,7 +469,7 @@ SELECT {_SEG.format(other='uh oh... check logic')} AS segment,
   {div(_cd('click'), 'COUNT(DISTINCT website_session_id)')} AS lander_click_rt,
   {div(_cd('signup'), _cd('click'))} AS click_click_rt,
   {div(_cd('purchase'), _cd('signup'))} AS signup_click_rt
-FROM session_level_made_it_flagged GROUP BY 1""")
+FROM session_steps GROUP BY 1""")
 
 SQL["page_version_conversion"] = click(f"""
 SELECT pageview_url, COUNT(DISTINCT website_session_id) AS sessions,
@@ -483,7 +483,7 @@ FROM (
     AND website_pageview_id >= (SELECT website_pageview_id FROM website_pageviews WHERE pageview_url = 'signup'
                                 ORDER BY created_at, website_pageview_id LIMIT 1)
     AND website_pageviews.pageview_url IN ('click', 'signup')
-) AS billing_session_w_orders
+) AS version_views_orders
 GROUP BY pageview_url""")
 
 _REV = """
@@ -497,7 +497,7 @@ FROM (
   WHERE website_pageviews.created_at > TIMESTAMP '2024-01-05'
     AND website_pageviews.created_at < TIMESTAMP '2024-01-25'
     AND website_pageviews.pageview_url IN ('click', 'signup')
-) AS billing_pageviews_and_order_data
+) AS version_view_revenue
 GROUP BY 1"""
 SQL["page_version_revenue"] = click(_REV)
 
@@ -566,32 +566,32 @@ SELECT CAST(year(created_at) AS INTEGER) AS yr, CAST(month(created_at) AS INTEGE
   CAST(SUM(price_usd - cogs_usd) AS DOUBLE) AS total_margin
 FROM shop_items GROUP BY 1, 2 ORDER BY 1, 2""")
 
-_PRODUCTS_PV = """products_pageviews AS (
+_PRODUCTS_PV = """anchor_views AS (
   SELECT website_session_id, website_pageview_id, created_at,
     CASE WHEN created_at < TIMESTAMP '2024-01-16' THEN 'pre_product_2'
          WHEN created_at >= TIMESTAMP '2024-01-16' THEN 'post_product_2'
          ELSE 'check again' END AS time_period
   FROM website_pageviews
   WHERE pageview_url = 'view' AND created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-27'
-), sessions_w_next_pageview_id AS (
-  SELECT time_period, products_pageviews.website_session_id,
+), next_view_ids AS (
+  SELECT time_period, anchor_views.website_session_id,
          MIN(website_pageviews.website_pageview_id) AS min_next_pageview_id
-  FROM products_pageviews
+  FROM anchor_views
   LEFT JOIN website_pageviews
-    ON products_pageviews.website_session_id = website_pageviews.website_session_id
-    AND website_pageviews.website_pageview_id > products_pageviews.website_pageview_id
+    ON anchor_views.website_session_id = website_pageviews.website_session_id
+    AND website_pageviews.website_pageview_id > anchor_views.website_pageview_id
   GROUP BY 1, 2
-), sessions_w_next_pageview_url AS (
+), next_views AS (
   SELECT time_period, s.website_session_id, s.min_next_pageview_id, website_pageviews.pageview_url
-  FROM sessions_w_next_pageview_id s
+  FROM next_view_ids s
   LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = s.min_next_pageview_id
 )"""
 
 SQL["period_tag"] = click(f"""{_PRODUCTS_PV}
-SELECT website_session_id, website_pageview_id, created_at, time_period FROM products_pageviews""")
+SELECT website_session_id, website_pageview_id, created_at, time_period FROM anchor_views""")
 
 SQL["next_pageview"] = click(f"""{_PRODUCTS_PV}
-SELECT * FROM sessions_w_next_pageview_url""")
+SELECT * FROM next_views""")
 
 
 def _cdp(cond):
@@ -606,113 +606,113 @@ SELECT time_period, COUNT(DISTINCT website_session_id) AS sessions,
   {div(_cdp("pageview_url = 'click'"), 'COUNT(DISTINCT website_session_id)')} AS pct_to_click,
   {_cdp("pageview_url = 'signup'")} AS to_signup,
   {div(_cdp("pageview_url = 'signup'"), 'COUNT(DISTINCT website_session_id)')} AS pct_to_signup
-FROM sessions_w_next_pageview_url GROUP BY 1""")
+FROM next_views GROUP BY 1""")
 
-SQL["pages_after"] = click("""sessions_seeing_product_pages AS (
-  SELECT website_session_id, website_pageview_id, pageview_url AS product_page_seen
+SQL["pages_after"] = click("""product_views AS (
+  SELECT website_session_id, website_pageview_id, pageview_url AS seen_page
   FROM website_pageviews
   WHERE created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-20'
     AND pageview_url IN ('click', 'signup')
 )
-SELECT DISTINCT pageview_url FROM sessions_seeing_product_pages
+SELECT DISTINCT pageview_url FROM product_views
 LEFT JOIN website_pageviews
-  ON sessions_seeing_product_pages.website_session_id = website_pageviews.website_session_id
-  AND website_pageviews.website_pageview_id > sessions_seeing_product_pages.website_pageview_id""")
+  ON product_views.website_session_id = website_pageviews.website_session_id
+  AND website_pageviews.website_pageview_id > product_views.website_pageview_id""")
 
-_PFUNNEL = """session_id_convert_number AS (
+_PFUNNEL = """step_marks AS (
   SELECT website_session_id,
     CASE WHEN pageview_url = 'view' THEN 1 ELSE NULL END AS to_view,
     CASE WHEN pageview_url = 'purchase' THEN 1 ELSE NULL END AS to_purchase
   FROM website_pageviews
   WHERE created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-20'
-), groupby_sessions AS (
+), session_marks AS (
   SELECT website_session_id, MAX(to_view) AS to_view, MAX(to_purchase) AS to_purchase
-  FROM session_id_convert_number GROUP BY 1
-), filter_sessions AS (
+  FROM step_marks GROUP BY 1
+), product_rows AS (
   SELECT CASE WHEN pageview_url = 'click' THEN 'click' WHEN pageview_url = 'signup' THEN 'signup'
               ELSE NULL END AS product_seen,
-         groupby_sessions.website_session_id, to_view, to_purchase
-  FROM groupby_sessions
-  LEFT JOIN website_pageviews ON website_pageviews.website_session_id = groupby_sessions.website_session_id
+         session_marks.website_session_id, to_view, to_purchase
+  FROM session_marks
+  LEFT JOIN website_pageviews ON website_pageviews.website_session_id = session_marks.website_session_id
   WHERE pageview_url IN ('click', 'signup')
 )"""
 
 SQL["product_funnel_counts"] = click(f"""{_PFUNNEL}
 SELECT product_seen, COUNT(DISTINCT website_session_id) AS sessions,
        COUNT(to_view) AS to_view, COUNT(to_purchase) AS to_purchase
-FROM filter_sessions GROUP BY 1""")
+FROM product_rows GROUP BY 1""")
 
 SQL["product_funnel_rates"] = click(f"""{_PFUNNEL}
 SELECT product_seen, COUNT(DISTINCT website_session_id) AS sessions,
   {div("COUNT(to_view)", "COUNT(DISTINCT website_session_id)")} AS product_page_click_rt,
   {div("COUNT(to_purchase)", "COUNT(to_view)")} AS view_click_rt
-FROM filter_sessions GROUP BY 1""")
+FROM product_rows GROUP BY 1""")
 
-_sp = "COUNT(DISTINCT prodcut_pages.website_session_id)"
-SQL["listing_page_trend"] = click(f"""prodcut_pages AS (
+_sp = "COUNT(DISTINCT listing_views.website_session_id)"
+SQL["listing_page_trend"] = click(f"""listing_views AS (
   SELECT website_pageview_id, website_session_id, created_at FROM website_pageviews WHERE pageview_url = 'view'
 )
-SELECT CAST(prodcut_pages.created_at AS DATE) - CAST(dayofweek(prodcut_pages.created_at) AS INTEGER) AS wk_start,
+SELECT CAST(listing_views.created_at AS DATE) - CAST(dayofweek(listing_views.created_at) AS INTEGER) AS wk_start,
   {_sp} AS sessions_to_product,
   {div("COUNT(DISTINCT website_pageviews.website_session_id)", _sp)} AS click_thro_rate,
   {div("COUNT(DISTINCT web_orders.order_id)", _sp)} AS conversion_rate
-FROM prodcut_pages
+FROM listing_views
 LEFT JOIN website_pageviews
-  ON website_pageviews.website_session_id = prodcut_pages.website_session_id
-  AND website_pageviews.website_pageview_id > prodcut_pages.website_pageview_id
-LEFT JOIN web_orders ON web_orders.website_session_id = prodcut_pages.website_session_id
+  ON website_pageviews.website_session_id = listing_views.website_session_id
+  AND website_pageviews.website_pageview_id > listing_views.website_pageview_id
+LEFT JOIN web_orders ON web_orders.website_session_id = listing_views.website_session_id
 GROUP BY 1""")
 
-_CART = """go_cart_sessions AS (
+_CART = """cart_views AS (
   SELECT CASE WHEN created_at < TIMESTAMP '2024-01-16' THEN 'A.pre_cross_sell'
               WHEN created_at > TIMESTAMP '2024-01-16' THEN 'B.post_cross_sell'
               ELSE 'WRONG' END AS time_period,
          website_pageview_id, website_session_id
   FROM website_pageviews
   WHERE created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-26' AND pageview_url = 'click'
-), after_cart_sessions AS (
-  SELECT go_cart_sessions.time_period, go_cart_sessions.website_session_id,
+), cart_next AS (
+  SELECT cart_views.time_period, cart_views.website_session_id,
          MIN(website_pageviews.website_pageview_id) AS after_cart_pageview_id
-  FROM go_cart_sessions
+  FROM cart_views
   LEFT JOIN website_pageviews
-    ON website_pageviews.website_session_id = go_cart_sessions.website_session_id
-    AND website_pageviews.website_pageview_id > go_cart_sessions.website_pageview_id
-  GROUP BY go_cart_sessions.time_period, go_cart_sessions.website_session_id
+    ON website_pageviews.website_session_id = cart_views.website_session_id
+    AND website_pageviews.website_pageview_id > cart_views.website_pageview_id
+  GROUP BY cart_views.time_period, cart_views.website_session_id
   HAVING MIN(website_pageviews.website_pageview_id) IS NOT NULL
-), order_sessions AS (
-  SELECT time_period, after_cart_sessions.website_session_id, after_cart_pageview_id, order_id,
+), cart_next_orders AS (
+  SELECT time_period, cart_next.website_session_id, after_cart_pageview_id, order_id,
          items_purchased, price_usd
-  FROM after_cart_sessions
-  LEFT JOIN web_orders ON web_orders.website_session_id = after_cart_sessions.website_session_id
+  FROM cart_next
+  LEFT JOIN web_orders ON web_orders.website_session_id = cart_next.website_session_id
 )"""
 
 SQL["clickthrough_after"] = click(f"""{_CART}
-SELECT * FROM after_cart_sessions""")
+SELECT * FROM cart_next""")
 
 SQL["cross_sell_period_summary_legacy"] = click(f"""{_CART}
 SELECT time_period, COUNT(DISTINCT website_session_id) AS sessions,
-  CAST(SUM(click_to_another_page) AS BIGINT) AS clickthroughs,
-  {div("SUM(click_to_another_page)", "COUNT(DISTINCT website_session_id)")} AS cart_ctr,
-  {div("SUM(items_purchased)", "SUM(place_order)")} AS products_per_order,
-  {div("SUM(price_usd)", "SUM(place_order)")} AS aov,
+  CAST(SUM(clicked_on) AS BIGINT) AS clickthroughs,
+  {div("SUM(clicked_on)", "COUNT(DISTINCT website_session_id)")} AS cart_ctr,
+  {div("SUM(items_purchased)", "SUM(ordered)")} AS products_per_order,
+  {div("SUM(price_usd)", "SUM(ordered)")} AS aov,
   {div("SUM(price_usd)", "COUNT(DISTINCT website_session_id)")} AS rev_per_cart_session
 FROM (
-  SELECT go_cart_sessions.time_period, go_cart_sessions.website_session_id,
-    CASE WHEN after_cart_sessions.website_session_id IS NULL THEN 0 ELSE 1 END AS click_to_another_page,
-    CASE WHEN order_sessions.order_id IS NULL THEN 0 ELSE 1 END AS place_order,
-    order_sessions.items_purchased, order_sessions.price_usd
-  FROM go_cart_sessions
-  LEFT JOIN after_cart_sessions ON after_cart_sessions.website_session_id = go_cart_sessions.website_session_id
-  LEFT JOIN order_sessions ON order_sessions.website_session_id = go_cart_sessions.website_session_id
-) AS full_data
+  SELECT cart_views.time_period, cart_views.website_session_id,
+    CASE WHEN cart_next.website_session_id IS NULL THEN 0 ELSE 1 END AS clicked_on,
+    CASE WHEN cart_next_orders.order_id IS NULL THEN 0 ELSE 1 END AS ordered,
+    cart_next_orders.items_purchased, cart_next_orders.price_usd
+  FROM cart_views
+  LEFT JOIN cart_next ON cart_next.website_session_id = cart_views.website_session_id
+  LEFT JOIN cart_next_orders ON cart_next_orders.website_session_id = cart_views.website_session_id
+) AS cart_rows
 GROUP BY 1""")
 
 # one row per (period, cart session); orders of sessions that clicked through
 SQL["cross_sell_period_summary"] = click(f"""{_CART}, per_session AS (
   SELECT g.time_period, g.website_session_id,
          MAX(CASE WHEN a.website_session_id IS NULL THEN 0 ELSE 1 END) AS clicked
-  FROM go_cart_sessions g
-  LEFT JOIN after_cart_sessions a
+  FROM cart_views g
+  LEFT JOIN cart_next a
     ON a.website_session_id = g.website_session_id AND a.time_period = g.time_period
   GROUP BY 1, 2
 ), o AS (
@@ -741,16 +741,16 @@ LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website
 WHERE website_sessions.created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-29'
 GROUP BY 1""")
 
-_xs = ", ".join(f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN after_product.order_id END) AS cross_sell_{p.lower()}"
+_xs = ", ".join(f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN recent_orders.order_id END) AS cross_sell_{p.lower()}"
                 for p in PTYPES)
-_xr = ", ".join(div(f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN after_product.order_id END)",
-                    "COUNT(DISTINCT after_product.order_id)") + f" AS cross_sell_{p.lower()}_rt" for p in PTYPES)
-SQL["cross_sell_matrix"] = commerce(f"""after_product AS (
+_xr = ", ".join(div(f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN recent_orders.order_id END)",
+                    "COUNT(DISTINCT recent_orders.order_id)") + f" AS cross_sell_{p.lower()}_rt" for p in PTYPES)
+SQL["cross_sell_matrix"] = commerce(f"""recent_orders AS (
   SELECT order_id, primary_product_id FROM shop_orders WHERE created_at > TIMESTAMP '1997-06-30'
 )
 SELECT primary_product_id, {_xs}, {_xr}
-FROM after_product
-LEFT JOIN shop_items ON shop_items.order_id = after_product.order_id AND is_primary_item = 0
+FROM recent_orders
+LEFT JOIN shop_items ON shop_items.order_id = recent_orders.order_id AND is_primary_item = 0
 GROUP BY 1""")
 
 
@@ -781,53 +781,53 @@ SQL["refund_rate_trend_legacy"] = _refund_sql(True)
 # --- users -------------------------------------------------------------------
 
 _REPEATS = """
-SELECT new_sessions.user_id, new_sessions.website_session_id AS new_id,
+SELECT first_visits.user_id, first_visits.website_session_id AS new_id,
        website_sessions.website_session_id AS repeated_id
 FROM (
   SELECT user_id, website_session_id FROM website_sessions
   WHERE created_at < TIMESTAMP '2024-01-31' AND created_at >= TIMESTAMP '2024-01-01' AND is_repeat_session = 0
-) AS new_sessions
+) AS first_visits
 LEFT JOIN website_sessions
-  ON website_sessions.user_id = new_sessions.user_id
+  ON website_sessions.user_id = first_visits.user_id
   AND website_sessions.is_repeat_session = 1
   AND website_sessions.created_at < TIMESTAMP '2024-01-31' AND website_sessions.created_at >= TIMESTAMP '2024-01-01'
-  AND website_sessions.website_session_id > new_sessions.website_session_id"""
+  AND website_sessions.website_session_id > first_visits.website_session_id"""
 
 SQL["repeat_sessions"] = click(_REPEATS)
 
-SQL["repeat_histogram"] = click(f"""session_w_repeats AS ({_REPEATS}
+SQL["repeat_histogram"] = click(f"""visit_pairs AS ({_REPEATS}
 )
 SELECT repeated_sessions, COUNT(new_id) AS users FROM (
-  SELECT new_id, COUNT(repeated_id) AS repeated_sessions FROM session_w_repeats GROUP BY new_id
-) AS user_level
+  SELECT new_id, COUNT(repeated_id) AS repeated_sessions FROM visit_pairs GROUP BY new_id
+) AS per_first_visit
 GROUP BY 1""")
 
-_FIRST_SECOND = """first_second_session AS (
-  SELECT new_sessions.user_id, new_sessions.website_session_id AS first_id,
+_FIRST_SECOND = """first_and_next AS (
+  SELECT first_visits.user_id, first_visits.website_session_id AS first_id,
          MIN(website_sessions.website_session_id) AS second_id,
          MIN(website_sessions.created_at) AS second_time,
-         new_sessions.created_at AS first_time
+         first_visits.created_at AS first_time
   FROM (
     SELECT user_id, website_session_id, created_at FROM website_sessions
     WHERE created_at < TIMESTAMP '2024-01-29' AND created_at >= TIMESTAMP '2024-01-01' AND is_repeat_session = 0
-  ) AS new_sessions
+  ) AS first_visits
   LEFT JOIN website_sessions
-    ON website_sessions.user_id = new_sessions.user_id
+    ON website_sessions.user_id = first_visits.user_id
     AND website_sessions.is_repeat_session = 1
     AND website_sessions.created_at < TIMESTAMP '2024-01-29' AND website_sessions.created_at >= TIMESTAMP '2024-01-01'
-    AND website_sessions.website_session_id > new_sessions.website_session_id
+    AND website_sessions.website_session_id > first_visits.website_session_id
   GROUP BY 1, 2, 5
 )"""
 
 SQL["first_to_second"] = click(f"""{_FIRST_SECOND}
-SELECT * FROM first_second_session""")
+SELECT * FROM first_and_next""")
 
 _dd = "date_diff('day', CAST(first_time AS DATE), CAST(second_time AS DATE))"
 SQL["time_to_repeat"] = click(f"""{_FIRST_SECOND}
 SELECT CAST(MIN({_dd}) AS INTEGER) AS min_days_first_to_second,
        CAST(MAX({_dd}) AS INTEGER) AS max_days_first_to_second,
        AVG({_dd}) AS avg_days_first_to_second
-FROM first_second_session WHERE second_id IS NOT NULL""")
+FROM first_and_next WHERE second_id IS NOT NULL""")
 
 SQL["channel_new_vs_repeat"] = click("""
 SELECT CASE
