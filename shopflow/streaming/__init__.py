@@ -1,0 +1 @@
+"""Continuous building of the clickstream tables from an event stream."""

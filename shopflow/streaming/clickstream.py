@@ -1,0 +1,108 @@
+"""Sessionised page views, sessions and web orders from a stream of events.
+
+The batch analyses read ``website_sessions``, ``website_pageviews`` and
+``orders``. This module fills them from an event stream with Structured
+Streaming, with the same session rule as the batch fixtures: a user's
+events, in (time, id) order, start a new session after a gap of more than
+``gap``.
+
+``tag_events_stream`` keeps per user only the end of the open session and
+the events newer than the watermark (arrival can be out of order; events
+older than the watermark are late and dropped by Spark). Events older than
+the watermark are final, so they are tagged in exact order, with numpy
+over each user's batch. The tagged stream then goes through the same
+projections as the batch fixtures.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from shopflow.sources import fixtures
+
+TAGGED_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+                 "k int, is_first boolean, is_start boolean, website_session_id long")
+STATE_SCHEMA = ("last_ts long, sid long, pend_id array<long>, pend_ts array<long>, "
+                "pend_epoch array<long>, pend_type array<string>, pend_value array<double>, "
+                "pend_k array<int>")
+# ts: wall-clock microseconds (the session rule); epoch: the instant (the watermark)
+_COLS = ["event_id", "ts", "epoch", "event_type", "value", "k"]
+
+
+def _tagger(gap_us: int):
+    def tag(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        user = key[0]
+        frames = []
+        for b in batches:
+            b = b[_COLS].copy()
+            b["ts"] = pd.to_datetime(b["ts"]).astype("int64") // 1000      # microseconds
+            frames.append(b)
+        if state.exists:
+            last_ts, sid, p_id, p_ts, p_epoch, p_type, p_value, p_k = state.get
+            frames.append(pd.DataFrame({"event_id": p_id, "ts": p_ts, "epoch": p_epoch,
+                                        "event_type": p_type, "value": p_value, "k": p_k}))
+        else:
+            last_ts, sid = None, None
+        ev = pd.concat([f for f in frames if len(f)], ignore_index=True) if any(len(f) for f in frames) \
+            else pd.DataFrame({c: [] for c in _COLS})
+        ev = ev.sort_values(["ts", "event_id"], kind="stable")
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        ready, pending = ev[ev["epoch"] < wm_us], ev[ev["epoch"] >= wm_us]
+
+        out = None
+        if len(ready):
+            ts = ready["ts"].to_numpy(np.int64)
+            ids = ready["event_id"].to_numpy(np.int64)
+            prev = np.concatenate([[last_ts if last_ts is not None else -1], ts[:-1]])
+            has_prev = np.ones(len(ts), bool)
+            has_prev[0] = last_ts is not None
+            start = ~has_prev | (ts - prev > gap_us)
+            sids = pd.Series(np.where(start, ids, -1)).replace(-1, np.nan).ffill()
+            if sid is not None:
+                sids = sids.fillna(sid)
+            first = np.zeros(len(ts), bool)
+            first[0] = last_ts is None and sid is None
+            out = pd.DataFrame({
+                "event_id": ids, "ts": pd.to_datetime(ts, unit="us"), "user_id": user,
+                "event_type": ready["event_type"].to_numpy(), "value": ready["value"].to_numpy(float),
+                "k": ready["k"].to_numpy(), "is_first": first & start, "is_start": start,
+                "website_session_id": sids.to_numpy(np.int64)})
+            last_ts, sid = int(ts[-1]), int(out["website_session_id"].iloc[-1])
+
+        state.update((last_ts, sid, pending["event_id"].tolist(), pending["ts"].tolist(),
+                      pending["epoch"].tolist(), pending["event_type"].tolist(),
+                      pending["value"].tolist(), pending["k"].tolist()))
+        if len(pending):
+            # called again once the watermark passes the oldest pending event
+            state.setTimeoutTimestamp(int(pending["epoch"].min() // 1000) + 1)
+        if out is not None:
+            yield out
+    return tag
+
+
+def tag_events_stream(events: DataFrame, gap_seconds: int = 12 * 3600,
+                      watermark: str = "1 hour") -> DataFrame:
+    """Streaming events tagged with ``website_session_id``, ``is_start``, ``is_first``."""
+    # the watermark needs an instant: the wall-clock time read in the session time zone
+    ev = (events.withColumn("event_time", F.col("ts").cast("timestamp"))
+          .withWatermark("event_time", watermark)
+          .select("event_id", "ts", "event_time", F.unix_micros("event_time").alias("epoch"), "user_id",
+                  "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k")))
+    return ev.groupBy("user_id").applyInPandasWithState(
+        _tagger(gap_seconds * 1_000_000), TAGGED_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.EventTimeTimeout)
+
+
+def clickstream_stream(events: DataFrame, gap_seconds: int = 12 * 3600,
+                       watermark: str = "1 hour") -> dict[str, DataFrame]:
+    """Streaming ``website_sessions``, ``website_pageviews`` and ``orders``."""
+    tagged = tag_events_stream(events, gap_seconds, watermark)
+    return {"website_sessions": fixtures.sessions_from_tagged(tagged),
+            "website_pageviews": fixtures.pageviews_from_tagged(tagged),
+            "orders": fixtures.web_orders_from_tagged(tagged)}

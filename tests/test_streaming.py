@@ -1,0 +1,42 @@
+"""The streaming sessioniser agrees with the batch fixture on every event
+the watermark has made final."""
+
+import shutil
+import tempfile
+
+from pyspark.sql import functions as F
+
+from shopflow.sources import fixtures
+from shopflow.streaming.clickstream import clickstream_stream, tag_events_stream
+
+
+def test_stream_tags_like_batch(spark, sf0001):
+    src = tempfile.mkdtemp(prefix="shopflow-stream-src-")
+    shutil.copy(f"{sf0001}/events.parquet", f"{src}/part-0.parquet")
+    batch_events = spark.read.parquet(f"{sf0001}/events.parquet")
+    stream = spark.readStream.schema(batch_events.schema).parquet(src)
+    q = (tag_events_stream(stream, watermark="6 hours").writeStream.format("memory")
+         .queryName("tagged_events").outputMode("append")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="shopflow-stream-ck-")).start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.table("tagged_events").select("event_id", "website_session_id", "is_start", "is_first")
+    assert got.count() > 0
+    final = batch_events.agg(F.max("ts")).first()[0]
+    want = (fixtures.tag_sessions(batch_events)
+            .filter(F.col("ts") < F.lit(final) - F.expr("INTERVAL 6 HOURS"))
+            .select("event_id", "website_session_id", "is_start", "is_first"))
+    assert got.exceptAll(want).count() == 0
+    assert want.exceptAll(got).count() == 0
+
+
+def test_stream_tables_have_batch_schemas(spark, sf0001):
+    ev = spark.read.parquet(f"{sf0001}/events.parquet")
+    stream = spark.readStream.schema(ev.schema).parquet(tempfile.mkdtemp(prefix="shopflow-empty-"))
+    tables = clickstream_stream(stream)
+    lazy = fixtures.clickstream(ev)
+    for name, df in tables.items():
+        assert df.isStreaming
+        assert df.schema == lazy[name].schema
