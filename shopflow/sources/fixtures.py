@@ -163,15 +163,19 @@ def commerce_items(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> D
     """Order items (with ``l_returnflag``) from line items, orders and parts.
 
     The primary item of an order is its first item by (line number, part,
-    supplier, quantity, price); it is found by a per-order minimum, which
-    Spark pre-aggregates before the shuffle, not by a window.
+    supplier, quantity, price): a per-order minimum over a window. The join
+    on the order key already leaves the items partitioned and sorted by
+    order, so the window adds no shuffle and no sort (an aggregate joined
+    back would scan and shuffle the line items a second time).
     """
     li = lineitem.select(*ITEM_KEY, "l_returnflag")
-    items = (li.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
-             .join(part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice"), "l_partkey")
-             .withColumn("rank_key", F.struct(*RANK_KEY)))
-    first = items.groupBy("l_orderkey").agg(F.min("rank_key").alias("first_key"))
-    return items.join(first, "l_orderkey").select(
+    # parts first, orders last: the per-order minimum and its join back then
+    # reuse the partitioning by order key instead of shuffling the items again
+    items = (li.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice"), "l_partkey")
+             .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+             .withColumn("rank_key", F.struct(*RANK_KEY))
+             .withColumn("first_key", F.min("rank_key").over(Window.partitionBy("l_orderkey"))))
+    return items.select(
         F.struct(*ITEM_KEY).alias("order_item_id"),
         F.col("o_orderdate").alias("created_at"),
         F.col("l_orderkey").alias("order_id"),

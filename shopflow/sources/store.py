@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.session import checkpoint_dir
 
-FORMAT_VERSION = "1"
+FORMAT_VERSION = "3"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -54,17 +54,24 @@ def table_path(spark: SparkSession, name: str, signature: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/shopflow/{name}-{signature}"
 
 
-def materialize(spark: SparkSession, df_factory, name: str, signature: str) -> DataFrame:
+def materialize(spark: SparkSession, df_factory, name: str, signature: str,
+                cluster_by: str | None = None) -> DataFrame:
     """Read table ``name`` for ``signature``, writing it first if absent.
 
     ``df_factory`` is only called (and the job only run) when the table is
-    missing. Two writers racing on one table both write complete copies into
-    their own attempt folder; the committed ``_SUCCESS`` folder wins.
+    missing. ``cluster_by`` range-partitions the rows on that column and
+    sorts each file by it, so the Parquet min/max statistics of files and
+    row groups let a filter on the column skip most of the table. Two
+    writers racing on one table both write complete copies into their own
+    attempt folder; the committed ``_SUCCESS`` folder wins.
     """
     path = table_path(spark, name, signature)
     if not exists(spark, f"{path}/_SUCCESS"):
         attempt = f"{path}.attempt-{uuid.uuid4().hex[:8]}"
-        df_factory().write.mode("overwrite").parquet(attempt)
+        df = df_factory()
+        if cluster_by:
+            df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
+        df.write.mode("overwrite").parquet(attempt)
         src, fs = _fs(spark, attempt)
         dst, _ = _fs(spark, path)
         if not fs.exists(dst):

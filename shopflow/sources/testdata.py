@@ -59,7 +59,8 @@ class ShopData:
                  "website_pageviews": fixtures.pageviews_from_tagged,
                  "orders": fixtures.web_orders_from_tagged}
         for table, short in names.items():
-            out[table] = store.materialize(self.spark, lambda f=build[table]: f(tagged), short, sig)
+            out[table] = store.materialize(self.spark, lambda f=build[table]: f(tagged), short, sig,
+                                           cluster_by="created_at")
         if tagged is not None:
             tagged.unpersist()
         return out
@@ -81,7 +82,7 @@ class ShopData:
         if not self.materialize:
             return session_facts(self.sessions, self.web_orders)
         return store.materialize(self.spark, lambda: session_facts(self.sessions, self.web_orders),
-                                 "session_facts", self._sig("events"))
+                                 "session_facts", self._sig("events"), cluster_by="created_at")
 
     # commerce --------------------------------------------------------------
     @cached_property
@@ -92,11 +93,14 @@ class ShopData:
         sig = self._sig("orders", "lineitem", "part")
         # write the items once; orders and refunds are derived from the written table
         items = store.materialize(self.spark, lambda: fixtures.commerce_items(
-            self.raw("orders"), self.raw("lineitem"), self.raw("part")), "shop_items", sig)
+            self.raw("orders"), self.raw("lineitem"), self.raw("part")), "shop_items", sig,
+            cluster_by="created_at")
         derived = fixtures.commerce_from_items(self.raw("orders"), items)
         return {"order_items": items.drop("l_returnflag"),
-                **{name: store.materialize(self.spark, lambda d=derived[name]: d, f"shop_{name}", sig)
-                   for name in ("orders", "order_item_refunds")}}
+                "orders": store.materialize(self.spark, lambda: derived["orders"], "shop_orders", sig,
+                                            cluster_by="created_at"),
+                "order_item_refunds": store.materialize(self.spark, lambda: derived["order_item_refunds"],
+                                                        "shop_order_item_refunds", sig)}
 
     @property
     def shop_orders(self) -> DataFrame:
