@@ -120,7 +120,12 @@ _CACHE: dict = {}
 
 def shop_data(spark: SparkSession, folder: str, materialize: bool = True) -> ShopData:
     """One :class:`ShopData` per (session, folder, mode), reused across analyses."""
-    key = (id(spark), spark.sparkContext.applicationId, folder.rstrip("/"), materialize)
+    if materialize:
+        try:
+            store.checkpoint_dir(spark)          # needs the session's SparkContext
+        except Exception:                        # e.g. a remote session: stay lazy
+            materialize = False
+    key = (id(spark), folder.rstrip("/"), materialize)
     if key not in _CACHE:
         _CACHE[key] = ShopData(spark, folder, materialize)
     return _CACHE[key]
