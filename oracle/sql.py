@@ -1,9 +1,10 @@
-"""DuckDB SQL for each registered query: literal translations of the
-reference analyses onto the fixture tables and arguments.
+"""DuckDB SQL for each registered query, over the raw test tables.
 
-Conventions shared with the Spark side: ratios are ``double`` with NULL for
-a zero denominator (``/ nullif(d, 0)``), money sums are ``double``, year,
-month, quarter and hour are ``INTEGER``, integer sums ``BIGINT``.
+Each query states the analysis directly in SQL, independently of the
+Spark code: distinct counts over the row-level joins, staged steps as
+common table expressions. Shared conventions with the Spark side: ratios
+are ``double`` and NULL for a zero denominator, money sums ``double``,
+year / month / quarter / hour ``integer``, integer sums ``bigint``.
 """
 
 from oracle.fixtures import click, commerce
@@ -13,866 +14,787 @@ SQL: dict[str, str] = {}
 CUT = "2024-01-27"
 
 
-def yq(col: str, grain: str) -> tuple[str, str]:
-    """(select list, group by list) for a calendar grain, named as in Spark."""
-    if grain == "day":
-        return f"CAST({col} AS DATE) AS dt", "1"
-    if grain == "week":
-        return f"CAST({col} AS DATE) - CAST(dayofweek({col}) AS INTEGER) AS wk_start", "1"
-    if grain == "month":
-        return f"CAST(year({col}) AS INTEGER) AS yr, CAST(month({col}) AS INTEGER) AS mo", "1, 2"
-    if grain == "quarter":
-        return f"CAST(year({col}) AS INTEGER) AS yr, CAST(quarter({col}) AS INTEGER) AS qtr", "1, 2"
-    raise ValueError(grain)
+def bucket(col: str, grain: str) -> str:
+    """Select list of a calendar grain, named as on the Spark side."""
+    return {
+        "day": f"cast({col} as date) as dt",
+        "week": f"cast({col} as date) - cast(dayofweek({col}) as integer) as wk_start",
+        "month": f"cast(year({col}) as integer) as yr, cast(month({col}) as integer) as mo",
+        "quarter": f"cast(year({col}) as integer) as yr, cast(quarter({col}) as integer) as qtr",
+    }[grain]
 
 
 def div(a: str, b: str) -> str:
-    return f"CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0)"
+    return f"cast({a} as double) / nullif(cast({b} as double), 0)"
 
 
+def ts(t: str) -> str:
+    return f"timestamp '{t}'"
+
+
+# sessions with their orders, one row per (session, order or none)
+SO = "website_sessions s left join web_orders o on o.website_session_id = s.website_session_id"
+
 # --- traffic and channels ---------------------------------------------------
 
-b, g = yq("website_sessions.created_at", "day")
 SQL["volume_trend"] = click(f"""
-SELECT {b},
-       COUNT(DISTINCT website_sessions.website_session_id) AS sessions,
-       COUNT(DISTINCT web_orders.order_id) AS orders
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-WHERE website_sessions.created_at < TIMESTAMP '{CUT}' AND website_sessions.utm_source = 'gsearch'
-GROUP BY {g}""")
-
-b, g = yq("website_sessions.created_at", "week")
+select {bucket('s.created_at', 'day')},
+       count(distinct s.website_session_id) as sessions,
+       count(distinct o.order_id) as orders
+from {SO}
+where s.created_at < {ts(CUT)} and s.utm_source = 'gsearch'
+group by all""")
+
 SQL["volume_trend_sessions_with_order"] = click(f"""
-SELECT {b},
-       COUNT(DISTINCT website_sessions.website_session_id) AS sessions_volume,
-       COUNT(DISTINCT web_orders.website_session_id) AS order_volume
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-GROUP BY {g}""")
-
-b, g = yq("website_sessions.created_at", "day")
-SQL["segment_trend"] = click(f"""
-SELECT {b},
-  COUNT(DISTINCT CASE WHEN utm_campaign = 'nonbrand' THEN website_sessions.website_session_id END) AS nonbrand_sessions,
-  COUNT(DISTINCT CASE WHEN utm_campaign = 'nonbrand' THEN web_orders.order_id END) AS nonbrand_orders,
-  COUNT(DISTINCT CASE WHEN utm_campaign = 'brand' THEN website_sessions.website_session_id END) AS brand_sessions,
-  COUNT(DISTINCT CASE WHEN utm_campaign = 'brand' THEN web_orders.order_id END) AS brand_orders
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-WHERE website_sessions.created_at < TIMESTAMP '{CUT}' AND website_sessions.utm_source = 'gsearch'
-GROUP BY {g}""")
-
-SQL["segment_trend_device"] = click(f"""
-SELECT {b},
-  COUNT(DISTINCT CASE WHEN device_type = 'mobile' THEN website_sessions.website_session_id END) AS mobile_sessions,
-  COUNT(DISTINCT CASE WHEN device_type = 'mobile' THEN web_orders.order_id END) AS mobile_orders,
-  COUNT(DISTINCT CASE WHEN device_type = 'desktop' THEN website_sessions.website_session_id END) AS desktop_sessions,
-  COUNT(DISTINCT CASE WHEN device_type = 'desktop' THEN web_orders.order_id END) AS desktop_orders
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-WHERE website_sessions.created_at < TIMESTAMP '{CUT}' AND website_sessions.utm_source = 'gsearch'
-  AND utm_campaign = 'nonbrand'
-GROUP BY {g}""")
-
-SQL["distinct_values"] = click("SELECT DISTINCT utm_source FROM website_sessions")
-SQL["distinct_values_rows"] = click("SELECT DISTINCT * FROM website_sessions")
+select {bucket('s.created_at', 'week')},
+       count(distinct s.website_session_id) as sessions_volume,
+       count(distinct o.website_session_id) as order_volume
+from {SO}
+group by all""")
+
+
+def _pair(col, values, where):
+    cols = []
+    for v in values:
+        cols.append(f"count(distinct s.website_session_id) filter (where s.{col} = '{v}') as {v}_sessions")
+        cols.append(f"count(distinct o.order_id) filter (where s.{col} = '{v}') as {v}_orders")
+    return click(f"""
+select {bucket('s.created_at', 'day')}, {", ".join(cols)}
+from {SO}
+where {where}
+group by all""")
+
+
+SQL["segment_trend"] = _pair("utm_campaign", ["nonbrand", "brand"],
+                             f"s.created_at < {ts(CUT)} and s.utm_source = 'gsearch'")
+SQL["segment_trend_device"] = _pair("device_type", ["mobile", "desktop"],
+                                    f"s.created_at < {ts(CUT)} and s.utm_source = 'gsearch' "
+                                    f"and s.utm_campaign = 'nonbrand'")
+
+SQL["distinct_values"] = click("select distinct utm_source from website_sessions")
+SQL["distinct_values_rows"] = click("select distinct * from website_sessions")
 SQL["distinct_values_triples"] = click(f"""
-SELECT DISTINCT utm_source, utm_campaign, http_referer FROM website_sessions
-WHERE website_sessions.created_at < TIMESTAMP '{CUT}'""")
+select distinct utm_source, utm_campaign, http_referer
+from website_sessions where created_at < {ts(CUT)}""")
 
-b, g = yq("created_at", "day")
 SQL["channel_mix_trend"] = click(f"""
-SELECT {b},
-  COUNT(DISTINCT CASE WHEN utm_source = 'gsearch' THEN website_session_id END) AS gsearch_paid_sessions,
-  COUNT(DISTINCT CASE WHEN utm_source = 'bsearch' THEN website_session_id END) AS bsearch_paid_sessions,
-  COUNT(DISTINCT CASE WHEN utm_source IS NULL AND http_referer IS NOT NULL THEN website_session_id END) AS organic_search_sessions,
-  COUNT(DISTINCT CASE WHEN utm_source IS NULL AND http_referer IS NULL THEN website_session_id END) AS direct_type_in_sessions
-FROM website_sessions
-WHERE created_at < TIMESTAMP '{CUT}'
-GROUP BY {g}""")
-
-b, g = yq("created_at", "week")
-_nb = "COUNT(DISTINCT CASE WHEN utm_campaign = 'nonbrand' THEN website_session_id END)"
-_br = "COUNT(DISTINCT CASE WHEN utm_campaign = 'brand' THEN website_session_id END)"
-_di = "COUNT(DISTINCT CASE WHEN utm_source IS NULL AND http_referer IS NULL THEN website_session_id END)"
-_or = ("COUNT(DISTINCT CASE WHEN utm_source IS NULL AND http_referer IN "
-       "('https://www.gsearch.com', 'https://www.bsearch.com') THEN website_session_id END)")
+select {bucket('created_at', 'day')},
+  count(*) filter (where utm_source = 'gsearch') as gsearch_paid_sessions,
+  count(*) filter (where utm_source = 'bsearch') as bsearch_paid_sessions,
+  count(*) filter (where utm_source is null and http_referer is not null) as organic_search_sessions,
+  count(*) filter (where utm_source is null and http_referer is null) as direct_type_in_sessions
+from website_sessions
+where created_at < {ts(CUT)}
+group by all""")
+
+SEARCH = "('https://www.gsearch.com', 'https://www.bsearch.com')"
 SQL["direct_brand_vs_nonbrand"] = click(f"""
-SELECT {b},
-  {_nb} AS nonbrand, {_br} AS brand, {div(_br, _nb)} AS brand_pct_of_nonbrand,
-  {_di} AS direct, {div(_di, _nb)} AS direct_pct_of_nonbrand,
-  {_or} AS organic, {div(_or, _nb)} AS organic_pct_of_nonbrand
-FROM website_sessions
-WHERE created_at < TIMESTAMP '2024-01-23'
-GROUP BY {g}""")
-
-b, g = yq("website_sessions.created_at", "day")
+c as (
+  select {bucket('created_at', 'week')},
+    count(*) filter (where utm_campaign = 'nonbrand') as nonbrand,
+    count(*) filter (where utm_campaign = 'brand') as brand,
+    count(*) filter (where utm_source is null and http_referer is null) as direct,
+    count(*) filter (where utm_source is null and http_referer in {SEARCH}) as organic
+  from website_sessions
+  where created_at < {ts('2024-01-23')}
+  group by all
+)
+select wk_start, nonbrand, brand, {div('brand', 'nonbrand')} as brand_pct_of_nonbrand,
+       direct, {div('direct', 'nonbrand')} as direct_pct_of_nonbrand,
+       organic, {div('organic', 'nonbrand')} as organic_pct_of_nonbrand
+from c""")
+
 SQL["conversion_trend"] = click(f"""
-SELECT {b},
-  COUNT(DISTINCT website_sessions.website_session_id) AS sessions,
-  COUNT(DISTINCT web_orders.order_id) AS orders,
-  {div("COUNT(DISTINCT web_orders.order_id)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS conversion_rate
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-WHERE website_sessions.created_at < TIMESTAMP '{CUT}'
-GROUP BY {g}""")
-
-b, g = yq("website_sessions.created_at", "week")
-_s = "COUNT(DISTINCT website_sessions.website_session_id)"
-_o = "COUNT(DISTINCT web_orders.website_session_id)"
-_r = "CAST(SUM(price_usd) AS DOUBLE)"
+select {bucket('s.created_at', 'day')},
+       count(distinct s.website_session_id) as sessions,
+       count(distinct o.order_id) as orders,
+       {div('count(distinct o.order_id)', 'count(distinct s.website_session_id)')} as conversion_rate
+from {SO}
+where s.created_at < {ts(CUT)}
+group by all""")
+
 SQL["efficiency_trend"] = click(f"""
-SELECT {b},
-  {div(_o, _s)} AS sessions_to_order_conv_rate,
-  {div(_r, _o)} AS rev_per_order,
-  {div(_r, _s)} AS rev_per_session
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-GROUP BY {g}""")
-
-_chan = {
-    "gsearch_nonbrand": "utm_source = 'gsearch' AND utm_campaign = 'nonbrand'",
-    "bsearch_nonbrand": "utm_source = 'bsearch' AND utm_campaign = 'nonbrand'",
-    "brand": "utm_campaign = 'brand'",
-    "organic_search": "utm_source IS NULL AND http_referer IS NOT NULL",
-    "direct_type_in": "utm_source IS NULL AND http_referer IS NULL",
-}
-_names = {"brand": "brandsearch_overall"}
+c as (
+  select {bucket('s.created_at', 'week')},
+         count(distinct s.website_session_id) as n_s,
+         count(distinct o.website_session_id) as n_o,
+         cast(sum(o.price_usd) as double) as rev
+  from {SO}
+  group by all
+)
+select wk_start, {div('n_o', 'n_s')} as sessions_to_order_conv_rate,
+       {div('rev', 'n_o')} as rev_per_order, {div('rev', 'n_s')} as rev_per_session
+from c""")
+
+CHANNELS = [
+    ("gsearch_nonbrand", "s.utm_source = 'gsearch' and s.utm_campaign = 'nonbrand'"),
+    ("bsearch_nonbrand", "s.utm_source = 'bsearch' and s.utm_campaign = 'nonbrand'"),
+    ("brand", "s.utm_campaign = 'brand'"),
+    ("organic_search", "s.utm_source is null and s.http_referer is not null"),
+    ("direct_type_in", "s.utm_source is null and s.http_referer is null"),
+]
 SQL["orders_by_channel"] = click(f"""
-SELECT {b},
-  {", ".join(f"COUNT(DISTINCT CASE WHEN {c} THEN web_orders.order_id END) AS {_names.get(n, n)}"
-             for n, c in _chan.items())}
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-GROUP BY {g}""")
-
-_names = {"brand": "brand_search"}
+select {bucket('s.created_at', 'week')},
+  {", ".join(f"count(distinct o.order_id) filter (where {c}) as {'brandsearch_overall' if n == 'brand' else n}"
+             for n, c in CHANNELS)}
+from {SO}
+group by all""")
+
 SQL["conversion_by_channel"] = click(f"""
-SELECT {b},
-  {", ".join(div(f"COUNT(DISTINCT CASE WHEN {c} THEN web_orders.order_id END)",
-                 f"COUNT(DISTINCT CASE WHEN {c} THEN website_sessions.website_session_id END)")
-             + f" AS {_names.get(n, n)}_conv_rt" for n, c in _chan.items())}
-FROM website_sessions
-LEFT JOIN web_orders ON website_sessions.website_session_id = web_orders.website_session_id
-GROUP BY {g}
-ORDER BY 1""")
-
-_mob = "COUNT(DISTINCT CASE WHEN device_type = 'mobile' THEN website_session_id END)"
+c as (
+  select {bucket('s.created_at', 'week')},
+    {", ".join(f"count(distinct o.order_id) filter (where {c}) as o_{n}, "
+               f"count(distinct s.website_session_id) filter (where {c}) as s_{n}" for n, c in CHANNELS)}
+  from {SO}
+  group by all
+)
+select wk_start, {", ".join(f"{div('o_' + n, 's_' + n)} as {'brand_search' if n == 'brand' else n}_conv_rt"
+                            for n, _ in CHANNELS)}
+from c
+order by wk_start""")
+
 SQL["channel_characteristics"] = click(f"""
-SELECT utm_source, COUNT(DISTINCT website_session_id) AS sessions,
-  {_mob} AS mobile_sessions,
-  {div(_mob, "COUNT(DISTINCT website_session_id)")} AS pct_mobile
-FROM website_sessions
-WHERE utm_campaign = 'nonbrand' AND created_at > TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-25'
-GROUP BY utm_source""")
+select utm_source, count(*) as sessions,
+       count(*) filter (where device_type = 'mobile') as mobile_sessions,
+       {div("count(*) filter (where device_type = 'mobile')", 'count(*)')} as pct_mobile
+from website_sessions
+where utm_campaign = 'nonbrand' and created_at > {ts('2024-01-05')} and created_at < {ts('2024-01-25')}
+group by utm_source""")
 
 SQL["conversion_by"] = click(f"""
-SELECT device_type, utm_source, COUNT(DISTINCT website_sessions.website_session_id) AS sessions,
-  COUNT(DISTINCT order_id) AS orders,
-  {div("COUNT(DISTINCT order_id)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS conv_rate
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-WHERE utm_source IN ('gsearch', 'bsearch')
-  AND website_sessions.created_at > TIMESTAMP '2024-01-05' AND website_sessions.created_at < TIMESTAMP '2024-01-20'
-  AND utm_campaign = 'nonbrand'
-GROUP BY 1, 2""")
+select s.device_type, s.utm_source,
+       count(distinct s.website_session_id) as sessions, count(distinct o.order_id) as orders,
+       {div('count(distinct o.order_id)', 'count(distinct s.website_session_id)')} as conv_rate
+from {SO}
+where s.utm_source in ('gsearch', 'bsearch') and s.utm_campaign = 'nonbrand'
+  and s.created_at > {ts('2024-01-05')} and s.created_at < {ts('2024-01-20')}
+group by all""")
 
 
-def _cnt(cond):
-    return f"COUNT(DISTINCT CASE WHEN {cond} THEN website_session_id END)"
+def _dev(source, device):
+    return f"count(*) filter (where utm_source = '{source}' and device_type = '{device}')"
 
 
-_gd = _cnt("utm_source = 'gsearch' AND device_type = 'desktop'")
-_bd = _cnt("utm_source = 'bsearch' AND device_type = 'desktop'")
-_gm = _cnt("utm_source = 'gsearch' AND device_type = 'mobile'")
-_bm = _cnt("utm_source = 'bsearch' AND device_type = 'mobile'")
 SQL["weekly_portfolio"] = click(f"""
-SELECT MIN(CAST(created_at AS DATE)) AS week_start,
-  {_gd} AS g_dtop_session, {_bd} AS b_dtop_session, {div(_bd, _gd)} AS b_pct_of_g_dtop,
-  {_gm} AS g_mob_session, {_bm} AS b_mob_session, {div(_bm, _gm)} AS b_pct_of_g_mob
-FROM website_sessions
-WHERE created_at > TIMESTAMP '2024-01-04' AND created_at < TIMESTAMP '2024-01-29' AND utm_campaign = 'nonbrand'
-GROUP BY CAST(created_at AS DATE) - CAST(dayofweek(created_at) AS INTEGER)""")
+c as (
+  select cast(created_at as date) - cast(dayofweek(created_at) as integer) as sunday,
+         min(cast(created_at as date)) as week_start,
+         {_dev('gsearch', 'desktop')} as g_dtop_session, {_dev('bsearch', 'desktop')} as b_dtop_session,
+         {_dev('gsearch', 'mobile')} as g_mob_session, {_dev('bsearch', 'mobile')} as b_mob_session
+  from website_sessions
+  where utm_campaign = 'nonbrand' and created_at > {ts('2024-01-04')} and created_at < {ts('2024-01-29')}
+  group by sunday
+)
+select week_start, g_dtop_session, b_dtop_session, {div('b_dtop_session', 'g_dtop_session')} as b_pct_of_g_dtop,
+       g_mob_session, b_mob_session, {div('b_mob_session', 'g_mob_session')} as b_pct_of_g_mob
+from c""")
+
+WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
 
-def _round_avg(day):
-    # MySQL rounds the exact average of integers half up: do the same with integers
-    s = f"SUM(CASE WHEN dow = {day} THEN sessions END)"
-    n = f"COUNT(CASE WHEN dow = {day} THEN sessions END)"
-    return f"CASE WHEN {n} > 0 THEN CAST((20 * {s} + {n}) // (2 * {n}) AS DOUBLE) / 10 END"
+def _avg_half_up(day: int) -> str:
+    # the exact average of integers, rounded half up to one decimal with integer arithmetic
+    t = f"sum(n) filter (where dow = {day})"
+    k = f"count(*) filter (where dow = {day})"
+    return f"case when {k} > 0 then cast((20 * {t} + {k}) // (2 * {k}) as double) / 10 end"
 
 
 SQL["hour_by_weekday"] = click(f"""
-SELECT hr, {", ".join(f"{_round_avg(i)} AS {d}" for i, d in enumerate(["mon", "tue", "wed", "thu", "fri", "sat", "sun"]))}
-FROM (
-  SELECT CAST(created_at AS DATE) AS d, CAST(hour(created_at) AS INTEGER) AS hr,
-         CAST(isodow(created_at) - 1 AS INTEGER) AS dow,
-         COUNT(DISTINCT website_session_id) AS sessions
-  FROM website_sessions
-  WHERE created_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-28'
-  GROUP BY 1, 2, 3
-) hourly_cells
-GROUP BY hr""")
+cells as (
+  select cast(created_at as date) as d, cast(hour(created_at) as integer) as hr,
+         cast(isodow(created_at) - 1 as integer) as dow, count(*) as n
+  from website_sessions
+  where created_at between {ts('2024-01-03')} and {ts('2024-01-28')}
+  group by all
+)
+select hr, {", ".join(f"{_avg_half_up(i)} as {d}" for i, d in enumerate(WEEKDAYS))}
+from cells
+group by hr""")
 
 
 # --- pages, landing pages, bounce --------------------------------------------
 
-def _gnb(cond: str) -> str:
-    return f"""test_sessions AS (
-  SELECT website_sessions.website_session_id FROM website_sessions
-  WHERE utm_source = 'gsearch' AND utm_campaign = 'nonbrand' AND {cond}
-), test_views AS (
-  SELECT website_pageview_id, created_at, website_pageviews.website_session_id, pageview_url
-  FROM website_pageviews
-  INNER JOIN test_sessions ON website_pageviews.website_session_id = test_sessions.website_session_id
+def test_views(cond: str) -> str:
+    """Page views of gsearch nonbrand sessions meeting ``cond`` (CTE ``tv``)."""
+    return f"""tv as (
+  select v.* from website_pageviews v
+  where v.website_session_id in (
+    select website_session_id from website_sessions
+    where utm_source = 'gsearch' and utm_campaign = 'nonbrand' and {cond})
 )"""
 
 
-QUAL = _gnb("created_at < TIMESTAMP '2024-01-28'")
+TV = test_views(f"created_at < {ts('2024-01-28')}")
 
-SQL["first_seen"] = click(f"""{QUAL}
-SELECT MIN(CAST(created_at AS DATE)) AS first_date, MIN(website_pageview_id) AS first_pv_id
-FROM test_views WHERE pageview_url = 'signup'""")
+SQL["first_seen"] = click(f"""{TV}
+select min(cast(created_at as date)) as first_date, min(website_pageview_id) as first_pv_id
+from tv where pageview_url = 'signup'""")
 
 SQL["first_seen_row"] = click("""
-SELECT created_at AS first_created_at, website_pageview_id AS first_pv_id
-FROM website_pageviews WHERE pageview_url = 'signup'
-ORDER BY created_at, website_pageview_id LIMIT 1""")
-
-_LAST = f"""
-SELECT MAX(website_sessions.website_session_id) AS last_session_id
-FROM website_sessions
-LEFT JOIN website_pageviews ON website_pageviews.website_session_id = website_sessions.website_session_id
-WHERE utm_source = 'gsearch' AND utm_campaign = 'nonbrand' AND pageview_url = 'view'
-  AND website_sessions.created_at < TIMESTAMP '{CUT}'"""
-SQL["last_seen"] = click(_LAST)
+select created_at as first_created_at, website_pageview_id as first_pv_id
+from website_pageviews where pageview_url = 'signup'
+order by created_at, website_pageview_id limit 1""")
+
+LAST_VIEW = f"""
+select max(s.website_session_id) as last_session_id
+from website_sessions s join website_pageviews v on v.website_session_id = s.website_session_id
+where s.utm_source = 'gsearch' and s.utm_campaign = 'nonbrand' and v.pageview_url = 'view'
+  and s.created_at < {ts(CUT)}"""
+SQL["last_seen"] = click(LAST_VIEW)
 
 SQL["sessions_since"] = click(f"""
-SELECT COUNT(website_session_id) AS sessions_since_test
-FROM website_sessions
-WHERE created_at < TIMESTAMP '{CUT}'
-  AND website_session_id > ({_LAST})
-  AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'""")
-
-SQL["top_pages"] = click("""
-SELECT pageview_url, COUNT(DISTINCT website_pageview_id) AS sessions FROM website_pageviews
-WHERE created_at < TIMESTAMP '2024-01-09'
-GROUP BY pageview_url ORDER BY sessions DESC""")
-
-SQL["first_pageview"] = click("""
-SELECT website_session_id, min(website_pageview_id) AS min_pageview_id
-FROM website_pageviews WHERE created_at < TIMESTAMP '2024-01-12'
-GROUP BY website_session_id""")
-
-
-def _landing(until: str) -> str:
-    return f"""first_view AS (
-  SELECT MIN(website_pageviews.website_pageview_id) AS first_view_id, website_pageviews.website_session_id
-  FROM website_pageviews WHERE website_pageviews.created_at < TIMESTAMP '{until}'
-  GROUP BY website_session_id
-), landings AS (
-  SELECT website_pageviews.pageview_url, website_pageviews.website_session_id
-  FROM first_view LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_view.first_view_id
-), bounced AS (
-  SELECT landings.website_session_id, landings.pageview_url AS land,
-         COUNT(website_pageviews.website_pageview_id) AS pgv
-  FROM landings
-  LEFT JOIN website_pageviews ON website_pageviews.website_session_id = landings.website_session_id
-  GROUP BY landings.website_session_id, landings.pageview_url
-  HAVING COUNT(website_pageviews.website_pageview_id) = 1
+select count(*) as sessions_since_test
+from website_sessions
+where utm_source = 'gsearch' and utm_campaign = 'nonbrand' and created_at < {ts(CUT)}
+  and website_session_id > ({LAST_VIEW})""")
+
+SQL["top_pages"] = click(f"""
+select pageview_url, count(distinct website_pageview_id) as sessions
+from website_pageviews where created_at < {ts('2024-01-09')}
+group by pageview_url order by sessions desc""")
+
+SQL["first_pageview"] = click(f"""
+select website_session_id, min(website_pageview_id) as min_pageview_id
+from website_pageviews where created_at < {ts('2024-01-12')}
+group by website_session_id""")
+
+
+def landings(until: str) -> str:
+    """``entry``: each session's first view before ``until`` and its url;
+    ``single``: entries whose session has one view in all."""
+    return f"""entry_id as (
+  select website_session_id, min(website_pageview_id) as first_id
+  from website_pageviews where created_at < {ts(until)}
+  group by website_session_id
+), entry as (
+  select e.website_session_id, v.pageview_url as url
+  from entry_id e join website_pageviews v on v.website_pageview_id = e.first_id
+), single as (
+  select e.website_session_id, e.url as land, count(v.website_pageview_id) as pgv
+  from entry e join website_pageviews v on v.website_session_id = e.website_session_id
+  group by all
+  having count(v.website_pageview_id) = 1
 )"""
 
 
-SQL["landing_page"] = click(f"""{_landing('2024-01-14')}
-SELECT website_session_id, pageview_url AS landing_page FROM landings""")
-
-SQL["top_entry_pages"] = click(f"""{_landing('2024-01-12')}
-SELECT COUNT(DISTINCT landings.website_session_id) AS sessions_hitting_this_landing_page,
-       pageview_url AS landing_page
-FROM landings GROUP BY pageview_url""")
-
-SQL["bounced_sessions"] = click(f"""{_landing('2024-01-14')}
-SELECT website_session_id, land, pgv FROM bounced""")
-
-SQL["bounce_rate"] = click(f"""{_landing('2024-01-14')}
-SELECT COUNT(landings.website_session_id) AS sessions,
-       COUNT(bounced.website_session_id) AS bounced_sessions,
-       {div("COUNT(bounced.website_session_id)", "COUNT(landings.website_session_id)")} AS bounce_rate
-FROM landings LEFT JOIN bounced ON bounced.website_session_id = landings.website_session_id""")
-
-# the first lander view at or after the first 'signup' view (one bound, inclusive)
-SQL["bounce_rate_by_landing"] = click(f"""{QUAL},
-marker AS (SELECT MIN(website_pageview_id) AS first_pv FROM test_views WHERE pageview_url = 'signup'),
-first_view_id AS (
-  SELECT MIN(test_views.website_pageview_id) AS first_view_id, test_views.website_session_id
-  FROM test_views
-  WHERE test_views.website_pageview_id >= (SELECT first_pv FROM marker)
-    AND test_views.pageview_url IN ('view', 'signup')
-  GROUP BY website_session_id
-), landings AS (
-  SELECT website_pageviews.pageview_url AS land, website_pageviews.website_session_id
-  FROM first_view_id LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_view_id.first_view_id
-), bounced AS (
-  SELECT landings.website_session_id, landings.land AS land, COUNT(test_views.website_pageview_id) AS pgv
-  FROM landings LEFT JOIN test_views ON test_views.website_session_id = landings.website_session_id
-  GROUP BY landings.website_session_id, landings.land
-  HAVING COUNT(test_views.website_pageview_id) = 1
+SQL["landing_page"] = click(f"""{landings('2024-01-14')}
+select website_session_id, url as landing_page from entry""")
+
+SQL["top_entry_pages"] = click(f"""{landings('2024-01-12')}
+select url as landing_page, count(distinct website_session_id) as sessions_hitting_this_landing_page
+from entry group by url""")
+
+SQL["bounced_sessions"] = click(f"""{landings('2024-01-14')}
+select website_session_id, land, pgv from single""")
+
+SQL["bounce_rate"] = click(f"""{landings('2024-01-14')}
+select count(e.website_session_id) as sessions, count(b.website_session_id) as bounced_sessions,
+       {div('count(b.website_session_id)', 'count(e.website_session_id)')} as bounce_rate
+from entry e left join single b on b.website_session_id = e.website_session_id""")
+
+# the first lander view at or after the first 'signup' view of the test sessions
+SQL["bounce_rate_by_landing"] = click(f"""{TV},
+lander_entry as (
+  select website_session_id, arg_min(pageview_url, website_pageview_id) as land
+  from tv
+  where pageview_url in ('view', 'signup')
+    and website_pageview_id >= (select min(website_pageview_id) from tv where pageview_url = 'signup')
+  group by website_session_id
+), views_per_session as (
+  select website_session_id, count(*) as n from tv group by website_session_id
 )
-SELECT landings.land AS land, COUNT(landings.website_session_id) AS sessions,
-       COUNT(bounced.website_session_id) AS bounced_sessions,
-       {div("COUNT(bounced.website_session_id)", "COUNT(landings.website_session_id)")} AS bounce_rate
-FROM landings LEFT JOIN bounced ON bounced.website_session_id = landings.website_session_id
-GROUP BY landings.land""")
+select l.land, count(*) as sessions, count(*) filter (where p.n = 1) as bounced_sessions,
+       {div('count(*) filter (where p.n = 1)', 'count(*)')} as bounce_rate
+from lander_entry l join views_per_session p on p.website_session_id = l.website_session_id
+group by l.land""")
 
-TREND = _gnb("created_at < TIMESTAMP '2024-01-31' AND created_at >= TIMESTAMP '2024-01-01'")
-_WEEK = "CAST(landings.created_at AS DATE) - CAST(dayofweek(landings.created_at) AS INTEGER)"
+TREND = test_views(f"created_at < {ts('2024-01-31')} and created_at >= {ts('2024-01-01')}")
+SUNDAY = "cast({c} as date) - cast(dayofweek({c}) as integer)"
 
-# one landing row per session (first lander view), total and bounced counts
+# one landing row per session (its first lander view), totals and bounced per lander
 SQL["weekly_bounce_trend"] = click(f"""{TREND},
-first_view_id AS (
-  SELECT MIN(website_pageview_id) AS first_view_id, website_session_id FROM test_views
-  WHERE pageview_url IN ('view', 'signup') GROUP BY website_session_id
-), landings AS (
-  SELECT p.pageview_url AS land, p.website_session_id, p.created_at
-  FROM first_view_id LEFT JOIN website_pageviews p ON p.website_pageview_id = first_view_id.first_view_id
-), pgv AS (
-  SELECT website_session_id, COUNT(website_pageview_id) AS pgv FROM test_views GROUP BY 1
+first_lander as (
+  select website_session_id, min(website_pageview_id) as id
+  from tv where pageview_url in ('view', 'signup') group by website_session_id
+), rows_ as (
+  select f.website_session_id, v.pageview_url as land, v.created_at,
+         (select count(*) from tv t where t.website_session_id = f.website_session_id) = 1 as bounced
+  from first_lander f join website_pageviews v on v.website_pageview_id = f.id
 )
-SELECT MIN(CAST(landings.created_at AS DATE)) AS week_start_date,
-  COUNT(*) AS sessions,
-  COUNT(CASE WHEN pgv.pgv = 1 THEN 1 END) AS bounced_sessions,
-  {div("COUNT(CASE WHEN pgv.pgv = 1 THEN 1 END)", "COUNT(*)")} AS bounce_rate,
-  COUNT(CASE WHEN land = 'view' THEN 1 END) AS home_sessions,
-  COUNT(CASE WHEN land = 'view' AND pgv.pgv = 1 THEN 1 END) AS home_bounced,
-  COUNT(CASE WHEN land = 'signup' THEN 1 END) AS lander_sessions,
-  COUNT(CASE WHEN land = 'signup' AND pgv.pgv = 1 THEN 1 END) AS lander_bounced
-FROM landings JOIN pgv ON pgv.website_session_id = landings.website_session_id
-GROUP BY {_WEEK}""")
-
+select min(cast(created_at as date)) as week_start_date,
+  count(*) as sessions, count(*) filter (where bounced) as bounced_sessions,
+  {div('count(*) filter (where bounced)', 'count(*)')} as bounce_rate,
+  count(*) filter (where land = 'view') as home_sessions,
+  count(*) filter (where land = 'view' and bounced) as home_bounced,
+  count(*) filter (where land = 'signup') as lander_sessions,
+  count(*) filter (where land = 'signup' and bounced) as lander_bounced
+from rows_
+group by {SUNDAY.format(c='created_at')}""")
+
+# the original form: one landing row per (session, lander view time)
 SQL["weekly_bounce_trend_legacy"] = click(f"""{TREND},
-first_view_id AS (
-  SELECT MIN(test_views.website_pageview_id) AS first_view_id, test_views.website_session_id, created_at
-  FROM test_views WHERE test_views.pageview_url IN ('view', 'signup')
-  GROUP BY website_session_id, created_at
-), landings AS (
-  SELECT website_pageviews.pageview_url AS land, website_pageviews.website_session_id, first_view_id.created_at
-  FROM first_view_id LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = first_view_id.first_view_id
-), bounced AS (
-  SELECT landings.website_session_id, landings.land AS land, COUNT(test_views.website_pageview_id) AS pgv
-  FROM landings LEFT JOIN test_views ON test_views.website_session_id = landings.website_session_id
-  GROUP BY landings.website_session_id, landings.land
-  HAVING COUNT(test_views.website_pageview_id) = 1
+land_rows as (
+  select t.website_session_id, t.created_at, v.pageview_url as land
+  from (select website_session_id, created_at, min(website_pageview_id) as id
+        from tv where pageview_url in ('view', 'signup') group by all) t
+  join website_pageviews v on v.website_pageview_id = t.id
+), bounced as (
+  select r.website_session_id, r.land
+  from land_rows r join tv on tv.website_session_id = r.website_session_id
+  group by all having count(tv.website_pageview_id) = 1
 )
-SELECT MIN(CAST(landings.created_at AS DATE)) AS week_start_date,
-  {div("COUNT(bounced.website_session_id)", "COUNT(landings.website_session_id)")} AS bounce_rate,
-  COUNT(DISTINCT CASE WHEN landings.land = 'view' THEN bounced.website_session_id END) AS home_sessions,
-  COUNT(DISTINCT CASE WHEN landings.land = 'signup' THEN bounced.website_session_id END) AS lander_sessions
-FROM landings LEFT JOIN bounced ON bounced.website_session_id = landings.website_session_id
-GROUP BY {_WEEK}""")
+select min(cast(r.created_at as date)) as week_start_date,
+  {div('count(b.website_session_id)', 'count(r.website_session_id)')} as bounce_rate,
+  count(distinct b.website_session_id) filter (where r.land = 'view') as home_sessions,
+  count(distinct b.website_session_id) filter (where r.land = 'signup') as lander_sessions
+from land_rows r left join bounced b on b.website_session_id = r.website_session_id
+group by {SUNDAY.format(c='r.created_at')}""")
 
-SQL["qualifying_pageviews"] = click(f"""{QUAL}
-SELECT * FROM test_views""")
+SQL["qualifying_pageviews"] = click(f"""{TV}
+select website_pageview_id, created_at, website_session_id, pageview_url from tv""")
 
 
 # --- tests and funnels -------------------------------------------------------
 
-_FIRST_TEST = """post_start_first_view AS (
-  SELECT website_pageviews.website_session_id, MIN(website_pageviews.website_pageview_id) AS first_id_after
-  FROM website_pageviews
-  INNER JOIN website_sessions
-    ON website_sessions.website_session_id = website_pageviews.website_session_id
-    AND website_sessions.created_at < TIMESTAMP '2024-01-28'
-    AND website_pageviews.website_pageview_id >= (SELECT MIN(website_pageview_id) FROM website_pageviews
-                                                  WHERE pageview_url = 'signup')
-    AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
-  GROUP BY website_pageviews.website_session_id
-), test_landings AS (
-  SELECT post_start_first_view.website_session_id, website_pageviews.pageview_url AS landing_page
-  FROM post_start_first_view
-  LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = post_start_first_view.first_id_after
-  WHERE website_pageviews.pageview_url IN ('view', 'signup')
-), test_landing_orders AS (
-  SELECT l.website_session_id, l.landing_page, web_orders.order_id AS order_id
-  FROM test_landings l
-  LEFT JOIN web_orders ON web_orders.website_session_id = l.website_session_id
-), conv AS (
-  SELECT landing_page, COUNT(DISTINCT website_session_id) AS sessions,
-         COUNT(DISTINCT order_id) AS orders,
-         CAST(COUNT(DISTINCT order_id) AS DOUBLE) / nullif(COUNT(DISTINCT website_session_id), 0) AS conv_rate
-  FROM test_landing_orders GROUP BY 1
+TEST_CONV = f"""entry as (
+  select v.website_session_id, arg_min(v.pageview_url, v.website_pageview_id) as landing_page
+  from website_pageviews v join website_sessions s on s.website_session_id = v.website_session_id
+  where s.created_at < {ts('2024-01-28')} and s.utm_source = 'gsearch' and s.utm_campaign = 'nonbrand'
+    and v.website_pageview_id >= (select min(website_pageview_id) from website_pageviews
+                                  where pageview_url = 'signup')
+  group by v.website_session_id
+), conv as (
+  select e.landing_page, count(distinct e.website_session_id) as sessions,
+         count(distinct o.order_id) as orders,
+         {div('count(distinct o.order_id)', 'count(distinct e.website_session_id)')} as conv_rate
+  from entry e left join web_orders o on o.website_session_id = e.website_session_id
+  where e.landing_page in ('view', 'signup')
+  group by e.landing_page
 )"""
 
-SQL["conversion_by_landing"] = click(f"""{_FIRST_TEST}
-SELECT * FROM conv""")
-
-SQL["landing_test_lift"] = click(f"""{_FIRST_TEST}, one AS (
-  SELECT MAX(CASE WHEN landing_page = 'view' THEN conv_rate END) AS control_conv_rate,
-         MAX(CASE WHEN landing_page = 'signup' THEN conv_rate END) AS test_conv_rate
-  FROM conv
-), last_ctl AS ({_LAST}
-), since AS (
-  SELECT COUNT(website_session_id) AS sessions_since_test FROM website_sessions
-  WHERE created_at < TIMESTAMP '{CUT}' AND website_session_id > (SELECT last_session_id FROM last_ctl)
-    AND utm_source = 'gsearch' AND utm_campaign = 'nonbrand'
+SQL["conversion_by_landing"] = click(f"""{TEST_CONV}
+select landing_page, sessions, orders, conv_rate from conv""")
+
+SQL["landing_test_lift"] = click(f"""{TEST_CONV},
+rates as (
+  select max(conv_rate) filter (where landing_page = 'view') as control_conv_rate,
+         max(conv_rate) filter (where landing_page = 'signup') as test_conv_rate
+  from conv
+), last_control as ({LAST_VIEW}
+), since as (
+  select count(*) as n from website_sessions
+  where utm_source = 'gsearch' and utm_campaign = 'nonbrand' and created_at < {ts(CUT)}
+    and website_session_id > (select last_session_id from last_control)
 )
-SELECT control_conv_rate, test_conv_rate, test_conv_rate - control_conv_rate AS lift,
-       (SELECT last_session_id FROM last_ctl) AS last_control_session_id,
-       (SELECT sessions_since_test FROM since) AS sessions_since_test,
-       (test_conv_rate - control_conv_rate) * (SELECT sessions_since_test FROM since) AS extra_orders
-FROM one""")
+select control_conv_rate, test_conv_rate, test_conv_rate - control_conv_rate as lift,
+       (select last_session_id from last_control) as last_control_session_id,
+       (select n from since) as sessions_since_test,
+       (test_conv_rate - control_conv_rate) * (select n from since) as extra_orders
+from rates""")
+
+STEPS = ["view", "click", "signup", "purchase"]
 
 
-def _flags_sql(lo, hi, segments=True):
+def flags(lo: str, hi: str, segments: bool = True) -> str:
     cols = [("saw_view", "view"), ("saw_signup", "signup")] if segments else []
-    cols += [(f"{s}_made_it", s) for s in ["view", "click", "signup", "purchase"]]
-    inner = ",\n    ".join(f"CASE WHEN pageview_url = '{u}' THEN 1 ELSE 0 END AS {c}_page" for c, u in cols)
-    outer = ", ".join(f"CAST(MAX({c}_page) AS INTEGER) AS {c}" for c, _ in cols)
-    return f"""session_steps AS (
-  SELECT website_session_id, {outer}
-  FROM (
-    SELECT website_sessions.website_session_id, website_pageviews.pageview_url,
-    {inner}
-    FROM website_sessions
-    LEFT JOIN website_pageviews ON website_sessions.website_session_id = website_pageviews.website_session_id
-    WHERE website_sessions.utm_source = 'gsearch' AND website_sessions.utm_campaign = 'nonbrand'
-      AND website_sessions.created_at < TIMESTAMP '{hi}' AND website_sessions.created_at > TIMESTAMP '{lo}'
-  ) AS view_steps
-  GROUP BY website_session_id
+    cols += [(f"{p}_made_it", p) for p in STEPS]
+    sel = ", ".join(f"cast(coalesce(max(case when v.pageview_url = '{u}' then 1 else 0 end), 0) as integer) as {c}"
+                    for c, u in cols)
+    return f"""fl as (
+  select s.website_session_id, {sel}
+  from website_sessions s left join website_pageviews v on v.website_session_id = s.website_session_id
+  where s.utm_source = 'gsearch' and s.utm_campaign = 'nonbrand'
+    and s.created_at > {ts(lo)} and s.created_at < {ts(hi)}
+  group by s.website_session_id
 )"""
 
 
-SQL["funnel_flags"] = click(f"""{_flags_sql('2024-01-05', '2024-01-28')}
-SELECT * FROM session_steps""")
+SQL["funnel_flags"] = click(f"""{flags('2024-01-05', '2024-01-28')}
+select * from fl""")
+
+SQL["funnel_counts"] = click(f"""{flags('2024-01-05', '2024-01-25', False)}
+select count(*) as sessions,
+  {", ".join(f"count(*) filter (where {p}_made_it = 1) as to_{p}" for p in STEPS)}
+from fl""")
 
-SQL["funnel_counts"] = click(f"""{_flags_sql('2024-01-05', '2024-01-25', False)}
-SELECT COUNT(DISTINCT website_session_id) AS sessions,
-  {", ".join(f"COUNT(DISTINCT CASE WHEN {s}_made_it = 1 THEN website_session_id END) AS to_{s}"
-             for s in ["view", "click", "signup", "purchase"])}
-FROM session_steps""")
+SEGMENT = ("case when saw_view = 1 then 'saw_view' when saw_signup = 1 then 'saw_signup' "
+           "else '{other}' end")
 
-_SEG = """CASE WHEN saw_view = 1 THEN 'saw_view' WHEN saw_signup = 1 THEN 'saw_signup' ELSE '{other}' END"""
-SQL["funnel_counts_by_segment"] = click(f"""{_flags_sql('2024-01-05', '2024-01-28')}
-SELECT {_SEG.format(other='something wrong')} AS segment,
-  COUNT(DISTINCT website_session_id) AS sessions,
-  {", ".join(f"COUNT(DISTINCT CASE WHEN {s}_made_it = 1 THEN website_session_id END) AS to_{s}"
-             for s in ["click", "signup", "purchase"])}
-FROM session_steps GROUP BY 1""")
+SQL["funnel_counts_by_segment"] = click(f"""{flags('2024-01-05', '2024-01-28')}
+select {SEGMENT.format(other='something wrong')} as segment, count(*) as sessions,
+  {", ".join(f"count(*) filter (where {p}_made_it = 1) as to_{p}" for p in STEPS[1:])}
+from fl group by 1""")
 
 
-def _cd(s):
-    return f"COUNT(DISTINCT CASE WHEN {s}_made_it = 1 THEN website_session_id END)"
+def _n(p):
+    return f"count(*) filter (where {p}_made_it = 1)"
 
 
-SQL["funnel_rates"] = click(f"""{_flags_sql('2024-01-05', '2024-01-28')}
-SELECT {_SEG.format(other='uh oh... check logic')} AS segment,
-  {div(_cd('click'), 'COUNT(DISTINCT website_session_id)')} AS lander_click_rt,
-  {div(_cd('signup'), _cd('click'))} AS click_click_rt,
-  {div(_cd('purchase'), _cd('signup'))} AS signup_click_rt
-FROM session_steps GROUP BY 1""")
+SQL["funnel_rates"] = click(f"""{flags('2024-01-05', '2024-01-28')}
+select {SEGMENT.format(other='uh oh... check logic')} as segment,
+  {div(_n('click'), 'count(*)')} as lander_click_rt,
+  {div(_n('signup'), _n('click'))} as click_click_rt,
+  {div(_n('purchase'), _n('signup'))} as signup_click_rt
+from fl group by 1""")
 
 SQL["page_version_conversion"] = click(f"""
-SELECT pageview_url, COUNT(DISTINCT website_session_id) AS sessions,
-  COUNT(DISTINCT order_id) AS orders,
-  {div("COUNT(DISTINCT order_id)", "COUNT(DISTINCT website_session_id)")} AS billing_to_order_rt
-FROM (
-  SELECT website_pageviews.pageview_url, website_pageviews.website_session_id, web_orders.order_id
-  FROM website_pageviews
-  LEFT JOIN web_orders ON website_pageviews.website_session_id = web_orders.website_session_id
-  WHERE website_pageviews.created_at < TIMESTAMP '2024-01-25'
-    AND website_pageview_id >= (SELECT website_pageview_id FROM website_pageviews WHERE pageview_url = 'signup'
-                                ORDER BY created_at, website_pageview_id LIMIT 1)
-    AND website_pageviews.pageview_url IN ('click', 'signup')
-) AS version_views_orders
-GROUP BY pageview_url""")
-
-_REV = """
-SELECT billing_version_seen, COUNT(DISTINCT website_session_id) AS sessions,
-  CAST(SUM(price_usd) AS DOUBLE) / nullif(COUNT(DISTINCT website_session_id), 0) AS revenue_per_billing_page_seen
-FROM (
-  SELECT website_pageviews.website_session_id, website_pageviews.pageview_url AS billing_version_seen,
-         web_orders.order_id, web_orders.price_usd
-  FROM website_pageviews
-  LEFT JOIN web_orders ON web_orders.website_session_id = website_pageviews.website_session_id
-  WHERE website_pageviews.created_at > TIMESTAMP '2024-01-05'
-    AND website_pageviews.created_at < TIMESTAMP '2024-01-25'
-    AND website_pageviews.pageview_url IN ('click', 'signup')
-) AS version_view_revenue
-GROUP BY 1"""
-SQL["page_version_revenue"] = click(_REV)
-
-SQL["page_test_value"] = click(f"""rev AS ({_REV}
-), one AS (
-  SELECT MAX(CASE WHEN billing_version_seen = 'click' THEN revenue_per_billing_page_seen END) AS old_rev_per_session,
-         MAX(CASE WHEN billing_version_seen = 'signup' THEN revenue_per_billing_page_seen END) AS new_rev_per_session
-  FROM rev
-), vol AS (
-  SELECT COUNT(website_session_id) AS billing_pageviews,
-         COUNT(DISTINCT website_session_id) AS billing_sessions
-  FROM website_pageviews
-  WHERE website_pageviews.pageview_url IN ('click', 'signup')
-    AND created_at BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-27'
+start_id as (
+  select arg_min(website_pageview_id, (created_at, website_pageview_id)) as id
+  from website_pageviews where pageview_url = 'signup'
 )
-SELECT old_rev_per_session, new_rev_per_session, new_rev_per_session - old_rev_per_session AS lift,
+select v.pageview_url, count(distinct v.website_session_id) as sessions,
+       count(distinct o.order_id) as orders,
+       {div('count(distinct o.order_id)', 'count(distinct v.website_session_id)')} as billing_to_order_rt
+from website_pageviews v left join web_orders o on o.website_session_id = v.website_session_id
+where v.created_at < {ts('2024-01-25')} and v.pageview_url in ('click', 'signup')
+  and v.website_pageview_id >= (select id from start_id)
+group by v.pageview_url""")
+
+VERSION_REVENUE = f"""
+select v.pageview_url as billing_version_seen, count(distinct v.website_session_id) as sessions,
+       {div('sum(o.price_usd)', 'count(distinct v.website_session_id)')} as revenue_per_billing_page_seen
+from website_pageviews v left join web_orders o on o.website_session_id = v.website_session_id
+where v.created_at > {ts('2024-01-05')} and v.created_at < {ts('2024-01-25')}
+  and v.pageview_url in ('click', 'signup')
+group by 1"""
+SQL["page_version_revenue"] = click(VERSION_REVENUE)
+
+SQL["page_test_value"] = click(f"""rev as ({VERSION_REVENUE}
+), versions as (
+  select max(revenue_per_billing_page_seen) filter (where billing_version_seen = 'click') as old_rev_per_session,
+         max(revenue_per_billing_page_seen) filter (where billing_version_seen = 'signup') as new_rev_per_session
+  from rev
+), volume as (
+  select count(website_session_id) as billing_pageviews, count(distinct website_session_id) as billing_sessions
+  from website_pageviews
+  where pageview_url in ('click', 'signup') and created_at between {ts('2024-01-20')} and {ts('2024-01-27')}
+)
+select old_rev_per_session, new_rev_per_session, new_rev_per_session - old_rev_per_session as lift,
        billing_pageviews, billing_sessions,
-       (new_rev_per_session - old_rev_per_session) * billing_pageviews AS test_value
-FROM one, vol""")
+       (new_rev_per_session - old_rev_per_session) * billing_pageviews as test_value
+from versions, volume""")
 
 SQL["sessions_detail"] = click(f"""
-SELECT * FROM website_pageviews WHERE website_session_id > ({_LAST})""")
+select * from website_pageviews where website_session_id > ({LAST_VIEW})""")
 
 
 # --- products ----------------------------------------------------------------
 
 PTYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
-SQL["sales_trend"] = commerce("""
-SELECT CAST(year(created_at) AS INTEGER) AS yr, CAST(month(created_at) AS INTEGER) AS mo,
-       COUNT(DISTINCT order_id) AS number_of_sales, CAST(SUM(price_usd) AS DOUBLE) AS total_revenue,
-       CAST(SUM(price_usd - cogs_usd) AS DOUBLE) AS total_margin
-FROM shop_orders WHERE created_at < TIMESTAMP '2001-01-04'
-GROUP BY 1, 2""")
 
-SQL["sales_trend_quarterly"] = commerce("""
-SELECT CAST(year(created_at) AS INTEGER) AS yr, CAST(quarter(created_at) AS INTEGER) AS qtr,
-       COUNT(DISTINCT order_id) AS number_of_sales, CAST(SUM(price_usd) AS DOUBLE) AS total_revenue,
-       CAST(SUM(price_usd - cogs_usd) AS DOUBLE) AS total_margin
-FROM shop_orders GROUP BY 1, 2""")
+def _sales(grain: str, where: str = "") -> str:
+    return commerce(f"""
+select {bucket('created_at', grain)}, count(distinct order_id) as number_of_sales,
+       cast(sum(price_usd) as double) as total_revenue,
+       cast(sum(price_usd - cogs_usd) as double) as total_margin
+from shop_orders {where}
+group by all""")
+
 
+SQL["sales_trend"] = _sales("month", f"where created_at < {ts('2001-01-04')}")
+SQL["sales_trend_quarterly"] = _sales("quarter")
 
-def _launch_sql(numerator):
-    b, g = yq("website_sessions.created_at", "week")
+
+def _launch(per_session_money: str) -> str:
+    # the denominator counts rows of the session-order join, as the original does
     return click(f"""
-SELECT {b}, COUNT(DISTINCT order_id) AS orders,
-  {div("COUNT(DISTINCT order_id)", "COUNT(website_sessions.website_session_id)")} AS conv_rate,
-  {div(numerator, "COUNT(website_sessions.website_session_id)")} AS revenue_per_session,
-  COUNT(DISTINCT CASE WHEN primary_product_id = 1 THEN order_id END) AS product_1_orders,
-  COUNT(DISTINCT CASE WHEN primary_product_id = 2 THEN order_id END) AS product_2_orders
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-WHERE website_sessions.created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-29'
-GROUP BY {g}""")
+select {bucket('s.created_at', 'week')}, count(distinct o.order_id) as orders,
+       {div('count(distinct o.order_id)', 'count(s.website_session_id)')} as conv_rate,
+       {div(per_session_money, 'count(s.website_session_id)')} as revenue_per_session,
+       count(distinct o.order_id) filter (where o.primary_product_id = 1) as product_1_orders,
+       count(distinct o.order_id) filter (where o.primary_product_id = 2) as product_2_orders
+from {SO}
+where s.created_at between {ts('2024-01-02')} and {ts('2024-01-29')}
+group by all""")
 
 
-SQL["launch_trend"] = _launch_sql("SUM(price_usd)")
-SQL["launch_trend_legacy"] = _launch_sql("COUNT(price_usd)")
+SQL["launch_trend"] = _launch("sum(o.price_usd)")
+SQL["launch_trend_legacy"] = _launch("count(o.price_usd)")
 
 SQL["product_revenue_trend"] = commerce(f"""
-SELECT CAST(year(created_at) AS INTEGER) AS yr, CAST(month(created_at) AS INTEGER) AS mo,
-  {", ".join(f"CAST(SUM(CASE WHEN product_id = '{p}' THEN price_usd END) AS DOUBLE) AS {p.lower()}_rev, "
-             f"CAST(SUM(CASE WHEN product_id = '{p}' THEN price_usd - cogs_usd END) AS DOUBLE) AS {p.lower()}_marg"
+select {bucket('created_at', 'month')},
+  {", ".join(f"cast(sum(price_usd) filter (where product_id = '{p}') as double) as {p.lower()}_rev, "
+             f"cast(sum(price_usd - cogs_usd) filter (where product_id = '{p}') as double) as {p.lower()}_marg"
              for p in PTYPES)},
-  CAST(SUM(price_usd) AS DOUBLE) AS total_revenue,
-  CAST(SUM(price_usd - cogs_usd) AS DOUBLE) AS total_margin
-FROM shop_items GROUP BY 1, 2 ORDER BY 1, 2""")
-
-_PRODUCTS_PV = """anchor_views AS (
-  SELECT website_session_id, website_pageview_id, created_at,
-    CASE WHEN created_at < TIMESTAMP '2024-01-16' THEN 'pre_product_2'
-         WHEN created_at >= TIMESTAMP '2024-01-16' THEN 'post_product_2'
-         ELSE 'check again' END AS time_period
-  FROM website_pageviews
-  WHERE pageview_url = 'view' AND created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-27'
-), next_view_ids AS (
-  SELECT time_period, anchor_views.website_session_id,
-         MIN(website_pageviews.website_pageview_id) AS min_next_pageview_id
-  FROM anchor_views
-  LEFT JOIN website_pageviews
-    ON anchor_views.website_session_id = website_pageviews.website_session_id
-    AND website_pageviews.website_pageview_id > anchor_views.website_pageview_id
-  GROUP BY 1, 2
-), next_views AS (
-  SELECT time_period, s.website_session_id, s.min_next_pageview_id, website_pageviews.pageview_url
-  FROM next_view_ids s
-  LEFT JOIN website_pageviews ON website_pageviews.website_pageview_id = s.min_next_pageview_id
+  cast(sum(price_usd) as double) as total_revenue,
+  cast(sum(price_usd - cogs_usd) as double) as total_margin
+from shop_items
+group by all
+order by yr, mo""")
+
+ANCHORS = f"""anchors as (
+  select website_session_id, website_pageview_id, created_at,
+         case when created_at < {ts('2024-01-16')} then 'pre_product_2'
+              when created_at >= {ts('2024-01-16')} then 'post_product_2'
+              else 'check again' end as time_period
+  from website_pageviews
+  where pageview_url = 'view' and created_at between {ts('2024-01-06')} and {ts('2024-01-27')}
+), nxt as (
+  select a.time_period, a.website_session_id, min(v.website_pageview_id) as next_id
+  from anchors a
+  left join website_pageviews v
+    on v.website_session_id = a.website_session_id and v.website_pageview_id > a.website_pageview_id
+  group by all
+), nxt_url as (
+  select n.time_period, n.website_session_id, n.next_id as min_next_pageview_id, v.pageview_url
+  from nxt n left join website_pageviews v on v.website_pageview_id = n.next_id
 )"""
 
-SQL["period_tag"] = click(f"""{_PRODUCTS_PV}
-SELECT website_session_id, website_pageview_id, created_at, time_period FROM anchor_views""")
+SQL["period_tag"] = click(f"""{ANCHORS}
+select website_session_id, website_pageview_id, created_at, time_period from anchors""")
 
-SQL["next_pageview"] = click(f"""{_PRODUCTS_PV}
-SELECT * FROM next_views""")
+SQL["next_pageview"] = click(f"""{ANCHORS}
+select time_period, website_session_id, min_next_pageview_id, pageview_url from nxt_url""")
 
 
-def _cdp(cond):
-    return f"COUNT(DISTINCT CASE WHEN {cond} THEN website_session_id END)"
+def _share(cond: str) -> str:
+    return div(f"count(*) filter (where {cond})", "count(*)")
 
 
-SQL["pathing_summary"] = click(f"""{_PRODUCTS_PV}
-SELECT time_period, COUNT(DISTINCT website_session_id) AS sessions,
-  {_cdp('min_next_pageview_id IS NOT NULL')} AS w_next_pg,
-  {div(_cdp('min_next_pageview_id IS NOT NULL'), 'COUNT(DISTINCT website_session_id)')} AS pct_w_next_pg,
-  {_cdp("pageview_url = 'click'")} AS to_click,
-  {div(_cdp("pageview_url = 'click'"), 'COUNT(DISTINCT website_session_id)')} AS pct_to_click,
-  {_cdp("pageview_url = 'signup'")} AS to_signup,
-  {div(_cdp("pageview_url = 'signup'"), 'COUNT(DISTINCT website_session_id)')} AS pct_to_signup
-FROM next_views GROUP BY 1""")
+SQL["pathing_summary"] = click(f"""{ANCHORS}
+select time_period, count(*) as sessions,
+  count(*) filter (where min_next_pageview_id is not null) as w_next_pg,
+  {_share('min_next_pageview_id is not null')} as pct_w_next_pg,
+  count(*) filter (where pageview_url = 'click') as to_click, {_share("pageview_url = 'click'")} as pct_to_click,
+  count(*) filter (where pageview_url = 'signup') as to_signup, {_share("pageview_url = 'signup'")} as pct_to_signup
+from nxt_url group by time_period""")
 
-SQL["pages_after"] = click("""product_views AS (
-  SELECT website_session_id, website_pageview_id, pageview_url AS seen_page
-  FROM website_pageviews
-  WHERE created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-20'
-    AND pageview_url IN ('click', 'signup')
+SQL["pages_after"] = click(f"""
+product_views as (
+  select website_session_id, website_pageview_id from website_pageviews
+  where pageview_url in ('click', 'signup') and created_at between {ts('2024-01-06')} and {ts('2024-01-20')}
 )
-SELECT DISTINCT pageview_url FROM product_views
-LEFT JOIN website_pageviews
-  ON product_views.website_session_id = website_pageviews.website_session_id
-  AND website_pageviews.website_pageview_id > product_views.website_pageview_id""")
-
-_PFUNNEL = """step_marks AS (
-  SELECT website_session_id,
-    CASE WHEN pageview_url = 'view' THEN 1 ELSE NULL END AS to_view,
-    CASE WHEN pageview_url = 'purchase' THEN 1 ELSE NULL END AS to_purchase
-  FROM website_pageviews
-  WHERE created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-20'
-), session_marks AS (
-  SELECT website_session_id, MAX(to_view) AS to_view, MAX(to_purchase) AS to_purchase
-  FROM step_marks GROUP BY 1
-), product_rows AS (
-  SELECT CASE WHEN pageview_url = 'click' THEN 'click' WHEN pageview_url = 'signup' THEN 'signup'
-              ELSE NULL END AS product_seen,
-         session_marks.website_session_id, to_view, to_purchase
-  FROM session_marks
-  LEFT JOIN website_pageviews ON website_pageviews.website_session_id = session_marks.website_session_id
-  WHERE pageview_url IN ('click', 'signup')
+select distinct v.pageview_url
+from product_views p
+left join website_pageviews v
+  on v.website_session_id = p.website_session_id and v.website_pageview_id > p.website_pageview_id""")
+
+PFUNNEL = f"""marks as (
+  select website_session_id,
+         max(case when pageview_url = 'view' then 1 end) as m_view,
+         max(case when pageview_url = 'purchase' then 1 end) as m_purchase
+  from website_pageviews
+  where created_at between {ts('2024-01-06')} and {ts('2024-01-20')}
+  group by website_session_id
+), product_rows as (
+  select v.pageview_url as product_seen, m.website_session_id, m.m_view, m.m_purchase
+  from marks m join website_pageviews v on v.website_session_id = m.website_session_id
+  where v.pageview_url in ('click', 'signup')
 )"""
 
-SQL["product_funnel_counts"] = click(f"""{_PFUNNEL}
-SELECT product_seen, COUNT(DISTINCT website_session_id) AS sessions,
-       COUNT(to_view) AS to_view, COUNT(to_purchase) AS to_purchase
-FROM product_rows GROUP BY 1""")
+SQL["product_funnel_counts"] = click(f"""{PFUNNEL}
+select product_seen, count(distinct website_session_id) as sessions,
+       count(m_view) as to_view, count(m_purchase) as to_purchase
+from product_rows group by product_seen""")
 
-SQL["product_funnel_rates"] = click(f"""{_PFUNNEL}
-SELECT product_seen, COUNT(DISTINCT website_session_id) AS sessions,
-  {div("COUNT(to_view)", "COUNT(DISTINCT website_session_id)")} AS product_page_click_rt,
-  {div("COUNT(to_purchase)", "COUNT(to_view)")} AS view_click_rt
-FROM product_rows GROUP BY 1""")
+SQL["product_funnel_rates"] = click(f"""{PFUNNEL}
+select product_seen, count(distinct website_session_id) as sessions,
+       {div('count(m_view)', 'count(distinct website_session_id)')} as product_page_click_rt,
+       {div('count(m_purchase)', 'count(m_view)')} as view_click_rt
+from product_rows group by product_seen""")
 
-_sp = "COUNT(DISTINCT listing_views.website_session_id)"
-SQL["listing_page_trend"] = click(f"""listing_views AS (
-  SELECT website_pageview_id, website_session_id, created_at FROM website_pageviews WHERE pageview_url = 'view'
+SQL["listing_page_trend"] = click(f"""
+listing as (
+  select website_pageview_id, website_session_id, created_at from website_pageviews where pageview_url = 'view'
 )
-SELECT CAST(listing_views.created_at AS DATE) - CAST(dayofweek(listing_views.created_at) AS INTEGER) AS wk_start,
-  {_sp} AS sessions_to_product,
-  {div("COUNT(DISTINCT website_pageviews.website_session_id)", _sp)} AS click_thro_rate,
-  {div("COUNT(DISTINCT web_orders.order_id)", _sp)} AS conversion_rate
-FROM listing_views
-LEFT JOIN website_pageviews
-  ON website_pageviews.website_session_id = listing_views.website_session_id
-  AND website_pageviews.website_pageview_id > listing_views.website_pageview_id
-LEFT JOIN web_orders ON web_orders.website_session_id = listing_views.website_session_id
-GROUP BY 1""")
-
-_CART = """cart_views AS (
-  SELECT CASE WHEN created_at < TIMESTAMP '2024-01-16' THEN 'A.pre_cross_sell'
-              WHEN created_at > TIMESTAMP '2024-01-16' THEN 'B.post_cross_sell'
-              ELSE 'WRONG' END AS time_period,
-         website_pageview_id, website_session_id
-  FROM website_pageviews
-  WHERE created_at BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-26' AND pageview_url = 'click'
-), cart_next AS (
-  SELECT cart_views.time_period, cart_views.website_session_id,
-         MIN(website_pageviews.website_pageview_id) AS after_cart_pageview_id
-  FROM cart_views
-  LEFT JOIN website_pageviews
-    ON website_pageviews.website_session_id = cart_views.website_session_id
-    AND website_pageviews.website_pageview_id > cart_views.website_pageview_id
-  GROUP BY cart_views.time_period, cart_views.website_session_id
-  HAVING MIN(website_pageviews.website_pageview_id) IS NOT NULL
-), cart_next_orders AS (
-  SELECT time_period, cart_next.website_session_id, after_cart_pageview_id, order_id,
-         items_purchased, price_usd
-  FROM cart_next
-  LEFT JOIN web_orders ON web_orders.website_session_id = cart_next.website_session_id
+select {bucket('l.created_at', 'week')},
+       count(distinct l.website_session_id) as sessions_to_product,
+       {div('count(distinct v.website_session_id)', 'count(distinct l.website_session_id)')} as click_thro_rate,
+       {div('count(distinct o.order_id)', 'count(distinct l.website_session_id)')} as conversion_rate
+from listing l
+left join website_pageviews v
+  on v.website_session_id = l.website_session_id and v.website_pageview_id > l.website_pageview_id
+left join web_orders o on o.website_session_id = l.website_session_id
+group by all""")
+
+CART = f"""carts as (
+  select website_pageview_id, website_session_id,
+         case when created_at < {ts('2024-01-16')} then 'A.pre_cross_sell'
+              when created_at > {ts('2024-01-16')} then 'B.post_cross_sell'
+              else 'WRONG' end as time_period
+  from website_pageviews
+  where pageview_url = 'click' and created_at between {ts('2024-01-06')} and {ts('2024-01-26')}
+), after_cart as (
+  select c.time_period, c.website_session_id, min(v.website_pageview_id) as after_cart_pageview_id
+  from carts c
+  join website_pageviews v
+    on v.website_session_id = c.website_session_id and v.website_pageview_id > c.website_pageview_id
+  group by all
 )"""
 
-SQL["clickthrough_after"] = click(f"""{_CART}
-SELECT * FROM cart_next""")
-
-SQL["cross_sell_period_summary_legacy"] = click(f"""{_CART}
-SELECT time_period, COUNT(DISTINCT website_session_id) AS sessions,
-  CAST(SUM(clicked_on) AS BIGINT) AS clickthroughs,
-  {div("SUM(clicked_on)", "COUNT(DISTINCT website_session_id)")} AS cart_ctr,
-  {div("SUM(items_purchased)", "SUM(ordered)")} AS products_per_order,
-  {div("SUM(price_usd)", "SUM(ordered)")} AS aov,
-  {div("SUM(price_usd)", "COUNT(DISTINCT website_session_id)")} AS rev_per_cart_session
-FROM (
-  SELECT cart_views.time_period, cart_views.website_session_id,
-    CASE WHEN cart_next.website_session_id IS NULL THEN 0 ELSE 1 END AS clicked_on,
-    CASE WHEN cart_next_orders.order_id IS NULL THEN 0 ELSE 1 END AS ordered,
-    cart_next_orders.items_purchased, cart_next_orders.price_usd
-  FROM cart_views
-  LEFT JOIN cart_next ON cart_next.website_session_id = cart_views.website_session_id
-  LEFT JOIN cart_next_orders ON cart_next_orders.website_session_id = cart_views.website_session_id
-) AS cart_rows
-GROUP BY 1""")
-
-# one row per (period, cart session); orders of sessions that clicked through
-SQL["cross_sell_period_summary"] = click(f"""{_CART}, per_session AS (
-  SELECT g.time_period, g.website_session_id,
-         MAX(CASE WHEN a.website_session_id IS NULL THEN 0 ELSE 1 END) AS clicked
-  FROM cart_views g
-  LEFT JOIN cart_next a
-    ON a.website_session_id = g.website_session_id AND a.time_period = g.time_period
-  GROUP BY 1, 2
-), o AS (
-  SELECT website_session_id, COUNT(order_id) AS n_orders, SUM(items_purchased) AS items,
-         SUM(price_usd) AS revenue
-  FROM web_orders GROUP BY 1
+SQL["clickthrough_after"] = click(f"""{CART}
+select time_period, website_session_id, after_cart_pageview_id from after_cart""")
+
+# the original's rows: every cart view x every click-through row of the session x
+# every (click-through row, order) pair of the session
+SQL["cross_sell_period_summary_legacy"] = click(f"""{CART},
+cart_orders as (
+  select a.website_session_id, o.order_id, o.items_purchased, o.price_usd
+  from after_cart a left join web_orders o on o.website_session_id = a.website_session_id
+), expanded as (
+  select c.time_period, c.website_session_id,
+         case when a.website_session_id is null then 0 else 1 end as clicked_on,
+         case when co.order_id is null then 0 else 1 end as ordered,
+         co.items_purchased, co.price_usd
+  from carts c
+  left join after_cart a on a.website_session_id = c.website_session_id
+  left join cart_orders co on co.website_session_id = c.website_session_id
+)
+select time_period, count(distinct website_session_id) as sessions,
+  cast(sum(clicked_on) as bigint) as clickthroughs,
+  {div('sum(clicked_on)', 'count(distinct website_session_id)')} as cart_ctr,
+  {div('sum(items_purchased)', 'sum(ordered)')} as products_per_order,
+  {div('sum(price_usd)', 'sum(ordered)')} as aov,
+  {div('sum(price_usd)', 'count(distinct website_session_id)')} as rev_per_cart_session
+from expanded group by time_period""")
+
+# one row per (period, cart session); orders of the sessions that clicked through
+SQL["cross_sell_period_summary"] = click(f"""{CART},
+per_session as (
+  select c.time_period, c.website_session_id, bool_or(a.website_session_id is not null) as clicked
+  from carts c
+  left join after_cart a on a.website_session_id = c.website_session_id and a.time_period = c.time_period
+  group by all
+), order_totals as (
+  select website_session_id, count(*) as n, sum(items_purchased) as items, sum(price_usd) as rev
+  from web_orders group by website_session_id
 )
-SELECT time_period, COUNT(*) AS sessions, CAST(SUM(clicked) AS BIGINT) AS clickthroughs,
-  {div("SUM(clicked)", "COUNT(*)")} AS cart_ctr,
-  {div("SUM(CASE WHEN clicked = 1 THEN items END)", "SUM(CASE WHEN clicked = 1 THEN n_orders ELSE 0 END)")} AS products_per_order,
-  {div("SUM(CASE WHEN clicked = 1 THEN revenue END)", "SUM(CASE WHEN clicked = 1 THEN n_orders ELSE 0 END)")} AS aov,
-  {div("SUM(CASE WHEN clicked = 1 THEN revenue END)", "COUNT(*)")} AS rev_per_cart_session
-FROM per_session LEFT JOIN o ON o.website_session_id = per_session.website_session_id
-GROUP BY 1""")
+select p.time_period, count(*) as sessions, count(*) filter (where clicked) as clickthroughs,
+  {div('count(*) filter (where clicked)', 'count(*)')} as cart_ctr,
+  {div('sum(t.items) filter (where clicked)', 'coalesce(sum(t.n) filter (where clicked), 0)')} as products_per_order,
+  {div('sum(t.rev) filter (where clicked)', 'coalesce(sum(t.n) filter (where clicked), 0)')} as aov,
+  {div('sum(t.rev) filter (where clicked)', 'count(*)')} as rev_per_cart_session
+from per_session p left join order_totals t on t.website_session_id = p.website_session_id
+group by p.time_period""")
 
 SQL["portfolio_period_summary"] = click(f"""
-SELECT CASE WHEN website_sessions.created_at < TIMESTAMP '2024-01-16' THEN 'A.Pre_Launch'
-            WHEN website_sessions.created_at >= TIMESTAMP '2024-01-16' THEN 'B.Post_Launch'
-            ELSE 'WRONG' END AS time_period,
-  {div("COUNT(DISTINCT order_id)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS conv_rate,
-  {div("SUM(price_usd)", "COUNT(DISTINCT order_id)")} AS aov,
-  {div("SUM(items_purchased)", "COUNT(DISTINCT order_id)")} AS products_per_order,
-  {div("SUM(price_usd)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS rev_per_session
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-WHERE website_sessions.created_at BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-29'
-GROUP BY 1""")
-
-_xs = ", ".join(f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN recent_orders.order_id END) AS cross_sell_{p.lower()}"
-                for p in PTYPES)
-_xr = ", ".join(div(f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN recent_orders.order_id END)",
-                    "COUNT(DISTINCT recent_orders.order_id)") + f" AS cross_sell_{p.lower()}_rt" for p in PTYPES)
-SQL["cross_sell_matrix"] = commerce(f"""recent_orders AS (
-  SELECT order_id, primary_product_id FROM shop_orders WHERE created_at > TIMESTAMP '1997-06-30'
-)
-SELECT primary_product_id, {_xs}, {_xr}
-FROM recent_orders
-LEFT JOIN shop_items ON shop_items.order_id = recent_orders.order_id AND is_primary_item = 0
-GROUP BY 1""")
+select case when s.created_at < {ts('2024-01-16')} then 'A.Pre_Launch'
+            when s.created_at >= {ts('2024-01-16')} then 'B.Post_Launch' else 'WRONG' end as time_period,
+  {div('count(distinct o.order_id)', 'count(distinct s.website_session_id)')} as conv_rate,
+  {div('sum(o.price_usd)', 'count(distinct o.order_id)')} as aov,
+  {div('sum(o.items_purchased)', 'count(distinct o.order_id)')} as products_per_order,
+  {div('sum(o.price_usd)', 'count(distinct s.website_session_id)')} as rev_per_session
+from {SO}
+where s.created_at between {ts('2024-01-02')} and {ts('2024-01-29')}
+group by 1""")
+
+SQL["cross_sell_matrix"] = commerce(f"""
+recent as (select order_id, primary_product_id from shop_orders where created_at > {ts('1997-06-30')})
+select r.primary_product_id,
+  {", ".join(f"count(distinct r.order_id) filter (where i.product_id = '{p}') as cross_sell_{p.lower()}"
+             for p in PTYPES)},
+  {", ".join(div(f"count(distinct r.order_id) filter (where i.product_id = '{p}')", "count(distinct r.order_id)")
+             + f" as cross_sell_{p.lower()}_rt" for p in PTYPES)}
+from recent r left join shop_items i on i.order_id = r.order_id and i.is_primary_item = 0
+group by r.primary_product_id""")
 
 
-def _refund_sql(legacy):
+def _refunds(legacy: bool) -> str:
     cols = []
-    for i, p in enumerate(PTYPES):
-        orders_of = f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN shop_items.order_id END)"
-        den_p = PTYPES[1] if legacy and i >= 2 else p
-        den = f"COUNT(DISTINCT CASE WHEN product_id = '{den_p}' THEN shop_items.order_id END)"
-        ref = f"COUNT(DISTINCT CASE WHEN product_id = '{p}' THEN shop_refunds.order_id END)"
-        cols.append(f"{orders_of} AS {p.lower()}_orders, {div(ref, den)} AS {p.lower()}_refund_rt")
+    for n, p in enumerate(PTYPES):
+        own = f"count(distinct i.order_id) filter (where i.product_id = '{p}')"
+        base = PTYPES[1] if legacy and n >= 2 else p
+        den = f"count(distinct i.order_id) filter (where i.product_id = '{base}')"
+        num = f"count(distinct r.order_id) filter (where i.product_id = '{p}')"
+        cols.append(f"{own} as {p.lower()}_orders, {div(num, den)} as {p.lower()}_refund_rt")
+    key = " and ".join(f"r.{c} = i.{c}" for c in
+                       ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
     return commerce(f"""
-SELECT CAST(year(shop_items.created_at) AS INTEGER) AS yr, CAST(month(shop_items.created_at) AS INTEGER) AS mo,
-  {", ".join(cols)}
-FROM shop_items
-LEFT JOIN shop_refunds
-  ON shop_refunds.l_orderkey = shop_items.l_orderkey AND shop_refunds.l_linenumber = shop_items.l_linenumber
-  AND shop_refunds.l_partkey = shop_items.l_partkey AND shop_refunds.l_suppkey = shop_items.l_suppkey
-  AND shop_refunds.l_quantity = shop_items.l_quantity AND shop_refunds.l_extendedprice = shop_items.l_extendedprice
-WHERE shop_items.created_at < TIMESTAMP '2001-01-01'
-GROUP BY 1, 2""")
+select {bucket('i.created_at', 'month')}, {", ".join(cols)}
+from shop_items i left join shop_refunds r on {key}
+where i.created_at < {ts('2001-01-01')}
+group by all""")
 
 
-SQL["refund_rate_trend"] = _refund_sql(False)
-SQL["refund_rate_trend_legacy"] = _refund_sql(True)
+SQL["refund_rate_trend"] = _refunds(False)
+SQL["refund_rate_trend_legacy"] = _refunds(True)
 
 
 # --- users -------------------------------------------------------------------
 
-_REPEATS = """
-SELECT first_visits.user_id, first_visits.website_session_id AS new_id,
-       website_sessions.website_session_id AS repeated_id
-FROM (
-  SELECT user_id, website_session_id FROM website_sessions
-  WHERE created_at < TIMESTAMP '2024-01-31' AND created_at >= TIMESTAMP '2024-01-01' AND is_repeat_session = 0
-) AS first_visits
-LEFT JOIN website_sessions
-  ON website_sessions.user_id = first_visits.user_id
-  AND website_sessions.is_repeat_session = 1
-  AND website_sessions.created_at < TIMESTAMP '2024-01-31' AND website_sessions.created_at >= TIMESTAMP '2024-01-01'
-  AND website_sessions.website_session_id > first_visits.website_session_id"""
-
-SQL["repeat_sessions"] = click(_REPEATS)
-
-SQL["repeat_histogram"] = click(f"""visit_pairs AS ({_REPEATS}
-)
-SELECT repeated_sessions, COUNT(new_id) AS users FROM (
-  SELECT new_id, COUNT(repeated_id) AS repeated_sessions FROM visit_pairs GROUP BY new_id
-) AS per_first_visit
-GROUP BY 1""")
-
-_FIRST_SECOND = """first_and_next AS (
-  SELECT first_visits.user_id, first_visits.website_session_id AS first_id,
-         MIN(website_sessions.website_session_id) AS second_id,
-         MIN(website_sessions.created_at) AS second_time,
-         first_visits.created_at AS first_time
-  FROM (
-    SELECT user_id, website_session_id, created_at FROM website_sessions
-    WHERE created_at < TIMESTAMP '2024-01-29' AND created_at >= TIMESTAMP '2024-01-01' AND is_repeat_session = 0
-  ) AS first_visits
-  LEFT JOIN website_sessions
-    ON website_sessions.user_id = first_visits.user_id
-    AND website_sessions.is_repeat_session = 1
-    AND website_sessions.created_at < TIMESTAMP '2024-01-29' AND website_sessions.created_at >= TIMESTAMP '2024-01-01'
-    AND website_sessions.website_session_id > first_visits.website_session_id
-  GROUP BY 1, 2, 5
+def _visits(hi: str) -> str:
+    """``firsts``: new sessions, ``repeats``: repeat sessions, both in [2024-01-01, hi)."""
+    period = f"created_at >= {ts('2024-01-01')} and created_at < {ts(hi)}"
+    return f"""firsts as (
+  select user_id, website_session_id as first_id, created_at as first_time from website_sessions
+  where is_repeat_session = 0 and {period}
+), repeats as (
+  select user_id, website_session_id as repeat_id, created_at as repeat_time from website_sessions
+  where is_repeat_session = 1 and {period}
+)"""
+
+
+PAIRS = f"""{_visits('2024-01-31')},
+pairs as (
+  select f.user_id, f.first_id as new_id, r.repeat_id as repeated_id
+  from firsts f left join repeats r on r.user_id = f.user_id and r.repeat_id > f.first_id
 )"""
 
-SQL["first_to_second"] = click(f"""{_FIRST_SECOND}
-SELECT * FROM first_and_next""")
-
-_dd = "date_diff('day', CAST(first_time AS DATE), CAST(second_time AS DATE))"
-SQL["time_to_repeat"] = click(f"""{_FIRST_SECOND}
-SELECT CAST(MIN({_dd}) AS INTEGER) AS min_days_first_to_second,
-       CAST(MAX({_dd}) AS INTEGER) AS max_days_first_to_second,
-       AVG({_dd}) AS avg_days_first_to_second
-FROM first_and_next WHERE second_id IS NOT NULL""")
-
-SQL["channel_new_vs_repeat"] = click("""
-SELECT CASE
-    WHEN utm_source IS NULL AND http_referer IN ('https://www.gsearch.com', 'https://www.bsearch.com') THEN 'organic_search'
-    WHEN utm_source IS NULL AND http_referer IS NULL THEN 'direct_type_in'
-    WHEN utm_campaign = 'brand' THEN 'paid_brand'
-    WHEN utm_campaign = 'nonbrand' THEN 'paid_nonbrand'
-    WHEN utm_source = 'socialbook' THEN 'paid_social'
-  END AS channel_group,
-  COUNT(CASE WHEN is_repeat_session = 0 THEN website_session_id END) AS new_sessions,
-  COUNT(CASE WHEN is_repeat_session = 1 THEN website_session_id END) AS repeat_sessions
-FROM website_sessions
-WHERE created_at < TIMESTAMP '2024-01-31' AND created_at >= TIMESTAMP '2024-01-01'
-GROUP BY 1""")
+SQL["repeat_sessions"] = click(f"""{PAIRS}
+select user_id, new_id, repeated_id from pairs""")
+
+SQL["repeat_histogram"] = click(f"""{PAIRS}
+select repeated_sessions, count(*) as users
+from (select new_id, count(repeated_id) as repeated_sessions from pairs group by new_id) per_new
+group by repeated_sessions""")
+
+NEXT_VISIT = f"""{_visits('2024-01-29')},
+next_visit as (
+  select f.user_id, f.first_id, min(r.repeat_id) as second_id, min(r.repeat_time) as second_time,
+         f.first_time
+  from firsts f left join repeats r on r.user_id = f.user_id and r.repeat_id > f.first_id
+  group by f.user_id, f.first_id, f.first_time
+)"""
+
+SQL["first_to_second"] = click(f"""{NEXT_VISIT}
+select user_id, first_id, second_id, second_time, first_time from next_visit""")
+
+DAYS = "date_diff('day', cast(first_time as date), cast(second_time as date))"
+SQL["time_to_repeat"] = click(f"""{NEXT_VISIT}
+select cast(min({DAYS}) as integer) as min_days_first_to_second,
+       cast(max({DAYS}) as integer) as max_days_first_to_second,
+       avg({DAYS}) as avg_days_first_to_second
+from next_visit where second_id is not null""")
+
+CHANNEL_GROUP = f"""case
+    when utm_source is null and http_referer in {SEARCH} then 'organic_search'
+    when utm_source is null and http_referer is null then 'direct_type_in'
+    when utm_campaign = 'brand' then 'paid_brand'
+    when utm_campaign = 'nonbrand' then 'paid_nonbrand'
+    when utm_source = 'socialbook' then 'paid_social'
+  end"""
+
+SQL["channel_new_vs_repeat"] = click(f"""
+select {CHANNEL_GROUP} as channel_group,
+       count(*) filter (where is_repeat_session = 0) as new_sessions,
+       count(*) filter (where is_repeat_session = 1) as repeat_sessions
+from website_sessions
+where created_at >= {ts('2024-01-01')} and created_at < {ts('2024-01-31')}
+group by 1""")
 
 SQL["new_vs_repeat_value"] = click(f"""
-SELECT is_repeat_session, COUNT(DISTINCT website_sessions.website_session_id) AS sessions,
-  {div("COUNT(DISTINCT web_orders.order_id)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS conv_rate,
-  {div("SUM(price_usd)", "COUNT(DISTINCT website_sessions.website_session_id)")} AS rev_per_session
-FROM website_sessions
-LEFT JOIN web_orders ON web_orders.website_session_id = website_sessions.website_session_id
-WHERE website_sessions.created_at < TIMESTAMP '2024-01-31' AND website_sessions.created_at >= TIMESTAMP '2024-01-01'
-GROUP BY 1""")
-
-_CHANNEL = """CASE
-    WHEN utm_source IS NULL AND http_referer IN ('https://www.gsearch.com', 'https://www.bsearch.com') THEN 'organic_search'
-    WHEN utm_source IS NULL AND http_referer IS NULL THEN 'direct_type_in'
-    WHEN utm_campaign = 'brand' THEN 'paid_brand'
-    WHEN utm_campaign = 'nonbrand' THEN 'paid_nonbrand'
-    WHEN utm_source = 'socialbook' THEN 'paid_social'
-  END"""
-# no query in the reference: the user-level value the README asks for
-_CUST = f"""per_user AS (
-  SELECT s.user_id,
-         arg_min({_CHANNEL}, s.website_session_id) AS first_channel,
-         COUNT(DISTINCT s.website_session_id) AS sessions,
-         COUNT(o.order_id) AS orders,
-         CAST(coalesce(SUM(o.price_usd), 0) AS DOUBLE) AS revenue
-  FROM website_sessions s LEFT JOIN web_orders o ON o.website_session_id = s.website_session_id
-  GROUP BY 1
+select s.is_repeat_session, count(distinct s.website_session_id) as sessions,
+       {div('count(distinct o.order_id)', 'count(distinct s.website_session_id)')} as conv_rate,
+       {div('sum(o.price_usd)', 'count(distinct s.website_session_id)')} as rev_per_session
+from {SO}
+where s.created_at >= {ts('2024-01-01')} and s.created_at < {ts('2024-01-31')}
+group by 1""")
+
+# no query of the original does this; the user value its summary asks for
+PER_USER = f"""per_user as (
+  select s.user_id, arg_min({CHANNEL_GROUP.replace('utm_', 's.utm_').replace('http_referer', 's.http_referer')},
+                            s.website_session_id) as first_channel,
+         count(distinct s.website_session_id) as sessions, count(o.order_id) as orders,
+         cast(coalesce(sum(o.price_usd), 0) as double) as revenue
+  from {SO}
+  group by s.user_id
 )"""
-SQL["customer_value"] = click(f"""{_CUST}
-SELECT * FROM per_user ORDER BY revenue DESC, user_id""")
 
-SQL["customer_value_by_channel"] = click(f"""{_CUST}
-SELECT first_channel, COUNT(user_id) AS users, COUNT(CASE WHEN orders > 0 THEN 1 END) AS buyers,
-       SUM(revenue) AS revenue, SUM(revenue) / nullif(COUNT(user_id), 0) AS rev_per_user
-FROM per_user GROUP BY 1""")
+SQL["customer_value"] = click(f"""{PER_USER}
+select user_id, first_channel, sessions, orders, revenue from per_user order by revenue desc, user_id""")
+
+SQL["customer_value_by_channel"] = click(f"""{PER_USER}
+select first_channel, count(*) as users, count(*) filter (where orders > 0) as buyers,
+       sum(revenue) as revenue, sum(revenue) / nullif(count(*), 0) as rev_per_user
+from per_user group by first_channel""")
