@@ -162,10 +162,11 @@ def page_test_value(pageviews: DataFrame, orders: DataFrame, versions: list[str]
     pick = F.col("revenue_per_billing_page_seen")
     one = rev.agg(F.max(F.when(F.col("billing_version_seen") == versions[0], pick)).alias("old_rev_per_session"),
                   F.max(F.when(F.col("billing_version_seen") == versions[1], pick)).alias("new_rev_per_session"))
-    vol = pageviews.filter(_url_is(versions) & F.col("created_at").between(at(volume_start), at(volume_end)))
+    vol = (pageviews.filter(_url_is(versions) & F.col("created_at").between(at(volume_start), at(volume_end)))
+           .agg(F.struct(F.count(SID).alias("views"), F.count_distinct(SID).alias("sessions"))).scalar())
     return (one.withColumn("lift", F.col("new_rev_per_session") - F.col("old_rev_per_session"))
-            .withColumn("billing_pageviews", vol.agg(F.count(SID)).scalar())
-            .withColumn("billing_sessions", vol.agg(F.count_distinct(SID)).scalar())
+            .withColumn("billing_pageviews", vol.getField("views"))
+            .withColumn("billing_sessions", vol.getField("sessions"))
             .withColumn("test_value", F.col("lift") * F.col("billing_pageviews")))
 
 

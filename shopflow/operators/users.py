@@ -2,12 +2,12 @@
 and repeat sessions.
 
 "Repeat sessions of the same user after this new session" is answered
-without pairing every new session with every later session of its user:
-session ids are cut into ranges (``id_bucket`` ids each); per (user, range)
-a small summary of repeat sessions is scanned in range order to give
-"everything in later ranges", and only sessions in the same range are
-compared pairwise. A user with a huge number of sessions is thus spread
-over many ranges and tasks, and the ordered scan runs on summaries.
+without pairing sessions: session ids are cut into ranges (``id_bucket``
+ids each); inside a (user, range) a running window in descending id order
+counts the later repeats, and a one-row-per-(user, range) summary scanned
+in range order adds everything in later ranges. A user with a huge number
+of sessions is thus spread over many ranges and tasks, and the ordered
+scan across ranges runs on the small summaries.
 """
 
 from __future__ import annotations
@@ -53,29 +53,38 @@ def later_repeats(sessions: DataFrame, lo, hi, id_bucket: int = 1 << 20) -> Data
     """Per new session in [lo, hi): ``repeats`` (later repeat sessions of the
     user in the period), ``second_id`` (smallest such id) and
     ``second_time`` (earliest such start, taken on its own), plus
-    ``user_id, new_id, first_time``."""
-    new, rep = new_and_repeat(sessions, lo, hi)
-    new = new.withColumn("b", F.floor(F.col("new_id") / id_bucket))
-    rep = rep.withColumn("b", F.floor(F.col("rid") / id_bucket))
-
-    # repeats in the same id range: compared one by one
-    same = (new.select("user_id", "b", "new_id")
-            .join(rep, ["user_id", "b"]).filter(F.col("rid") > F.col("new_id"))
-            .groupBy("new_id").agg(F.count("rid").alias("n_in"), F.min("rid").alias("id_in"),
-                                   F.min("rtime").alias("t_in")))
-    # repeats in later ranges: suffix totals over a per-(user, range) summary
-    summary = rep.groupBy("user_id", "b").agg(F.count("rid").alias("c"), F.min("rid").alias("mi"),
-                                              F.min("rtime").alias("mt"))
-    ranges = (new.select("user_id", "b").unionByName(summary.select("user_id", "b")).distinct()
-              .join(summary, ["user_id", "b"], "left"))
-    later = Window.partitionBy("user_id").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    suffix = ranges.select("user_id", "b", F.sum("c").over(later).alias("n_after"),
-                           F.min("mi").over(later).alias("id_after"),
-                           F.min("mt").over(later).alias("t_after"))
-    out = new.join(suffix, ["user_id", "b"], "left").join(same, "new_id", "left")
-    return out.select(
-        "user_id", "new_id", "first_time",
-        (F.coalesce("n_in", F.lit(0)) + F.coalesce("n_after", F.lit(0))).alias("repeats"),
+    ``user_id, new_id, first_time``.
+
+    No pairs are formed: inside each (user, id range) a running window in
+    descending id order gives the repeats after each session in the same
+    range; a one-row-per-(user, range) summary scanned in range order adds
+    the repeats of all later ranges.
+    """
+    s = (_period(sessions, lo, hi).filter(F.col("is_repeat_session").isin(0, 1))
+         .select("user_id", F.col(SID).alias("sid"), "created_at",
+                 (F.col("is_repeat_session") == 1).alias("is_rep"),
+                 F.floor(F.col(SID) / id_bucket).alias("b")))
+    rep_id = F.when(F.col("is_rep"), F.col("sid"))
+    rep_t = F.when(F.col("is_rep"), F.col("created_at"))
+
+    later_here = (Window.partitionBy("user_id", "b").orderBy(F.col("sid").desc())
+                  .rowsBetween(Window.unboundedPreceding, -1))
+    rows = s.select("user_id", "b", "sid", "created_at", "is_rep",
+                    F.count(rep_id).over(later_here).alias("n_in"),
+                    F.min(rep_id).over(later_here).alias("id_in"),
+                    F.min(rep_t).over(later_here).alias("t_in"))
+
+    later_ranges = (Window.partitionBy("user_id").orderBy(F.col("b").desc())
+                    .rowsBetween(Window.unboundedPreceding, -1))
+    suffix = (s.groupBy("user_id", "b").agg(F.count(rep_id).alias("c"), F.min(rep_id).alias("mi"),
+                                            F.min(rep_t).alias("mt"))
+              .select("user_id", "b", F.sum("c").over(later_ranges).alias("n_after"),
+                      F.min("mi").over(later_ranges).alias("id_after"),
+                      F.min("mt").over(later_ranges).alias("t_after")))
+    new = rows.filter(~F.col("is_rep")).join(suffix, ["user_id", "b"], "left")
+    return new.select(
+        "user_id", F.col("sid").alias("new_id"), F.col("created_at").alias("first_time"),
+        (F.col("n_in") + F.coalesce("n_after", F.lit(0))).alias("repeats"),
         F.least("id_in", "id_after").alias("second_id"),
         F.least("t_in", "t_after").alias("second_time"))
 

@@ -43,3 +43,46 @@ def pushed_filters(df: DataFrame) -> list[str]:
 def read_schemas(df: DataFrame) -> list[str]:
     """``ReadSchema`` of the plan's file scans (the columns actually read)."""
     return re.findall(r"ReadSchema: (struct<.*?>)", plan_text(df, "formatted"))
+
+
+def digest(df: DataFrame) -> dict:
+    """Counts of the operators that cost at scale in the physical plan:
+    shuffles, scans, joins by strategy, aggregates by kind, windows,
+    sorts and subqueries."""
+    text = plan_text(df, "formatted")
+    nodes = re.findall(r"^\(\d+\) ([A-Za-z]+(?: [A-Za-z]+)*)", text, flags=re.M)
+    count = lambda *names: sum(1 for n in nodes if any(n.startswith(x) for x in names))
+    joins = [n for n in nodes if "Join" in n]
+    return {
+        "shuffles": count("Exchange"),
+        "broadcasts": count("BroadcastExchange"),
+        "scans": count("Scan parquet"),
+        "joins": ", ".join(sorted(joins)) or "-",
+        "hash_aggregates": count("HashAggregate"),
+        "sort_aggregates": count("SortAggregate", "ObjectHashAggregate"),
+        "windows": count("Window"),
+        "subqueries": len(re.findall(r"^Subquery:\d+", text, flags=re.M)),
+    }
+
+
+def digest_table(spark, folder: str, names=None) -> str:
+    """Markdown table of :func:`digest` for registered queries."""
+    from shopflow.plans.registry import QUERIES
+    rows = ["| query | shuffles | scans | joins | hash agg | sort agg | windows | subqueries |",
+            "| --- | --- | --- | --- | --- | --- | --- | --- |"]
+    for name in sorted(names or QUERIES):
+        d = digest(QUERIES[name](spark, folder))
+        rows.append(f"| `{name}` | {d['shuffles'] - d['broadcasts']} | {d['scans']} | {d['joins']} | "
+                    f"{d['hash_aggregates']} | {d['sort_aggregates']} | {d['windows']} | {d['subqueries']} |")
+    return "\n".join(rows)
+
+
+if __name__ == "__main__":      # python -m shopflow.plans.checks [folder]
+    import sys
+    import tempfile
+
+    from shopflow.session import build_session
+    spark = build_session("local[4]", shuffle_partitions=8, extra={
+        "spark.sql.autoBroadcastJoinThreshold": "-1",        # the plan shape when no side is small
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="shopflow-digest-")})
+    print(digest_table(spark, sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"))
