@@ -12,6 +12,10 @@ older than the watermark are late and dropped by Spark). Events older than
 the watermark are final, so they are tagged in exact order, with numpy
 over each user's batch. The tagged stream then goes through the same
 projections as the batch fixtures.
+
+Run the queries with a ``checkpointLocation`` on shared storage (for
+example under ``spark.checkpoint.dir``): the per-user state and the stream
+offsets then survive lost executors and a restarted driver.
 """
 
 from __future__ import annotations
