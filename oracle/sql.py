@@ -786,15 +786,16 @@ PER_USER = f"""per_user as (
   select s.user_id, arg_min({CHANNEL_GROUP.replace('utm_', 's.utm_').replace('http_referer', 's.http_referer')},
                             s.website_session_id) as first_channel,
          count(distinct s.website_session_id) as sessions, count(o.order_id) as orders,
-         cast(coalesce(sum(o.price_usd), 0) as double) as revenue
+         coalesce(sum(o.price_usd), 0) as revenue
   from {SO}
   group by s.user_id
 )"""
 
 SQL["customer_value"] = click(f"""{PER_USER}
-select user_id, first_channel, sessions, orders, revenue from per_user order by revenue desc, user_id""")
+select user_id, first_channel, sessions, orders, cast(revenue as double) as revenue
+from per_user order by revenue desc, user_id""")
 
 SQL["customer_value_by_channel"] = click(f"""{PER_USER}
 select first_channel, count(*) as users, count(*) filter (where orders > 0) as buyers,
-       sum(revenue) as revenue, sum(revenue) / nullif(count(*), 0) as rev_per_user
+       cast(sum(revenue) as double) as revenue, {div('sum(revenue)', 'count(*)')} as rev_per_user
 from per_user group by first_channel""")

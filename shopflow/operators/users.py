@@ -132,21 +132,26 @@ def new_vs_repeat_value(facts: DataFrame, lo, hi) -> DataFrame:
 def customer_value(facts: DataFrame, where: Column | None = None, organic=SEARCH_REFERERS) -> DataFrame:
     """Per user: channel group of the first session, sessions, orders and
     revenue, most valuable first."""
+    return (_per_user(facts, where, organic)
+            .select("user_id", "first_channel", "sessions", "orders", F.col("revenue").cast("double"))
+            .orderBy(F.col("revenue").desc(), "user_id"))
+
+
+def _per_user(facts: DataFrame, where: Column | None, organic) -> DataFrame:
+    """Per user, revenue kept as an exact decimal (sums of it do not depend on order)."""
     f = facts if where is None else facts.filter(where)
     per = f.groupBy("user_id").agg(
         F.min(F.struct(SID, channel_group(organic).alias("ch"))).alias("first"),
         F.count(SID).alias("sessions"), F.sum("n_orders").alias("orders"),
-        F.coalesce(F.sum("revenue"), F.lit(0)).cast("double").alias("revenue"))
-    return (per.select("user_id", F.col("first.ch").alias("first_channel"), "sessions", "orders", "revenue")
-            .orderBy(F.col("revenue").desc(), "user_id"))
+        F.coalesce(F.sum("revenue"), F.lit(0)).alias("revenue"))
+    return per.select("user_id", F.col("first.ch").alias("first_channel"), "sessions", "orders", "revenue")
 
 
 def customer_value_by_channel(facts: DataFrame, where: Column | None = None,
                               organic=SEARCH_REFERERS) -> DataFrame:
     """Users, buying users, revenue and revenue per user by the channel group
     of the user's first session."""
-    per = customer_value(facts, where, organic)
-    agg = per.groupBy("first_channel").agg(
+    agg = _per_user(facts, where, organic).groupBy("first_channel").agg(
         F.count("user_id").alias("users"), F.count_if(F.col("orders") > 0).alias("buyers"),
-        F.sum("revenue").alias("revenue"))
+        F.sum("revenue").cast("double").alias("revenue"))
     return agg.withColumn("rev_per_user", ratio("revenue", "users"))

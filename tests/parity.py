@@ -27,15 +27,18 @@ def duck(folder: str):
     return con
 
 
+EXACT = False     # True: doubles must agree to the last bit
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.9g}")
+        return v if EXACT else float(f"{v:.9g}")
     if isinstance(v, decimal.Decimal):
-        return float(f"{float(v):.9g}")
+        return float(v) if EXACT else float(f"{float(v):.9g}")
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     if isinstance(v, dict):
@@ -85,9 +88,12 @@ def main(argv):
     from shopflow.session import build_session
     folder = "/root/testdata/sf0.01"
     names = [a for a in argv if not a.startswith("--")] or sorted(oracle_sql())
+    global EXACT
     for a in argv:
         if a.startswith("--sf="):
             folder = f"/root/testdata/sf{a[5:]}"
+        if a == "--exact":
+            EXACT = True
     spark = build_session("local[8]", shuffle_partitions=8)
     con = duck(folder)
     bad = 0
