@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import at
+from shopflow.functions.filters import where as apply_where, url_is
 from shopflow.functions.ratio import ratio
 from shopflow.operators.grain import orders_per_session
-from shopflow.operators.pages import (PVID, SID, _url_is, _where, first_pv_id, first_seen,
-                                      last_seen, session_pages, sessions_since)
+from shopflow.operators.pages import (PVID, SID, first_pv_id, first_seen, last_seen, session_pages,
+                                      sessions_since)
 
 
 def conversion_by_landing(facts: DataFrame, pageviews: DataFrame, landers: list[str],
@@ -34,7 +35,7 @@ def conversion_by_landing(facts: DataFrame, pageviews: DataFrame, landers: list[
     per = (session_pages(pageviews, F.col(PVID) >= marker)
            .filter(F.col("first").isNotNull())
            .select(SID, F.col("first.pageview_url").alias("landing_page")))
-    rows = (per.join(_where(facts, session_where).select(SID, "n_orders"), SID)
+    rows = (per.join(apply_where(facts, session_where).select(SID, "n_orders"), SID)
             .filter(F.col("landing_page").isin(list(landers))))
     agg = rows.groupBy("landing_page").agg(F.count(SID).alias("sessions"),
                                            F.sum("n_orders").alias("orders"))
@@ -73,7 +74,7 @@ def funnel_flags(sessions: DataFrame, pageviews: DataFrame, flags: dict[str, str
     """
     per = pageviews.groupBy(SID).agg(
         *[F.max((F.col("pageview_url") == F.lit(u)).cast("int")).alias(c) for c, u in flags.items()])
-    out = _where(sessions, session_where).select(SID).join(per, SID, "left")
+    out = apply_where(sessions, session_where).select(SID).join(per, SID, "left")
     if zero is None:
         return out.select(SID, *[F.when(F.col(c) == 1, F.lit(1)).alias(c) for c in flags])
     return out.select(SID, *[F.coalesce(F.col(c), F.lit(zero)).cast("int").alias(c) for c in flags])
@@ -122,7 +123,7 @@ def page_version_conversion(pageviews: DataFrame, orders: DataFrame, versions: l
     """
     if marker is None:
         marker = first_seen(pageviews, versions[1], mode="row").select("first_pv_id").scalar()
-    pv = pageviews.filter(_url_is(versions) & (F.col(PVID) >= marker))
+    pv = pageviews.filter(url_is(versions) & (F.col(PVID) >= marker))
     if until is not None:
         pv = pv.filter(F.col("created_at") < at(until))
     seen = pv.select("pageview_url", SID).distinct()
@@ -140,7 +141,7 @@ def page_version_revenue(pageviews: DataFrame, orders: DataFrame, versions: list
     session's order revenue, so a session viewing it twice counts twice in
     the revenue (not in the sessions).
     """
-    pv = pageviews.filter(_url_is(versions) & (F.col("created_at") > at(start))
+    pv = pageviews.filter(url_is(versions) & (F.col("created_at") > at(start))
                           & (F.col("created_at") < at(end)))
     seen = pv.groupBy(F.col("pageview_url").alias("billing_version_seen"), SID).agg(
         F.count(PVID).alias("views"))
@@ -162,7 +163,7 @@ def page_test_value(pageviews: DataFrame, orders: DataFrame, versions: list[str]
     pick = F.col("revenue_per_billing_page_seen")
     one = rev.agg(F.max(F.when(F.col("billing_version_seen") == versions[0], pick)).alias("old_rev_per_session"),
                   F.max(F.when(F.col("billing_version_seen") == versions[1], pick)).alias("new_rev_per_session"))
-    vol = (pageviews.filter(_url_is(versions) & F.col("created_at").between(at(volume_start), at(volume_end)))
+    vol = (pageviews.filter(url_is(versions) & F.col("created_at").between(at(volume_start), at(volume_end)))
            .agg(F.struct(F.count(SID).alias("views"), F.count_distinct(SID).alias("sessions"))).scalar())
     return (one.withColumn("lift", F.col("new_rev_per_session") - F.col("old_rev_per_session"))
             .withColumn("billing_pageviews", vol.getField("views"))
@@ -172,4 +173,4 @@ def page_test_value(pageviews: DataFrame, orders: DataFrame, versions: list[str]
 
 def sessions_detail(df: DataFrame, where: Column | None = None) -> DataFrame:
     """All columns of the rows meeting ``where`` (for looking at staged data)."""
-    return _where(df, where).select("*")
+    return apply_where(df, where).select("*")

@@ -15,20 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import sunday_week
+from shopflow.functions.filters import where as apply_where, url_is
 from shopflow.functions.ratio import ratio
 
 SID = "website_session_id"
 PVID = "website_pageview_id"
 
 
-def _where(df: DataFrame, where: Column | None) -> DataFrame:
-    return df if where is None else df.filter(where)
-
-
-def _url_is(urls) -> Column:
-    if isinstance(urls, str):
-        return F.col("pageview_url") == F.lit(urls)
-    return F.col("pageview_url").isin(list(urls))
 
 
 def first_seen(pageviews: DataFrame, url: str, where: Column | None = None,
@@ -39,7 +32,7 @@ def first_seen(pageviews: DataFrame, url: str, where: Column | None = None,
     its own (``first_date``, ``first_pv_id``); ``mode="row"``: the first page
     view by time, then id (``first_created_at``, ``first_pv_id``).
     """
-    pv = _where(pageviews, where).filter(_url_is(url))
+    pv = apply_where(pageviews, where).filter(url_is(url))
     if mode == "independent":
         return pv.agg(F.min(F.to_date("created_at")).alias("first_date"),
                       F.min(PVID).alias("first_pv_id"))
@@ -50,44 +43,44 @@ def first_seen(pageviews: DataFrame, url: str, where: Column | None = None,
 
 def first_pv_id(pageviews: DataFrame, url: str, where: Column | None = None) -> Column:
     """Smallest page-view id of ``url`` as a scalar subquery column."""
-    return _where(pageviews, where).filter(_url_is(url)).agg(F.min(PVID)).scalar()
+    return apply_where(pageviews, where).filter(url_is(url)).agg(F.min(PVID)).scalar()
 
 
 def qualifying_pageviews(sessions: DataFrame, pageviews: DataFrame,
                          where: Column | None = None) -> DataFrame:
     """Page views of the sessions meeting ``where`` (a semi join)."""
-    return pageviews.join(_where(sessions, where).select(SID), SID, "left_semi")
+    return pageviews.join(apply_where(sessions, where).select(SID), SID, "left_semi")
 
 
 def last_seen(sessions: DataFrame, pageviews: DataFrame, url: str,
               where: Column | None = None) -> DataFrame:
     """Largest session id among sessions meeting ``where`` that saw ``url``."""
-    pv = pageviews.filter(_url_is(url)).select(SID)
-    return (pv.join(_where(sessions, where).select(SID), SID, "left_semi")
+    pv = pageviews.filter(url_is(url)).select(SID)
+    return (pv.join(apply_where(sessions, where).select(SID), SID, "left_semi")
             .agg(F.max(SID).alias("last_session_id")))
 
 
 def sessions_since(sessions: DataFrame, marker: Column, where: Column | None = None) -> DataFrame:
     """Number of sessions meeting ``where`` with an id above ``marker``."""
-    return (_where(sessions, where).filter(F.col(SID) > marker)
+    return (apply_where(sessions, where).filter(F.col(SID) > marker)
             .agg(F.count(SID).alias("sessions_since_test")))
 
 
 def top_pages(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
     """Page views per url, most viewed first (the column is named ``sessions``)."""
-    return (_where(pageviews, where).groupBy("pageview_url")
+    return (apply_where(pageviews, where).groupBy("pageview_url")
             .agg(F.count(PVID).alias("sessions"))
             .orderBy(F.col("sessions").desc()))
 
 
 def first_pageview(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
     """First page-view id of each session among the page views meeting ``where``."""
-    return _where(pageviews, where).groupBy(SID).agg(F.min(PVID).alias("min_pageview_id"))
+    return apply_where(pageviews, where).groupBy(SID).agg(F.min(PVID).alias("min_pageview_id"))
 
 
 def landing_page(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
     """Url of each session's first page view among those meeting ``where``."""
-    first = _where(pageviews, where).groupBy(SID).agg(F.min(F.struct(PVID, "pageview_url")).alias("f"))
+    first = apply_where(pageviews, where).groupBy(SID).agg(F.min(F.struct(PVID, "pageview_url")).alias("f"))
     return first.select(SID, F.col("f.pageview_url").alias("landing_page"))
 
 
@@ -132,8 +125,8 @@ def bounce_rate_by_landing(sessions: DataFrame, pageviews: DataFrame, landers: l
     ``landers`` at or after (``inclusive``) the first view of ``marker_url``
     by such sessions; bounce counts all the session's page views.
     """
-    qual = _where(sessions, session_where).select(SID)
-    cond = _url_is(landers)
+    qual = apply_where(sessions, session_where).select(SID)
+    cond = url_is(landers)
     if marker_url is not None:
         marker = first_pv_id(qualifying_pageviews(sessions, pageviews, session_where), marker_url)
         cond = cond & ((F.col(PVID) >= marker) if inclusive else (F.col(PVID) > marker))
@@ -155,10 +148,10 @@ def weekly_bounce_trend(sessions: DataFrame, pageviews: DataFrame, landers: list
     divides bounced rows by landing rows, and the per-lander columns count
     bounced sessions only.
     """
-    qual = _where(sessions, session_where).select(SID)
+    qual = apply_where(sessions, session_where).select(SID)
     lab0, lab1 = labels
     if not legacy:
-        rows = (session_pages(pageviews, _url_is(landers), ("created_at", "pageview_url"))
+        rows = (session_pages(pageviews, url_is(landers), ("created_at", "pageview_url"))
                 .join(qual, SID).filter(F.col("first").isNotNull())
                 .select(SID, F.col("first.created_at").alias("created_at"),
                         F.col("first.pageview_url").alias("land"),
@@ -176,7 +169,7 @@ def weekly_bounce_trend(sessions: DataFrame, pageviews: DataFrame, landers: list
                           f"{lab0}_sessions", f"{lab0}_bounced", f"{lab1}_sessions", f"{lab1}_bounced")
     per = session_pages(pageviews).select(SID, "pgv").join(qual, SID)
     # legacy: landing rows are lander views grouped by (session, view time)
-    land_rows = (pageviews.filter(_url_is(landers))
+    land_rows = (pageviews.filter(url_is(landers))
                  .groupBy(SID, "created_at").agg(F.min(F.struct(PVID, "pageview_url")).alias("f"))
                  .select(SID, "created_at", F.col("f.pageview_url").alias("land")))
     rows = land_rows.join(per, SID).withColumn("bounced", F.col("pgv") == 1)

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import at, bucket_columns, bucket_names, period_label
+from shopflow.functions.filters import where as apply_where, url_is
 from shopflow.functions.ratio import ratio
 from shopflow.operators.grain import SESSION_COLUMNS, orders_per_session
-from shopflow.operators.pages import PVID, SID, _url_is, _where
+from shopflow.operators.pages import PVID, SID
 
 
 def _name(v) -> str:
@@ -26,7 +27,7 @@ def _name(v) -> str:
 
 def sales_trend(orders: DataFrame, grain: str = "month", where: Column | None = None) -> DataFrame:
     """Orders, revenue and margin per bucket of order time."""
-    return _where(orders, where).groupBy(*bucket_columns("created_at", grain)).agg(
+    return apply_where(orders, where).groupBy(*bucket_columns("created_at", grain)).agg(
         F.count("order_id").alias("number_of_sales"),
         F.sum("price_usd").cast("double").alias("total_revenue"),
         F.sum(F.col("price_usd") - F.col("cogs_usd")).cast("double").alias("total_margin"))
@@ -45,7 +46,7 @@ def launch_trend(sessions: DataFrame, orders: DataFrame, products: list, grain:
     extra = [F.count("price_usd").alias("n_priced")] + [
         F.count_if(F.col("primary_product_id") == F.lit(p)).alias(f"n_p{i}") for i, p in enumerate(products)]
     per = orders_per_session(orders, extra)
-    rows = _where(sessions.select(*SESSION_COLUMNS), where).join(per, SID, "left")
+    rows = apply_where(sessions.select(*SESSION_COLUMNS), where).join(per, SID, "left")
     keys = bucket_names(grain)
     agg = rows.groupBy(*bucket_columns("created_at", grain)).agg(
         F.coalesce(F.sum("n_orders"), F.lit(0)).alias("orders"),
@@ -71,7 +72,7 @@ def product_revenue_trend(items: DataFrame, products: list, grain: str = "month"
         aggs += [F.sum(F.when(is_p, F.col("price_usd"))).cast("double").alias(f"{_name(p)}_rev"),
                  F.sum(F.when(is_p, margin)).cast("double").alias(f"{_name(p)}_marg")]
     keys = bucket_names(grain)
-    return (_where(items, where).groupBy(*bucket_columns("created_at", grain))
+    return (apply_where(items, where).groupBy(*bucket_columns("created_at", grain))
             .agg(*aggs, F.sum("price_usd").cast("double").alias("total_revenue"),
                  F.sum(margin).cast("double").alias("total_margin"))
             .orderBy(*keys))
@@ -80,7 +81,7 @@ def product_revenue_trend(items: DataFrame, products: list, grain: str = "month"
 def period_tag(pageviews: DataFrame, url, lo, hi, cut, labels=("pre", "post"),
                other: str = "check again", after_inclusive: bool = True) -> DataFrame:
     """Views of ``url`` in the closed range [lo, hi], labelled by ``cut``."""
-    return (pageviews.filter(_url_is(url) & F.col("created_at").between(at(lo), at(hi)))
+    return (pageviews.filter(url_is(url) & F.col("created_at").between(at(lo), at(hi)))
             .select(SID, PVID, "created_at",
                     period_label("created_at", cut, labels[0], labels[1], other,
                                  after_inclusive).alias("time_period")))
@@ -149,7 +150,7 @@ def product_funnel_counts(pageviews: DataFrame, products: dict[str, str], steps:
     flags = (pageviews.filter(F.col("created_at").between(at(lo), at(hi)))
              .groupBy(SID).agg(*[F.max((F.col("pageview_url") == F.lit(s)).cast("int")).alias(f"f_{s}")
                                  for s in steps]))
-    seen = (pageviews.filter(_url_is(list(products.values())))
+    seen = (pageviews.filter(url_is(list(products.values())))
             .groupBy(SID, "pageview_url").agg(F.count(PVID).alias("views")))
     label = None
     for name, url in products.items():
@@ -177,7 +178,7 @@ def listing_page_trend(pageviews: DataFrame, orders: DataFrame, listing_url: str
                        grain: str = "quarter") -> DataFrame:
     """Per bucket of the listing-page view time: sessions viewing it, share
     viewing any later page, orders per such session."""
-    listing = (pageviews.filter(_url_is(listing_url))
+    listing = (pageviews.filter(url_is(listing_url))
                .groupBy(*bucket_columns("created_at", grain), SID).agg(F.min(PVID).alias("a")))
     last = pageviews.groupBy(SID).agg(F.max(PVID).alias("s_max"))
     rows = (listing.join(last, SID)
@@ -285,7 +286,7 @@ def refund_rate_trend(items: DataFrame, refunds: DataFrame, products: list, grai
     """
     keys = bucket_names(grain)
     refunded = refunds.select("order_item_id", F.col("order_id").alias("refund_order_id"))
-    rows = (_where(items, where).join(refunded, "order_item_id", "left")
+    rows = (apply_where(items, where).join(refunded, "order_item_id", "left")
             .groupBy(*bucket_columns("created_at", grain), "order_id", "product_id")
             .agg(F.max(F.col("refund_order_id").isNotNull()).alias("refunded")))
     aggs = []

@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import bucket_columns, bucket_names, sunday_week
 from shopflow.functions.channels import SEARCH_REFERERS, campaign, is_direct, is_organic, src
+from shopflow.functions.filters import where as apply_where
 from shopflow.functions.ratio import ratio, round_avg_half_up
 from shopflow.operators.grain import count_orders, count_sessions, has_order, sum_revenue
 
 
-def _where(df: DataFrame, where: Column | None) -> DataFrame:
-    return df if where is None else df.filter(where)
-
 
 def volume_trend(facts: DataFrame, grain: str = "month", where: Column | None = None,
                  orders_as: str = "orders") -> DataFrame:
@@ -35,7 +33,7 @@ def volume_trend(facts: DataFrame, grain: str = "month", where: Column | None =
                 count_sessions(has_order()).alias("order_volume")]
     else:
         raise ValueError(orders_as)
-    return _where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(*aggs)
+    return apply_where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(*aggs)
 
 
 def segment_trend(facts: DataFrame, column: str, values: list[str], grain: str = "month",
@@ -46,20 +44,20 @@ def segment_trend(facts: DataFrame, column: str, values: list[str], grain: str =
     for v in values:
         cond = F.col(column) == F.lit(v)
         aggs += [count_sessions(cond).alias(f"{v}_sessions"), count_orders(cond).alias(f"{v}_orders")]
-    return _where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(*aggs)
+    return apply_where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(*aggs)
 
 
 def distinct_values(df: DataFrame, columns: list[str] | None = None,
                     where: Column | None = None) -> DataFrame:
     """Distinct values of some columns (or whole rows); NULLs are values."""
-    out = _where(df, where)
+    out = apply_where(df, where)
     return (out.select(*columns) if columns else out).distinct()
 
 
 def channel_mix_trend(facts: DataFrame, grain: str = "month", where: Column | None = None,
                       organic="any_referer") -> DataFrame:
     """Paid gsearch, paid bsearch, organic and direct sessions per bucket."""
-    return _where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(
+    return apply_where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(
         count_sessions(src("gsearch")).alias("gsearch_paid_sessions"),
         count_sessions(src("bsearch")).alias("bsearch_paid_sessions"),
         count_sessions(is_organic(organic)).alias("organic_search_sessions"),
@@ -70,7 +68,7 @@ def direct_brand_vs_nonbrand(facts: DataFrame, grain: str = "month", where: Colu
                              organic=SEARCH_REFERERS) -> DataFrame:
     """Brand, direct and organic sessions, each also as a share of nonbrand."""
     keys = bucket_names(grain)
-    counts = _where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(
+    counts = apply_where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(
         count_sessions(campaign("nonbrand")).alias("nonbrand"),
         count_sessions(campaign("brand")).alias("brand"),
         count_sessions(is_direct()).alias("direct"),
@@ -95,7 +93,7 @@ def efficiency_trend(facts: DataFrame, grain: str = "quarter", where: Column | N
     "Orders" are sessions with an order, as in the per-quarter board report.
     """
     keys = bucket_names(grain)
-    agg = _where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(
+    agg = apply_where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(
         count_sessions().alias("s"), count_sessions(has_order()).alias("o"),
         sum_revenue().alias("rev"))
     return agg.select(*keys,
@@ -115,7 +113,7 @@ def _five_channels() -> list[tuple[str, Column]]:
 def orders_by_channel(facts: DataFrame, grain: str = "quarter", where: Column | None = None) -> DataFrame:
     """Orders per bucket from five channels (brand is any source)."""
     names = {"brand": "brandsearch_overall"}
-    return _where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(
+    return apply_where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(
         *[count_orders(c).alias(names.get(n, n)) for n, c in _five_channels()])
 
 
@@ -127,7 +125,7 @@ def conversion_by_channel(facts: DataFrame, grain: str = "quarter", where: Colum
     aggs = []
     for n, c in chans:
         aggs += [count_orders(c).alias(f"o_{n}"), count_sessions(c).alias(f"s_{n}")]
-    agg = _where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(*aggs)
+    agg = apply_where(facts, where).groupBy(*bucket_columns("created_at", grain)).agg(*aggs)
     return (agg.select(*keys, *[ratio(f"o_{n}", f"s_{n}").alias(f"{names.get(n, n)}_conv_rt")
                                for n, _ in chans])
             .orderBy(*keys))
@@ -135,7 +133,7 @@ def conversion_by_channel(facts: DataFrame, grain: str = "quarter", where: Colum
 
 def channel_characteristics(facts: DataFrame, where: Column | None = None) -> DataFrame:
     """Per source: sessions, mobile sessions and the mobile share."""
-    agg = _where(facts, where).groupBy("utm_source").agg(
+    agg = apply_where(facts, where).groupBy("utm_source").agg(
         count_sessions().alias("sessions"),
         count_sessions(F.col("device_type") == "mobile").alias("mobile_sessions"))
     return agg.withColumn("pct_mobile", ratio("mobile_sessions", "sessions"))
@@ -144,7 +142,7 @@ def channel_characteristics(facts: DataFrame, where: Column | None = None) -> Da
 def conversion_by(facts: DataFrame, keys=("device_type", "utm_source"),
                   where: Column | None = None) -> DataFrame:
     """Sessions, orders and conversion per combination of ``keys`` (bid inputs)."""
-    agg = _where(facts, where).groupBy(*keys).agg(
+    agg = apply_where(facts, where).groupBy(*keys).agg(
         count_sessions().alias("sessions"), count_orders().alias("orders"))
     return agg.withColumn("conv_rate", ratio("orders", "sessions"))
 
@@ -155,7 +153,7 @@ def weekly_portfolio(facts: DataFrame, where: Column | None = None) -> DataFrame
     present in the week."""
     def c(source, device):
         return count_sessions(src(source) & (F.col("device_type") == device))
-    agg = _where(facts, where).groupBy(sunday_week("created_at").alias("wk")).agg(
+    agg = apply_where(facts, where).groupBy(sunday_week("created_at").alias("wk")).agg(
         F.min(F.to_date("created_at")).alias("week_start"),
         c("gsearch", "desktop").alias("g_dtop_session"),
         c("bsearch", "desktop").alias("b_dtop_session"),
@@ -177,7 +175,7 @@ def hour_by_weekday(sessions: DataFrame, where: Column | None = None) -> DataFra
     The average runs over the (date, hour) cells that hold a session; empty
     hours are absent, not zero. Rounded half up to one decimal, exactly.
     """
-    cells = _where(sessions, where).groupBy(
+    cells = apply_where(sessions, where).groupBy(
         F.to_date("created_at").alias("da"), F.hour("created_at").alias("hr"),
         F.weekday("created_at").alias("wk")).agg(count_sessions().alias("sessions"))
     aggs = []
