@@ -18,7 +18,7 @@ from shopflow.functions.filters import where as apply_where, url_is
 from shopflow.functions.ratio import ratio
 from shopflow.operators.grain import orders_per_session
 from shopflow.operators.pages import (PVID, SID, first_pv_id, first_seen, last_seen, session_pages,
-                                      sessions_since)
+                                      sessions_since, views_since)
 
 
 def conversion_by_landing(facts: DataFrame, pageviews: DataFrame, landers: list[str],
@@ -65,14 +65,15 @@ def landing_test_lift(facts: DataFrame, sessions: DataFrame, pageviews: DataFram
 
 
 def funnel_flags(sessions: DataFrame, pageviews: DataFrame, flags: dict[str, str],
-                 session_where: Column | None = None, zero=0) -> DataFrame:
+                 session_where: Column | None = None, zero=0, views_from=None) -> DataFrame:
     """One row per session meeting ``session_where``, a 0/1 column per
     ``{column: url}`` in ``flags`` (1 if the session viewed the url).
 
     The order of the steps is not enforced. ``zero=None`` gives NULL for
-    "not reached" instead of 0.
+    "not reached" instead of 0. ``views_from``: see
+    :func:`shopflow.operators.pages.views_since`.
     """
-    per = pageviews.groupBy(SID).agg(
+    per = views_since(pageviews, views_from).groupBy(SID).agg(
         *[F.max((F.col("pageview_url") == F.lit(u)).cast("int")).alias(c) for c, u in flags.items()])
     out = apply_where(sessions, session_where).select(SID).join(per, SID, "left")
     if zero is None:

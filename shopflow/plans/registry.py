@@ -224,14 +224,15 @@ def _trend_sessions():
 @query("weekly_bounce_trend")
 def q_weekly_bounce(spark, folder):
     d = data(spark, folder)
-    return pages.weekly_bounce_trend(d.sessions, d.pageviews, LANDERS, session_where=_trend_sessions())
+    return pages.weekly_bounce_trend(d.sessions, d.pageviews, LANDERS, session_where=_trend_sessions(),
+                                     views_from="2024-01-01")
 
 
 @query("weekly_bounce_trend_legacy")
 def q_weekly_bounce_legacy(spark, folder):
     d = data(spark, folder)
     return pages.weekly_bounce_trend(d.sessions, d.pageviews, LANDERS, session_where=_trend_sessions(),
-                                     legacy=True)
+                                     legacy=True, views_from="2024-01-01")
 
 
 @query("qualifying_pageviews")
@@ -265,7 +266,8 @@ def _flags(d, lo, hi, segments=True):
     cols = {"saw_view": "view", "saw_signup": "signup"} if segments else {}
     cols.update({f"{s}_made_it": s for s in STEPS})
     return funnels.funnel_flags(d.sessions, d.pageviews, cols,
-                                gsearch_nonbrand() & after("created_at", lo) & before("created_at", hi))
+                                gsearch_nonbrand() & after("created_at", lo) & before("created_at", hi),
+                                views_from=lo)
 
 
 @query("funnel_flags")
