@@ -18,7 +18,7 @@ from shopflow.functions.buckets import at, bucket_columns, bucket_names, period_
 from shopflow.functions.filters import where as apply_where, url_is
 from shopflow.functions.ratio import ratio
 from shopflow.operators.grain import SESSION_COLUMNS, orders_per_session
-from shopflow.operators.pages import PVID, SID
+from shopflow.operators.pages import PVID, SID, views_since
 
 
 def _name(v) -> str:
@@ -88,14 +88,18 @@ def period_tag(pageviews: DataFrame, url, lo, hi, cut, labels=("pre", "post"),
 
 
 def first_after(anchors: DataFrame, pageviews: DataFrame, keys: list[str],
-                keep_missing: bool = True) -> DataFrame:
+                keep_missing: bool = True, views_from=None) -> DataFrame:
     """Per group ``keys`` (which include the session): the first page view of
     the session after the group's earliest anchor, as ``next_id`` and
     ``next_url``. The first view after any anchor of a group is the first
     view after its earliest anchor, so one anchor per group suffices.
+
+    Page-view ids increase with time, so a view after an anchor is never
+    earlier than the anchors: ``views_from`` (the start of the anchors'
+    period) lets the page-view scan skip everything before it.
     """
     amin = anchors.groupBy(*keys).agg(F.min(PVID).alias("anchor_id"))
-    pv = pageviews.select(F.col(SID).alias("_sid"), F.col(PVID).alias("_id"), "pageview_url")
+    pv = views_since(pageviews, views_from).select(F.col(SID).alias("_sid"), F.col(PVID).alias("_id"), "pageview_url")
     later = (amin.join(pv, (F.col(SID) == F.col("_sid")) & (F.col("_id") > F.col("anchor_id")))
              .groupBy(*keys).agg(F.min(F.struct("_id", "pageview_url")).alias("n")))
     if keep_missing:
@@ -103,10 +107,10 @@ def first_after(anchors: DataFrame, pageviews: DataFrame, keys: list[str],
     return later.select(*keys, F.col("n._id").alias("next_id"), F.col("n.pageview_url").alias("next_url"))
 
 
-def next_pageview(anchors: DataFrame, pageviews: DataFrame) -> DataFrame:
+def next_pageview(anchors: DataFrame, pageviews: DataFrame, views_from=None) -> DataFrame:
     """Per (period, session): the next page view after the anchor and its url
     (NULL when the anchor was the session's last view)."""
-    return (first_after(anchors, pageviews, ["time_period", SID])
+    return (first_after(anchors, pageviews, ["time_period", SID], views_from=views_from)
             .select("time_period", SID, F.col("next_id").alias("min_next_pageview_id"),
                     F.col("next_url").alias("pageview_url")))
 
@@ -125,9 +129,11 @@ def pathing_summary(next_views: DataFrame, pages: dict[str, str]) -> DataFrame:
     return agg.select(*cols)
 
 
-def pages_after(pageviews: DataFrame, anchors: DataFrame) -> DataFrame:
+def pages_after(pageviews: DataFrame, anchors: DataFrame, views_from=None) -> DataFrame:
     """Distinct urls viewed after an anchor view in the same session, plus
-    NULL when some anchor was the last view of its session."""
+    NULL when some anchor was the last view of its session. ``views_from``:
+    as in :func:`first_after`."""
+    pageviews = views_since(pageviews, views_from)
     bounds = anchors.groupBy(SID).agg(F.min(PVID).alias("a_min"), F.max(PVID).alias("a_max"))
     pv = pageviews.select(F.col(SID).alias("_sid"), F.col(PVID).alias("_id"), "pageview_url")
     urls = (bounds.join(pv, (F.col(SID) == F.col("_sid")) & (F.col("_id") > F.col("a_min")))
@@ -192,14 +198,14 @@ def listing_page_trend(pageviews: DataFrame, orders: DataFrame, listing_url: str
                       ratio("orders", "sessions_to_product").alias("conversion_rate"))
 
 
-def clickthrough_after(anchors: DataFrame, pageviews: DataFrame) -> DataFrame:
+def clickthrough_after(anchors: DataFrame, pageviews: DataFrame, views_from=None) -> DataFrame:
     """Per (period, session) with a view after the anchor: its first id."""
-    return (first_after(anchors, pageviews, ["time_period", SID], keep_missing=False)
+    return (first_after(anchors, pageviews, ["time_period", SID], keep_missing=False, views_from=views_from)
             .select("time_period", SID, F.col("next_id").alias("after_cart_pageview_id")))
 
 
 def cross_sell_period_summary(anchors: DataFrame, pageviews: DataFrame, orders: DataFrame,
-                              legacy: bool = False) -> DataFrame:
+                              legacy: bool = False, views_from=None) -> DataFrame:
     """Per period of cart views: cart sessions, click-throughs, products per
     order, order value and revenue per cart session.
 
@@ -211,7 +217,7 @@ def cross_sell_period_summary(anchors: DataFrame, pageviews: DataFrame, orders:
     """
     keys = ["time_period", SID]
     carts = anchors.groupBy(*keys).agg(F.count(PVID).alias("c"))
-    after = clickthrough_after(anchors, pageviews).select(*keys, F.lit(True).alias("clicked"))
+    after = clickthrough_after(anchors, pageviews, views_from).select(*keys, F.lit(True).alias("clicked"))
     per_order = orders_per_session(orders).select(SID, "n_orders", "items", "revenue")
     if not legacy:
         rows = (carts.join(after, keys, "left").join(per_order, SID, "left")

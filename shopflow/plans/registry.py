@@ -371,13 +371,14 @@ def q_period_tag(spark, folder):
 @query("next_pageview")
 def q_next_pageview(spark, folder):
     d = data(spark, folder)
-    return products.next_pageview(_view_anchors(d), d.pageviews)
+    return products.next_pageview(_view_anchors(d), d.pageviews, views_from="2024-01-06")
 
 
 @query("pathing_summary")
 def q_pathing_summary(spark, folder):
     d = data(spark, folder)
-    return products.pathing_summary(products.next_pageview(_view_anchors(d), d.pageviews), PRODUCT_PAGES)
+    return products.pathing_summary(products.next_pageview(_view_anchors(d), d.pageviews, views_from="2024-01-06"),
+                                    PRODUCT_PAGES)
 
 
 @query("pages_after")
@@ -385,7 +386,7 @@ def q_pages_after(spark, folder):
     d = data(spark, folder)
     anchors = d.pageviews.filter(F.col("pageview_url").isin(*PRODUCT_PAGES.values())
                                  & between("created_at", "2024-01-06", "2024-01-20"))
-    return products.pages_after(d.pageviews, anchors)
+    return products.pages_after(d.pageviews, anchors, views_from="2024-01-06")
 
 
 @query("product_funnel_counts")
@@ -414,19 +415,21 @@ def _cart_anchors(d):
 @query("clickthrough_after")
 def q_clickthrough_after(spark, folder):
     d = data(spark, folder)
-    return products.clickthrough_after(_cart_anchors(d), d.pageviews)
+    return products.clickthrough_after(_cart_anchors(d), d.pageviews, views_from="2024-01-06")
 
 
 @query("cross_sell_period_summary")
 def q_cross_sell_summary(spark, folder):
     d = data(spark, folder)
-    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders)
+    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders,
+                                              views_from="2024-01-06")
 
 
 @query("cross_sell_period_summary_legacy")
 def q_cross_sell_summary_legacy(spark, folder):
     d = data(spark, folder)
-    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders, legacy=True)
+    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders, legacy=True,
+                                              views_from="2024-01-06")
 
 
 @query("portfolio_period_summary")
