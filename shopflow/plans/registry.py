@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import after, before, between
 from shopflow.functions.channels import campaign, src
-from shopflow.operators import traffic
+from shopflow.operators import funnels, pages, products, traffic, users
 from shopflow.sources.testdata import shop_data
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -138,7 +138,6 @@ def q_hour_by_weekday(spark, folder):
 
 
 # --- pages, landing pages, bounce --------------------------------------------
-from shopflow.operators import pages  # noqa: E402
 
 LANDERS = ["view", "signup"]
 MARKER_URL = "signup"
@@ -242,7 +241,6 @@ def q_qualifying_pageviews(spark, folder):
 
 
 # --- tests and funnels -------------------------------------------------------
-from shopflow.operators import funnels  # noqa: E402
 
 STEPS = ["view", "click", "signup", "purchase"]
 VERSIONS = ["click", "signup"]
@@ -318,7 +316,6 @@ def q_sessions_detail(spark, folder):
 
 
 # --- products ----------------------------------------------------------------
-from shopflow.operators import products  # noqa: E402
 
 # fixture values: the part types of the commerce tables are the products
 PRODUCT_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -459,7 +456,6 @@ def q_refund_rate_trend_legacy(spark, folder):
 
 
 # --- users -------------------------------------------------------------------
-from shopflow.operators import users  # noqa: E402
 
 P_LO, P_HI = "2024-01-01", "2024-01-31"
 
