@@ -41,12 +41,18 @@ def repeat_sessions(sessions: DataFrame, lo, hi) -> DataFrame:
     in the same period (NULL when none): ``user_id, new_id, repeated_id``.
 
     The result is a list of pairs by definition; a user has one new session,
-    so its size is the number of repeat sessions.
+    so its size is the number of repeat sessions. The pairs come from an
+    inner join, whose skewed side (a user with very many sessions) adaptive
+    execution can split; new sessions without a later repeat are added from
+    :func:`later_repeats`, which forms no pairs.
     """
     new, rep = new_and_repeat(sessions, lo, hi)
     rep = rep.withColumnRenamed("user_id", "r_user")
-    return (new.join(rep, (F.col("user_id") == F.col("r_user")) & (F.col("rid") > F.col("new_id")), "left")
-            .select("user_id", "new_id", F.col("rid").alias("repeated_id")))
+    pairs = (new.join(rep, (F.col("user_id") == F.col("r_user")) & (F.col("rid") > F.col("new_id")))
+             .select("user_id", "new_id", F.col("rid").alias("repeated_id")))
+    alone = (later_repeats(sessions, lo, hi).filter(F.col("repeats") == 0)
+             .select("user_id", "new_id", F.lit(None).cast("long").alias("repeated_id")))
+    return pairs.unionByName(alone)
 
 
 def later_repeats(sessions: DataFrame, lo, hi, id_bucket: int = 1 << 20) -> DataFrame:
