@@ -32,8 +32,9 @@ def conversion_by_landing(facts: DataFrame, pageviews: DataFrame, landers: list[
     """
     if marker is None:
         marker = first_pv_id(pageviews, landers[1])
-    per = (session_pages(pageviews, F.col(PVID) >= marker)
-           .filter(F.col("first").isNotNull())
+    # a row filter (not a condition inside the aggregate): page views before
+    # the marker are never read past the scan
+    per = (session_pages(pageviews.filter(F.col(PVID) >= marker))
            .select(SID, F.col("first.pageview_url").alias("landing_page")))
     rows = (per.join(apply_where(facts, session_where).select(SID, "n_orders"), SID)
             .filter(F.col("landing_page").isin(list(landers))))
