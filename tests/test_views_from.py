@@ -1,0 +1,34 @@
+"""The page-view time bound changes no result (a session's views are not
+earlier than its start; a later view has a larger id and is not earlier)."""
+
+from pyspark.sql import functions as F
+
+from shopflow.functions.buckets import after, before, between
+from shopflow.operators import funnels, pages, products
+from shopflow.sources.testdata import ShopData
+
+LO = "2024-01-09"
+
+
+def same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 0
+
+
+def test_views_from_keeps_results(spark, sf001):
+    d = ShopData(spark, sf001, materialize=False)
+    sess = after("created_at", LO) & before("created_at", "2024-01-20")
+    flags = {"view_made_it": "view", "purchase_made_it": "purchase"}
+    assert same(funnels.funnel_flags(d.sessions, d.pageviews, flags, sess),
+                funnels.funnel_flags(d.sessions, d.pageviews, flags, sess, views_from=LO))
+    assert same(pages.weekly_bounce_trend(d.sessions, d.pageviews, ["view", "signup"], session_where=sess),
+                pages.weekly_bounce_trend(d.sessions, d.pageviews, ["view", "signup"], session_where=sess,
+                                          views_from=LO))
+    anchors = products.period_tag(d.pageviews, "view", LO, "2024-01-20", "2024-01-15")
+    assert same(products.next_pageview(anchors, d.pageviews),
+                products.next_pageview(anchors, d.pageviews, views_from=LO))
+    plain = d.pageviews.filter(F.col("pageview_url").isin("click") & between("created_at", LO, "2024-01-20"))
+    assert same(products.pages_after(d.pageviews, plain), products.pages_after(d.pageviews, plain, views_from=LO))
+    carts = products.period_tag(d.pageviews, "click", LO, "2024-01-20", "2024-01-15", ("A", "B"), "W", False)
+    for legacy in (False, True):
+        assert same(products.cross_sell_period_summary(carts, d.pageviews, d.web_orders, legacy),
+                    products.cross_sell_period_summary(carts, d.pageviews, d.web_orders, legacy, views_from=LO))
