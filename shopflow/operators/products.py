@@ -99,12 +99,19 @@ def first_after(anchors: DataFrame, pageviews: DataFrame, keys: list[str],
     period) lets the page-view scan skip everything before it.
     """
     amin = anchors.groupBy(*keys).agg(F.min(PVID).alias("anchor_id"))
+    return _after_earliest(amin, pageviews, keys, keep_missing, views_from)
+
+
+def _after_earliest(amin: DataFrame, pageviews: DataFrame, keys: list[str], keep_missing: bool,
+                    views_from=None, carry: tuple = ()) -> DataFrame:
+    """:func:`first_after` from the groups' earliest anchors (``anchor_id``);
+    ``carry`` names further columns of ``amin`` to keep."""
     pv = views_since(pageviews, views_from).select(F.col(SID).alias("_sid"), F.col(PVID).alias("_id"), "pageview_url")
     later = (amin.join(pv, (F.col(SID) == F.col("_sid")) & (F.col("_id") > F.col("anchor_id")))
              .groupBy(*keys).agg(F.min(F.struct("_id", "pageview_url")).alias("n")))
     if keep_missing:
-        later = amin.join(later, keys, "left")
-    return later.select(*keys, F.col("n._id").alias("next_id"), F.col("n.pageview_url").alias("next_url"))
+        later = amin.select(*keys, *carry).join(later, keys, "left")
+    return later.select(*keys, *carry, F.col("n._id").alias("next_id"), F.col("n.pageview_url").alias("next_url"))
 
 
 def next_pageview(anchors: DataFrame, pageviews: DataFrame, views_from=None) -> DataFrame:
@@ -216,12 +223,13 @@ def cross_sell_period_summary(anchors: DataFrame, pageviews: DataFrame, orders:
     materialising the repeated rows.
     """
     keys = ["time_period", SID]
-    carts = anchors.groupBy(*keys).agg(F.count(PVID).alias("c"))
-    after = clickthrough_after(anchors, pageviews, views_from).select(*keys, F.lit(True).alias("clicked"))
+    # one aggregate of the cart views gives both their count and the earliest one
+    groups = anchors.groupBy(*keys).agg(F.count(PVID).alias("c"), F.min(PVID).alias("anchor_id"))
+    carts = (_after_earliest(groups, pageviews, keys, True, views_from, carry=("c",))
+             .select(*keys, "c", F.col("next_id").isNotNull().alias("clicked")))
     per_order = orders_per_session(orders).select(SID, "n_orders", "items", "revenue")
     if not legacy:
-        rows = (carts.join(after, keys, "left").join(per_order, SID, "left")
-                .withColumn("clicked", F.coalesce("clicked", F.lit(False))))
+        rows = carts.join(per_order, SID, "left")
         on = F.col("clicked")
         agg = rows.groupBy("time_period").agg(
             F.count(SID).alias("sessions"),
@@ -230,7 +238,7 @@ def cross_sell_period_summary(anchors: DataFrame, pageviews: DataFrame, orders:
             F.sum(F.when(on, F.col("items"))).alias("items"),
             F.sum(F.when(on, F.col("revenue"))).cast("double").alias("rev"))
     else:
-        a_s = after.groupBy(SID).agg(F.count(F.lit(1)).alias("a"))
+        a_s = carts.groupBy(SID).agg(F.count_if("clicked").alias("a"))
         rows = (carts.join(a_s, SID, "left").join(per_order, SID, "left")
                 .withColumn("a", F.coalesce("a", F.lit(0)))
                 .withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
