@@ -11,7 +11,7 @@ keep sessions with nothing after the anchor.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import at, bucket_columns, bucket_names, period_label
@@ -238,9 +238,9 @@ def cross_sell_period_summary(anchors: DataFrame, pageviews: DataFrame, orders:
             F.sum(F.when(on, F.col("items"))).alias("items"),
             F.sum(F.when(on, F.col("revenue"))).cast("double").alias("rev"))
     else:
-        a_s = carts.groupBy(SID).agg(F.count_if("clicked").alias("a"))
-        rows = (carts.join(a_s, SID, "left").join(per_order, SID, "left")
-                .withColumn("a", F.coalesce("a", F.lit(0)))
+        # click-through periods of the session: a window over its (at most three) period rows
+        rows = (carts.withColumn("a", F.count_if("clicked").over(Window.partitionBy(SID)))
+                .join(per_order, SID, "left")
                 .withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
                 .withColumn("w", F.col("c") * F.col("a") * F.col("a")))
         agg = rows.groupBy("time_period").agg(
