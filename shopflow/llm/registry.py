@@ -7,22 +7,72 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import exact_dedup
+from shopflow.llm import decontaminate, exact_dedup, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
+
+    def of(kind: str):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+
+    def joined(findings):
+        return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+    base = F.filter("findings", lambda f: f["kind"] != "lexed")
+    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"),
+                        of("hex").alias("n_hex"), of("lexed").alias("n_lexed"),
+                        F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("findings")).alias("spans"))
+
+
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    marked = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    hit = F.size("found.hit_words").cast("long")
+    items = F.array_sort("found.items")
+    return marked.select("doc_id", "found.n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+                         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+                         (hit > 0).alias("contaminated"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op9_decontaminate": r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+bw AS (
+    SELECT DISTINCT item_id, least(len(words), 10) AS n,
+           array_to_string(words[i:i + least(len(words), 10) - 1], ' ') AS w
+    FROM (SELECT *, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS i FROM b WHERE len(words) > 0)),
+dw AS (
+    SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS w
+    FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw USING (n, w)),
+h AS (
+    SELECT doc_id, count(DISTINCT k) AS n_hit, count(DISTINCT item_id) AS n_items,
+           array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS items
+    FROM (SELECT *, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id)
+""",
     "op10_exact_dedup": r"""
 WITH d AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
