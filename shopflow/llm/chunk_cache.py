@@ -1,0 +1,32 @@
+"""Encoded forms of words seen before, bounded, kept by a Python worker between batches."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+
+class ChunkCache:
+    """Maps words to encoded bytes; about ``2 * limit`` entries live at most, plus one batch.
+
+    Two generations: when the young one is full it becomes the old one, and
+    old entries that are used again move to the young one.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 300_000):
+        self.encode_many, self.limit = encode_many, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: Sequence[list[str]]) -> list[list[bytes]]:
+        """The bytes of each word of each list."""
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        missing = set().union(*texts).difference(self.young)
+        if self.old:
+            for word in missing.intersection(self.old):
+                self.young[word] = self.old[word]
+                missing.discard(word)
+        fresh = list(missing)
+        self.young.update(zip(fresh, self.encode_many(fresh)))
+        known = self.young.__getitem__
+        return [list(map(known, words)) for words in texts]

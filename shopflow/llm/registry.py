@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import decontaminate, exact_dedup, secret_scan
+from shopflow.llm import decontaminate, exact_dedup, secret_scan, token_records
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, folder, "documents"))
 
@@ -30,6 +35,12 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         joined(F.col("findings")).alias("spans"))
 
 
+def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = token_records.write_records(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_records.read_records(manifest).select("doc_id", "start", "n_tokens",
+                                                       F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     marked = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.size("found.hit_words").cast("long")
@@ -45,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_token_records": op4_token_records,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
