@@ -60,6 +60,17 @@ def unframe(data: bytes, at: int) -> tuple[bytes, int]:
     return payload, begin + length + _TAIL.size
 
 
+def pack(doc_id: int | None, width: int, body: bytes) -> bytes:
+    return frame(_META.pack(doc_id is not None, doc_id or 0, width) + body)
+
+
+def unpack(data: bytes, at: int) -> tuple[int | None, np.ndarray]:
+    """(doc_id, ids) of the record at ``at``."""
+    payload, _ = unframe(data, at)
+    has_id, doc_id, width = _META.unpack_from(payload)
+    return (doc_id if has_id else None), np.frombuffer(payload, f"<u{width}", offset=_META.size).astype("<u4")
+
+
 class Encoder:
     """A byte-level tokenizers file applied word by word, equal to encoding whole texts.
 
@@ -169,7 +180,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
                         name = f"part-{uuid.uuid4().hex}"
                         out = fs.open_output_stream(f"{base}/{name}.rec")
                         first_id = doc_id
-                    record = frame(_META.pack(doc_id is not None, doc_id or 0, encode.width) + body + end)
+                    record = pack(doc_id, encode.width, body + end)
                     index.append((at, ids))
                     out.write(record)
                     at += len(record)
@@ -220,10 +231,8 @@ def read_records(manifest: DataFrame, records_per_read: int = RECORDS_PER_READ)
                 out = {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
                 held = 0
                 for offset, before in index[:n].tolist():
-                    payload, _ = unframe(data, offset - begin)
-                    has_id, doc_id, width = _META.unpack_from(payload)
-                    ids = np.frombuffer(payload, f"<u{width}", offset=_META.size).astype("<u4")
-                    out["doc_id"].append(doc_id if has_id else None)
+                    doc_id, ids = unpack(data, offset - begin)
+                    out["doc_id"].append(doc_id)
                     out["start"].append(r["base"] + before)
                     out["n_tokens"].append(len(ids))
                     out["ids"].append(ids.tobytes())
