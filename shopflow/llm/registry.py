@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import decontaminate, exact_dedup, secret_scan, token_records
+from shopflow.llm import decontaminate, exact_dedup, piece_codec, secret_scan, token_records
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,13 @@ def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
                                                        F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    coded = piece_codec.encode_decode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     marked = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.size("found.hit_words").cast("long")
@@ -57,6 +64,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op4_token_records": op4_token_records,
+    "op5_piece_codec": op5_piece_codec,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
