@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from shopflow.llm.staging import scratch_path, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    # each state partition holds little; without this each reserves megabytes ahead of its files
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: str | Column) -> Column:
@@ -32,8 +36,9 @@ def fold_into_state(spark: SparkSession, arrivals_path: str, schema, state_path:
     ``state_path`` may be one of an earlier run: new arrivals are then matched
     against all earlier ones. Columns: digest, first (struct), group_size.
     """
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         rows = spark.readStream.schema(schema).parquet(arrivals_path)
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator", "seq"))
@@ -42,7 +47,11 @@ def fold_into_state(spark: SparkSession, arrivals_path: str, schema, state_path:
          .option("checkpointLocation", state_path).trigger(availableNow=True)
          .start().awaitTermination())
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     state = spark.read.format("statestore").load(state_path)
     first, size = [f.name for f in state.schema["value"].dataType.fields]
     return state.select("key.digest", F.col("value")[first].alias("first"),
