@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import decontaminate, exact_dedup, piece_codec, secret_scan, token_records
+from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, secret_scan, token_records
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_language_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    net = language_cnn.fit(docs, language_cnn.not_held_out())
+    held_out = F.coalesce(~language_cnn.not_held_out(), F.lit(False))
+    return language_cnn.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     marked = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.size("found.hit_words").cast("long")
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op4_token_records": op4_token_records,
     "op5_piece_codec": op5_piece_codec,
+    "op7_language_cnn": op7_language_cnn,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
