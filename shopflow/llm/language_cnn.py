@@ -229,7 +229,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, net: ByteNet | None, least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, net: ByteNet | None, least_score: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is determined with at least ``least_score``, columns unchanged."""
     tables = docs.sparkSession.sparkContext.broadcast(net.tables() if net else None)
 
