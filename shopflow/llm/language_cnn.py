@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from shopflow.llm.bytewords import text_slices
+from shopflow.llm.sampling import bounded_sample
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -142,18 +143,6 @@ def _gradients(net: ByteNet, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -
     return [d_embedding, *d_filters, hidden.T @ delta, delta.sum(axis=0)]
 
 
-def _chosen(docs: DataFrame, learn: Column, documents: int) -> DataFrame:
-    """The labelled rows of least id hash: a bounded sample that does not depend on file order."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    ranks = rows.select(rank.alias("rank"))
-    n = ranks.count()
-    if n <= documents:
-        return rows.select("text", "lang")
-    cut = ranks.orderBy("rank").limit(documents).agg(F.max("rank")).first()[0]
-    return rows.where(rank <= cut).select("text", "lang").limit(2 * documents)
-
-
 def fit(docs: DataFrame, learn: Column, documents: int = SAMPLE_DOCUMENTS,
         windows: int = SAMPLE_WINDOWS) -> ByteNet | None:
     """Train on rows where ``learn`` holds and lang is not null; None without any.
@@ -177,7 +166,9 @@ def fit(docs: DataFrame, learn: Column, documents: int = SAMPLE_DOCUMENTS,
                     {"win": [cut_windows[k].tobytes() for k in keep], "lang": [langs[row[k]] for k in keep]},
                     pa.schema([("win", pa.binary()), ("lang", pa.string())]))
 
-    rows = _chosen(docs, learn, documents).mapInArrow(cut, "win binary, lang string").toArrow()
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    chosen = bounded_sample(labelled.select("doc_id", "text", "lang"), documents).select("text", "lang")
+    rows = chosen.mapInArrow(cut, "win binary, lang string").toArrow()
     if not rows.num_rows:
         return None
     order = np.argsort(np.array([w + (n or "").encode() for w, n in zip(
@@ -241,8 +232,3 @@ def keep_identified(docs: DataFrame, net: ByteNet | None, least_score: float = 0
                 yield rows.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def not_held_out(doc_id: str = "doc_id") -> Column:
-    """Rows that may be learned from: crc32 of the id as text, modulo 5, is not 0."""
-    return F.crc32(F.col(doc_id).cast("string")) % 5 != 0

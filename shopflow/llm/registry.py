@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, secret_scan, token_records
+from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, quality_gam, secret_scan, token_records
+from shopflow.llm.sampling import not_held_out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +36,14 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         joined(F.col("findings")).alias("spans"))
 
 
+def op2_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    features = quality_gam.text_features(table(spark, folder, "documents"))
+    model = quality_gam.fit(features, table(spark, folder, "labels"), not_held_out())
+    held_out = F.coalesce(~not_held_out(), F.lit(False))
+    return quality_gam.score(features, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
     manifest = token_records.write_records(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_records.read_records(manifest).select("doc_id", "start", "n_tokens",
@@ -50,8 +59,8 @@ def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_language_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    net = language_cnn.fit(docs, language_cnn.not_held_out())
-    held_out = F.coalesce(~language_cnn.not_held_out(), F.lit(False))
+    net = language_cnn.fit(docs, not_held_out())
+    held_out = F.coalesce(~not_held_out(), F.lit(False))
     return language_cnn.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -70,6 +79,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality_gam": op2_quality_gam,
     "op4_token_records": op4_token_records,
     "op5_piece_codec": op5_piece_codec,
     "op7_language_cnn": op7_language_cnn,
