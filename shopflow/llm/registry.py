@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, quality_gam, secret_scan, token_records
+from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, quality_gam, secret_scan, token_records, warc_archive
 from shopflow.llm.sampling import not_held_out
 
 
@@ -64,6 +64,12 @@ def op7_language_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return language_cnn.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = warc_archive.write_archives(table(spark, folder, "pages"))
+    return warc_archive.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                       "refers_to")
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     marked = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.size("found.hit_words").cast("long")
@@ -83,11 +89,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_records": op4_token_records,
     "op5_piece_codec": op5_piece_codec,
     "op7_language_cnn": op7_language_cnn,
+    "op8_warc_archive": op8_warc_archive,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op8_warc_archive": r"""
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+""",
     "op9_decontaminate": r"""
 WITH d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
