@@ -24,17 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopflow.llm.chunk_cache import ChunkCache
+from shopflow.llm.bytewords import text_slices
+from shopflow.llm.word_cache import WordCache, laid_out
 from shopflow.llm.staging import file_system, scratch_path, stage
 
+SPACE_BYTE = "\u0120"  # how byte-level vocabularies write the space
 _MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
 _META = struct.Struct("<BqB")
 RECORDS_PER_READ = 1024
+SLICE_BYTES = 4 << 20  # of text encoded at once
+READ_BYTES = 16 << 20  # of records per reading task
 MANIFEST = ("file string, index_file string, first_id bigint, n_records bigint, n_ids bigint, n_bytes bigint")
 
 
@@ -76,12 +81,12 @@ class Encoder:
 
     Its pre-tokenizer never joins across a space that follows a non-space or
     ends a run of white space. So texts are cut at such spaces and each
-    distinct word is encoded once, many words in one call; the ids are dealt
-    back to the words by the bytes they stand for. Texts with a space inside a
+    distinct word is encoded once, many words in one call; a word's ids begin
+    at the one that holds its space. Texts with a space inside a
     run of white space, or with an added token, are encoded whole.
     """
 
-    _OTHER_WHITE = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _OTHER_WHITE = "[\\t\\r\\v\\f\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
     _INSIDE_RUN = re.compile(r"\s (?=\s|\Z)| (?=\s)")
     WORDS_PER_CALL = 1000
 
@@ -93,10 +98,10 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of_id = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character per byte
-        for token, k in vocab.items():
-            self.bytes_of_id[k] = len(token)
-        self.cache = ChunkCache(self._encode_words)
+        self.opens_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens_word[[k for token, k in vocab.items() if token.startswith(SPACE_BYTE)]] = True
+        self.tokenizer.model._resize_cache(0)  # words are kept here, whole
+        self.cache = WordCache(self._encode_words)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Each word with a space before it."""
@@ -104,35 +109,44 @@ class Encoder:
         groups = [words[lo:lo + step] for lo in range(0, len(words), step)]
         out: list[bytes] = []
         for group, e in zip(groups, self._ids([" " + " ".join(g) for g in groups])):
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in group), np.int64, len(group)))
-            cuts = np.searchsorted(np.cumsum(self.bytes_of_id[e]), ends, "left") + 1
-            body, w = e.astype(self.kind).tobytes(), self.width
-            at = 0
-            for cut in cuts.tolist():
-                out.append(body[at:cut * w])
-                at = cut * w
+            begins = (np.flatnonzero(self.opens_word[e]) * self.width).tolist()
+            if len(begins) != len(group):
+                raise ValueError("words and space marks do not agree")
+            body = e.astype(self.kind).tobytes()
+            out += [body[a:b] for a, b in zip(begins, [*begins[1:], len(body)])]
         return out
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int64)
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _uneven(self, text: str) -> bool:
+    def _uneven(self, texts: pa.Array) -> np.ndarray:
         """Whether spaces stand beside other white space, or an added token occurs."""
-        return ("  " in text or " \n" in text or text.endswith(" ")
-                or bool(self._OTHER_WHITE.search(text) and self._INSIDE_RUN.search(text))
-                or any(a in text for a in self.added))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        even = [k for k, text in enumerate(texts) if not self._uneven(text)]
-        words = [texts[k].split(" ") for k in even]
-        firsts = self._ids([w.pop(0) for w in words])
-        out: list[bytes | None] = [None] * len(texts)
-        for k, first, rest in zip(even, firsts, self.cache.encode(words)):
-            out[k] = first.astype(self.kind).tobytes() + b"".join(rest)
-        whole = [k for k, body in enumerate(out) if body is None]
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
-            out[k] = ids.astype(self.kind).tobytes()
+        found = pc.ends_with(texts, " ")
+        for part in ("  ", " \n", *self.added):
+            found = pc.or_(found, pc.match_substring(texts, part))
+        found = np.array(found)
+        for k in np.flatnonzero(np.array(pc.match_substring_regex(texts, self._OTHER_WHITE)) & ~found):
+            found[k] = bool(self._INSIDE_RUN.search(texts[int(k)].as_py()))
+        return found
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The id bytes of each text (strings without nulls)."""
+        uneven = self._uneven(texts)
+        whole = texts.filter(pa.array(uneven)).to_pylist()
+        bodies = [ids.astype(self.kind).tobytes() for ids in self._ids(whole)]
+        split = pc.split_pattern(texts.filter(pa.array(~uneven)), " ")
+        offsets = np.array(split.offsets)
+        words = split.flatten()
+        firsts = self._ids(words.take(pa.array(offsets[:-1])).to_pylist())
+        coded = words.dictionary_encode()
+        parts = self.cache.encode(coded.dictionary.to_pylist()) + [f.astype(self.kind).tobytes() for f in firsts]
+        codes = np.array(coded.indices)
+        codes[offsets[:-1]] = len(parts) - len(firsts) + np.arange(len(firsts))
+        even = laid_out(parts, codes, offsets, self.kind)
+        out, whole_at, even_at = [], iter(bodies), iter(even)
+        for odd in uneven.tolist():
+            out.append(next(whole_at) if odd else next(even_at))
         return out
 
 
@@ -141,17 +155,6 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _runs(texts: list[str], limit: int = 1 << 20) -> Iterator[slice]:
-    lo = total = 0
-    for k, text in enumerate(texts):
-        if total and total + len(text) > limit:
-            yield slice(lo, k)
-            lo, total = k, 0
-        total += len(text)
-    if texts:
-        yield slice(lo, len(texts))
-
-
 def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
     """Encode every text, append ``end_id``, write records in ascending doc_id order.
 
@@ -171,10 +174,9 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
         at = ids = 0
         first_id = None
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [t or "" for t in texts]
-            for run in _runs(texts):
-                for doc_id, body in zip(doc_ids[run], encode(texts[run])):
+            for rows, _, _ in text_slices(batch, "text", SLICE_BYTES):
+                texts = rows.column(1).fill_null("")
+                for doc_id, body in zip(rows.column(0).to_pylist(), encode(texts)):
                     if out is None:
                         fs.create_dir(base, recursive=True)
                         name = f"part-{uuid.uuid4().hex}"
@@ -242,5 +244,6 @@ def read_records(manifest: DataFrame, records_per_read: int = RECORDS_PER_READ)
                         out, held = {k: [] for k in out}, 0
                 yield pa.RecordBatch.from_pydict(out, schema)
 
-    spread = ranges.repartition(F.xxhash64("file", "lo"))
+    total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+    spread = ranges.repartition(1 + total // READ_BYTES, F.xxhash64("file", "lo"))
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
