@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from shopflow.llm.chunk_cache import ChunkCache
+from shopflow.llm.bytewords import text_slices
+from shopflow.llm.word_cache import WordCache, laid_out
 
 MARK = "▁"
 UNKNOWN_SURFACE = " ⁇ "
@@ -65,7 +67,7 @@ class PieceModel:
                    for i, p in enumerate(self.pieces)]
         self.surface = pa.array(surface, pa.large_binary())
         self.surface_length = np.array([len(s) for s in surface], np.int64)
-        self.cache = ChunkCache(self._segment_words)
+        self.cache = WordCache(self._segment_words)
 
     # encoding ------------------------------------------------------------------
     def _merge(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,19 +186,25 @@ class PieceModel:
 
     _RUNS = re.compile(r" *[^ ]+| +\Z")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, as the library's ``encode`` gives them."""
-        words = []
-        for text in texts:
-            text = text.replace(MARK, " ")  # both stand for a space
-            if not text:
-                words.append([])
-            elif "  " in text or text[0] == " " or text[-1] == " ":
-                # a word takes the spaces before it; the dummy prefix is one more
-                words.append([w[1:] for w in self._RUNS.findall(" " + text)])
-            else:
-                words.append(text.split(" "))
-        return [b"".join(parts) for parts in self.cache.encode(words)]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text (strings without nulls), as the library's ``encode`` gives them."""
+        texts = pc.replace_substring(texts, MARK, " ")  # both stand for a space
+        uneven = np.array(pc.or_(pc.match_substring(texts, "  "), pc.or_(
+            pc.starts_with(texts, " "), pc.ends_with(texts, " "))))
+        spaced = [self._spaced(text) for text in texts.filter(pa.array(uneven)).to_pylist()]
+        split = pc.split_pattern(texts.filter(pa.array(~uneven)), " ")
+        coded = split.flatten().dictionary_encode()
+        even = laid_out(self.cache.encode(coded.dictionary.to_pylist()), np.array(coded.indices),
+                        np.array(split.offsets), "<i4")
+        spaced_at, even_at = iter(spaced), iter(even)
+        return [next(spaced_at) if odd else next(even_at) for odd in uneven.tolist()]
+
+    def _spaced(self, text: str) -> bytes:
+        """Ids of a text with runs of spaces: a word takes the spaces before it, the dummy prefix is one more."""
+        runs = self._RUNS.findall(" " + text)
+        lone = runs[-1] == " "  # a last space by itself
+        words = self.cache.encode([w[1:] for w in (runs[:-1] if lone else runs)])
+        return b"".join(words) + (self.segment([MARK])[0].astype("<i4").tobytes() if lone else b"")
 
     # decoding ------------------------------------------------------------------
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -227,20 +235,13 @@ def encode_decode(docs: DataFrame, model_path: str, check: bool = True) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path, check)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 1 << 20):
-                    size += len(texts[hi])
-                    hi += 1
-                bodies = model.encode(texts[lo:hi])
+            for rows, _, _ in text_slices(batch, "text"):
+                bodies = model.encode(rows.column(1).fill_null(""))
                 ids = np.frombuffer(b"".join(bodies), "<i4")
                 offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in bodies])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, pa.array(ids)),
+                    [rows.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids)),
                      pa.array(model.decode(ids, offsets), pa.string())], ["doc_id", "ids", "decoded"])
-                lo = hi
 
     schema = (docs.select("doc_id").schema.add("ids", ArrayType(IntegerType()))
               .add("decoded", StringType()))
