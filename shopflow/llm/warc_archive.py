@@ -29,6 +29,7 @@ MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 RANGE_BYTES = 4 << 20
 FILE_BYTES = 256 << 20
+TASK_BYTES = 16 << 20  # of archives per reading task
 HEADER_LIMIT = 1 << 20
 DATE = "1970-01-01T00:00:00Z"  # the pages carry no capture time
 _LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]+)(?=\r\n)", re.IGNORECASE)
@@ -154,7 +155,12 @@ def candidates(data: bytes, size: int) -> list[tuple[int, int]]:
 def _ranges(manifest: DataFrame, range_bytes: int) -> DataFrame:
     starts = F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(range_bytes).cast("long"))
     ranges = manifest.select("file", "n_bytes", F.explode(starts).alias("lo"))
-    return ranges.repartition(F.xxhash64("file", "lo"))
+    return ranges.repartition(_tasks(manifest), F.xxhash64("file", "lo"))
+
+
+def _tasks(manifest: DataFrame) -> int:
+    """Reading tasks for all files together."""
+    return 1 + (manifest.agg(F.sum("n_bytes")).first()[0] or 0) // TASK_BYTES
 
 
 def range_entries(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -199,7 +205,7 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
 
     Raises where a chain of records does not end with its file.
     """
-    entries = range_entries(manifest, range_bytes).repartition(F.xxhash64("file", "offset"))
+    entries = range_entries(manifest, range_bytes).repartition(_tasks(manifest), F.xxhash64("file", "offset"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
