@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, quality_gam, secret_scan, token_records, warc_archive
+from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, quality_gam, secret_scan, signature_join, token_records, warc_archive
 from shopflow.llm.sampling import not_held_out
 
 
@@ -44,6 +44,10 @@ def op2_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_signature_join(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_join.similar_components(table(spark, folder, "documents"), words=3, numerator=9, denominator=10)
+
+
 def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
     manifest = token_records.write_records(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_records.read_records(manifest).select("doc_id", "start", "n_tokens",
@@ -86,6 +90,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_gam": op2_quality_gam,
+    "op3_signature_join": op3_signature_join,
     "op4_token_records": op4_token_records,
     "op5_piece_codec": op5_piece_codec,
     "op7_language_cnn": op7_language_cnn,
