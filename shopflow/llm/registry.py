@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, quality_gam, secret_scan, signature_join, token_records, warc_archive
+from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, quality_gam, secret_scan, signature_join, suffix_dedup, token_records, warc_archive
 from shopflow.llm.sampling import not_held_out
 
 
@@ -61,6 +61,11 @@ def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_language_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     net = language_cnn.fit(docs, not_held_out())
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_signature_join": op3_signature_join,
     "op4_token_records": op4_token_records,
     "op5_piece_codec": op5_piece_codec,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_cnn": op7_language_cnn,
     "op8_warc_archive": op8_warc_archive,
     "op9_decontaminate": op9_decontaminate,
