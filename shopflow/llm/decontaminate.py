@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -143,6 +144,17 @@ def _spans(words, data, offsets, start, end, base, r) -> list[dict]:
     return out
 
 
+def window_blocks(benchmark: DataFrame, n: int, block_windows: int) -> Iterator[Broadcast]:
+    """The test set as broadcast blocks of about ``block_windows`` windows, one at least."""
+    spark = benchmark.sparkSession
+    windows = stage(benchmark_windows(benchmark, n), "test-windows")
+    blocks = max(1, -(-windows.count() // block_windows))
+    for block in range(blocks):
+        # dealt by hash, so a block is close to its bound
+        part = windows.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block) if blocks > 1 else windows
+        yield spark.sparkContext.broadcast(WindowSet(part.collect()))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10,
                        block_windows: int = 1_000_000) -> DataFrame:
     """``doc_id, text, found`` for every document row.
@@ -153,28 +165,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10,
     with null text, which match nothing. A null item_id is named by an empty
     string. An empty benchmark hits nothing; repeated rows are judged alike.
     """
-    spark = docs.sparkSession
-    windows = stage(benchmark_windows(benchmark, n), "test-windows")
-    blocks = max(1, -(-windows.count() // block_windows))
     out = docs.select("doc_id", "text")
-    for block in range(blocks):
-        # windows spread by hash, so a block is within a few per cent of its bound
-        part = windows.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block) if blocks > 1 else windows
-        tests = spark.sparkContext.broadcast(WindowSet(part.collect()))
-        schema = docs.select("doc_id", "text").schema.add("found", DataType.fromDDL(FOUND_TYPE))
-        out = out.mapInArrow(_scan(tests, block > 0), schema)
-        if block + 1 < blocks:
+    schema = docs.select("doc_id", "text").schema.add("found", DataType.fromDDL(FOUND_TYPE))
+    for block, tests in enumerate(window_blocks(benchmark, n, block_windows)):
+        if block:
             out = stage(out, "contamination")
-            tests.unpersist()
+        out = out.mapInArrow(_scan(tests, block > 0), schema)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10,
                       block_windows: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` without a test window, columns unchanged."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = find_contamination(docs.select(row.alias("doc_id"), "text"), benchmark, n, block_windows)
-    return marked.where(F.size("found.hit_words") == 0).select("doc_id.*")
+    """The rows of ``docs`` without a test window, columns unchanged; one filter per block of the test set."""
+
+    def clean(tests):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, data, offsets in text_slices(batch, "text"):
+                    start, end, row = word_spans(data, offsets, WORD)
+                    keep = np.ones(rows.num_rows, bool)
+                    keep[[row[f] for f, _, _ in tests.value.hits(data, start, end, row)]] = False
+                    yield rows.filter(pa.array(keep))
+        return run
+
+    for tests in window_blocks(benchmark, n, block_windows):
+        docs = docs.mapInArrow(clean(tests), docs.schema)
+    return docs
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
