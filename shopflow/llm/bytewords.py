@@ -9,7 +9,7 @@ position independent with the base's inverse powers, then mixed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,21 +104,22 @@ def sequence_hashes(words: np.ndarray, row: np.ndarray, length: int) -> tuple[np
     return mix(total), first
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray,
-                 length: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, length: int,
+                 weigh: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
     """(row, hash) of the distinct shingles of each text, sorted by row and hash.
 
     A text of fewer words than ``length`` has its whole sequence as one
-    shingle, a text without words none.
+    shingle, a text without words none. With ``weigh``, a function of word
+    hashes, the sum over each shingle's words is the third result.
     """
     start, end, row = word_spans(data, offsets, word_byte)
     words = span_hashes(LOWER[data], start, end)
     shingle, first = sequence_hashes(words, row, length)
     owner = row[first]
     counts = np.bincount(row, minlength=len(offsets) - 1)
+    begin = np.cumsum(counts) - counts
     short = np.flatnonzero((counts > 0) & (counts < length))
     if len(short):
-        begin = np.cumsum(counts) - counts
         extra = np.array([sequence_hashes(words[begin[r]:begin[r] + counts[r]],
                                           row[begin[r]:begin[r] + counts[r]], int(counts[r]))[0][0]
                           for r in short], np.uint64)
@@ -127,7 +128,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray,
     shingle, owner = shingle[order], owner[order]
     keep = np.ones(len(shingle), bool)
     keep[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
-    return owner[keep], shingle[keep]
+    if weigh is None:
+        return owner[keep], shingle[keep]
+    sums = np.concatenate([[0], np.cumsum(weigh(words))])
+    weight = np.concatenate([sums[first + length] - sums[first], sums[begin[short] + counts[short]] - sums[begin[short]]])
+    return owner[keep], shingle[keep], weight[order][keep]
+
+
+def text_words(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word, lower-cased."""
+    start, end, row = word_spans(data, offsets, word_byte)
+    return row, span_hashes(LOWER[data], start, end)
 
 
 def char_positions(data: np.ndarray) -> np.ndarray:

@@ -5,14 +5,17 @@ at least ``numerator / denominator``. The join loses no link:
 
 1. Texts with equal sets form one class; from here on a class is one node.
 2. Two linked sets share a shingle among their first ``n - ceil(t * n) + 1``
-   in any common order. The order is by hash, with frequent shingles last, so
-   a passage in many texts does not bring them together. Nodes that share such
-   a shingle, directly or through others, form a cluster; each node is in one.
-3. Each cluster gets a signature tree: leaves hold token bitmaps and sizes,
-   inner nodes the OR of the bitmaps below and the range of sizes. The tree is
-   traversed against itself; a pair of nodes is pruned when the overlap that
-   its bitmaps and sizes allow is too small, or when all below is already in
-   one component. What remains is checked on the exact sets.
+   in any common order. The order puts shingles of rare words first, by the
+   words' counts, and frequent shingles last; so neither common words nor a
+   passage in many texts brings unlike texts together.
+3. The nodes that share such a shingle get a signature tree: leaves hold token
+   bitmaps and sizes, inner nodes the OR of the bitmaps below and the range of
+   sizes. The tree is traversed against itself, and a pair of tree nodes is
+   pruned when the overlap that its bitmaps and sizes allow is too small, or
+   when all below is connected already. What remains connects the nodes into
+   clusters; a frequent shingle's nodes are all connected, without a tree.
+   Each cluster gets a second tree whose leaves also hold the exact sets, and
+   the pairs that its traversal leaves are checked on them.
 4. A cluster too large for one task is cut into blocks by hash. Blocks are
    joined within, then one representative of each component found so far
    across blocks, and only nodes outside the cluster's largest component are
@@ -32,15 +35,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from shopflow.llm.bytewords import WHITE, shingle_sets, text_slices
+from shopflow.llm.bytewords import WHITE, shingle_sets, text_slices, text_words
 from shopflow.llm.graph import components
 from shopflow.llm.staging import stage
 
 FANOUT = 8
 BLOCK_TOKENS = 2_000_000  # in one tree
-CHUNK_TOKENS = 2_000_000  # counted together when looking for frequent shingles
-FREQUENT_BOUND = 500_000  # of the broadcast list of frequent shingles
-FREQUENT_LEAST = 16
+CHUNK_TOKENS = 2_000_000  # counted together when looking for common words and shingles
+COMMON_WORDS = 400_000  # most words in the broadcast table
+FREQUENT_SHINGLES = 1_500_000  # most shingles in the broadcast table
 BROADCAST_ROWS = 1_000_000
 SALTS = 64
 _WORD = ~WHITE
@@ -66,8 +69,16 @@ def _set_rows(batch: pa.RecordBatch, words: int,
         yield rows, shingles, bounds, nodes
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits of the shingles' low ends; twice as many bits as shingles, rounded up to a power of two."""
+    bits = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    held = np.zeros(bits, bool)
+    held[shingles & np.uint64(bits - 1)] = True
+    return np.packbits(held).view(np.uint64)
+
+
 def set_nodes(docs: DataFrame, words: int, salt: int) -> DataFrame:
-    """``doc_id, n_shingles, node, digest`` of every row."""
+    """``doc_id, n_shingles, node, digest, bitmap`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,12 +86,14 @@ def set_nodes(docs: DataFrame, words: int, salt: int) -> DataFrame:
                 raw = shingles.tobytes()
                 digest = [hashlib.blake2b(raw[8 * a:8 * b], digest_size=16).digest()
                           for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+                bitmaps = [bitmap(shingles[a:b]).tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(np.diff(bounds)), pa.array(nodes, pa.int64()),
-                     pa.array(digest, pa.binary())], ["doc_id", "n_shingles", "node", "digest"])
+                     pa.array(digest, pa.binary()), pa.array(bitmaps, pa.binary())],
+                    ["doc_id", "n_shingles", "node", "digest", "bitmap"])
 
     schema = (docs.select("doc_id").schema.add("n_shingles", LongType()).add("node", LongType())
-              .add("digest", BinaryType()))
+              .add("digest", BinaryType()).add("bitmap", BinaryType()))
     return stage(docs.mapInArrow(run, schema), "set-nodes")
 
 
@@ -96,94 +109,113 @@ def distinct_nodes(docs: DataFrame, words: int) -> tuple[DataFrame, int]:
 
 # --- candidate clusters ----------------------------------------------------------------
 
-def frequent_shingles(docs: DataFrame, words: int, salt: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, weight) of shingles in many different sets, sorted; counts leave out lone occurrences.
+def counted_hashes(docs: DataFrame, words: int, salt: int, total: int) -> tuple[HashWeights, HashWeights]:
+    """(common words, frequent shingles) with their counts in different sets.
 
-    Every occurrence is looked at. The threshold grows with ``total``, so at
-    most FREQUENT_BOUND shingles can pass it.
+    Every occurrence is looked at; of each run of texts, words that occur less
+    than 4 times and shingles that occur once are left out of the counts. The
+    thresholds grow with ``total``, so at most COMMON_WORDS and
+    FREQUENT_SHINGLES can pass them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: tuple[list, list] = ([], [])
         seen: set[int] = set()
         size = 0
 
-        def counted() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            some = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(counts[some])],
-                                              ["shingle", "n"])
+        def counted() -> Iterator[pa.RecordBatch]:
+            for kind, least in ((0, 4), (1, 2)):
+                hashes, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
+                some = counts >= least
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(some.sum(), kind, np.int32)), pa.array(hashes[some].view(np.int64)),
+                     pa.array(counts[some])], ["kind", "hash", "n"])
 
         for batch in batches:
-            for _, shingles, bounds, nodes in _set_rows(batch, words, salt):
-                for node, a, b in zip(nodes, bounds.tolist(), bounds[1:].tolist()):
+            for rows, shingles, bounds, nodes in _set_rows(batch, words, salt):
+                _, data, offsets = next(text_slices(rows, "text", 1 << 62))
+                row, text_word = text_words(data, offsets, _WORD)
+                word_bounds = np.searchsorted(row, np.arange(len(nodes) + 1))
+                for k, node in enumerate(nodes):
                     if node not in seen:
                         seen.add(node)
-                        held.append(shingles[a:b])
-                        size += b - a
+                        held[0].append(text_word[word_bounds[k]:word_bounds[k + 1]])
+                        held[1].append(shingles[bounds[k]:bounds[k + 1]])
+                        size += int(bounds[k + 1] - bounds[k])
                 if size > CHUNK_TOKENS:
-                    yield counted()
-                    held, size, seen = [], 0, set()
-        yield counted()
-
-    least = max(FREQUENT_LEAST, -(-total // FREQUENT_BOUND))
-    rows = (docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle")
+                    yield from counted()
+                    held, size, seen = ([], []), 0, set()
+        if size:
+            yield from counted()
+
+    least = F.when(F.col("kind") == 0, max(16, -(-total // COMMON_WORDS))).otherwise(
+        max(8, -(-total // FREQUENT_SHINGLES)))
+    rows = (docs.select("text").mapInArrow(run, "kind int, hash bigint, n bigint").groupBy("kind", "hash")
             .agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow())
-    shingles = np.array(rows["shingle"], np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], np.array(rows["n"], np.int64)[order]
+    kind = np.array(rows["kind"])
+    hashes, counts = np.array(rows["hash"], np.int64).view(np.uint64), np.array(rows["n"], np.int64)
+    return tuple(HashWeights(hashes[kind == k], counts[kind == k]) for k in (0, 1))
 
 
-class CommonOrder:
-    """Shingles by hash, the frequent ones after all others and by rising weight."""
+class HashWeights:
+    """Small weights of some hashes, growing with the logarithm of their counts; 0 for all others."""
 
     FILTER_BITS = 22
 
-    def __init__(self, shingles: np.ndarray, weights: np.ndarray):
-        self.shingles, self.weights = shingles, weights
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.weights = (1 + 4 * np.log2(counts[order])).astype(np.uint16)
         self.filter = np.zeros(1 << self.FILTER_BITS, bool)
-        self.filter[shingles >> np.uint64(64 - self.FILTER_BITS)] = True
-
-    def weigh(self, shingles: np.ndarray) -> np.ndarray:
-        """Weight of each shingle, 0 for those not frequent."""
-        out = np.zeros(len(shingles), np.int64)
-        if len(self.shingles):
-            near = np.flatnonzero(self.filter[shingles >> np.uint64(64 - self.FILTER_BITS)])
-            at = np.minimum(np.searchsorted(self.shingles, shingles[near]), len(self.shingles) - 1)
-            same = self.shingles[at] == shingles[near]
+        self.filter[hashes >> np.uint64(64 - self.FILTER_BITS)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), np.int64)
+        if len(self.hashes):
+            near = np.flatnonzero(self.filter[hashes >> np.uint64(64 - self.FILTER_BITS)])
+            at = np.minimum(np.searchsorted(self.hashes, hashes[near]), len(self.hashes) - 1)
+            same = self.hashes[at] == hashes[near]
             out[near[same]] = self.weights[at[same]]
         return out
 
-    def prefixes(self, shingles: np.ndarray, bounds: np.ndarray, numerator: int,
-                 denominator: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, shingle, frequent) of the first shingles of every set in the common order."""
-        size = np.diff(bounds)
-        row = np.repeat(np.arange(len(size)), size)
-        wanted = np.where(size > 0, size - least_overlap(size, numerator, denominator) + 1, 0)
-        weight = self.weigh(shingles)
-        rare = weight == 0
-        rank = np.concatenate([[0], np.cumsum(rare)])
-        take = rare & (rank[1:] - rank[bounds[:-1]][row] <= wanted[row])
-        rares = rank[bounds[1:]] - rank[bounds[:-1]]
-        more = np.flatnonzero(~rare & (wanted > rares)[row])
-        if len(more):
-            more = more[np.lexsort((shingles[more], weight[more], row[more]))]
-            first = np.searchsorted(row[more], row[more])
-            take[more[np.arange(len(more)) - first < (wanted - rares)[row[more]]]] = True
-        at = np.flatnonzero(take)
-        return row[at], shingles[at], ~rare[at]
-
-
-def cluster_edges(docs: DataFrame, words: int, salt: int, order, numerator: int, denominator: int) -> DataFrame:
-    """Links (a, b) that connect all nodes sharing a prefix shingle, as stars."""
+
+def prefixes(shingles: np.ndarray, bounds: np.ndarray, word_weight: np.ndarray, frequent: np.ndarray, numerator: int,
+             denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of the first shingles of every set in the common order.
+
+    The order is by weight, the frequent ones' last, then by hash, by which
+    each set is sorted already.
+    """
+    rank = np.where(frequent > 0, 32768 + frequent, np.minimum(word_weight, 32767)).astype(np.uint16)
+    rows, picked = [], []
+    for row, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+        if b > a:
+            wanted = b - a - int(least_overlap(b - a, numerator, denominator)) + 1
+            picked.append(a + np.argsort(rank[a:b], kind="stable")[:wanted])
+            rows.append(np.full(wanted, row))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(picked)) if rows else (none, none)
+
+
+def prefix_groups(docs: DataFrame, words: int, salt: int, order, numerator: int, denominator: int) -> DataFrame:
+    """``shingle, salt, node, low``: the nodes that share a prefix shingle, with the group's least node.
+
+    Salt is 0 for shingles that are not frequent. A frequent one's rows are
+    dealt over SALTS groups. Of groups with the same nodes one is left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        common, frequent_ = order.value
         for batch in batches:
-            for _, shingles, bounds, nodes in _set_rows(batch, words, salt):
-                row, prefix, frequent = order.value.prefixes(shingles, bounds, numerator, denominator)
+            for rows, shingles, bounds, nodes in _set_rows(batch, words, salt):
+                _, data, offsets = next(text_slices(rows, "text", 1 << 62))
+                *_, weight = shingle_sets(data, offsets, _WORD, words, common)
+                often = frequent_(shingles)
+                row, at = prefixes(shingles, bounds, weight, often, numerator, denominator)
+                prefix, frequent = shingles[at], often[at] > 0
                 fresh = np.array([n not in seen for n in nodes], bool)
-                if len(seen) < 1_000_000:
+                if len(seen) < 1_000_000:  # copies in one task are emitted once; others meet in the group
                     seen.update(nodes)
                 keep = fresh[row]
                 node = np.array(nodes, np.int64)[row[keep]]
@@ -193,45 +225,120 @@ def cluster_edges(docs: DataFrame, words: int, salt: int, order, numerator: int,
                     ["shingle", "node", "salt"])
 
     rows = docs.select("text").mapInArrow(run, "shingle bigint, node bigint, salt int")
-    # a frequent shingle's rows are spread over SALTS groups, whose least nodes meet in a second step
     group = Window.partitionBy("shingle", "salt")
-    stars = rows.withColumn("low", F.min("node").over(group))
-    stars = stage(stars.where("node <> low OR salt > 0").select("shingle", "salt", "node", "low"), "prefix-stars")
-    tops = stars.where("salt > 0").select("shingle", "low").distinct()
+    rows = rows.select("*", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"),
+                       F.bit_xor(F.xxhash64("node")).over(group).alias("x"),
+                       F.bit_xor(F.xxhash64("node", F.lit(1))).over(group).alias("y"))
+    rows = stage(rows.where("low <> high OR salt > 0").distinct(), "prefix-groups")
+    chosen = (rows.where("salt = 0").groupBy("low", "high", "x", "y").agg(F.min("shingle").alias("shingle"))
+              .select("shingle"))
+    plain = rows.where("salt = 0").join(chosen, "shingle", "left_semi")
+    return plain.union(rows.where("salt > 0").select(*plain.columns)).select("shingle", "salt", "node", "low")
+
+
+def cluster_edges(groups: DataFrame, nodes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of a group whose bitmaps and sizes allow a link."""
+    frequent = groups.where("salt > 0")
+    tops = frequent.select("shingle", "low").distinct()
     across = tops.withColumn("least", F.min("low").over(Window.partitionBy("shingle")))
-    return (stars.select(F.col("low").alias("a"), F.col("node").alias("b"))
-            .union(across.select(F.col("least").alias("a"), F.col("low").alias("b")))
-            .where("a <> b").distinct())
+    stars = (frequent.select(F.col("low").alias("a"), F.col("node").alias("b"))
+             .union(across.select(F.col("least").alias("a"), F.col("low").alias("b"))).where("a <> b"))
+    signatures = nodes.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
+    members = groups.where("salt = 0").join(signatures, "node").select("shingle", "node", "n", "bitmap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs_of(batches):
+            pairs = [(rows[a][1], rows[b][1]) for a, b in _allowed_links(
+                np.array([r[2] for r in rows]), [np.frombuffer(r[3], np.uint64) for r in rows],
+                numerator, denominator)]
+            yield _pairs(pairs)
+
+    return stage(_grouped(members, "shingle").mapInArrow(run, "a bigint, b bigint").union(stars).distinct(),
+                 "cluster-edges")
+
+
+def _grouped(members: DataFrame, key: str) -> DataFrame:
+    """Rows of a key one after the other, in as many tasks as shuffles have."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(n, key).sortWithinPartitions(key)
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows with one value in the first column, several at least, from rows sorted by it."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][0] != row[0]:
+                if len(held) > 1:
+                    yield held
+                held = []
+            held.append(row)
+    if len(held) > 1:
+        yield held
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
+                                       pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap over half as many bits, if it is longer."""
+    return bitmap[:words] | bitmap[words:] if len(bitmap) > words else bitmap
+
+
+def _allowed_links(size: np.ndarray, bitmaps: list[np.ndarray], numerator: int,
+                   denominator: int) -> Iterator[tuple[int, int]]:
+    """Pairs that connect all that bitmaps and sizes allow; t is over 1/2, so widths differ by 2 at most."""
+    width = np.array([len(b) for b in bitmaps])
+    for w in np.unique(width):
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        if (width[at] == w).any() and len(at) > 1:
+            at = at[np.argsort(size[at], kind="stable")]
+            tree = SignatureTree(np.stack([_folded(bitmaps[k], w) for k in at]), size[at], np.arange(len(at)),
+                                 numerator, denominator)
+            for a, b in tree.stars():
+                yield int(at[a]), int(at[b])
 
 
 # --- signature trees -------------------------------------------------------------------
 
 class SignatureTree:
-    """A tree over sets: bitmaps OR-combined and sizes ranged from the leaves up."""
+    """A tree over sets in a given order: bitmaps OR-combined and sizes ranged from the leaves up.
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, numerator: int, denominator: int):
+    ``labels`` tell which sets are known to be connected. With ``sets`` a pair
+    is a link when its similarity reaches the threshold, without when bitmaps
+    and sizes allow it.
+    """
+
+    def __init__(self, bitmaps: np.ndarray, size: np.ndarray, labels: np.ndarray, numerator: int, denominator: int,
+                 sets: list[np.ndarray] | None = None):
+        self.numerator, self.denominator, self.sets = numerator, denominator, sets
+        self.labels = np.unique(labels, return_inverse=True)[1]
+        excess = size - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
+        # per level: bitmap, least and greatest size, greatest count of shingles that share a bit
+        self.levels = [(bitmaps, size, size, excess)]
+        while len(self.levels[-1][1]) > 1:
+            bitmap_, low, high, excess = self.levels[-1]
+            at = np.arange(0, len(low), FANOUT)
+            self.levels.append((np.bitwise_or.reduceat(bitmap_, at), np.minimum.reduceat(low, at),
+                                np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at)))
+
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], labels: np.ndarray, numerator: int,
+                denominator: int) -> tuple[SignatureTree, np.ndarray]:
+        """(tree with exact sets, position of each leaf's set): like sizes, then like least shingles side by side."""
         size = np.array([len(s) for s in sets])
         first = np.array([s[0] for s in sets], np.uint64)
         order = np.lexsort((first, np.log(size) // np.log(denominator / numerator)))
-        self.order, self.numerator, self.denominator = order, numerator, denominator
-        self.sets = [sets[k] for k in order]
-        self.labels = np.unique(labels[order], return_inverse=True)[1]
-        size = size[order]
-        bits = int(min(max(1024, 1 << int(32 * np.median(size)).bit_length()), 65536))
+        bits = min(max(1024, 1 << int(32 * np.median(size)).bit_length()), 65536)
         leaves = np.zeros((len(sets), bits // 8), np.uint8)
-        for k, s in enumerate(self.sets):
+        for k, at in enumerate(order):
             held = np.zeros(bits, bool)
-            held[s & np.uint64(bits - 1)] = True
+            held[sets[at] & np.uint64(bits - 1)] = True
             leaves[k] = np.packbits(held)
-        leaves = leaves.view(np.uint64)
-        excess = size - np.bitwise_count(leaves).sum(axis=1, dtype=np.int64)
-        # per level: bitmap, least and greatest size, greatest count of shingles that share a bit
-        self.levels = [(leaves, size, size, excess)]
-        while len(self.levels[-1][1]) > 1:
-            bitmap, low, high, excess = self.levels[-1]
-            at = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bitmap, at), np.minimum.reduceat(low, at),
-                                np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at)))
+        return cls(leaves.view(np.uint64), size[order], labels[order], numerator, denominator,
+                   [sets[k] for k in order]), order
 
     def _possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """(len(a), len(b)) whether the pairs' bitmaps and sizes allow a link."""
@@ -251,12 +358,23 @@ class SignatureTree:
                     and (self.labels[b * step:(b + 1) * step] == first).all())
 
     def _linked(self, a: int, b: int) -> bool:
+        if self.sets is None:
+            return True  # bitmaps and sizes were compared on the way down
         x, y = self.sets[a], self.sets[b]
         shared = len(x) + len(y) - len(np.union1d(x, y))
         return shared * self.denominator >= self.numerator * (len(x) + len(y) - shared)
 
-    def links(self) -> Iterator[tuple[int, int]]:
-        """Links (positions in the given list) that connect all that is linked."""
+    def stars(self) -> Iterator[tuple[int, int]]:
+        """Pairs of leaves, (first, other), that connect all that is linked or was known to be."""
+        self._connect()
+        first: dict[int, int] = {}
+        for leaf, label in enumerate(self.labels.tolist()):
+            lead = first.setdefault(label, leaf)
+            if lead != leaf:
+                yield lead, leaf
+
+    def _connect(self) -> None:
+        """Traverse the tree against itself and give linked leaves one label."""
         top = len(self.levels) - 1
         todo = [(top, 0, 0)]
         while todo:
@@ -265,7 +383,6 @@ class SignatureTree:
                 continue
             if level == 0:
                 if self._linked(a, b):
-                    yield int(self.order[a]), int(self.order[b])
                     self.labels[self.labels == self.labels[b]] = self.labels[a]
                 continue
             count = len(self.levels[level - 1][1])
@@ -287,32 +404,15 @@ def tree_links(members: DataFrame, numerator: int, denominator: int) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows = None, {}
-
-        def joined() -> pa.RecordBatch:
-            nodes = list(rows)
-            pairs: list[tuple[int, int]] = []
-            if len(nodes) > 1:
-                sets = [np.frombuffer(rows[n][1], np.uint64) for n in nodes]
-                tree = SignatureTree(sets, np.array([rows[n][0] for n in nodes], np.int64), numerator, denominator)
-                pairs = [(nodes[a], nodes[b]) for a, b in tree.links()]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
-                                               pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        for rows in _runs_of(batches):
+            rows = list({r[1]: r for r in rows}.values())
+            if len(rows) > 1:
+                sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+                tree, at = SignatureTree.of_sets(sets, np.array([r[2] for r in rows], np.int64), numerator,
+                                                 denominator)
+                yield _pairs([(rows[at[a]][1], rows[at[b]][1]) for a, b in tree.stars()])
 
-        for batch in batches:
-            parts, nodes, labels = (batch.column(k).to_pylist() for k in range(3))
-            for k, (p, node, label) in enumerate(zip(parts, nodes, labels)):
-                if p != part and rows:
-                    yield joined()
-                    rows = {}
-                part = p
-                rows[node] = (label, batch.column(3)[k].as_py())
-        if rows:
-            yield joined()
-
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = members.select("part", "node", "label", "shingles").repartition(n, "part").sortWithinPartitions("part")
-    return grouped.mapInArrow(run, "a bigint, b bigint")
+    return _grouped(members.select("part", "node", "label", "shingles"), "part").mapInArrow(run, "a bigint, b bigint")
 
 
 def shingles_of(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, words: int, salt: int) -> DataFrame:
@@ -341,9 +441,9 @@ def similarity_links(docs: DataFrame, nodes: DataFrame, words: int, numerator: i
                      salt: int = 0) -> DataFrame:
     """Links between nodes that connect exactly what is linked; ``docs`` has doc_id and text."""
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    order = docs.sparkSession.sparkContext.broadcast(
-        CommonOrder(*frequent_shingles(docs, words, salt, total)))
-    clusters = components(cluster_edges(docs, words, salt, order, numerator, denominator), "clusters")
+    order = docs.sparkSession.sparkContext.broadcast(counted_hashes(docs, words, salt, total))
+    groups = prefix_groups(docs, words, salt, order, numerator, denominator)
+    clusters = components(cluster_edges(groups, nodes, numerator, denominator), "clusters")
     sets = shingles_of(docs, nodes, clusters, words, salt)
     sizes = stage(sets.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks")),
                   "cluster-sizes")
@@ -387,33 +487,63 @@ def similarity_links(docs: DataFrame, nodes: DataFrame, words: int, numerator: i
     return links
 
 
+def rooted_rows(docs: DataFrame, words: int, numerator: int, denominator: int) -> tuple[DataFrame, int]:
+    """(``doc_id, n_shingles, node, root`` of every row, salt); root is null without shingles."""
+    nodes, salt = distinct_nodes(docs, words)
+    sets = nodes.where("n_shingles > 0")
+    reached = components(similarity_links(docs, sets, words, numerator, denominator, salt), "similar")
+    rows = nodes.join(reached, "node", "left").select(
+        "doc_id", "n_shingles", "node",
+        F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("root"))
+    return stage(rows, "rooted-rows"), salt
+
+
 def similar_components(docs: DataFrame, words: int = 3, numerator: int = 9, denominator: int = 10) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id and text).
 
-    ``component_id`` is the least doc_id reachable by links. Null, empty and
-    blank texts have no shingles and are linked with nothing, so each is its
-    own component; so a text's component_id is its own doc_id when nothing
-    links to it. Texts with fewer words than ``words`` have their whole
-    sequence as one shingle. Rows with equal sets are linked, repeated rows
-    too. Null doc_ids are passed over for the least id and stay null only in a
-    component without any id. An empty table gives an empty result.
+    ``component_id`` is the least doc_id reachable by links, itself included.
+    Null, empty and blank texts have no shingles and are linked with nothing.
+    Texts with fewer words than ``words`` have their whole sequence as one
+    shingle. Rows with equal sets are linked, repeated rows too. Null doc_ids
+    are passed over for the least id, which is null only in a component
+    without any id. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
-    nodes, salt = distinct_nodes(docs, words)
-    sets = nodes.where("n_shingles > 0")
-    links = similarity_links(docs, sets, words, numerator, denominator, salt)
-    reached = components(links, "similar")
-    rooted = sets.join(reached, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = rooted.join(least, "root").select("doc_id", "n_shingles", "component_id")
-    alone = nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone)
+    rows, _ = rooted_rows(docs.select("doc_id", "text"), words, numerator, denominator)
+    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "root", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+        .alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, numerator: int = 8, denominator: int = 10) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of their component, columns unchanged."""
-    found = similar_components(docs, words, numerator, denominator)
-    kept = stage(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("kept_id")).distinct(), "similar-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of ``docs`` per component, that with the least doc_id, columns unchanged.
+
+    Rows without shingles all stay. Null doc_ids come last; of rows with one
+    doc_id and one set a single one stays.
+    """
+    names = docs.columns
+    rows, salt = rooted_rows(docs.select("doc_id", "text"), words, numerator, denominator)
+    rows = rows.where("root IS NOT NULL").groupBy("root", "doc_id", "node").agg(F.count("*").alias("times"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    first = rows.groupBy("root").agg(F.min(rank).alias("first"))
+    judged = stage(rows.join(first, "root").select("doc_id", "node", "times", (rank == F.col("first")).alias("stays")),
+                   "similar-judged")
+    judged = judged.select("doc_id", "node", "times", F.coalesce("stays", F.lit(False)).alias("stays"))
+    goes = judged.where("NOT stays").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node"))
+    if goes.count() <= BROADCAST_ROWS:
+        goes = F.broadcast(goes)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_, _, bounds, found in _set_rows(batch, words, salt):
+                node = [n if size else None for n, size in zip(found, np.diff(bounds).tolist())]
+                yield pa.RecordBatch.from_arrays([*slice_.columns, pa.array(node, pa.int64())],
+                                                 [*slice_.schema.names, "_node"])
+
+    marked = docs.mapInArrow(mark, docs.select("*").schema.add("_node", LongType()))
+    left = marked.join(goes, marked["doc_id"].eqNullSafe(goes["_gone_id"]) & (marked["_node"] == goes["_gone_node"]),
+                       "left_anti")
+    if not judged.where("stays AND times > 1").isEmpty():
+        left = (left.where("_node IS NULL")
+                .union(left.where("_node IS NOT NULL").dropDuplicates(["doc_id", "_node"])))
+    return left.select(*[F.col(f"`{c}`") for c in names])
