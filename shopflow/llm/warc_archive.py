@@ -164,7 +164,10 @@ def _tasks(manifest: DataFrame) -> int:
 
 
 def range_entries(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``file, n_bytes, offset``: of each byte range in which a record begins, the first true record."""
+    """``file, n_bytes, offset``: of each byte range in which a record begins, the first true record.
+
+    Raises when a file's chain of records does not end with the file.
+    """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +178,7 @@ def range_entries(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
                     data = f.read(min(range_bytes + HEADER_LIMIT, r["n_bytes"] - r["lo"]))
                 leaves: dict[int, int] = {}
                 for at, end in reversed(candidates(data, range_bytes)):
-                    if end >= range_bytes or end in leaves or r["lo"] + end == r["n_bytes"]:
+                    if end >= range_bytes or end in leaves or r["lo"] + end >= r["n_bytes"]:
                         leaves[at] = leaves.get(end, r["lo"] + end)
                 yield pa.RecordBatch.from_pydict(
                     {"file": [r["file"]] * len(leaves), "n_bytes": [r["n_bytes"]] * len(leaves),
@@ -197,6 +200,10 @@ def range_entries(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
         jumps = stage(jumps.join(second, ["file", "leaves"]).select(
             "file", "offset", F.col("further").alias("leaves")), "warc-jumps")
         hops *= 2
+    ended = reached.join(links.where("leaves = n_bytes").select("file", "offset"), ["file", "offset"])
+    broken = manifest.where("n_bytes > 0").join(ended, "file", "left_anti").select("file").take(1)
+    if broken:
+        raise ValueError(f"{broken[0].file}: the records do not end with the file")
     return reached
 
 
