@@ -16,8 +16,7 @@ all suffixes with all:
    induced by scanning the buckets of first bytes in order. Common prefixes of
    neighbours then tell which starts repeat.
 4. A gram with too many distinct fragments for one task is cut into blocks;
-   starts that do not repeat inside their block are counted by hash across
-   the blocks.
+   the strings at their starts are counted by hash across the blocks.
 """
 
 from __future__ import annotations
@@ -104,21 +103,25 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, suffixes: np.ndarray, most: int, block: int = 80) -> np.ndarray:
-    """Bytes that each suffix shares with the next in order, in steps of ``block`` and up to ``most``."""
+    """Bytes that each suffix shares with the next in order, up to ``most`` (8 at least), compared by blocks.
+
+    A shorter prefix is given as the end of its last block that agrees.
+    """
+    block = min(block, most // 8 * 8)
     shared = np.zeros(max(0, len(suffixes) - 1), np.int64)
     padded = np.concatenate([text, np.zeros(most, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, block)
     live = np.arange(len(shared))
-    for at in range(0, most, block):
+    for end in [*range(block, most, block), most]:
         if not len(live):
             break
         same = np.ones(len(live), bool)
         for lo in range(0, len(live), 1 << 16):
             part = live[lo:lo + (1 << 16)]
-            a, b = rows[suffixes[part] + at], rows[suffixes[part + 1] + at]
+            a, b = rows[suffixes[part] + end - block], rows[suffixes[part + 1] + end - block]
             same[lo:lo + (1 << 16)] = (a.view(np.uint64) == b.view(np.uint64)).all(axis=1)
         live = live[same]
-        shared[live] += block
+        shared[live] = end
     return shared
 
 
@@ -296,7 +299,7 @@ def _sorted_fragments(pieces: DataFrame, length: int) -> DataFrame:
     """``gram, content, runs, open``: repeated starts of each distinct fragment.
 
     ``open`` has, for grams cut into blocks, a hash of the string at each
-    start that did not repeat within its block, else null.
+    start, but for strings that repeat within their block only once.
     """
     blocks = F.ceil(F.col("kinds") / FRAGMENTS_PER_BLOCK)
     keyed = pieces.select("gram", F.pmod(F.xxhash64("content"), blocks).cast("int").alias("block"), "content",
@@ -311,13 +314,16 @@ def _sorted_fragments(pieces: DataFrame, length: int) -> DataFrame:
         def sort() -> pa.RecordBatch:
             masks = repeated_starts([h[5] for h in held], [h[3] for h in held], length)
             opens = []
-            for (*_, cut, piece), mask in zip(held, masks):
+            told: set[tuple[int, int, int]] = set()
+            for (gram, block, *_, cut, piece), mask in zip(held, masks):
                 if not cut:
                     opens.append(None)
                     continue
                 at = np.arange(len(mask))
                 hashes = span_hashes(np.frombuffer(piece, np.uint8), at, at + length).view(np.int64)
-                opens.append([None if m else h for m, h in zip(mask.tolist(), hashes.tolist())])
+                # a string that repeats in its block speaks once for the block
+                opens.append([None if m and ((gram, block, h) in told or told.add((gram, block, h))) else h
+                              for m, h in zip(mask.tolist(), hashes.tolist())])
             return pa.RecordBatch.from_pydict(
                 {"gram": [h[0] for h in held], "content": [h[2] for h in held],
                  "runs": [[{"a": a, "b": b} for a, b in runs_of(m)] for m in masks], "open": opens},
