@@ -421,7 +421,7 @@ SEGMENT = ("case when saw_view = 1 then 'saw_view' when saw_signup = 1 then 'saw
            "else '{other}' end")
 
 SQL["funnel_counts_by_segment"] = click(f"""{flags('2024-01-05', '2024-01-28')}
-select {SEGMENT.format(other='something wrong')} as segment, count(*) as sessions,
+select {SEGMENT.format(other='other')} as segment, count(*) as sessions,
   {", ".join(f"count(*) filter (where {p}_made_it = 1) as to_{p}" for p in STEPS[1:])}
 from fl group by 1""")
 
@@ -431,7 +431,7 @@ def _n(p):
 
 
 SQL["funnel_rates"] = click(f"""{flags('2024-01-05', '2024-01-28')}
-select {SEGMENT.format(other='uh oh... check logic')} as segment,
+select {SEGMENT.format(other='other')} as segment,
   {div(_n('click'), 'count(*)')} as lander_click_rt,
   {div(_n('signup'), _n('click'))} as click_click_rt,
   {div(_n('purchase'), _n('signup'))} as signup_click_rt
@@ -527,7 +527,7 @@ ANCHORS = f"""anchors as (
   select website_session_id, website_pageview_id, created_at,
          case when created_at < {ts('2024-01-16')} then 'pre_product_2'
               when created_at >= {ts('2024-01-16')} then 'post_product_2'
-              else 'check again' end as time_period
+              else 'other' end as time_period
   from website_pageviews
   where pageview_url = 'view' and created_at between {ts('2024-01-06')} and {ts('2024-01-27')}
 ), nxt as (
@@ -612,7 +612,7 @@ CART = f"""carts as (
   select website_pageview_id, website_session_id,
          case when created_at < {ts('2024-01-16')} then 'A.pre_cross_sell'
               when created_at > {ts('2024-01-16')} then 'B.post_cross_sell'
-              else 'WRONG' end as time_period
+              else 'other' end as time_period
   from website_pageviews
   where pageview_url = 'click' and created_at between {ts('2024-01-06')} and {ts('2024-01-26')}
 ), after_cart as (
@@ -670,7 +670,7 @@ group by p.time_period""")
 
 SQL["portfolio_period_summary"] = click(f"""
 select case when s.created_at < {ts('2024-01-16')} then 'A.Pre_Launch'
-            when s.created_at >= {ts('2024-01-16')} then 'B.Post_Launch' else 'WRONG' end as time_period,
+            when s.created_at >= {ts('2024-01-16')} then 'B.Post_Launch' else 'other' end as time_period,
   {div('count(distinct o.order_id)', 'count(distinct s.website_session_id)')} as conv_rate,
   {div('sum(o.price_usd)', 'count(distinct o.order_id)')} as aov,
   {div('sum(o.items_purchased)', 'count(distinct o.order_id)')} as products_per_order,

@@ -69,7 +69,7 @@ def bucket_names(grain: str) -> list[str]:
 
 
 def period_label(col, cut, before_label: str, after_label: str,
-                 other_label: str = "check again", after_inclusive: bool = True) -> Column:
+                 other_label: str = "other", after_inclusive: bool = True) -> Column:
     """Label rows before or after ``cut``.
 
     ``after_inclusive=True`` puts the cut instant itself after; with

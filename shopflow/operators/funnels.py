@@ -18,7 +18,7 @@ from shopflow.functions.filters import where as apply_where, url_is
 from shopflow.functions.ratio import ratio
 from shopflow.operators.grain import orders_per_session
 from shopflow.operators.pages import (PVID, SID, first_pv_id, first_seen, last_seen, session_pages,
-                                      sessions_since, views_since)
+                                      sessions_since)
 
 
 def conversion_by_landing(facts: DataFrame, pageviews: DataFrame, landers: list[str],
@@ -66,15 +66,14 @@ def landing_test_lift(facts: DataFrame, sessions: DataFrame, pageviews: DataFram
 
 
 def funnel_flags(sessions: DataFrame, pageviews: DataFrame, flags: dict[str, str],
-                 session_where: Column | None = None, zero=0, views_from=None) -> DataFrame:
+                 session_where: Column | None = None, zero=0) -> DataFrame:
     """One row per session meeting ``session_where``, a 0/1 column per
     ``{column: url}`` in ``flags`` (1 if the session viewed the url).
 
     The order of the steps is not enforced. ``zero=None`` gives NULL for
-    "not reached" instead of 0. ``views_from``: see
-    :func:`shopflow.operators.pages.views_since`.
+    "not reached" instead of 0.
     """
-    per = views_since(pageviews, views_from).groupBy(SID).agg(
+    per = pageviews.groupBy(SID).agg(
         *[F.max((F.col("pageview_url") == F.lit(u)).cast("int")).alias(c) for c, u in flags.items()])
     out = apply_where(sessions, session_where).select(SID).join(per, SID, "left")
     if zero is None:
@@ -91,7 +90,7 @@ def _segment(segments: list[tuple[str, str]] | None, other: str) -> Column:
 
 
 def funnel_counts(flags: DataFrame, steps: list[str], segments: list[tuple[str, str]] | None = None,
-                  other: str = "something wrong") -> DataFrame:
+                  other: str = "other") -> DataFrame:
     """Sessions reaching each step (``to_{step}``), in total or per segment.
 
     ``steps`` names flag columns ``{step}_made_it``; ``segments`` is a list of
@@ -105,7 +104,7 @@ def funnel_counts(flags: DataFrame, steps: list[str], segments: list[tuple[str,
 
 
 def funnel_rates(flags: DataFrame, steps: list[str], segments: list[tuple[str, str]] | None = None,
-                 entry: str = "lander", other: str = "uh oh... check logic") -> DataFrame:
+                 entry: str = "lander", other: str = "other") -> DataFrame:
     """Click rates between consecutive steps: ``{entry}_click_rt`` is the first
     step over sessions, ``{step}_click_rt`` the next step over ``step``."""
     counts = funnel_counts(flags, steps, segments, other)

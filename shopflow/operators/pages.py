@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.functions.buckets import at, sunday_week
+from shopflow.functions.buckets import sunday_week
 from shopflow.functions.filters import where as apply_where, url_is
 from shopflow.functions.ratio import ratio
 
@@ -22,19 +22,6 @@ SID = "website_session_id"
 PVID = "website_pageview_id"
 
 
-def views_since(pageviews: DataFrame, views_from=None) -> DataFrame:
-    """Page views at or after ``views_from`` (all when ``None``).
-
-    A session's page views are never earlier than the session's start, so
-    for sessions chosen by "start at or after T" passing ``views_from=T``
-    keeps the result and lets the scan skip every earlier file and row
-    group of the time-clustered page-view table.
-    """
-    return pageviews if views_from is None else pageviews.filter(F.col("created_at") >= at(views_from))
-
-
-
-
 def first_seen(pageviews: DataFrame, url: str, where: Column | None = None,
                mode: str = "independent") -> DataFrame:
     """When a page was first seen: one row.
@@ -58,15 +45,15 @@ def first_pv_id(pageviews: DataFrame, url: str, where: Column | None = None) ->
 
 
 def qualifying_pageviews(sessions: DataFrame, pageviews: DataFrame,
-                         where: Column | None = None, views_from=None) -> DataFrame:
+                         where: Column | None = None) -> DataFrame:
     """Page views of the sessions meeting ``where`` (a semi join)."""
-    return views_since(pageviews, views_from).join(apply_where(sessions, where).select(SID), SID, "left_semi")
+    return pageviews.join(apply_where(sessions, where).select(SID), SID, "left_semi")
 
 
 def last_seen(sessions: DataFrame, pageviews: DataFrame, url: str,
-              where: Column | None = None, views_from=None) -> DataFrame:
+              where: Column | None = None) -> DataFrame:
     """Largest session id among sessions meeting ``where`` that saw ``url``."""
-    pv = views_since(pageviews, views_from).filter(url_is(url)).select(SID)
+    pv = pageviews.filter(url_is(url)).select(SID)
     return (pv.join(apply_where(sessions, where).select(SID), SID, "left_semi")
             .agg(F.max(SID).alias("last_session_id")))
 
@@ -129,21 +116,19 @@ def bounce_rate(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
 
 def bounce_rate_by_landing(sessions: DataFrame, pageviews: DataFrame, landers: list[str],
                            marker_url: str | None = None, session_where: Column | None = None,
-                           inclusive: bool = True, views_from=None) -> DataFrame:
+                           inclusive: bool = True) -> DataFrame:
     """Bounce per landing page for a split test between ``landers``.
 
     Sessions meeting ``session_where`` land on their first page view among
     ``landers`` at or after (``inclusive``) the first view of ``marker_url``
     by such sessions; bounce counts all the session's page views.
-    ``views_from``: see :func:`views_since`.
     """
-    pageviews = views_since(pageviews, views_from)
-    qual = apply_where(sessions, session_where).select(SID)
+    views = qualifying_pageviews(sessions, pageviews, session_where)
     cond = url_is(landers)
     if marker_url is not None:
-        marker = first_pv_id(qualifying_pageviews(sessions, pageviews, session_where), marker_url)
+        marker = first_pv_id(views, marker_url)
         cond = cond & ((F.col(PVID) >= marker) if inclusive else (F.col(PVID) > marker))
-    per = session_pages(pageviews, cond).join(qual, SID).filter(F.col("first").isNotNull())
+    per = session_pages(views, cond).filter(F.col("first").isNotNull())
     agg = per.groupBy(F.col("first.pageview_url").alias("land")).agg(
         F.count(SID).alias("sessions"), F.count_if(F.col("pgv") == 1).alias("bounced_sessions"))
     return agg.withColumn("bounce_rate", ratio("bounced_sessions", "sessions"))
@@ -151,7 +136,7 @@ def bounce_rate_by_landing(sessions: DataFrame, pageviews: DataFrame, landers: l
 
 def weekly_bounce_trend(sessions: DataFrame, pageviews: DataFrame, landers: list[str],
                         labels=("home", "lander"), session_where: Column | None = None,
-                        legacy: bool = False, views_from=None) -> DataFrame:
+                        legacy: bool = False) -> DataFrame:
     """Per Sunday-week: bounce rate and volumes of two landing pages.
 
     Default: one row per session, landing on its first view among
@@ -159,9 +144,8 @@ def weekly_bounce_trend(sessions: DataFrame, pageviews: DataFrame, landers: list
     sessions per lander. ``legacy=True`` reproduces the original: every
     lander view is a landing row (distinct per session and time), the rate
     divides bounced rows by landing rows, and the per-lander columns count
-    bounced sessions only. ``views_from``: see :func:`views_since`.
+    bounced sessions only.
     """
-    pageviews = views_since(pageviews, views_from)
     qual = apply_where(sessions, session_where).select(SID)
     lab0, lab1 = labels
     if not legacy:

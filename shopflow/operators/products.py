@@ -18,7 +18,7 @@ from shopflow.functions.buckets import at, bucket_columns, bucket_names, period_
 from shopflow.functions.filters import where as apply_where, url_is
 from shopflow.functions.ratio import ratio
 from shopflow.operators.grain import SESSION_COLUMNS, orders_per_session
-from shopflow.operators.pages import PVID, SID, views_since
+from shopflow.operators.pages import PVID, SID
 
 
 def _name(v) -> str:
@@ -79,7 +79,7 @@ def product_revenue_trend(items: DataFrame, products: list, grain: str = "month"
 
 
 def period_tag(pageviews: DataFrame, url, lo, hi, cut, labels=("pre", "post"),
-               other: str = "check again", after_inclusive: bool = True) -> DataFrame:
+               other: str = "other", after_inclusive: bool = True) -> DataFrame:
     """Views of ``url`` in the closed range [lo, hi], labelled by ``cut``."""
     return (pageviews.filter(url_is(url) & F.col("created_at").between(at(lo), at(hi)))
             .select(SID, PVID, "created_at",
@@ -88,36 +88,31 @@ def period_tag(pageviews: DataFrame, url, lo, hi, cut, labels=("pre", "post"),
 
 
 def first_after(anchors: DataFrame, pageviews: DataFrame, keys: list[str],
-                keep_missing: bool = True, views_from=None) -> DataFrame:
+                keep_missing: bool = True, counted: bool = False) -> DataFrame:
     """Per group ``keys`` (which include the session): the first page view of
     the session after the group's earliest anchor, as ``next_id`` and
-    ``next_url``. The first view after any anchor of a group is the first
-    view after its earliest anchor, so one anchor per group suffices.
+    ``next_url``, with ``counted`` also the number of anchors (``c``).
 
-    Page-view ids increase with time, so a view after an anchor is never
-    earlier than the anchors: ``views_from`` (the start of the anchors'
-    period) lets the page-view scan skip everything before it.
+    The first view after any anchor of a group is the first view after its
+    earliest anchor, so one anchor per group suffices. The anchor itself is
+    among the session's views joined to the group (anchors are page views),
+    so a group without a later view keeps its row with NULLs and nothing is
+    joined back. Page-view ids are unique.
     """
-    amin = anchors.groupBy(*keys).agg(F.min(PVID).alias("anchor_id"))
-    return _after_earliest(amin, pageviews, keys, keep_missing, views_from)
-
-
-def _after_earliest(amin: DataFrame, pageviews: DataFrame, keys: list[str], keep_missing: bool,
-                    views_from=None, carry: tuple = ()) -> DataFrame:
-    """:func:`first_after` from the groups' earliest anchors (``anchor_id``);
-    ``carry`` names further columns of ``amin`` to keep."""
-    pv = views_since(pageviews, views_from).select(F.col(SID).alias("_sid"), F.col(PVID).alias("_id"), "pageview_url")
-    later = (amin.join(pv, (F.col(SID) == F.col("_sid")) & (F.col("_id") > F.col("anchor_id")))
-             .groupBy(*keys).agg(F.min(F.struct("_id", "pageview_url")).alias("n")))
-    if keep_missing:
-        later = amin.select(*keys, *carry).join(later, keys, "left")
-    return later.select(*keys, *carry, F.col("n._id").alias("next_id"), F.col("n.pageview_url").alias("next_url"))
+    earliest = anchors.groupBy(*keys).agg(F.min(PVID).alias("anchor_id"), F.count(PVID).alias("c"))
+    pv = pageviews.select(F.col(SID).alias("_sid"), F.col(PVID).alias("_id"), "pageview_url")
+    later = F.when(F.col("_id") > F.col("anchor_id"), F.struct("_id", "pageview_url"))
+    near = F.col("_id") >= F.col("anchor_id") if keep_missing else F.col("_id") > F.col("anchor_id")
+    found = (earliest.join(pv, (F.col(SID) == F.col("_sid")) & near)
+             .groupBy(*keys).agg(F.min(later).alias("n"), F.max("c").alias("c")))
+    return found.select(*keys, *(["c"] if counted else []), F.col("n._id").alias("next_id"),
+                        F.col("n.pageview_url").alias("next_url"))
 
 
-def next_pageview(anchors: DataFrame, pageviews: DataFrame, views_from=None) -> DataFrame:
+def next_pageview(anchors: DataFrame, pageviews: DataFrame) -> DataFrame:
     """Per (period, session): the next page view after the anchor and its url
     (NULL when the anchor was the session's last view)."""
-    return (first_after(anchors, pageviews, ["time_period", SID], views_from=views_from)
+    return (first_after(anchors, pageviews, ["time_period", SID])
             .select("time_period", SID, F.col("next_id").alias("min_next_pageview_id"),
                     F.col("next_url").alias("pageview_url")))
 
@@ -136,20 +131,23 @@ def pathing_summary(next_views: DataFrame, pages: dict[str, str]) -> DataFrame:
     return agg.select(*cols)
 
 
-def pages_after(pageviews: DataFrame, anchors: DataFrame, views_from=None) -> DataFrame:
+def pages_after(pageviews: DataFrame, anchors: DataFrame) -> DataFrame:
     """Distinct urls viewed after an anchor view in the same session, plus
-    NULL when some anchor was the last view of its session. ``views_from``:
-    as in :func:`first_after`."""
-    pageviews = views_since(pageviews, views_from)
+    NULL when some anchor was the last view of its session.
+
+    Anchors are page views: a (session, url) pair keeps its largest id, which
+    tells both whether the url came after the session's first anchor and
+    whether its last anchor was the session's last view.
+    """
     bounds = anchors.groupBy(SID).agg(F.min(PVID).alias("a_min"), F.max(PVID).alias("a_max"))
     pv = pageviews.select(F.col(SID).alias("_sid"), F.col(PVID).alias("_id"), "pageview_url")
-    urls = (bounds.join(pv, (F.col(SID) == F.col("_sid")) & (F.col("_id") > F.col("a_min")))
-            .select("pageview_url").distinct())
-    last = pageviews.groupBy(SID).agg(F.max(PVID).alias("s_max"))
-    dead_end = (bounds.join(last, SID).filter(F.col("a_max") >= F.col("s_max"))
-                .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
-                .select(F.lit(None).cast("string").alias("pageview_url")))
-    return urls.unionByName(dead_end).distinct()
+    per = (bounds.join(pv, (F.col(SID) == F.col("_sid")) & (F.col("_id") >= F.col("a_min")))
+           .groupBy(SID).agg(F.collect_set(F.when(F.col("_id") > F.col("a_min"), F.struct("pageview_url"))).alias("u"),
+                             F.max("_id").alias("s_max"), F.max("a_max").alias("a_max")))
+    dead_end = F.when(F.col("a_max") >= F.col("s_max"),
+                      F.array(F.struct(F.lit(None).cast("string").alias("pageview_url"))))
+    return (per.select(F.explode(F.concat("u", F.coalesce(dead_end, F.array_except("u", "u")))).alias("p"))
+            .select("p.pageview_url").distinct())
 
 
 def product_funnel_counts(pageviews: DataFrame, products: dict[str, str], steps: list[str],
@@ -191,12 +189,12 @@ def listing_page_trend(pageviews: DataFrame, orders: DataFrame, listing_url: str
                        grain: str = "quarter") -> DataFrame:
     """Per bucket of the listing-page view time: sessions viewing it, share
     viewing any later page, orders per such session."""
-    listing = (pageviews.filter(url_is(listing_url))
-               .groupBy(*bucket_columns("created_at", grain), SID).agg(F.min(PVID).alias("a")))
-    last = pageviews.groupBy(SID).agg(F.max(PVID).alias("s_max"))
-    rows = (listing.join(last, SID)
-            .join(orders_per_session(orders).select(SID, "n_orders"), SID, "left"))
+    # the first listing view per bucket and the last view per session, from one pass over the views
     keys = bucket_names(grain)
+    per = (pageviews.select(SID, PVID, url_is(listing_url).alias("listed"), *bucket_columns("created_at", grain))
+           .groupBy(SID, *keys).agg(F.min(F.when(F.col("listed"), F.col(PVID))).alias("a"), F.max(PVID).alias("last")))
+    rows = (per.withColumn("s_max", F.max("last").over(Window.partitionBy(SID))).filter(F.col("a").isNotNull())
+            .join(orders_per_session(orders).select(SID, "n_orders"), SID, "left"))
     agg = rows.groupBy(*keys).agg(F.count(SID).alias("sessions_to_product"),
                                   F.count_if(F.col("s_max") > F.col("a")).alias("clicked"),
                                   F.coalesce(F.sum("n_orders"), F.lit(0)).alias("orders"))
@@ -205,14 +203,14 @@ def listing_page_trend(pageviews: DataFrame, orders: DataFrame, listing_url: str
                       ratio("orders", "sessions_to_product").alias("conversion_rate"))
 
 
-def clickthrough_after(anchors: DataFrame, pageviews: DataFrame, views_from=None) -> DataFrame:
+def clickthrough_after(anchors: DataFrame, pageviews: DataFrame) -> DataFrame:
     """Per (period, session) with a view after the anchor: its first id."""
-    return (first_after(anchors, pageviews, ["time_period", SID], keep_missing=False, views_from=views_from)
+    return (first_after(anchors, pageviews, ["time_period", SID], keep_missing=False)
             .select("time_period", SID, F.col("next_id").alias("after_cart_pageview_id")))
 
 
 def cross_sell_period_summary(anchors: DataFrame, pageviews: DataFrame, orders: DataFrame,
-                              legacy: bool = False, views_from=None) -> DataFrame:
+                              legacy: bool = False) -> DataFrame:
     """Per period of cart views: cart sessions, click-throughs, products per
     order, order value and revenue per cart session.
 
@@ -223,9 +221,7 @@ def cross_sell_period_summary(anchors: DataFrame, pageviews: DataFrame, orders:
     materialising the repeated rows.
     """
     keys = ["time_period", SID]
-    # one aggregate of the cart views gives both their count and the earliest one
-    groups = anchors.groupBy(*keys).agg(F.count(PVID).alias("c"), F.min(PVID).alias("anchor_id"))
-    carts = (_after_earliest(groups, pageviews, keys, True, views_from, carry=("c",))
+    carts = (first_after(anchors, pageviews, keys, counted=True)
              .select(*keys, "c", F.col("next_id").isNotNull().alias("clicked")))
     per_order = orders_per_session(orders).select(SID, "n_orders", "items", "revenue")
     if not legacy:
@@ -257,7 +253,7 @@ def cross_sell_period_summary(anchors: DataFrame, pageviews: DataFrame, orders:
 
 
 def portfolio_period_summary(facts: DataFrame, cut, lo, hi,
-                             labels=("A.pre", "B.post"), other: str = "WRONG") -> DataFrame:
+                             labels=("A.pre", "B.post"), other: str = "other") -> DataFrame:
     """Sessions in [lo, hi] before and after ``cut``: conversion, order
     value, products per order and revenue per session."""
     rows = facts.filter(F.col("created_at").between(at(lo), at(hi)))

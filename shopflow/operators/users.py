@@ -43,14 +43,17 @@ def repeat_sessions(sessions: DataFrame, lo, hi) -> DataFrame:
     The result is a list of pairs by definition; a user has one new session,
     so its size is the number of repeat sessions. The pairs come from an
     inner join, whose skewed side (a user with very many sessions) adaptive
-    execution can split; new sessions without a later repeat are added from
-    :func:`later_repeats`, which forms no pairs.
+    execution can split. New sessions without a later repeat are those above
+    their user's largest repeat id, a one-row-per-user aggregate. Sessions
+    without a user have no repeats.
     """
     new, rep = new_and_repeat(sessions, lo, hi)
-    rep = rep.withColumnRenamed("user_id", "r_user")
+    rep = rep.withColumnRenamed("user_id", "r_user").filter(F.col("r_user").isNotNull())
     pairs = (new.join(rep, (F.col("user_id") == F.col("r_user")) & (F.col("rid") > F.col("new_id")))
              .select("user_id", "new_id", F.col("rid").alias("repeated_id")))
-    alone = (later_repeats(sessions, lo, hi).filter(F.col("repeats") == 0)
+    last = rep.groupBy("r_user").agg(F.max("rid").alias("last_rid"))
+    alone = (new.join(last, F.col("user_id") == F.col("r_user"), "left")
+             .filter(F.col("last_rid").isNull() | (F.col("last_rid") <= F.col("new_id")))
              .select("user_id", "new_id", F.lit(None).cast("long").alias("repeated_id")))
     return pairs.unionByName(alone)
 
@@ -64,9 +67,11 @@ def later_repeats(sessions: DataFrame, lo, hi, id_bucket: int = 1 << 20) -> Data
     No pairs are formed: inside each (user, id range) a running window in
     descending id order gives the repeats after each session in the same
     range; a one-row-per-(user, range) summary scanned in range order adds
-    the repeats of all later ranges.
+    the repeats of all later ranges. Sessions without a user are nobody's
+    repeats: they are counted with 0 and stay out of the windows.
     """
-    s = (_period(sessions, lo, hi).filter(F.col("is_repeat_session").isin(0, 1))
+    chosen = _period(sessions, lo, hi).filter(F.col("is_repeat_session").isin(0, 1))
+    s = (chosen.filter(F.col("user_id").isNotNull())
          .select("user_id", F.col(SID).alias("sid"), "created_at",
                  (F.col("is_repeat_session") == 1).alias("is_rep"),
                  F.floor(F.col(SID) / id_bucket).alias("b")))
@@ -88,11 +93,16 @@ def later_repeats(sessions: DataFrame, lo, hi, id_bucket: int = 1 << 20) -> Data
                       F.min("mi").over(later_ranges).alias("id_after"),
                       F.min("mt").over(later_ranges).alias("t_after")))
     new = rows.filter(~F.col("is_rep")).join(suffix, ["user_id", "b"], "left")
-    return new.select(
+    known = new.select(
         "user_id", F.col("sid").alias("new_id"), F.col("created_at").alias("first_time"),
         (F.col("n_in") + F.coalesce("n_after", F.lit(0))).alias("repeats"),
         F.least("id_in", "id_after").alias("second_id"),
         F.least("t_in", "t_after").alias("second_time"))
+    nobody = chosen.filter(F.col("user_id").isNull() & (F.col("is_repeat_session") == 0)).select(
+        "user_id", F.col(SID).alias("new_id"), F.col("created_at").alias("first_time"),
+        F.lit(0).cast("long").alias("repeats"), F.lit(None).cast("long").alias("second_id"),
+        F.lit(None).cast("timestamp_ntz").alias("second_time"))
+    return known.unionByName(nobody)
 
 
 def repeat_histogram(sessions: DataFrame, lo, hi, id_bucket: int = 1 << 20) -> DataFrame:

@@ -223,15 +223,14 @@ def _trend_sessions():
 @query("weekly_bounce_trend")
 def q_weekly_bounce(spark, folder):
     d = data(spark, folder)
-    return pages.weekly_bounce_trend(d.sessions, d.pageviews, LANDERS, session_where=_trend_sessions(),
-                                     views_from="2024-01-01")
+    return pages.weekly_bounce_trend(d.sessions, d.pageviews, LANDERS, session_where=_trend_sessions())
 
 
 @query("weekly_bounce_trend_legacy")
 def q_weekly_bounce_legacy(spark, folder):
     d = data(spark, folder)
     return pages.weekly_bounce_trend(d.sessions, d.pageviews, LANDERS, session_where=_trend_sessions(),
-                                     legacy=True, views_from="2024-01-01")
+                                     legacy=True)
 
 
 @query("qualifying_pageviews")
@@ -264,8 +263,7 @@ def _flags(d, lo, hi, segments=True):
     cols = {"saw_view": "view", "saw_signup": "signup"} if segments else {}
     cols.update({f"{s}_made_it": s for s in STEPS})
     return funnels.funnel_flags(d.sessions, d.pageviews, cols,
-                                gsearch_nonbrand() & after("created_at", lo) & before("created_at", hi),
-                                views_from=lo)
+                                gsearch_nonbrand() & after("created_at", lo) & before("created_at", hi))
 
 
 @query("funnel_flags")
@@ -368,13 +366,13 @@ def q_period_tag(spark, folder):
 @query("next_pageview")
 def q_next_pageview(spark, folder):
     d = data(spark, folder)
-    return products.next_pageview(_view_anchors(d), d.pageviews, views_from="2024-01-06")
+    return products.next_pageview(_view_anchors(d), d.pageviews)
 
 
 @query("pathing_summary")
 def q_pathing_summary(spark, folder):
     d = data(spark, folder)
-    return products.pathing_summary(products.next_pageview(_view_anchors(d), d.pageviews, views_from="2024-01-06"),
+    return products.pathing_summary(products.next_pageview(_view_anchors(d), d.pageviews),
                                     PRODUCT_PAGES)
 
 
@@ -383,7 +381,7 @@ def q_pages_after(spark, folder):
     d = data(spark, folder)
     anchors = d.pageviews.filter(F.col("pageview_url").isin(*PRODUCT_PAGES.values())
                                  & between("created_at", "2024-01-06", "2024-01-20"))
-    return products.pages_after(d.pageviews, anchors, views_from="2024-01-06")
+    return products.pages_after(d.pageviews, anchors)
 
 
 @query("product_funnel_counts")
@@ -406,27 +404,25 @@ def q_listing_page_trend(spark, folder):
 
 def _cart_anchors(d):
     return products.period_tag(d.pageviews, "click", "2024-01-06", "2024-01-26", PATH_CUT,
-                               ("A.pre_cross_sell", "B.post_cross_sell"), "WRONG", after_inclusive=False)
+                               ("A.pre_cross_sell", "B.post_cross_sell"), after_inclusive=False)
 
 
 @query("clickthrough_after")
 def q_clickthrough_after(spark, folder):
     d = data(spark, folder)
-    return products.clickthrough_after(_cart_anchors(d), d.pageviews, views_from="2024-01-06")
+    return products.clickthrough_after(_cart_anchors(d), d.pageviews)
 
 
 @query("cross_sell_period_summary")
 def q_cross_sell_summary(spark, folder):
     d = data(spark, folder)
-    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders,
-                                              views_from="2024-01-06")
+    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders)
 
 
 @query("cross_sell_period_summary_legacy")
 def q_cross_sell_summary_legacy(spark, folder):
     d = data(spark, folder)
-    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders, legacy=True,
-                                              views_from="2024-01-06")
+    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders, legacy=True)
 
 
 @query("portfolio_period_summary")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from __spark_entry__ import oracle_sql
+from oracle.sql import SQL
 from tests.parity import TABLES, compare, duck
 
 T = dt.datetime.fromisoformat
@@ -59,7 +59,7 @@ def folder():
     out = tempfile.mkdtemp(prefix="shopflow-handmade-")
     for t in TABLES:
         if t != "events":
-            shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", f"{out}/{t}.parquet")
+            shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", f"{out}/{t}.parquet")
     rows = sorted(EVENTS, key=lambda e: (T(e[1]), e[0]))
     table = pa.table({
         "event_id": pa.array(range(len(rows)), pa.int64()),
@@ -78,7 +78,7 @@ def con(folder):
     return duck(folder)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_handmade_parity(spark, folder, con, name):
     r = compare(spark, name, folder, con)
     assert r.get("ok"), r.get("error")

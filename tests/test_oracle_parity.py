@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from oracle.sql import SQL
+from shopflow.plans.registry import QUERIES
 from tests.parity import compare, duck
 
 SF = os.environ.get("PARITY_SF", "0.001")
@@ -17,10 +18,10 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_parity(spark, con, name):
     r = compare(spark, name, FOLDER, con)
     assert r.get("ok"), r.get("error")

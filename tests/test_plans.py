@@ -2,23 +2,23 @@
 
 import pytest
 
-from __spark_entry__ import queries
 from shopflow.plans import checks
+from shopflow.plans.registry import QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_unscalable_plan_shapes(spark, sf0001, name):
-    df = queries()[name](spark, sf0001)
+    df = QUERIES[name](spark, sf0001)
     assert checks.problems(df) == []
 
 
 def test_filters_reach_the_scan(spark, sf0001):
-    df = queries()["volume_trend"](spark, sf0001)
+    df = QUERIES["volume_trend"](spark, sf0001)
     pushed = " ".join(checks.pushed_filters(df))
     assert "utm_source" in pushed and "created_at" in pushed
 
 
 def test_columns_are_pruned(spark, sf0001):
-    df = queries()["channel_characteristics"](spark, sf0001)
+    df = QUERIES["channel_characteristics"](spark, sf0001)
     schemas = checks.read_schemas(df)
     assert schemas and all("http_referer" not in s and "user_id" not in s for s in schemas)

@@ -31,10 +31,10 @@ def test_written_once_then_read(spark):
 
 def test_signature_follows_the_inputs(spark, sf0001):
     src = tempfile.mkdtemp(prefix="shopflow-sig-")
-    shutil.copy(f"{sf0001}/part.parquet", f"{src}/part.parquet")
+    shutil.copyfile(f"{sf0001}/part.parquet", f"{src}/part.parquet")
     before = store.input_signature(spark, [f"{src}/part.parquet"])
     assert before == store.input_signature(spark, [f"{src}/part.parquet"])
-    shutil.copy(f"{sf0001}/region.parquet", f"{src}/part.parquet")     # different content, same name
+    shutil.copyfile(f"{sf0001}/region.parquet", f"{src}/part.parquet")     # different content, same name
     assert store.input_signature(spark, [f"{src}/part.parquet"]) != before
 
 
