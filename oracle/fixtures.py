@@ -11,7 +11,7 @@ ev_k AS (
          lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts
   FROM events
 ), ev_start AS (
-  SELECT *, (prev_ts IS NULL OR ts > prev_ts + INTERVAL 12 HOUR) AS is_start FROM ev_k
+  SELECT *, (user_id IS NULL OR prev_ts IS NULL OR ts > prev_ts + INTERVAL 12 HOUR) AS is_start FROM ev_k
 ), ev_tagged AS (
   SELECT *, last_value(CASE WHEN is_start THEN event_id END IGNORE NULLS) OVER (
               PARTITION BY user_id ORDER BY ts, event_id
@@ -19,7 +19,7 @@ ev_k AS (
   FROM ev_start
 ), website_sessions AS (
   SELECT event_id AS website_session_id, ts AS created_at, user_id,
-         CAST(CASE WHEN prev_ts IS NULL THEN 0 ELSE 1 END AS INTEGER) AS is_repeat_session,
+         CAST(CASE WHEN user_id IS NULL OR prev_ts IS NULL THEN 0 ELSE 1 END AS INTEGER) AS is_repeat_session,
          CASE WHEN k < 50 THEN 'gsearch' WHEN k < 70 THEN 'bsearch'
               WHEN k < 75 THEN 'socialbook' END AS utm_source,
          CASE WHEN k < 70 THEN (CASE WHEN k % 5 = 0 THEN 'brand' ELSE 'nonbrand' END)

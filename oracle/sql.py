@@ -788,6 +788,7 @@ PER_USER = f"""per_user as (
          count(distinct s.website_session_id) as sessions, count(o.order_id) as orders,
          coalesce(sum(o.price_usd), 0) as revenue
   from {SO}
+  where s.user_id is not null
   group by s.user_id
 )"""
 

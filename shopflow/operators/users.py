@@ -154,8 +154,8 @@ def customer_value(facts: DataFrame, where: Column | None = None, organic=SEARCH
 
 
 def _per_user(facts: DataFrame, where: Column | None, organic) -> DataFrame:
-    """Per user, revenue kept as an exact decimal (sums of it do not depend on order)."""
-    f = facts if where is None else facts.filter(where)
+    """Per known user, revenue kept as an exact decimal (sums of it do not depend on order)."""
+    f = (facts if where is None else facts.filter(where)).filter(F.col("user_id").isNotNull())
     per = f.groupBy("user_id").agg(
         F.min(F.struct(SID, channel_group(organic).alias("ch"))).alias("first"),
         F.count(SID).alias("sessions"), F.sum("n_orders").alias("orders"),

@@ -43,8 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names storage every executor can reach; it is
-    read, never replaced. Only when it is unset (local tests) a scratch
-    folder is created and registered.
+    read, never replaced. Where it is unset, a local session gets a scratch
+    folder of its own; on a cluster that is an error, since a local folder
+    would scatter the files of one table over the executors.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
@@ -52,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = sc._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="shopflow-ckpt-")
         sc.setCheckpointDir(path)
         path = sc._jsc.sc().getCheckpointDir().get()

@@ -58,7 +58,8 @@ def tag_sessions(events: DataFrame, gap: str = "12 hours",
     """Events with ``website_session_id``, ``is_start`` and ``is_first``.
 
     Order inside a user is (``ts``, ``event_id``). ``website_session_id`` is
-    the ``event_id`` of the session's first event. Work is partitioned by
+    the ``event_id`` of the session's first event. An event without a user is
+    a new visitor's session of its own. Work is partitioned by
     (``user_id``, ``split``), where ``split`` is ``split_hours`` of wall
     time, so a user's busy period spreads over many tasks:
 
@@ -76,9 +77,10 @@ def tag_sessions(events: DataFrame, gap: str = "12 hours",
     in_split = Window.partitionBy("user_id", "split").orderBy("ts", "event_id")
     upto_here = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    ev = (events.select("event_id", "ts", "user_id", "event_type", "value",
-                        F.get_json_object("props", "$.k").cast("int").alias("k"),
-                        F.floor(hours / split_hours).alias("split"))
+    parsed = events.select("event_id", "ts", "user_id", "event_type", "value",
+                           F.get_json_object("props", "$.k").cast("int").alias("k"),
+                           F.floor(hours / split_hours).alias("split"))
+    ev = (parsed.filter(F.col("user_id").isNotNull())
           .withColumn("prev_in", F.lag("ts").over(in_split))
           .withColumn("local_start", F.col("prev_in").isNotNull() & (F.col("ts") > F.col("prev_in") + gap_iv))
           .withColumn("sid_local", F.last(F.when(F.col("local_start"), F.col("event_id")), ignorenulls=True)
@@ -101,7 +103,7 @@ def tag_sessions(events: DataFrame, gap: str = "12 hours",
                       "carry_ts", "first_is_start", "carry_sid"))
 
     is_split_first = F.col("prev_in").isNull()
-    return (ev.join(splits, ["user_id", "split"])
+    known = (ev.join(splits, ["user_id", "split"])
             .withColumn("is_first", is_split_first & F.col("carry_ts").isNull())
             .withColumn("is_start", F.when(is_split_first, F.col("first_is_start"))
                         .otherwise(F.col("local_start")))
@@ -109,6 +111,11 @@ def tag_sessions(events: DataFrame, gap: str = "12 hours",
                 "sid_local", F.when(F.col("first_is_start"), F.col("first_id")), "carry_sid"))
             .drop("prev_in", "local_start", "sid_local", "first_id", "carry_ts", "first_is_start",
                   "carry_sid"))
+    # nobody's events belong to no visitor's run: each is a session of its own
+    nobody = (parsed.filter(F.col("user_id").isNull())
+              .select("*", F.lit(True).alias("is_first"), F.lit(True).alias("is_start"),
+                      F.col("event_id").alias("website_session_id")))
+    return known.unionByName(nobody)
 
 
 def sessions_from_tagged(tagged: DataFrame) -> DataFrame:
@@ -176,7 +183,7 @@ def commerce_items(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> D
              .withColumn("rank_key", F.struct(*RANK_KEY))
              .withColumn("first_key", F.min("rank_key").over(Window.partitionBy("l_orderkey"))))
     return items.select(
-        F.struct(*ITEM_KEY).alias("order_item_id"),
+        F.xxhash64(*ITEM_KEY).alias("order_item_id"),
         F.col("o_orderdate").alias("created_at"),
         F.col("l_orderkey").alias("order_id"),
         F.col("p_type").alias("product_id"),

@@ -7,20 +7,27 @@ survives lost executors (the files live on shared storage, unlike cached
 blocks) and lets the Parquet reader push filters and prune columns.
 
 A table is keyed by its name, a version and the size and modification time
-of its input files, so changed inputs give a new folder and a reader never
-sees a half-written table (``_SUCCESS`` marks a finished write).
+of its input files, so changed inputs give a new folder. Each writer fills
+an attempt folder of its own; when its job has ended, one small pointer file
+naming that folder is created. Readers follow the pointer, so a table that
+was cut off while it was written or moved is never read, and the next call
+builds it again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.session import checkpoint_dir
 
-FORMAT_VERSION = "3"
+FORMAT_VERSION = "4"
+POINTER = "_current"
+ABANDONED_AFTER = 24 * 3600  # seconds without change after which an attempt without pointer is removed
+FILE_BYTES = 128 << 20
 
 
 def _fs(spark: SparkSession, path: str):
@@ -34,19 +41,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def input_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``, 0 when there is none."""
+    p, fs = _fs(spark, path)
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
 def input_signature(spark: SparkSession, paths: list[str]) -> str:
-    """Hash of the paths with the length and modification time of their files."""
+    """Hash of each path's modification time and its files' number and total length.
+
+    Three calls a path, however many files it has. A folder's modification
+    time changes when a file is added, removed or replaced in it; files are
+    not rewritten in place.
+    """
     h = hashlib.sha1(FORMAT_VERSION.encode())
     for path in sorted(paths):
         p, fs = _fs(spark, path)
         h.update(path.encode())
         if fs.exists(p):
-            it = fs.listFiles(p, True)
-            entries = []
-            while it.hasNext():
-                st = it.next()
-                entries.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
-            h.update(";".join(sorted(entries)).encode())
+            held = fs.getContentSummary(p)
+            h.update(f"{fs.getFileStatus(p).getModificationTime()}:{held.getFileCount()}:{held.getLength()}".encode())
     return h.hexdigest()[:16]
 
 
@@ -54,28 +68,66 @@ def table_path(spark: SparkSession, name: str, signature: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/shopflow/{name}-{signature}"
 
 
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder that the table's pointer names, None without a finished attempt."""
+    p, fs = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return f"{path}/{stream.readUTF()}"
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, attempt: str) -> None:
+    """Create the pointer unless another writer was first."""
+    p, fs = _fs(spark, f"{path}/{POINTER}")
+    made, _ = _fs(spark, f"{path}/{POINTER}-{attempt}")
+    stream = fs.create(made, True)
+    stream.writeUTF(attempt)
+    stream.close()
+    # a rename keeps an existing file; where it replaces one, either names a whole table
+    if not fs.exists(p):
+        fs.rename(made, p)
+    if fs.exists(made):
+        fs.delete(made, False)
+
+
+def _clean(spark: SparkSession, path: str, kept: str) -> None:
+    """Remove this table's attempts that were left behind long ago."""
+    p, fs = _fs(spark, path)
+    for status in fs.listStatus(p):
+        left = status.getPath().getName() != kept and status.isDirectory()
+        if left and time.time() - status.getModificationTime() / 1000 > ABANDONED_AFTER:
+            fs.delete(status.getPath(), True)
+
+
 def materialize(spark: SparkSession, df_factory, name: str, signature: str,
-                cluster_by: str | None = None) -> DataFrame:
+                cluster_by: str | None = None, input_bytes: int = 0) -> DataFrame:
     """Read table ``name`` for ``signature``, writing it first if absent.
 
     ``df_factory`` is only called (and the job only run) when the table is
     missing. ``cluster_by`` range-partitions the rows on that column and
     sorts each file by it, so the Parquet min/max statistics of files and
-    row groups let a filter on the column skip most of the table. Two
-    writers racing on one table both write complete copies into their own
-    attempt folder; the committed ``_SUCCESS`` folder wins.
+    row groups let a filter on the column skip most of the table;
+    ``input_bytes`` sets how many files that gives (by default as many as
+    shuffles have partitions). Of several writers the first to finish wins
+    and the others remove what they wrote.
     """
     path = table_path(spark, name, signature)
-    if not exists(spark, f"{path}/_SUCCESS"):
-        attempt = f"{path}.attempt-{uuid.uuid4().hex[:8]}"
+    found = current(spark, path)
+    if found is None:
+        attempt = f"attempt-{uuid.uuid4().hex[:12]}"
         df = df_factory()
         if cluster_by:
-            df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
-        df.write.mode("overwrite").parquet(attempt)
-        src, fs = _fs(spark, attempt)
-        dst, _ = _fs(spark, path)
-        if not fs.exists(dst):
-            fs.rename(src, dst)
-        if not exists(spark, f"{path}/_SUCCESS"):
-            path = attempt
-    return spark.read.parquet(path)
+            files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // FILE_BYTES))
+            df = df.repartitionByRange(files, cluster_by).sortWithinPartitions(cluster_by)
+        df.write.parquet(f"{path}/{attempt}")
+        _publish(spark, path, attempt)
+        found = current(spark, path)
+        if not found.endswith(attempt):
+            p, fs = _fs(spark, f"{path}/{attempt}")
+            fs.delete(p, True)
+        _clean(spark, path, found.rsplit("/", 1)[1])
+    return spark.read.parquet(found)

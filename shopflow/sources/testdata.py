@@ -10,9 +10,10 @@ table is a lazy plan over the raw files.
 
 from __future__ import annotations
 
+import warnings
 from functools import cached_property
 
-from pyspark import StorageLevel
+from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.operators.grain import session_facts
@@ -44,26 +45,16 @@ class ShopData:
         if not self.materialize:
             return lazy
         sig = self._sig("events")
-        names = {"website_sessions": "sessions", "website_pageviews": "pageviews",
-                 "orders": "web_orders"}
-        done = all(store.exists(self.spark, store.table_path(self.spark, n, sig) + "/_SUCCESS")
-                   for n in names.values())
-        tagged = None
-        if not done:
-            # one sessionisation feeds three writes: keep it on local disk for
-            # the writes (a lost block is recomputed from lineage)
-            tagged = fixtures.tag_sessions(self.raw("events"), self.gap, self.split_hours)
-            tagged = tagged.persist(StorageLevel.DISK_ONLY)
-        out = {}
-        build = {"website_sessions": fixtures.sessions_from_tagged,
-                 "website_pageviews": fixtures.pageviews_from_tagged,
-                 "orders": fixtures.web_orders_from_tagged}
-        for table, short in names.items():
-            out[table] = store.materialize(self.spark, lambda f=build[table]: f(tagged), short, sig,
-                                           cluster_by="created_at")
-        if tagged is not None:
-            tagged.unpersist()
-        return out
+        # one sessionisation, written once, feeds the three tables
+        tagged = store.materialize(self.spark, lambda: fixtures.tag_sessions(self.raw("events"), self.gap,
+                                                                             self.split_hours), "tagged", sig)
+        size = store.input_size(self.spark, f"{self.folder}/events.parquet")
+        build = {"website_sessions": ("sessions", fixtures.sessions_from_tagged),
+                 "website_pageviews": ("pageviews", fixtures.pageviews_from_tagged),
+                 "orders": ("web_orders", fixtures.web_orders_from_tagged)}
+        return {table: store.materialize(self.spark, lambda f=make: f(tagged), short, sig, cluster_by="created_at",
+                                         input_bytes=size)
+                for table, (short, make) in build.items()}
 
     @property
     def sessions(self) -> DataFrame:
@@ -119,13 +110,22 @@ _CACHE: dict = {}
 
 
 def shop_data(spark: SparkSession, folder: str, materialize: bool = True) -> ShopData:
-    """One :class:`ShopData` per (session, folder, mode), reused across analyses."""
+    """One :class:`ShopData` per (application, folder, state of the input files, mode).
+
+    The input files are looked at on each call, so a table that grew within
+    the session gives new derived tables. A remote session has no access to
+    the shared folder; there the tables stay lazy plans, with a warning.
+    """
+    folder = folder.rstrip("/")
     if materialize:
         try:
-            store.checkpoint_dir(spark)          # needs the session's SparkContext
-        except Exception:                        # e.g. a remote session: stay lazy
+            app = spark.sparkContext.applicationId
+        except (PySparkAttributeError, PySparkNotImplementedError):
+            warnings.warn("remote session: derived tables are not materialised", stacklevel=2)
             materialize = False
-    key = (id(spark), folder.rstrip("/"), materialize)
+    if not materialize:
+        return ShopData(spark, folder, False)
+    key = (app, folder, store.input_signature(spark, [f"{folder}/{t}.parquet" for t in RAW_TABLES]))
     if key not in _CACHE:
-        _CACHE[key] = ShopData(spark, folder, materialize)
+        _CACHE[key] = ShopData(spark, folder)
     return _CACHE[key]

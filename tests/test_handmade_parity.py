@@ -51,6 +51,11 @@ EVENTS = [
     # user 6: many sessions for the repeat histogram
     *[(6, f"2024-01-{d:02d} 06:00:00", t, 1.0, 1) for d in range(2, 29, 3) for t in ("view",)],
     *[(6, f"2024-01-{d:02d} 06:30:00", "click", 1.0, 1) for d in range(2, 29, 6)],
+    # nobody: each event is a session of its own and nobody's repeat
+    (None, "2024-01-08 10:00:00", "view", 1.0, 1),
+    (None, "2024-01-08 10:01:00", "click", 1.0, 51),
+    (None, "2024-01-08 10:01:00", "purchase", 9.0, 1),
+    (None, "2024-01-12 10:00:00", "view", 1.0, 95),
 ]
 
 
@@ -60,7 +65,7 @@ def folder():
     for t in TABLES:
         if t != "events":
             shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", f"{out}/{t}.parquet")
-    rows = sorted(EVENTS, key=lambda e: (T(e[1]), e[0]))
+    rows = sorted(EVENTS, key=lambda e: (T(e[1]), e[0] or 0))
     table = pa.table({
         "event_id": pa.array(range(len(rows)), pa.int64()),
         "ts": pa.array([T(r[1]) for r in rows], pa.timestamp("us")),

@@ -2,6 +2,8 @@
 
 import tempfile
 
+import pytest
+
 from shopflow.operators import traffic
 from shopflow.sources.tables import ShopTables
 from shopflow.sources.testdata import ShopData
@@ -22,3 +24,18 @@ def test_tables_from_paths_give_the_same_results(spark, sf0001):
     b = traffic.conversion_trend(d.facts, "week")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert t.refunds.count() == d.refunds.count()
+
+
+def test_absent_and_mistyped_columns_raise(spark, sf0001):
+    from shopflow.sources.schema import read_table
+    d = ShopData(spark, sf0001, materialize=False)
+    out = tempfile.mkdtemp(prefix="shopflow-tables-")
+    d.sessions.withColumnRenamed("utm_source", "source").write.parquet(f"{out}/renamed")
+    with pytest.raises(ValueError, match="utm_source"):
+        read_table(spark, f"{out}/renamed", "website_sessions")
+    d.order_items.withColumn("price_usd", d.order_items["price_usd"].cast("double")).write.parquet(f"{out}/mistyped")
+    with pytest.raises(TypeError, match="price_usd"):
+        read_table(spark, f"{out}/mistyped", "order_items")
+    d.refunds.drop("order_id").write.parquet(f"{out}/short")
+    with pytest.raises(ValueError, match="order_id"):
+        read_table(spark, f"{out}/short", "order_item_refunds")
