@@ -608,10 +608,13 @@ left join website_pageviews v
 left join web_orders o on o.website_session_id = l.website_session_id
 group by all""")
 
-CART = f"""carts as (
+def cart(late: str) -> str:
+    """``carts``: cart views by period (``late``: how a view compares with the cut to count as after it);
+    ``after_cart``: per period and session the first view after a cart view."""
+    return f"""carts as (
   select website_pageview_id, website_session_id,
          case when created_at < {ts('2024-01-16')} then 'A.pre_cross_sell'
-              when created_at > {ts('2024-01-16')} then 'B.post_cross_sell'
+              when created_at {late} {ts('2024-01-16')} then 'B.post_cross_sell'
               else 'other' end as time_period
   from website_pageviews
   where pageview_url = 'click' and created_at between {ts('2024-01-06')} and {ts('2024-01-26')}
@@ -623,12 +626,13 @@ CART = f"""carts as (
   group by all
 )"""
 
+CART = cart(">=")
 SQL["clickthrough_after"] = click(f"""{CART}
 select time_period, website_session_id, after_cart_pageview_id from after_cart""")
 
 # the original's rows: every cart view x every click-through row of the session x
 # every (click-through row, order) pair of the session
-SQL["cross_sell_period_summary_legacy"] = click(f"""{CART},
+SQL["cross_sell_period_summary_legacy"] = click(f"""{cart(">")},
 cart_orders as (
   select a.website_session_id, o.order_id, o.items_purchased, o.price_usd
   from after_cart a left join web_orders o on o.website_session_id = a.website_session_id
@@ -800,3 +804,28 @@ SQL["customer_value_by_channel"] = click(f"""{PER_USER}
 select first_channel, count(*) as users, count(*) filter (where orders > 0) as buyers,
        cast(sum(revenue) as double) as revenue, {div('sum(revenue)', 'count(*)')} as rev_per_user
 from per_user group by first_channel""")
+
+
+# --- other grains and forms ---------------------------------------------------
+
+def _at_grain(name: str, grain: str) -> str:
+    sql, keys = SQL[name], {"month": "yr, mo", "quarter": "yr, qtr"}[grain]
+    for col in ("s.created_at", "l.created_at", "created_at"):
+        for old in ("day", "week"):
+            sql = sql.replace(bucket(col, old), bucket(col, grain))
+    return sql.replace("select wk_start,", f"select {keys},").replace("order by wk_start", f"order by {keys}")
+
+
+for _name, _grain in (("volume_trend", "month"), ("volume_trend", "quarter"), ("segment_trend", "month"),
+                      ("channel_mix_trend", "month"), ("direct_brand_vs_nonbrand", "month"),
+                      ("conversion_trend", "month"), ("efficiency_trend", "quarter"),
+                      ("orders_by_channel", "quarter"), ("conversion_by_channel", "quarter"),
+                      ("listing_page_trend", "quarter")):
+    SQL[f"{_name}_{_grain}"] = _at_grain(_name, _grain)
+
+SQL["bounce_rate_by_landing_exclusive"] = SQL["bounce_rate_by_landing"].replace(
+    "website_pageview_id >= (", "website_pageview_id > (")
+
+# the same analyses over the five tables opened from their paths
+for _name in ("conversion_trend", "top_pages", "distinct_values_rows", "product_revenue_trend", "refund_rate_trend"):
+    SQL[f"tables_{_name}"] = SQL[_name]

@@ -402,9 +402,9 @@ def q_listing_page_trend(spark, folder):
     return products.listing_page_trend(d.pageviews, d.web_orders, "view", "week")
 
 
-def _cart_anchors(d):
+def _cart_anchors(d, after_inclusive=True):
     return products.period_tag(d.pageviews, "click", "2024-01-06", "2024-01-26", PATH_CUT,
-                               ("A.pre_cross_sell", "B.post_cross_sell"), after_inclusive=False)
+                               ("A.pre_cross_sell", "B.post_cross_sell"), after_inclusive=after_inclusive)
 
 
 @query("clickthrough_after")
@@ -421,8 +421,9 @@ def q_cross_sell_summary(spark, folder):
 
 @query("cross_sell_period_summary_legacy")
 def q_cross_sell_summary_legacy(spark, folder):
+    """As originally written: a view at the cut itself is in neither period."""
     d = data(spark, folder)
-    return products.cross_sell_period_summary(_cart_anchors(d), d.pageviews, d.web_orders, legacy=True)
+    return products.cross_sell_period_summary(_cart_anchors(d, False), d.pageviews, d.web_orders, legacy=True)
 
 
 @query("portfolio_period_summary")
@@ -494,3 +495,93 @@ def q_customer_value(spark, folder):
 @query("customer_value_by_channel")
 def q_customer_value_by_channel(spark, folder):
     return users.customer_value_by_channel(data(spark, folder).facts)
+
+
+# --- other grains and forms ---------------------------------------------------
+
+@query("volume_trend_month")
+def q_volume_trend_month(spark, folder):
+    return traffic.volume_trend(data(spark, folder).facts, "month", before("created_at", CUT) & src("gsearch"))
+
+
+@query("volume_trend_quarter")
+def q_volume_trend_quarter(spark, folder):
+    return traffic.volume_trend(data(spark, folder).facts, "quarter", before("created_at", CUT) & src("gsearch"))
+
+
+@query("segment_trend_month")
+def q_segment_trend_month(spark, folder):
+    return traffic.segment_trend(data(spark, folder).facts, "utm_campaign", ["nonbrand", "brand"],
+                                 "month", before("created_at", CUT) & src("gsearch"))
+
+
+@query("channel_mix_trend_month")
+def q_channel_mix_month(spark, folder):
+    return traffic.channel_mix_trend(data(spark, folder).facts, "month", before("created_at", CUT))
+
+
+@query("direct_brand_vs_nonbrand_month")
+def q_direct_brand_month(spark, folder):
+    return traffic.direct_brand_vs_nonbrand(data(spark, folder).facts, "month", before("created_at", "2024-01-23"))
+
+
+@query("conversion_trend_month")
+def q_conversion_trend_month(spark, folder):
+    return traffic.conversion_trend(data(spark, folder).facts, "month", before("created_at", CUT))
+
+
+@query("efficiency_trend_quarter")
+def q_efficiency_quarter(spark, folder):
+    return traffic.efficiency_trend(data(spark, folder).facts, "quarter")
+
+
+@query("orders_by_channel_quarter")
+def q_orders_by_channel_quarter(spark, folder):
+    return traffic.orders_by_channel(data(spark, folder).facts, "quarter")
+
+
+@query("conversion_by_channel_quarter")
+def q_conversion_by_channel_quarter(spark, folder):
+    return traffic.conversion_by_channel(data(spark, folder).facts, "quarter")
+
+
+@query("listing_page_trend_quarter")
+def q_listing_page_trend_quarter(spark, folder):
+    d = data(spark, folder)
+    return products.listing_page_trend(d.pageviews, d.web_orders, "view", "quarter")
+
+
+@query("bounce_rate_by_landing_exclusive")
+def q_bounce_by_landing_exclusive(spark, folder):
+    d = data(spark, folder)
+    return pages.bounce_rate_by_landing(d.sessions, d.pageviews, LANDERS, MARKER_URL, qual_sessions(),
+                                        inclusive=False)
+
+
+# --- the five tables opened from their paths, as a deployment does --------------
+
+@query("tables_conversion_trend")
+def q_tables_conversion_trend(spark, folder):
+    return traffic.conversion_trend(data(spark, folder).deployment().facts, "day", before("created_at", CUT))
+
+
+@query("tables_top_pages")
+def q_tables_top_pages(spark, folder):
+    return pages.top_pages(data(spark, folder).deployment().pageviews, before("created_at", "2024-01-09"))
+
+
+@query("tables_distinct_values_rows")
+def q_tables_distinct_rows(spark, folder):
+    return traffic.distinct_values(data(spark, folder).deployment().sessions)
+
+
+@query("tables_product_revenue_trend")
+def q_tables_product_revenue(spark, folder):
+    return products.product_revenue_trend(data(spark, folder).deployment().order_items, PRODUCT_TYPES, "month")
+
+
+@query("tables_refund_rate_trend")
+def q_tables_refund_rate_trend(spark, folder):
+    t = data(spark, folder).deployment()
+    return products.refund_rate_trend(t.order_items, t.refunds, PRODUCT_TYPES, "month",
+                                      before("created_at", "2001-01-01"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.operators.grain import session_facts
 from shopflow.sources import fixtures, store
+from shopflow.sources.tables import ShopTables
 
 RAW_TABLES = ("events", "orders", "lineitem", "part")
 
@@ -106,6 +107,17 @@ class ShopData:
         return self._commerce["order_item_refunds"]
 
 
+    def deployment(self) -> ShopTables:
+        """The written tables, opened from their paths as a deployment opens its own."""
+        click, shop = self._sig("events"), self._sig("orders", "lineitem", "part")
+        names = {"sessions": ("sessions", click), "pageviews": ("pageviews", click), "orders": ("web_orders", click),
+                 "order_items": ("shop_items", shop), "refunds": ("shop_order_item_refunds", shop)}
+        self._click, self._commerce  # written by now
+        return ShopTables.from_paths(self.spark, **{
+            table: store.current(self.spark, store.table_path(self.spark, name, sig))
+            for table, (name, sig) in names.items()})
+
+
 _CACHE: dict = {}
 
 

@@ -22,3 +22,16 @@ def test_columns_are_pruned(spark, sf0001):
     df = QUERIES["channel_characteristics"](spark, sf0001)
     schemas = checks.read_schemas(df)
     assert schemas and all("http_referer" not in s and "user_id" not in s for s in schemas)
+
+
+@pytest.mark.parametrize("name,scans", [("cross_sell_period_summary", 3), ("cross_sell_period_summary_legacy", 3),
+                                        ("pages_after", 2), ("listing_page_trend", 2), ("bounce_rate_by_landing", 4),
+                                        ("repeat_sessions", 4)])
+def test_scans_where_no_side_is_small(spark, sf0001, name, scans):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        assert checks.digest(QUERIES[name](spark, sf0001))["scans"] <= scans
+    finally:
+        spark.conf.set(key, before)
