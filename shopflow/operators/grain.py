@@ -6,6 +6,10 @@ count and counting distinct orders a sum of per-session order counts (an
 order belongs to one session), so the analyses need no ``COUNT(DISTINCT)``
 and Spark plans no ``Expand`` that would copy each row once per distinct
 expression.
+
+This needs unique session and order ids: ``ShopTables.facts`` checks both
+when it builds the facts, ``ShopTables.check_keys`` all five tables. A row
+delivered twice would be counted twice.
 """
 
 from __future__ import annotations

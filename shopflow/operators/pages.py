@@ -65,7 +65,10 @@ def sessions_since(sessions: DataFrame, marker: Column, where: Column | None = N
 
 
 def top_pages(pageviews: DataFrame, where: Column | None = None) -> DataFrame:
-    """Page views per url, most viewed first (the column is named ``sessions``)."""
+    """Page views per url, most viewed first (the column is named ``sessions``).
+
+    Page-view ids are unique, so rows are counted.
+    """
     return (apply_where(pageviews, where).groupBy("pageview_url")
             .agg(F.count(PVID).alias("sessions"))
             .orderBy(F.col("sessions").desc()))

@@ -8,6 +8,7 @@ Types follow the columns' use in the analyses: integer keys as ``long``,
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
@@ -83,6 +84,24 @@ def check_columns(df: DataFrame, table: str) -> DataFrame:
     return df
 
 
+KEYS = {
+    "website_sessions": "website_session_id",
+    "website_pageviews": "website_pageview_id",
+    "orders": "order_id",
+    "order_items": "order_item_id",
+    "order_item_refunds": "order_item_id",
+}
+
+
+def check_unique(df: DataFrame, table: str) -> DataFrame:
+    """Raise when a key repeats (a row delivered twice): the analyses count rows at key grain."""
+    key = KEYS[table]
+    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key).take(3)
+    if again:
+        raise ValueError(f"{table}: {key} repeats, e.g. {[r[0] for r in again]}")
+    return df
+
+
 def read_table(spark, path: str, table: str) -> DataFrame:
     """Read a Parquet base table whose files have the declared columns and types.
 

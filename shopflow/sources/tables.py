@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.operators.grain import session_facts
 from shopflow.sources import store
-from shopflow.sources.schema import read_table
+from shopflow.sources.schema import check_unique, read_table
 
 
 @dataclass
@@ -59,11 +59,22 @@ class ShopTables:
     def refunds(self) -> DataFrame:
         return self.table("order_item_refunds")
 
+    def check_keys(self) -> None:
+        """Raise when a key of any opened table repeats; one aggregate over each table."""
+        for name in self.paths:
+            check_unique(self.table(name), name)
+
+    def _facts(self) -> DataFrame:
+        return session_facts(check_unique(self.sessions, "website_sessions"), check_unique(self.orders, "orders"))
+
     @cached_property
     def facts(self) -> DataFrame:
-        """Sessions with their order count, revenue and items (one row per session)."""
+        """Sessions with their order count, revenue and items (one row per session).
+
+        Building them checks that session and order ids are unique.
+        """
         if not self.materialize:
-            return session_facts(self.sessions, self.orders)
+            return self._facts()
         sig = store.input_signature(self.spark, [self.paths["website_sessions"], self.paths["orders"]])
-        return store.materialize(self.spark, lambda: session_facts(self.sessions, self.orders),
+        return store.materialize(self.spark, self._facts,
                                  "session_facts_tables", sig, cluster_by="created_at")

@@ -39,3 +39,22 @@ def test_absent_and_mistyped_columns_raise(spark, sf0001):
     d.refunds.drop("order_id").write.parquet(f"{out}/short")
     with pytest.raises(ValueError, match="order_id"):
         read_table(spark, f"{out}/short", "order_item_refunds")
+
+
+def test_repeated_rows_raise(spark, sf0001):
+    """A row delivered twice would be counted twice, so it is an error when the facts are built."""
+    d = ShopData(spark, sf0001, materialize=False)
+    out = tempfile.mkdtemp(prefix="shopflow-tables-")
+    d.sessions.unionByName(d.sessions.limit(1)).write.parquet(f"{out}/sessions")
+    d.pageviews.write.parquet(f"{out}/pageviews")
+    d.web_orders.unionByName(d.web_orders.limit(1)).write.parquet(f"{out}/orders")
+    d.sessions.write.parquet(f"{out}/sessions_once")
+    with pytest.raises(ValueError, match="website_session_id repeats"):
+        ShopTables.from_paths(spark, sessions=f"{out}/sessions", pageviews=f"{out}/pageviews",
+                              orders=f"{out}/orders").facts
+    t = ShopTables.from_paths(spark, sessions=f"{out}/sessions_once", pageviews=f"{out}/pageviews",
+                              orders=f"{out}/orders")
+    with pytest.raises(ValueError, match="order_id repeats"):
+        t.facts
+    with pytest.raises(ValueError, match="order_id repeats"):
+        t.check_keys()
