@@ -94,7 +94,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(windows: np.ndarray, target: np.ndarray, labels: list[str], passes: int = 4, batch: int = 64,
-          rate: float = 0.1, seed: int = 7) -> ByteNet:
+          rate: float = 0.1, seed: int = 7, least_steps: int = 300) -> ByteNet:
     """Fit the network to (windows, label indexes); classes weigh alike."""
     rng = np.random.default_rng(seed)
     net = ByteNet(labels, rng.normal(0, 0.5, (256, EMBEDDING)),
@@ -104,7 +104,7 @@ def train(windows: np.ndarray, target: np.ndarray, labels: list[str], passes: in
     weight = (len(target) / np.maximum(share, 1) / max(1, (share > 0).sum()))[target]
     params = [net.embedding, *net.filters.values(), net.weights, net.bias]
     speed = [np.zeros_like(p) for p in params]
-    steps = passes * max(1, len(target) // batch)
+    steps = max(least_steps, passes * len(target) // batch)  # small samples are gone over more often
     for step in range(steps):
         pick = rng.integers(0, len(target), min(batch, len(target)))
         grads = _gradients(net, windows[pick], target[pick], weight[pick])

@@ -32,7 +32,7 @@ def test_tables_equal_the_network(net):
 def test_gradients_equal_finite_differences():
     rng = np.random.default_rng(5)
     x, y = rng.integers(0, 256, (4, L.WINDOW)).astype(np.uint8), np.array([0, 1, 1, 0])
-    net = L.train(x, y, ["a", "b"], passes=1, batch=4, rate=0.0)
+    net = L.train(x, y, ["a", "b"], batch=4, rate=0.0, least_steps=1)
 
     def loss():
         return -net_log(net, x)[np.arange(4), y].mean()
