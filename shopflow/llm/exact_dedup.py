@@ -20,6 +20,11 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     # each state partition holds little; without this each reserves megabytes ahead of its files
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # one bound for all state partitions of an executor, small buffers for each, and a prompt end
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 
 
