@@ -167,6 +167,8 @@ def fragments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     n = len(data)
     if n < length:
         return none
+    if n >> POSITION_BITS:
+        raise ValueError("a text is longer than positions can tell")
     at = np.arange(n - gram + 1)
     grams = span_hashes(data, at, at + gram)
     shift = np.uint64(POSITION_BITS)

@@ -30,7 +30,7 @@ END = b"\r\n\r\n"
 RANGE_BYTES = 4 << 20
 FILE_BYTES = 256 << 20
 TASK_BYTES = 16 << 20  # of archives per reading task
-HEADER_LIMIT = 1 << 20
+AHEAD_BYTES = 1 << 20  # read beyond a range at once, for headers that cross its end
 DATE = "1970-01-01T00:00:00Z"  # the pages carry no capture time
 _LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]+)(?=\r\n)", re.IGNORECASE)
 MANIFEST = "file string, n_records bigint, n_bytes bigint"
@@ -135,21 +135,26 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
 
 
 def record_end(data: bytes, at: int) -> int | None:
-    """Offset behind the record that would begin at ``at``; None if no header stands there."""
-    head = data.find(END, at, at + HEADER_LIMIT)
+    """Offset behind the record that would begin at ``at``; None if its header has no length or is not whole."""
+    head = data.find(END, at)
     length = _LENGTH.search(data, at, head + 2) if head >= 0 else None
     return head + len(END) + int(length[1]) + len(END) if length else None
 
 
-def candidates(data: bytes, size: int) -> list[tuple[int, int]]:
-    """(offset, end) of everything that looks like a record starting in the first ``size`` bytes."""
-    out, at = [], data.find(MAGIC)
+def candidates(data: bytes, size: int) -> tuple[list[tuple[int, int]], bool]:
+    """(offset, end) of everything that looks like a record starting in the first ``size`` bytes.
+
+    The second result tells whether a header runs over the end of ``data``.
+    """
+    out, at, cut = [], data.find(MAGIC), False
     while 0 <= at < size:
         end = record_end(data, at)
         if end is not None:
             out.append((at, end))
+        elif data.find(END, at) < 0:
+            cut = True
         at = data.find(MAGIC, at + 1)
-    return out
+    return out, cut
 
 
 def _ranges(manifest: DataFrame, range_bytes: int) -> DataFrame:
@@ -175,9 +180,13 @@ def range_entries(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
                 fs, path = file_system(r["file"])
                 with fs.open_input_file(path) as f:
                     f.seek(r["lo"])
-                    data = f.read(min(range_bytes + HEADER_LIMIT, r["n_bytes"] - r["lo"]))
+                    data = f.read(range_bytes + AHEAD_BYTES)
+                    found, cut = candidates(data, range_bytes)
+                    while cut and (more := f.read(AHEAD_BYTES)):
+                        data += more
+                        found, cut = candidates(data, range_bytes)
                 leaves: dict[int, int] = {}
-                for at, end in reversed(candidates(data, range_bytes)):
+                for at, end in reversed(found):
                     if end >= range_bytes or end in leaves or r["lo"] + end >= r["n_bytes"]:
                         leaves[at] = leaves.get(end, r["lo"] + end)
                 yield pa.RecordBatch.from_pydict(
@@ -226,7 +235,7 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
                     while base + at < stop:
                         end = record_end(data, at)
                         if end is None or end > len(data):
-                            more = f.read(max(HEADER_LIMIT, (end or 0) - len(data)))
+                            more = f.read(max(AHEAD_BYTES, (end or 0) - len(data)))
                             if not more:
                                 raise ValueError(f"{r['file']}: the record at {base + at} is not whole")
                             data += more
