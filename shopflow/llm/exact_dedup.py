@@ -10,6 +10,7 @@ compared; a digest shared by different texts is settled by the texts.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,15 @@ def fold_into_state(spark: SparkSession, arrivals_path: str, schema, state_path:
                         F.col("value")[size].alias("group_size"))
 
 
+def _locator(docs: DataFrame) -> Column:
+    """The file that holds a row's content; empty where rows come from several sources, as after a join."""
+    try:
+        docs.select(F.input_file_name())
+    except AnalysisException:
+        return F.lit("")
+    return F.input_file_name()
+
+
 def exact_duplicates(docs: DataFrame, state_path: str | None = None) -> DataFrame:
     """Group rows of equal text; the row with the smallest doc_id of a group stays.
 
@@ -76,7 +86,7 @@ def exact_duplicates(docs: DataFrame, state_path: str | None = None) -> DataFram
     spark = docs.sparkSession
     digest = F.unhex(F.sha2(normalised("text"), 256))
     path = scratch_path(spark, "arrivals")
-    arrivals = docs.select("doc_id", digest.alias("digest"), F.input_file_name().alias("locator"),
+    arrivals = docs.select("doc_id", digest.alias("digest"), _locator(docs).alias("locator"),
                            F.monotonically_increasing_id().alias("seq"))
     arrivals.write.parquet(path)
     arrivals = spark.read.schema(arrivals.schema).parquet(path)

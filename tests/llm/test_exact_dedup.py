@@ -42,6 +42,12 @@ def test_dropping_keeps_columns_and_one_row_of_each(odd_docs, no_docs):
     assert X.exact_duplicates(no_docs).count() == 0
 
 
+def test_rows_of_a_join(spark, odd_docs, documents):
+    both = odd_docs.select("doc_id", "text").union(documents.select("doc_id", "text")).join(
+        spark.range(5).withColumnRenamed("id", "doc_id"), "doc_id")
+    assert X.exact_duplicates(both).count() == both.count()
+
+
 def test_state_outlives_the_run(spark):
     """A second stream over the same state matches new arrivals against earlier ones."""
     folder, state = scratch_path(spark, "arrivals"), scratch_path(spark, "state")
