@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -264,11 +264,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         raise RuntimeError("text hashes collide under every salt")
     rows = table.select("node", F.explode("fragments").alias("f")).select("node", "f.*")
     place = F.xxhash64("node", "s1")
-    distinct = rows.groupBy("gram", "content").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    of_gram = Window.partitionBy("gram")
-    several = distinct.select("*", F.count("*").over(of_gram).alias("kinds"),
-                              F.max(F.col("lo") != F.col("hi")).over(of_gram).alias("twice"))
-    several = stage(several.where("kinds > 1 OR twice").select(
+    distinct = stage(rows.groupBy("gram", "content").agg(F.min(place).alias("lo"), F.max(place).alias("hi")),
+                     "distinct-fragments")
+    # counts and a join, not a window: a gram in very many texts is then split like any skewed key
+    shared = (distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.max(F.col("lo") != F.col("hi")).alias("twice"))
+              .where("kinds > 1 OR twice").select("gram", "kinds"))
+    several = stage(distinct.join(shared, "gram").select(
         "gram", "content", "lo", F.when(F.col("lo") == F.col("hi"), 1).otherwise(2).alias("copies"), "kinds"),
         "several-fragments")
     members = stage(rows.join(several, ["gram", "content"]).select(
