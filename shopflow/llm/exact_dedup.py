@@ -135,4 +135,5 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
             .select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")))
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised("text"), 256)))
     same = keyed["_digest"].eqNullSafe(kept["_keep_digest"]) & keyed["doc_id"].eqNullSafe(kept["_keep_id"])
-    return (keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*names))
+    return (keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
+            .select(*[F.col(f"`{c}`") for c in names]))
