@@ -44,7 +44,7 @@ BLOCK_TOKENS = 2_000_000  # in one tree
 CHUNK_TOKENS = 2_000_000  # counted together when looking for common words and shingles
 COMMON_WORDS = 400_000  # most words in the broadcast table
 FREQUENT_SHINGLES = 1_500_000  # most shingles in the broadcast table
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 SALTS = 64
 _WORD = ~WHITE
 

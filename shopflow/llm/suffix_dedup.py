@@ -38,7 +38,7 @@ GRAM = 64
 POSITION_BITS = 30
 FRAGMENTS_PER_BLOCK = 4000
 TASK_BYTES = 2 << 20
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 # --- suffix array ----------------------------------------------------------------------

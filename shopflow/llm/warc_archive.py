@@ -88,7 +88,7 @@ def decode_record(record: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: int = 100,
-                   broadcast_rows: int = 500_000) -> DataFrame:
+                   broadcast_rows: int = 250_000) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html); returns the manifest of finished files.
 
     Null html is an empty payload. Null page_ids never lead a group that has

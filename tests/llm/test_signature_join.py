@@ -65,6 +65,7 @@ def test_families_around_the_threshold(spark, monkeypatch, small):
     """Chains and near misses; with small blocks also the ways across blocks of large clusters."""
     if small:
         monkeypatch.setattr(S, "BLOCK_TOKENS", 2500)
+        monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
     rng = np.random.default_rng(11)
     rows, passage = [], " ".join(f"p{k}" for k in range(60))
     for f in range(25):

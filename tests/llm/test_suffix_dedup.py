@@ -50,6 +50,7 @@ def test_documents_equal_brute_force(documents):
 def test_short_strings_runs_and_blocks(spark, monkeypatch, block):
     """Overlaps, repeats inside one text, runs of one byte; small blocks also go through the count across blocks."""
     monkeypatch.setattr(S, "FRAGMENTS_PER_BLOCK", block)
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0 if block == 3 else 250_000)  # and the join without a broadcast
     rng = np.random.default_rng(4)
 
     def noise(n):
