@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -23,7 +24,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def duck(folder: str):
     con = duckdb.connect()
     for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+        path = f"{folder}/{t}.parquet"
+        path += "/*.parquet" if os.path.isdir(path) else ""
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
