@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from shopflow.llm.staging import scratch_path, stage
 
+#: Groups of several rows up to this number are broadcast (about 20 MB), so texts outside them never move.
+BROADCAST_ROWS = 250_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -92,7 +94,11 @@ def exact_duplicates(docs: DataFrame, state_path: str | None = None) -> DataFram
     arrivals = spark.read.schema(arrivals.schema).parquet(path)
 
     state = fold_into_state(spark, path, arrivals.schema, state_path or scratch_path(spark, "dedup-state"))
-    groups = state.where("group_size > 1")
+    groups = stage(state.where("group_size > 1").select(
+        "digest", F.col("first.doc_id").alias("first_id"), F.col("first.seq").alias("first_seq"), "group_size"),
+        "dedup-groups")
+    if groups.count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
 
     # full bytes on hits: the least and the greatest text of a digest are the same bytes
     texts = docs.select(normalised("text").alias("norm"), "doc_id").withColumn(
@@ -103,8 +109,8 @@ def exact_duplicates(docs: DataFrame, state_path: str | None = None) -> DataFram
     found = (arrivals.join(groups, "digest", "left")
              .select("doc_id", "digest", "seq", F.coalesce("group_size", F.lit(1)).alias("group_size"),
                      F.when(F.col("group_size").isNull(), F.col("doc_id"))
-                     .otherwise(F.col("first.doc_id")).alias("keep_id"),
-                     F.coalesce(F.col("first.seq") == F.col("seq"), F.lit(True)).alias("kept")))
+                     .otherwise(F.col("first_id")).alias("keep_id"),
+                     F.coalesce(F.col("first_seq") == F.col("seq"), F.lit(True)).alias("kept")))
     clashes = compared.where("NOT same").select("digest")
     if not clashes.isEmpty():
         found = _settle_by_text(found, texts.join(clashes, "digest", "left_semi"), clashes)
@@ -131,9 +137,15 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows (same doc_id, equal text) leave one row.
     """
     names = docs.columns
-    kept = (exact_duplicates(docs).where("kept")
-            .select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest")))
+    found = stage(exact_duplicates(docs).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept",
+                                                F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("as_first")),
+                  "dedup-found").where("NOT kept")
+    gone = found.where("NOT as_first").select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised("text"), 256)))
-    same = keyed["_digest"].eqNullSafe(kept["_keep_digest"]) & keyed["doc_id"].eqNullSafe(kept["_keep_id"])
-    return (keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
-            .select(*[F.col(f"`{c}`") for c in names]))
+    same = (keyed["_digest"] == gone["_gone_digest"]) & keyed["doc_id"].eqNullSafe(gone["_gone_id"])
+    left = keyed.join(gone, same, "left_anti")
+    if not found.where("as_first").isEmpty():  # rows repeated with the id that stays
+        left = left.dropDuplicates(["doc_id", "_digest"])
+    return left.select(*[F.col(f"`{c}`") for c in names])

@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from shopflow.llm import exact_dedup as X
@@ -11,7 +12,9 @@ def norm(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
 
-def test_groups_equal_brute_force(documents):
+@pytest.mark.parametrize("broadcast_rows", [0, 250_000])
+def test_groups_equal_brute_force(documents, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(X, "BROADCAST_ROWS", broadcast_rows)
     groups = defaultdict(list)
     for r in documents.collect():
         groups[norm(r.text)].append(r.doc_id)
@@ -33,7 +36,9 @@ def test_odd_rows(odd_docs):
     assert {r.keep_id for r in by_id[None]} == {None}
 
 
-def test_dropping_keeps_columns_and_one_row_of_each(odd_docs, no_docs):
+@pytest.mark.parametrize("broadcast_rows", [0, 250_000])
+def test_dropping_keeps_columns_and_one_row_of_each(odd_docs, no_docs, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(X, "BROADCAST_ROWS", broadcast_rows)
     left = X.drop_exact_duplicates(odd_docs)
     assert left.columns == odd_docs.columns
     ids = sorted(r.doc_id or 0 for r in left.collect())
