@@ -214,7 +214,9 @@ def prefix_groups(docs: DataFrame, words: int, salt: int, order, numerator: int,
                 often = frequent_(shingles)
                 row, at = prefixes(shingles, bounds, weight, often, numerator, denominator)
                 prefix, frequent = shingles[at], often[at] > 0
-                fresh = np.array([n not in seen for n in nodes], bool)
+                fresh = np.zeros(len(nodes), bool)
+                fresh[np.unique(np.array(nodes, np.int64), return_index=True)[1]] = True
+                fresh &= np.array([n not in seen for n in nodes], bool)
                 if len(seen) < 1_000_000:  # copies in one task are emitted once; others meet in the group
                     seen.update(nodes)
                 keep = fresh[row]
@@ -226,10 +228,13 @@ def prefix_groups(docs: DataFrame, words: int, salt: int, order, numerator: int,
 
     rows = docs.select("text").mapInArrow(run, "shingle bigint, node bigint, salt int")
     group = Window.partitionBy("shingle", "salt")
+    # a node that two tasks emit would cancel out of x and y, so its rows become one first; the window's order serves both
+    rows = rows.withColumn("before", F.lag("node").over(group.orderBy("node"))).where(
+        "before IS NULL OR before <> node").drop("before")
     rows = rows.select("*", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"),
                        F.bit_xor(F.xxhash64("node")).over(group).alias("x"),
                        F.bit_xor(F.xxhash64("node", F.lit(1))).over(group).alias("y"))
-    rows = stage(rows.where("low <> high OR salt > 0").distinct(), "prefix-groups")
+    rows = stage(rows.where("low <> high OR salt > 0"), "prefix-groups")
     chosen = (rows.where("salt = 0").groupBy("low", "high", "x", "y").agg(F.min("shingle").alias("shingle"))
               .select("shingle"))
     plain = rows.where("salt = 0").join(chosen, "shingle", "left_semi")

@@ -76,6 +76,38 @@ def test_families_around_the_threshold(spark, monkeypatch, small):
     check(spark, rows, 3, 9, 10)
 
 
+def copied_families(seed):
+    """Families of near copies, common words in them; about half of the members stand twice."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(300):
+        members = [t for _, t in family(rng, 4, int(rng.integers(25, 120)), 1, 0, vocabulary=300)]
+        texts += members + [t for t in members if rng.random() < 0.5]
+    return list(enumerate(texts))
+
+
+def test_copies_in_several_partitions_equal_brute_force(spark):
+    rows = copied_families(2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in S.similar_components(docs).collect()}
+    assert got == brute(rows, 3, 9, 10)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_copies_leave_the_groups_alone(spark, parts):
+    """A node emitted twice, from one slice or from two partitions, counts once."""
+    rows = copied_families(3)
+    once = list({t: (i, t) for i, t in reversed(rows)}.values())
+    order = spark.sparkContext.broadcast(S.counted_hashes(
+        spark.createDataFrame(once, "doc_id long, text string").coalesce(1), 3, 0, 100_000))
+
+    def groups(texts):
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
+        return sorted(map(tuple, S.prefix_groups(docs, 3, 0, order, 9, 10).collect()))
+
+    assert groups(rows) == groups(once)
+
+
 def test_tree_finds_all_links():
     rng = np.random.default_rng(2)
     for _ in range(30):
