@@ -135,10 +135,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
 
 
 def record_end(data: bytes, at: int) -> int | None:
-    """Offset behind the record that would begin at ``at``; None if its header has no length or is not whole."""
+    """Offset behind the record that would begin at ``at``; None if its header is not whole or has no length in int64."""
     head = data.find(END, at)
     length = _LENGTH.search(data, at, head + 2) if head >= 0 else None
-    return head + len(END) + int(length[1]) + len(END) if length else None
+    digits = length[1].lstrip(b"0") if length else b""
+    return head + len(END) + int(digits or b"0") + len(END) if length and len(digits) <= 18 else None
 
 
 def candidates(data: bytes, size: int) -> tuple[list[tuple[int, int]], bool]:
@@ -186,6 +187,7 @@ def range_entries(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
                         data += more
                         found, cut = candidates(data, range_bytes)
                 leaves: dict[int, int] = {}
+                found = [(at, end) for at, end in found if r["lo"] + end <= r["n_bytes"]]  # no record runs over its file
                 for at, end in reversed(found):
                     if end >= range_bytes or end in leaves or r["lo"] + end >= r["n_bytes"]:
                         leaves[at] = leaves.get(end, r["lo"] + end)

@@ -37,6 +37,15 @@ def test_without_verification_false_records_would_appear(pages):
     assert W.read_archives(manifest, 300).count() == 1
 
 
+@pytest.mark.parametrize("range_bytes", [100, 4 << 20])
+def test_lengths_beyond_the_file_in_payloads(spark, range_bytes):
+    lengths = ["9" * 20, "9" * 18, "9" * 5000, str(2**63 - 1), str(2**63), "0" * 30 + "5", "70000"]
+    rows = [(k, "u", f"a WARC/1.1\r\nContent-Length: {n}\r\n\r\nb" + "c" * 50) for k, n in enumerate(lengths)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = W.read_archives(W.write_archives(pages), range_bytes).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got) == [(k, h) for k, _, h in rows]
+
+
 def test_a_cut_file_is_found(spark, pages, tmp_path):
     row = W.write_archives(pages.coalesce(1)).first()
     data = open(row.file.removeprefix("file:"), "rb").read()
