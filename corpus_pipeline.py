@@ -17,7 +17,7 @@ from shopflow.llm.staging import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose language can be told; texts without a letter go."""
+    """Documents with a letter, however sure the language; all with a letter if no row has a lang to learn from."""
     return language_cnn.keep_identified(docs, language_cnn.fit(docs, not_held_out()))
 
 

@@ -179,12 +179,17 @@ def fit(docs: DataFrame, learn: Column, documents: int = SAMPLE_DOCUMENTS,
     return train(x, np.searchsorted(labels, langs), labels)
 
 
+def _lettered(rows: pa.RecordBatch) -> np.ndarray:
+    """Whether each text of a slice has a letter."""
+    texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
+    return np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+
+
 def _predict(tables: ByteTables | None, rows: pa.RecordBatch, data: np.ndarray,
              offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
     """(label, score) of each text of a slice: window log-probabilities averaged by bytes."""
-    texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
     n = rows.num_rows
-    lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+    lettered = _lettered(rows)
     score = np.zeros(n)
     names = [UNDETERMINED] * n
     if tables is None or not lettered.any():
@@ -220,15 +225,17 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, net: ByteNet | None, least_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with at least ``least_score``, columns unchanged."""
+def keep_identified(docs: DataFrame, net: ByteNet | None) -> DataFrame:
+    """The rows of ``docs`` that are not ``und``, columns unchanged; without a model all texts with a letter stay."""
     tables = docs.sparkSession.sparkContext.broadcast(net.tables() if net else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
-                names, score = _predict(tables.value, rows, data, offsets)
-                keep = [n != UNDETERMINED and s >= least_score for n, s in zip(names, score)]
+                if tables.value is None:
+                    keep = _lettered(rows).tolist()
+                else:
+                    keep = [n != UNDETERMINED for n in _predict(tables.value, rows, data, offsets)[0]]
                 yield rows.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

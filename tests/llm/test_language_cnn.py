@@ -75,3 +75,16 @@ def test_odd_rows(odd_docs, no_docs, net):
     nothing = L.fit(odd_docs, F.lit(False))
     assert nothing is None
     assert {r.lang_pred for r in L.predict(odd_docs, nothing).collect()} == {"und"}
+
+
+def test_unsure_texts_stay(odd_docs):
+    """With many labels the best one of a clean text scores little; without a model nothing can be scored."""
+    rng = np.random.default_rng(1)
+    labels = [f"l{k:02}" for k in range(40)]
+    unsure = L.train(rng.integers(0, 256, (40, L.WINDOW)).astype(np.uint8), np.arange(40), labels, rate=0.0)
+    unsure.weights[:] = 0
+    lettered = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (4, 5, 6, 11)")
+    for net in (unsure, None):
+        kept = L.keep_identified(odd_docs, net)
+        assert kept.columns == odd_docs.columns
+        assert sorted(map(str, kept.collect())) == sorted(map(str, lettered.collect()))
