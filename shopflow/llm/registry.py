@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import decontaminate, exact_dedup, language_cnn, piece_codec, quality_gam, secret_scan, signature_join, suffix_dedup, token_records, warc_archive
+from shopflow.llm import (conversation_trie, decontaminate, exact_dedup, language_cnn, piece_codec,
+                          quality_gam, secret_scan, signature_join, suffix_dedup, token_records, warc_archive)
 from shopflow.llm.sampling import not_held_out
 
 
@@ -92,6 +93,12 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(table(spark, folder, "conversations"),
+                                          shared=lambda c: F.crc32(c.cast("string")) % 9,
+                                          base=lambda c: c - c % 5, most=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_gam": op2_quality_gam,
@@ -103,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_archive": op8_warc_archive,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 SQL: dict[str, str] = {
@@ -145,5 +153,38 @@ WITH d AS (
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW same AS (PARTITION BY norm)
+""",
+    "op11_conversation_trie": r"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(
+               length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+    FROM conversations WHERE conv_id IS NOT NULL),
+seq AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY p) AS s FROM t GROUP BY conv_id),
+crc AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, s, xor(4294967295, list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                              lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END))) % 9 AS h
+    FROM seq),
+rebuilt AS (
+    SELECT a.conv_id AS c, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) AS s
+    FROM crc a LEFT JOIN seq b ON b.conv_id = a.base),
+prefix AS (
+    SELECT c, d, len(s) AS own, sha256(s[1:d]::VARCHAR || d) AS id, CASE WHEN d > 0 THEN sha256(s[1:d - 1]::VARCHAR || (d - 1)) END AS up,
+           CASE WHEN d > 0 THEN strlen(s[d].text) ELSE 0 END AS bytes
+    FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+node AS (
+    SELECT id, d, any_value(up) AS up, any_value(bytes) AS bytes, min(c) AS low, count(*) AS n,
+           sha256(coalesce(string_agg(CASE WHEN own = d THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends
+    FROM prefix GROUP BY id, d),
+kids AS (SELECT up AS id, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY up),
+under AS (
+    SELECT a.id, count(*) FILTER (WHERE k.id IS NULL) AS n_leaves, sum((v.n - 1) * v.bytes)::BIGINT AS saved
+    FROM (SELECT DISTINCT x.id, y.id AS below FROM prefix x JOIN prefix y ON x.c = y.c AND y.d >= x.d) a
+    JOIN node v ON v.id = a.below LEFT JOIN kids k ON k.id = v.id GROUP BY a.id)
+SELECT node.low AS conv_id, node.d AS depth, above.low AS parent_conv_id, node.n AS n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, saved AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN under USING (id) LEFT JOIN kids USING (id) LEFT JOIN node above ON above.id = node.up
 """,
 }
