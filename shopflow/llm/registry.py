@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import (conversation_trie, decontaminate, exact_dedup, language_cnn, piece_codec,
+from shopflow.llm import (conversation_trie, decontaminate, exact_dedup, hard_negatives, language_cnn, piece_codec,
                           quality_gam, secret_scan, signature_join, suffix_dedup, token_records, warc_archive)
 from shopflow.llm.sampling import not_held_out
 
@@ -99,6 +99,12 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
                                           base=lambda c: c - c % 5, most=8)
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vec"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_gam": op2_quality_gam,
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -186,5 +193,25 @@ under AS (
 SELECT node.low AS conv_id, node.d AS depth, above.low AS parent_conv_id, node.n AS n_convs,
        coalesce(n_children, 0) AS n_children, n_leaves, saved AS saved_tokens, node.ends AS ends_sha256
 FROM node JOIN under USING (id) LEFT JOIN kids USING (id) LEFT JOIN node above ON above.id = node.up
+""",
+    "op12_hard_negatives": r"""
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pos AS (
+    SELECT a.vec_id AS anchor_id, a.label, a.vec, p.vec_id AS positive_id, list_inner_product(a.vec, p.vec)::BIGINT AS positive_score
+    FROM v a JOIN v p ON a.vec_id % 50 = 0 AND a.label = p.label AND a.vec_id <> p.vec_id
+    QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.vec, p.vec) DESC, p.vec_id) <= 5),
+neg AS (
+    SELECT anchor_id, positive_id, positive_score, n.vec_id AS negative_id, list_inner_product(pos.vec, n.vec)::BIGINT AS negative_score
+    FROM pos JOIN v n ON pos.label <> n.label)
+SELECT anchor_id, positive_id, row_number() OVER (
+           PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id)::INTEGER AS rank,
+       negative_id, positive_score, negative_score
+FROM neg WHERE 50 * positive_score <= 100 * negative_score AND 100 * negative_score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) <= 3
 """,
 }
