@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopflow.llm import (conversation_trie, decontaminate, exact_dedup, hard_negatives, language_cnn, piece_codec,
-                          quality_gam, secret_scan, signature_join, suffix_dedup, token_records, warc_archive)
+                          quality_gam, secret_scan, signature_join, suffix_dedup, token_counts, token_records,
+                          warc_archive)
 from shopflow.llm.sampling import not_held_out
 
 
@@ -105,6 +106,11 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
 
 
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_gam": op2_quality_gam,
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_counts": op13_token_counts,
 }
 
 SQL: dict[str, str] = {
