@@ -30,7 +30,7 @@ def rows(spark, folder, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -95,13 +95,20 @@ def test_op7(spark, sf0001, documents):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) > 0.9 * len(held)
 
 
+def test_op13(spark, sf0001, texts):
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for r, (doc_id, text) in zip(rows(spark, sf0001, "op13_token_counts"), texts):
+        n = len(library.encode(text or ""))
+        assert (r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) == (doc_id, len((text or "").encode()), n, n > 4096)
+
+
 def test_pipeline(spark, sf0001, documents, texts):
     """The rows that each rule keeps, in the order of the stages, encoded as the library does."""
     import sentencepiece
     library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     net = language_cnn.fit(documents, not_held_out())
-    told = {r.doc_id for r in language_cnn.predict(documents, net).collect()
-            if r.lang_pred != "und" and r.score >= 0.3}
+    told = {r.doc_id for r in language_cnn.predict(documents, net).collect() if r.lang_pred != "und"}
     first = {}
     for i, t in texts:
         if i in told:
