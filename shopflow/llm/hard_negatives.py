@@ -31,7 +31,8 @@ from shopflow.llm.staging import stage
 
 BASE = 1.5
 LEAF_ROWS = 64
-#: Centers tried before a set that they hardly cover is left as one leaf.
+#: Rows that centers must cover on average; a set they hardly cover, seen after so many centers, stays one leaf.
+ROWS_A_CENTER = 16
 TRIED_CENTERS = 32
 TREE_ROWS = 4096
 CHUNK_QUERIES = 1024
@@ -115,12 +116,12 @@ class CoverTree:
             near = reach <= radius
             parts.append((center, left[near], reach[near]))
             left = left[~near]
-            if len(parts) == TRIED_CENTERS and len(rows) - len(left) < min(len(rows) // 2, 4 * TRIED_CENTERS):
+            if len(parts) >= TRIED_CENTERS and len(rows) - len(left) < ROWS_A_CENTER * len(parts):
                 return None
             if len(left):
                 center = int(left[0])
                 reach = self._distances(lifted, left, center)
-        return parts if 2 * len(parts) <= len(rows) else None
+        return parts if ROWS_A_CENTER * len(parts) <= len(rows) else None
 
     # as a row of a table ---------------------------------------------------------
     FIELDS = (("points", np.int32), ("labels", np.int64), ("ids", np.int64), ("marks", np.int64),
@@ -172,8 +173,9 @@ class Search:
             rank = np.arange(len(q)) - np.searchsorted(q, q)
             now, held = rank < BEAM, rank >= BEAM
             parts = [(q[held], node[held], high[held])]
-            for n in np.unique(node[now]).tolist():
-                who = q[now][node[now] == n]
+            order = np.argsort(node[now], kind="stable")
+            which, cuts = np.unique(node[now][order], return_index=True)
+            for n, who in zip(which.tolist(), np.split(q[now][order], cuts[1:])):
                 _, lo, hi, child, end, _, _ = tree.nodes[n].tolist()
                 if child == end:
                     self._verify(tree, who, lo, hi, (vecs[who] @ points[lo:hi].T))

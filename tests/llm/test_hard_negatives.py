@@ -46,6 +46,7 @@ def test_equals_brute_force(spark, monkeypatch, spread):
     """Several trees with and without cluster structure, several chunks."""
     monkeypatch.setattr(hard_negatives, "TREE_ROWS", 150)
     monkeypatch.setattr(hard_negatives, "LEAF_ROWS", 8)
+    monkeypatch.setattr(hard_negatives, "ROWS_A_CENTER", 2)
     monkeypatch.setattr(hard_negatives, "CHUNK_QUERIES", 4)
     rows = vectors(600, 12, 15, spread, 3)
     want = brute_force(rows)
