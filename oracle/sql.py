@@ -829,3 +829,15 @@ SQL["bounce_rate_by_landing_exclusive"] = SQL["bounce_rate_by_landing"].replace(
 # the same analyses over the five tables opened from their paths
 for _name in ("conversion_trend", "top_pages", "distinct_values_rows", "product_revenue_trend", "refund_rate_trend"):
     SQL[f"tables_{_name}"] = SQL[_name]
+
+# over session paths
+for _name in ("first_pageview", "landing_page", "top_entry_pages", "bounced_sessions", "bounce_rate",
+              "bounce_rate_by_landing", "weekly_bounce_trend", "qualifying_pageviews", "funnel_flags", "funnel_counts",
+              "funnel_rates", "page_version_conversion", "next_pageview", "pathing_summary", "pages_after",
+              "product_funnel_counts", "product_funnel_rates", "listing_page_trend", "clickthrough_after",
+              "cross_sell_period_summary", "cross_sell_period_summary_legacy"):
+    SQL[f"paths_{_name}"] = SQL[_name]
+
+# over tables in the same buckets
+for _name in ("cross_sell_matrix", "refund_rate_trend"):
+    SQL[f"buckets_{_name}"] = SQL[_name]

@@ -223,7 +223,12 @@ def cross_sell_period_summary(anchors: DataFrame, pageviews: DataFrame, orders:
     keys = ["time_period", SID]
     carts = (first_after(anchors, pageviews, keys, counted=True)
              .select(*keys, "c", F.col("next_id").isNotNull().alias("clicked")))
-    per_order = orders_per_session(orders).select(SID, "n_orders", "items", "revenue")
+    return summarise_carts(carts, orders_per_session(orders).select(SID, "n_orders", "items", "revenue"), legacy)
+
+
+def summarise_carts(carts: DataFrame, per_order: DataFrame, legacy: bool = False) -> DataFrame:
+    """Figures of :func:`cross_sell_period_summary` from one row per (period, session) with the number of
+    cart views ``c`` and whether the session ``clicked`` on, and the orders of each session."""
     if not legacy:
         rows = carts.join(per_order, SID, "left")
         on = F.col("clicked")

@@ -43,6 +43,16 @@ def read_schemas(df: DataFrame) -> list[str]:
     return re.findall(r"ReadSchema: (struct<.*?>)", plan_text(df, "formatted"))
 
 
+def shuffle_keys(df: DataFrame) -> list[str]:
+    """What each shuffle of the plan deals its rows by, without column numbers."""
+    return [re.sub(r"#\d+L?", "", m) for m in re.findall(r"Arguments: (?:hash|range)partitioning\((.*?), \d+\)", plan_text(df, "formatted"))]
+
+
+def partition_filters(df: DataFrame) -> list[str]:
+    """``PartitionFilters`` lists of the plan's file scans."""
+    return re.findall(r"PartitionFilters: \[(.*?)\]", plan_text(df, "formatted"))
+
+
 def digest(df: DataFrame) -> dict:
     """Counts of the operators that cost at scale in the physical plan:
     shuffles, scans, joins by strategy, aggregates by kind, windows,

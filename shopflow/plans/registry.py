@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import after, before, between
 from shopflow.functions.channels import campaign, src
-from shopflow.operators import funnels, pages, products, traffic, users
+from shopflow.operators import funnels, pages, paths, products, traffic, users
 from shopflow.sources.testdata import shop_data
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -585,3 +585,61 @@ def q_tables_refund_rate_trend(spark, folder):
     t = data(spark, folder).deployment()
     return products.refund_rate_trend(t.order_items, t.refunds, PRODUCT_TYPES, "month",
                                       before("created_at", "2001-01-01"))
+
+
+# --- session paths and tables in the same buckets: the same analyses without moving page views -----
+
+def _paths(name: str, fn) -> None:
+    """Register ``fn(ShopData)`` as the path form of the query ``name``."""
+    QUERIES[f"paths_{name}"] = lambda spark, folder: fn(data(spark, folder))
+
+
+VIEW_ANCHORS = {"url": "view", "lo": "2024-01-06", "hi": "2024-01-27", "cut": PATH_CUT,
+                "labels": ("pre_product_2", "post_product_2")}
+CART_ANCHORS = {"url": "click", "lo": "2024-01-06", "hi": "2024-01-26", "cut": PATH_CUT,
+                "labels": ("A.pre_cross_sell", "B.post_cross_sell")}
+
+
+def _path_flags(d, lo, hi, segments=True):
+    cols = {"saw_view": "view", "saw_signup": "signup"} if segments else {}
+    cols.update({f"{s}_made_it": s for s in STEPS})
+    return paths.funnel_flags(d.paths, cols, gsearch_nonbrand() & after("created_at", lo) & before("created_at", hi))
+
+
+_paths("first_pageview", lambda d: paths.first_pageview(d.paths, paths.seen_before("2024-01-12")))
+_paths("landing_page", lambda d: paths.landing_page(d.paths, paths.seen_before("2024-01-14")))
+_paths("top_entry_pages", lambda d: paths.top_entry_pages(d.paths, paths.seen_before("2024-01-12")))
+_paths("bounced_sessions", lambda d: paths.bounced_sessions(d.paths, paths.seen_before("2024-01-14")))
+_paths("bounce_rate", lambda d: paths.bounce_rate(d.paths, paths.seen_before("2024-01-14")))
+_paths("bounce_rate_by_landing", lambda d: paths.bounce_rate_by_landing(d.paths, LANDERS, MARKER_URL, qual_sessions()))
+_paths("weekly_bounce_trend", lambda d: paths.weekly_bounce_trend(d.paths, LANDERS, where=_trend_sessions()))
+_paths("qualifying_pageviews", lambda d: paths.qualifying_pageviews(d.paths, qual_sessions()))
+_paths("funnel_flags", lambda d: _path_flags(d, "2024-01-05", "2024-01-28"))
+_paths("funnel_counts", lambda d: funnels.funnel_counts(_path_flags(d, "2024-01-05", "2024-01-25", False), STEPS))
+_paths("funnel_rates", lambda d: funnels.funnel_rates(_path_flags(d, "2024-01-05", "2024-01-28"), STEPS[1:], SEGMENTS))
+_paths("page_version_conversion", lambda d: paths.page_version_conversion(d.paths, VERSIONS, until="2024-01-25"))
+_paths("next_pageview", lambda d: paths.next_pageview(d.paths, **VIEW_ANCHORS))
+_paths("pathing_summary", lambda d: products.pathing_summary(paths.next_pageview(d.paths, **VIEW_ANCHORS), PRODUCT_PAGES))
+_paths("pages_after", lambda d: paths.pages_after(d.paths, paths.both(
+    paths.of_url(PRODUCT_PAGES.values()), paths.seen_between("2024-01-06", "2024-01-20"))))
+_paths("product_funnel_counts", lambda d: paths.product_funnel_counts(
+    d.paths, PRODUCT_PAGES, ["view", "purchase"], "2024-01-06", "2024-01-20"))
+_paths("product_funnel_rates", lambda d: paths.product_funnel_rates(
+    d.paths, PRODUCT_PAGES, ["view", "purchase"], "2024-01-06", "2024-01-20"))
+_paths("listing_page_trend", lambda d: paths.listing_page_trend(d.paths, "view", "week"))
+_paths("clickthrough_after", lambda d: paths.clickthrough_after(d.paths, **CART_ANCHORS))
+_paths("cross_sell_period_summary", lambda d: paths.cross_sell_period_summary(d.paths, **CART_ANCHORS))
+_paths("cross_sell_period_summary_legacy", lambda d: paths.cross_sell_period_summary(
+    d.paths, legacy=True, after_inclusive=False, **CART_ANCHORS))
+
+
+@query("buckets_cross_sell_matrix")
+def q_buckets_cross_sell_matrix(spark, folder):
+    orders, items = data(spark, folder).orders_and_items
+    return products.cross_sell_matrix(orders, items, PRODUCT_TYPES, since="1997-06-30")
+
+
+@query("buckets_refund_rate_trend")
+def q_buckets_refund_rate_trend(spark, folder):
+    items, refunds = data(spark, folder).items_and_refunds
+    return products.refund_rate_trend(items, refunds, PRODUCT_TYPES, "month", before("created_at", "2001-01-01"))

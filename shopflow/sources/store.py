@@ -103,6 +103,53 @@ def _clean(spark: SparkSession, path: str, kept: str) -> None:
             fs.delete(status.getPath(), True)
 
 
+def bucket_count(input_bytes: int) -> int:
+    """Buckets of a co-partitioned table made from ``input_bytes``: about ``FILE_BYTES`` each, 8 at least."""
+    return max(8, -(-input_bytes // FILE_BYTES))
+
+
+def _attempt(spark: SparkSession, path: str, write) -> str:
+    """The folder of the table at ``path``; ``write(folder)`` fills it first where there is none."""
+    found = current(spark, path)
+    if found is None:
+        attempt = f"attempt-{uuid.uuid4().hex[:12]}"
+        write(f"{path}/{attempt}")
+        _publish(spark, path, attempt)
+        found = current(spark, path)
+        if not found.endswith(attempt):
+            p, fs = _fs(spark, f"{path}/{attempt}")
+            fs.delete(p, True)
+        _clean(spark, path, found.rsplit("/", 1)[1])
+    return found
+
+
+def materialize_bucketed(spark: SparkSession, df_factory, name: str, signature: str, by: str, buckets: int,
+                         sort: list[str] | None = None) -> DataFrame:
+    """Table ``name`` for ``signature`` in ``buckets`` files by the hash of ``by``, written first if absent.
+
+    Tables bucketed by the same key into the same number of buckets join, and
+    aggregate by that key, without a shuffle. Each bucket is one file sorted by
+    ``sort`` (default: the key). The catalog entry that tells Spark of the
+    buckets belongs to the session; it is made again wherever the files are opened.
+    """
+    sort = sort or [by]
+    path = table_path(spark, name, f"{signature}-{buckets}")
+
+    def table(folder: str) -> str:
+        return "shopflow_" + hashlib.sha1(folder.encode()).hexdigest()[:20]
+
+    def write(folder: str) -> None:
+        (df_factory().repartition(buckets, by).write.bucketBy(buckets, by).sortBy(*sort)
+         .option("path", folder).format("parquet").saveAsTable(table(folder)))
+
+    found = _attempt(spark, path, write)
+    if not spark.catalog.tableExists(table(found)):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(found).schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table(found)} ({columns}) USING parquet CLUSTERED BY (`{by}`) "
+                  f"SORTED BY ({', '.join(f'`{c}`' for c in sort)}) INTO {buckets} BUCKETS LOCATION '{found}'")
+    return spark.table(table(found))
+
+
 def materialize(spark: SparkSession, df_factory, name: str, signature: str,
                 cluster_by: str | None = None, input_bytes: int = 0) -> DataFrame:
     """Read table ``name`` for ``signature``, writing it first if absent.
@@ -115,19 +162,11 @@ def materialize(spark: SparkSession, df_factory, name: str, signature: str,
     shuffles have partitions). Of several writers the first to finish wins
     and the others remove what they wrote.
     """
-    path = table_path(spark, name, signature)
-    found = current(spark, path)
-    if found is None:
-        attempt = f"attempt-{uuid.uuid4().hex[:12]}"
+    def write(folder: str) -> None:
         df = df_factory()
         if cluster_by:
             files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // FILE_BYTES))
             df = df.repartitionByRange(files, cluster_by).sortWithinPartitions(cluster_by)
-        df.write.parquet(f"{path}/{attempt}")
-        _publish(spark, path, attempt)
-        found = current(spark, path)
-        if not found.endswith(attempt):
-            p, fs = _fs(spark, f"{path}/{attempt}")
-            fs.delete(p, True)
-        _clean(spark, path, found.rsplit("/", 1)[1])
-    return spark.read.parquet(found)
+        df.write.parquet(folder)
+
+    return spark.read.parquet(_attempt(spark, table_path(spark, name, signature), write))

@@ -16,9 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.operators.grain import session_facts
 from shopflow.sources import store
+from shopflow.sources.paths import SessionPaths, build_paths, nest_views
 from shopflow.sources.schema import check_unique, read_table
 
 
+def partitioned_pair(spark: SparkSession, key: str, signature: str, input_bytes: int,
+                     **tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The named tables in the same buckets of ``key``: they join on it without a shuffle."""
+    n = store.bucket_count(input_bytes)
+    return tuple(store.materialize_bucketed(spark, lambda t=table: t, f"{name}_by_{key}", signature, key, n)
+                 for name, table in tables.items())
+
+
 @dataclass
 class ShopTables:
     spark: SparkSession
@@ -75,6 +84,36 @@ class ShopTables:
         """
         if not self.materialize:
             return self._facts()
-        sig = store.input_signature(self.spark, [self.paths["website_sessions"], self.paths["orders"]])
-        return store.materialize(self.spark, self._facts,
-                                 "session_facts_tables", sig, cluster_by="created_at")
+        return store.materialize(self.spark, self._facts, "session_facts_tables",
+                                 self._signature("website_sessions", "orders"), cluster_by="created_at",
+                                 input_bytes=self._size("website_sessions"))
+
+    def _signature(self, *names: str) -> str:
+        return store.input_signature(self.spark, [self.paths[n] for n in names])
+
+    def _size(self, *names: str) -> int:
+        return sum(store.input_size(self.spark, self.paths[n]) for n in names)
+
+    @cached_property
+    def session_paths(self) -> SessionPaths:
+        """Page views nested by session, next to the session facts in the same buckets."""
+        if not self.materialize:
+            return SessionPaths(nest_views(self.pageviews), self.facts)
+        names = ("website_sessions", "website_pageviews", "orders")
+        return build_paths(self.spark, self.facts, self.pageviews, self._signature(*names),
+                           self._size("website_pageviews"), name="table_paths")
+
+    @cached_property
+    def items_and_refunds(self) -> tuple[DataFrame, DataFrame]:
+        """Order items and refunds in the same buckets of the item id."""
+        return self._pair("order_item_id", order_items=self.order_items, order_item_refunds=self.refunds)
+
+    @cached_property
+    def orders_and_items(self) -> tuple[DataFrame, DataFrame]:
+        """Orders and order items in the same buckets of the order id."""
+        return self._pair("order_id", orders=self.orders, order_items=self.order_items)
+
+    def _pair(self, key: str, **tables: DataFrame) -> tuple[DataFrame, ...]:
+        if not self.materialize:
+            return tuple(tables.values())
+        return partitioned_pair(self.spark, key, self._signature(*tables), self._size(*tables), **tables)

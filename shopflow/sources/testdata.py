@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.operators.grain import session_facts
 from shopflow.sources import fixtures, store
-from shopflow.sources.tables import ShopTables
+from shopflow.sources.paths import SessionPaths, build_paths, nest_views
+from shopflow.sources.tables import ShopTables, partitioned_pair
 
 RAW_TABLES = ("events", "orders", "lineitem", "part")
 
@@ -39,6 +40,9 @@ class ShopData:
         paths = [f"{self.folder}/{n}.parquet" for n in names]
         return store.input_signature(self.spark, paths) + f"-{self.gap.replace(' ', '')}"
 
+    def _size(self, name: str) -> int:
+        return store.input_size(self.spark, f"{self.folder}/{name}.parquet")
+
     # clickstream -----------------------------------------------------------
     @cached_property
     def _click(self) -> dict[str, DataFrame]:
@@ -49,7 +53,7 @@ class ShopData:
         # one sessionisation, written once, feeds the three tables
         tagged = store.materialize(self.spark, lambda: fixtures.tag_sessions(self.raw("events"), self.gap,
                                                                              self.split_hours), "tagged", sig)
-        size = store.input_size(self.spark, f"{self.folder}/events.parquet")
+        size = self._size("events")
         build = {"website_sessions": ("sessions", fixtures.sessions_from_tagged),
                  "website_pageviews": ("pageviews", fixtures.pageviews_from_tagged),
                  "orders": ("web_orders", fixtures.web_orders_from_tagged)}
@@ -74,7 +78,15 @@ class ShopData:
         if not self.materialize:
             return session_facts(self.sessions, self.web_orders)
         return store.materialize(self.spark, lambda: session_facts(self.sessions, self.web_orders),
-                                 "session_facts", self._sig("events"), cluster_by="created_at")
+                                 "session_facts", self._sig("events"), cluster_by="created_at",
+                                 input_bytes=self._size("events"))
+
+    @cached_property
+    def paths(self) -> SessionPaths:
+        """Page views nested by session, next to the session facts in the same buckets."""
+        if not self.materialize:
+            return SessionPaths(nest_views(self.pageviews), self.facts)
+        return build_paths(self.spark, self.facts, self.pageviews, self._sig("events"), self._size("events"))
 
     # commerce --------------------------------------------------------------
     @cached_property
@@ -84,13 +96,14 @@ class ShopData:
             return lazy
         sig = self._sig("orders", "lineitem", "part")
         # write the items once; orders and refunds are derived from the written table
+        size = self._size("lineitem")
         items = store.materialize(self.spark, lambda: fixtures.commerce_items(
             self.raw("orders"), self.raw("lineitem"), self.raw("part")), "shop_items", sig,
-            cluster_by="created_at")
+            cluster_by="created_at", input_bytes=size)
         derived = fixtures.commerce_from_items(self.raw("orders"), items)
         return {"order_items": items.drop("l_returnflag"),
                 "orders": store.materialize(self.spark, lambda: derived["orders"], "shop_orders", sig,
-                                            cluster_by="created_at"),
+                                            cluster_by="created_at", input_bytes=size),
                 "order_item_refunds": store.materialize(self.spark, lambda: derived["order_item_refunds"],
                                                         "shop_order_item_refunds", sig)}
 
@@ -106,6 +119,20 @@ class ShopData:
     def refunds(self) -> DataFrame:
         return self._commerce["order_item_refunds"]
 
+    @cached_property
+    def items_and_refunds(self) -> tuple[DataFrame, DataFrame]:
+        """Order items and refunds in the same buckets of the item id."""
+        return self._pair("order_item_id", shop_items=self.order_items, shop_refunds=self.refunds)
+
+    @cached_property
+    def orders_and_items(self) -> tuple[DataFrame, DataFrame]:
+        """Orders and order items in the same buckets of the order id."""
+        return self._pair("order_id", shop_orders=self.shop_orders, shop_items=self.order_items)
+
+    def _pair(self, key: str, **tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if not self.materialize:
+            return tuple(tables.values())
+        return partitioned_pair(self.spark, key, self._sig("orders", "lineitem", "part"), self._size("lineitem"), **tables)
 
     def deployment(self) -> ShopTables:
         """The written tables, opened from their paths as a deployment opens its own."""
