@@ -841,3 +841,9 @@ for _name in ("first_pageview", "landing_page", "top_entry_pages", "bounced_sess
 # over tables in the same buckets
 for _name in ("cross_sell_matrix", "refund_rate_trend"):
     SQL[f"buckets_{_name}"] = SQL[_name]
+
+# over day folders
+for _name in ("conversion_trend", "conversion_by", "new_vs_repeat_value", "page_version_conversion"):
+    SQL[f"daily_{_name}"] = SQL[_name]
+
+SQL["customer_value_top"] = f"SELECT * FROM ({SQL['customer_value'].strip().rstrip(';')}) ORDER BY revenue DESC, user_id LIMIT 25"

@@ -17,8 +17,7 @@ from shopflow.functions.buckets import at
 from shopflow.functions.filters import where as apply_where, url_is
 from shopflow.functions.ratio import ratio
 from shopflow.operators.grain import orders_per_session
-from shopflow.operators.pages import (PVID, SID, first_pv_id, first_seen, last_seen, session_pages,
-                                      sessions_since)
+from shopflow.operators.pages import PVID, SID, first_pv_id, first_seen, session_pages
 
 
 def conversion_by_landing(facts: DataFrame, pageviews: DataFrame, landers: list[str],
@@ -43,26 +42,47 @@ def conversion_by_landing(facts: DataFrame, pageviews: DataFrame, landers: list[
     return agg.withColumn("conv_rate", ratio("orders", "sessions"))
 
 
-def landing_test_lift(facts: DataFrame, sessions: DataFrame, pageviews: DataFrame,
-                      landers: list[str], test_where: Column | None = None,
-                      since_where: Column | None = None) -> DataFrame:
+def landing_test_lift(facts: DataFrame, pageviews: DataFrame, landers: list[str], test_where: Column | None = None,
+                      since_where: Column | None = None, id_range: int = 1 << 16) -> DataFrame:
     """Value of a lander test in one row.
 
     Conversion of control (``landers[0]``) and test (``landers[1]``) pages
     over ``test_where`` sessions, the last session sent to the control page
     (among ``since_where`` sessions), the sessions since then and the extra
     orders they brought: ``lift * sessions_since_test``.
+
+    One summary per session (landing page since the marker, whether it saw the
+    control page) serves all figures. The sessions after the last control one
+    are counted without a second pass: each range of ``id_range`` session ids
+    keeps its last control session, the sessions after it in the range and how
+    many the range has; the ranges after the last one count whole.
     """
-    conv = conversion_by_landing(facts, pageviews, landers, session_where=test_where)
-    last = last_seen(sessions, pageviews, landers[0], since_where)
-    since = sessions_since(sessions, last.scalar(), since_where)
-    one = conv.agg(
-        F.max(F.when(F.col("landing_page") == landers[0], F.col("conv_rate"))).alias("control_conv_rate"),
-        F.max(F.when(F.col("landing_page") == landers[1], F.col("conv_rate"))).alias("test_conv_rate"))
-    return (one.withColumn("lift", F.col("test_conv_rate") - F.col("control_conv_rate"))
-            .withColumn("last_control_session_id", last.scalar())
-            .withColumn("sessions_since_test", since.scalar())
-            .withColumn("extra_orders", F.col("lift") * F.col("sessions_since_test")))
+    marker = first_pv_id(pageviews, landers[1])
+    seen = pageviews.groupBy(SID).agg(
+        F.min(F.when(F.col(PVID) >= marker, F.struct(PVID, "pageview_url"))).getField("pageview_url").alias("land"),
+        F.max(url_is(landers[0])).alias("saw_control"))
+    flags = {name: F.lit(True) if cond is None else F.coalesce(cond, F.lit(False))
+             for name, cond in (("tested", test_where), ("since", since_where))}
+    rows = facts.withColumns(flags).filter("tested OR since").select(SID, "n_orders", "tested", "since").join(seen, SID, "left")
+    here = [F.col("tested") & (F.col("land") == lander) for lander in landers[:2]]
+    ranges = rows.groupBy(F.floor(F.col(SID) / id_range).alias("r")).agg(
+        *[F.count_if(c).alias(f"s{k}") for k, c in enumerate(here)],
+        *[F.sum(F.when(c, F.col("n_orders"))).alias(f"o{k}") for k, c in enumerate(here)],
+        F.max(F.when(F.col("since") & F.col("saw_control"), F.col(SID))).alias("last"),
+        F.collect_list(F.when(F.col("since"), F.col(SID))).alias("ids"))
+    one = ranges.agg(
+        *[F.sum(f"{x}{k}").alias(f"{x}{k}") for k in (0, 1) for x in "so"],
+        F.max(F.struct("last", "r", F.size(F.filter("ids", lambda i: i > F.col("last"))).alias("after"))).alias("top"),
+        F.collect_list(F.struct("r", F.size("ids").alias("n"))).alias("held"))
+    beyond = F.aggregate(F.filter("held", lambda h: h["r"] > F.col("top.r")), F.lit(0).cast("long"), lambda a, h: a + h["n"])
+    last = F.col("top.last")
+    return (one.select(ratio("o0", "s0").alias("control_conv_rate"), ratio("o1", "s1").alias("test_conv_rate"),
+                       last.alias("last_control_session_id"),
+                       F.when(last.isNull(), F.lit(0).cast("long")).otherwise(F.col("top.after") + beyond).alias("sessions_since_test"))
+            .withColumn("lift", F.col("test_conv_rate") - F.col("control_conv_rate"))
+            .withColumn("extra_orders", F.col("lift") * F.col("sessions_since_test"))
+            .select("control_conv_rate", "test_conv_rate", "lift", "last_control_session_id", "sessions_since_test",
+                    "extra_orders"))
 
 
 def funnel_flags(sessions: DataFrame, pageviews: DataFrame, flags: dict[str, str],
@@ -134,6 +154,26 @@ def page_version_conversion(pageviews: DataFrame, orders: DataFrame, versions: l
     return agg.withColumn("billing_to_order_rt", ratio("orders", "sessions"))
 
 
+def page_version_conversion_by_day(pageviews: DataFrame, facts: DataFrame, versions: list[str],
+                                   until=None) -> DataFrame:
+    """:func:`page_version_conversion` over page views in day folders (with their ``day``).
+
+    The marker, the first view of ``versions[1]`` by time, is found in the plan; views of earlier
+    days cannot have a later time, so its day is a partition filter that prunes folders at run
+    time. Page-view ids follow time. Orders are those of the sessions in ``facts``.
+    """
+    first = first_seen(pageviews, versions[1], mode="row").select(F.struct(
+        F.to_date("first_created_at").alias("day"), "first_pv_id").alias("m")).scalar()
+    pv = pageviews.filter((F.col("day") >= first.getField("day")) & url_is(versions) & (F.col(PVID) >= first.getField("first_pv_id")))
+    if until is not None:
+        pv = pv.filter((F.col("day") <= F.to_date(at(until))) & (F.col("created_at") < at(until)))
+    seen = pv.select("pageview_url", SID).distinct()
+    rows = seen.join(facts.select(SID, "n_orders"), SID, "left")
+    agg = rows.groupBy("pageview_url").agg(F.count(SID).alias("sessions"),
+                                           F.coalesce(F.sum("n_orders"), F.lit(0)).alias("orders"))
+    return agg.withColumn("billing_to_order_rt", ratio("orders", "sessions"))
+
+
 def page_version_revenue(pageviews: DataFrame, orders: DataFrame, versions: list[str],
                          start, end) -> DataFrame:
     """Revenue per session that saw each version, views strictly inside (start, end).
@@ -159,17 +199,23 @@ def page_test_value(pageviews: DataFrame, orders: DataFrame, versions: list[str]
     """Monthly value of a page test, one row: revenue per session of old and
     new version over the test, their difference (``lift``), page views and
     distinct sessions of the page in the closed volume period, and
-    ``test_value = lift * billing_pageviews``."""
-    rev = page_version_revenue(pageviews, orders, versions, test_start, test_end)
-    pick = F.col("revenue_per_billing_page_seen")
-    one = rev.agg(F.max(F.when(F.col("billing_version_seen") == versions[0], pick)).alias("old_rev_per_session"),
-                  F.max(F.when(F.col("billing_version_seen") == versions[1], pick)).alias("new_rev_per_session"))
-    vol = (pageviews.filter(url_is(versions) & F.col("created_at").between(at(volume_start), at(volume_end)))
-           .agg(F.struct(F.count(SID).alias("views"), F.count_distinct(SID).alias("sessions"))).scalar())
-    return (one.withColumn("lift", F.col("new_rev_per_session") - F.col("old_rev_per_session"))
-            .withColumn("billing_pageviews", vol.getField("views"))
-            .withColumn("billing_sessions", vol.getField("sessions"))
-            .withColumn("test_value", F.col("lift") * F.col("billing_pageviews")))
+    ``test_value = lift * billing_pageviews``. One row per session, with its
+    views of each version in both periods, serves all figures."""
+    tested = (F.col("created_at") > at(test_start)) & (F.col("created_at") < at(test_end))
+    counted = F.col("created_at").between(at(volume_start), at(volume_end))
+    per = (pageviews.filter(url_is(versions) & (tested | counted)).groupBy(SID).agg(
+        F.count_if(counted).alias("volume"),
+        *[F.count_if(tested & (F.col("pageview_url") == v)).alias(f"v{k}") for k, v in enumerate(versions[:2])]))
+    rows = per.join(orders_per_session(orders).select(SID, "revenue"), SID, "left")
+    one = rows.agg(
+        *[F.count_if(F.col(f"v{k}") > 0).alias(f"s{k}") for k in (0, 1)],
+        *[F.sum(F.when(F.col(f"v{k}") > 0, F.col("revenue") * F.col(f"v{k}"))).cast("double").alias(f"r{k}") for k in (0, 1)],
+        F.coalesce(F.sum("volume"), F.lit(0)).alias("billing_pageviews"), F.count_if(F.col("volume") > 0).alias("billing_sessions"))
+    return (one.select(ratio("r0", "s0").alias("old_rev_per_session"), ratio("r1", "s1").alias("new_rev_per_session"),
+                       "billing_pageviews", "billing_sessions")
+            .withColumn("lift", F.col("new_rev_per_session") - F.col("old_rev_per_session"))
+            .withColumn("test_value", F.col("lift") * F.col("billing_pageviews"))
+            .select("old_rev_per_session", "new_rev_per_session", "lift", "billing_pageviews", "billing_sessions", "test_value"))
 
 
 def sessions_detail(df: DataFrame, where: Column | None = None) -> DataFrame:

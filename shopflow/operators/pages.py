@@ -149,11 +149,11 @@ def weekly_bounce_trend(sessions: DataFrame, pageviews: DataFrame, landers: list
     divides bounced rows by landing rows, and the per-lander columns count
     bounced sessions only.
     """
-    qual = apply_where(sessions, session_where).select(SID)
+    views = qualifying_pageviews(sessions, pageviews, session_where)
     lab0, lab1 = labels
     if not legacy:
-        rows = (session_pages(pageviews, url_is(landers), ("created_at", "pageview_url"))
-                .join(qual, SID).filter(F.col("first").isNotNull())
+        rows = (session_pages(views, url_is(landers), ("created_at", "pageview_url"))
+                .filter(F.col("first").isNotNull())
                 .select(SID, F.col("first.created_at").alias("created_at"),
                         F.col("first.pageview_url").alias("land"),
                         (F.col("pgv") == 1).alias("bounced")))
@@ -168,7 +168,7 @@ def weekly_bounce_trend(sessions: DataFrame, pageviews: DataFrame, landers: list
         return agg.select("week_start_date", "sessions", "bounced_sessions",
                           ratio("bounced_sessions", "sessions").alias("bounce_rate"),
                           f"{lab0}_sessions", f"{lab0}_bounced", f"{lab1}_sessions", f"{lab1}_bounced")
-    per = session_pages(pageviews).select(SID, "pgv").join(qual, SID)
+    per = session_pages(views).select(SID, "pgv")
     # legacy: landing rows are lander views grouped by (session, view time)
     land_rows = (pageviews.filter(url_is(landers))
                  .groupBy(SID, "created_at").agg(F.min(F.struct(PVID, "pageview_url")).alias("f"))

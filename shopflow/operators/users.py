@@ -145,12 +145,18 @@ def new_vs_repeat_value(facts: DataFrame, lo, hi) -> DataFrame:
                       ratio("rev", "sessions").alias("rev_per_session"))
 
 
-def customer_value(facts: DataFrame, where: Column | None = None, organic=SEARCH_REFERERS) -> DataFrame:
+def customer_value(facts: DataFrame, where: Column | None = None, organic=SEARCH_REFERERS,
+                   n: int | None = None) -> DataFrame:
     """Per user: channel group of the first session, sessions, orders and
-    revenue, most valuable first."""
-    return (_per_user(facts, where, organic)
-            .select("user_id", "first_channel", "sessions", "orders", F.col("revenue").cast("double"))
-            .orderBy(F.col("revenue").desc(), "user_id"))
+    revenue, most valuable first.
+
+    With ``n`` the first ``n`` users only: each task keeps its best ``n`` and
+    the heaps are merged, so the users are not sorted as a whole.
+    """
+    ranked = (_per_user(facts, where, organic)
+              .select("user_id", "first_channel", "sessions", "orders", F.col("revenue").cast("double"))
+              .orderBy(F.col("revenue").desc(), "user_id"))
+    return ranked if n is None else ranked.limit(n)
 
 
 def _per_user(facts: DataFrame, where: Column | None, organic) -> DataFrame:

@@ -255,7 +255,7 @@ def q_conversion_by_landing(spark, folder):
 @query("landing_test_lift")
 def q_landing_test_lift(spark, folder):
     d = data(spark, folder)
-    return funnels.landing_test_lift(d.facts, d.sessions, d.pageviews, LANDERS, qual_sessions(),
+    return funnels.landing_test_lift(d.facts, d.pageviews, LANDERS, qual_sessions(),
                                      gsearch_nonbrand() & before("created_at", CUT))
 
 
@@ -492,6 +492,11 @@ def q_customer_value(spark, folder):
     return users.customer_value(data(spark, folder).facts)
 
 
+@query("customer_value_top")
+def q_customer_value_top(spark, folder):
+    return users.customer_value(data(spark, folder).facts, n=25)
+
+
 @query("customer_value_by_channel")
 def q_customer_value_by_channel(spark, folder):
     return users.customer_value_by_channel(data(spark, folder).facts)
@@ -643,3 +648,30 @@ def q_buckets_cross_sell_matrix(spark, folder):
 def q_buckets_refund_rate_trend(spark, folder):
     items, refunds = data(spark, folder).items_and_refunds
     return products.refund_rate_trend(items, refunds, PRODUCT_TYPES, "month", before("created_at", "2001-01-01"))
+
+
+# --- base tables in day folders, facts kept up to date by day ------------------------------------
+
+@query("daily_conversion_trend")
+def q_daily_conversion_trend(spark, folder):
+    return traffic.conversion_trend(data(spark, folder).daily.read(until="2024-01-26"), "day", before("created_at", CUT))
+
+
+@query("daily_conversion_by")
+def q_daily_conversion_by(spark, folder):
+    return traffic.conversion_by(
+        data(spark, folder).daily.read("2024-01-05", "2024-01-19"), ["device_type", "utm_source"],
+        F.col("utm_source").isin("gsearch", "bsearch") & after("created_at", "2024-01-05")
+        & before("created_at", "2024-01-20") & campaign("nonbrand"))
+
+
+@query("daily_new_vs_repeat_value")
+def q_daily_new_vs_repeat_value(spark, folder):
+    return users.new_vs_repeat_value(data(spark, folder).daily.read(), P_LO, P_HI)
+
+
+@query("daily_page_version_conversion")
+def q_daily_page_version_conversion(spark, folder):
+    """Days before the marker's are pruned while the query runs: the marker is known only then."""
+    d = data(spark, folder)
+    return funnels.page_version_conversion_by_day(d.landed_pageviews(), d.daily.read(), VERSIONS, until="2024-01-25")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.operators.grain import session_facts
 from shopflow.sources import fixtures, store
+from shopflow.sources.daily import DailyFacts, land, read_days
 from shopflow.sources.paths import SessionPaths, build_paths, nest_views
 from shopflow.sources.tables import ShopTables, partitioned_pair
 
@@ -88,6 +89,29 @@ class ShopData:
             return SessionPaths(nest_views(self.pageviews), self.facts)
         return build_paths(self.spark, self.facts, self.pageviews, self._sig("events"), self._size("events"))
 
+    @cached_property
+    def landed(self) -> dict[str, str]:
+        """Sessions, page views and web orders in day folders, written once."""
+        root = store.table_path(self.spark, "landed", self._sig("events"))
+
+        def write(folder: str) -> None:
+            for name, df in (("website_sessions", self.sessions), ("website_pageviews", self.pageviews),
+                             ("orders", self.web_orders)):
+                land(df, f"{folder}/{name}")
+        found = store._attempt(self.spark, root, write)
+        return {name: f"{found}/{name}" for name in ("website_sessions", "website_pageviews", "orders")}
+
+    def landed_pageviews(self) -> DataFrame:
+        return read_days(self.spark, self.landed["website_pageviews"], "website_pageviews")
+
+    @cached_property
+    def daily(self) -> DailyFacts:
+        """Session facts by day over the landed tables."""
+        facts = DailyFacts(self.spark, self.landed["website_sessions"], self.landed["orders"],
+                           f"daily_facts-{self._sig('events')}")
+        facts.refresh()
+        return facts
+
     # commerce --------------------------------------------------------------
     @cached_property
     def _commerce(self) -> dict[str, DataFrame]:
