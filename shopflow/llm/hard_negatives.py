@@ -339,8 +339,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, scale: int = 256, n_posit
     0 has an empty window. Result: ``anchor_id, positive_id, rank, negative_id,
     positive_score, negative_score``.
     """
-    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole, n = quantised(rows, scale)
+    groups = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-n // TREE_ROWS)))
     whole = stage(whole, "negatives-rows")
     trees = tree_table(whole, n, groups)
     anchors = whole.where(is_anchor).select(F.col("vec_id").alias("anchor_id"), F.col("mark").alias("anchor_mark"), "label", "vec")
