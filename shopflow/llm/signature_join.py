@@ -37,7 +37,7 @@ from pyspark.sql.types import BinaryType, LongType
 
 from shopflow.llm.bytewords import WHITE, shingle_sets, text_slices, text_words
 from shopflow.llm.graph import components
-from shopflow.llm.staging import stage
+from shopflow.llm.staging import fresh_name, stage
 
 FANOUT = 8
 BLOCK_TOKENS = 2_000_000  # in one tree
@@ -534,7 +534,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, numerator: int = 8, denomi
     judged = stage(rows.join(first, "root").select("doc_id", "node", "times", (rank == F.col("first")).alias("stays")),
                    "similar-judged")
     judged = judged.select("doc_id", "node", "times", F.coalesce("stays", F.lit(False)).alias("stays"))
-    goes = judged.where("NOT stays").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node"))
+    gone_id, gone_node, held_node = (fresh_name(n, names) for n in ("gone_id", "gone_node", "held_node"))
+    goes = judged.where("NOT stays").select(F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node))
     if goes.count() <= BROADCAST_ROWS:
         goes = F.broadcast(goes)
 
@@ -543,12 +544,12 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, numerator: int = 8, denomi
             for slice_, _, bounds, found in _set_rows(batch, words, salt):
                 node = [n if size else None for n, size in zip(found, np.diff(bounds).tolist())]
                 yield pa.RecordBatch.from_arrays([*slice_.columns, pa.array(node, pa.int64())],
-                                                 [*slice_.schema.names, "_node"])
+                                                 [*slice_.schema.names, held_node])
 
-    marked = docs.mapInArrow(mark, docs.select("*").schema.add("_node", LongType()))
-    left = marked.join(goes, marked["doc_id"].eqNullSafe(goes["_gone_id"]) & (marked["_node"] == goes["_gone_node"]),
+    marked = docs.mapInArrow(mark, docs.select("*").schema.add(held_node, LongType()))
+    left = marked.join(goes, marked["doc_id"].eqNullSafe(goes[gone_id]) & (marked[held_node] == goes[gone_node]),
                        "left_anti")
     if not judged.where("stays AND times > 1").isEmpty():
-        left = (left.where("_node IS NULL")
-                .union(left.where("_node IS NOT NULL").dropDuplicates(["doc_id", "_node"])))
+        left = (left.where(F.col(held_node).isNull())
+                .union(left.where(F.col(held_node).isNotNull()).dropDuplicates(["doc_id", held_node])))
     return left.select(*[F.col(f"`{c}`") for c in names])

@@ -26,6 +26,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` is called so, in any case."""
+    used = {c.lower() for c in taken}
+    while name in used:
+        name = f"_{name}"
+    return name
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a folder on shared storage; works in tasks."""
     from pyarrow import fs

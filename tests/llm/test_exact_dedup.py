@@ -77,3 +77,38 @@ def test_texts_that_share_a_digest_are_told_apart(spark):
     rows = X._settle_by_text(found, texts, texts.select("digest").distinct()).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows) == [
         (1, 1, 1, True), (2, 2, 2, True), (3, 2, 2, False)]
+
+
+def test_later_calls_over_one_state(spark):
+    """Earlier calls' texts stay the kept ones, their bytes are read from the files; the same rows again are all copies."""
+    state, folder = scratch_path(spark, "kept-state"), scratch_path(spark, "kept-docs")
+
+    def call(name, rows):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{folder}/{name}")
+        found = X.exact_duplicates(spark.read.parquet(f"{folder}/{name}"), state)
+        return sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found.collect())
+
+    assert call("a", [(5, "x y"), (6, "z"), (7, "x  y")]) == [(5, 5, 2, True), (6, 6, 1, True), (7, 5, 2, False)]
+    assert call("b", [(5, "x y"), (6, "z"), (7, "x  y")]) == [(5, 5, 4, False), (6, 6, 2, False), (7, 5, 4, False)]
+    assert call("c", [(1, "z"), (2, "new"), (3, "new")]) == [(1, 6, 3, False), (2, 2, 2, True), (3, 2, 2, False)]
+
+
+def test_no_python_in_later_calls(spark):
+    state = scratch_path(spark, "plain-state")
+    docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    X.exact_duplicates(docs, state).collect()
+    plan = X.exact_duplicates(docs, state)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_columns_named_like_helpers(spark, odd_docs):
+    """Columns called as the stages' own helpers keep their values."""
+    from shopflow.llm import signature_join
+    names = ["digest", "_digest", "gone_id", "_gone_id", "_gone_digest", "_node", "held_node", "_gone_node", "GONE_NODE"]
+    docs = odd_docs
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    for left in (X.drop_exact_duplicates(docs), signature_join.keep_one_of_each(docs)):
+        assert left.columns == docs.columns
+        rows = left.collect()
+        assert rows and all([r[n] for n in names] == list(range(len(names))) for r in rows)
