@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,3 +58,48 @@ def test_odd_rows(odd_docs, no_docs):
     assert all(r.findings == [] for r in S.find_secrets(odd_docs).collect())
     assert S.find_secrets(odd_docs).count() == odd_docs.count()
     assert S.find_secrets(no_docs).count() == 0
+
+
+def test_forms_of_values():
+    assert lexed('password: str = "hunter2XYZ!"') == ["hunter2XYZ!"]
+    assert lexed('const apiKey: string = "aK9xLmP0qR77"') == ["aK9xLmP0qR77"]
+    assert lexed('token: Optional[str] = "aK9xLmP0qR77"') == ["aK9xLmP0qR77"]
+    assert lexed('token: str | None = "aK9xLmP0qR77"') == ["aK9xLmP0qR77"]
+    assert lexed('password = """aK9xLmP0qR"""') == ["aK9xLmP0qR"]
+    assert lexed("password = '''aK9xLm\nP0qR'''") == ["aK9xLm\nP0qR"]
+    assert lexed("const password = `aK9xLmP0qR`") == ["aK9xLmP0qR"]
+    assert lexed('password = (\n    "aK9xLmP0qR"\n)') == ["aK9xLmP0qR"]
+    assert lexed('password:\n  "aK9xLmP0qR"') == ["aK9xLmP0qR"]
+    assert lexed("password: |\n  aK9xLmP0qR\nuser: x") == ["aK9xLmP0qR"]
+    assert lexed('password = decode("aK9xLmP0qR")') == ["aK9xLmP0qR"]
+    assert lexed('token = ["aK9xLmP0qR", "bK9xLmP0qR"]') == ["aK9xLmP0qR", "bK9xLmP0qR"]
+    assert lexed('password = os.environ.get("DB_PASSWORD_1", "aK9xLmP0qR")') == ["aK9xLmP0qR"]
+    assert lexed('password = getenv("DB_PASSWORD_1") or "aK9xLmP0qR"') == ["aK9xLmP0qR"]
+    assert lexed('password = os.environ["DB_PASSWORD_1"]') == []
+    assert lexed('x = password = "aK9xLmP0qR"') == ["aK9xLmP0qR"]
+    assert lexed("GET /?user=bob&client_secret=aK9xLmP0qR&x=1") == ["aK9xLmP0qR"]
+    assert lexed('conn = "Server=db;Password=aK9xLmP0qR;"') == ["aK9xLmP0qR"]
+    assert lexed("token: aK9xLmP0qR==") == ["aK9xLmP0qR=="]
+
+
+def test_bare_constants_travel():
+    assert lexed("k = aK9xLmP0qR\npassword = k") == ["aK9xLmP0qR"]
+    assert lexed('k = "aK9xLmP0qR"\nj = [k, "x"]\npassword = wrap(j)') == ["aK9xLmP0qR"]
+
+
+def test_time_is_linear_in_hostile_texts():
+    units = ["a=", "token=", "&k=v", "token:", "password='", "a=\"b='", "a: |\n ", "a=(", "a[", "a=b+", "secret = a\n",
+             "a:b[", "k=`", "x='''", 'a="b=" "c" ', "\\'a=", "token: a = ", "a = a + b\n", "AKIA", " =", "password"]
+    for unit in units:
+        text = unit * (300_000 // len(unit))
+        started = time.perf_counter()
+        S.scan_text(text)
+        assert time.perf_counter() - started < 8, unit  # time with the square would take minutes
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["password", "k", "=", ":", " ", "'", '"', "`", "\n", "(", ")", "[", "]", ",", "+", "|", "\\",
+                                 "&", "<", ">", "aK9xLmP0qR", "x", "str", "'''", "env", ";", "."]), max_size=30).map("".join))
+def test_any_text_is_read_to_its_end(text):
+    spans = [f[1:3] for f in S.scan_text(text)]
+    assert all(0 <= a < b <= len(text) for a, b in spans)
