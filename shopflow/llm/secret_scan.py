@@ -72,7 +72,6 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _NAME_END = re.compile(r"[A-Za-z_$][\w$.\-]*\Z", re.ASCII)
 
 
-@lru_cache(maxsize=4096)
 def name_weight(name: str) -> float:
     """How sensitive a target is: its strongest part, or pair of adjacent parts."""
     parts = [p.lower() for p in _PARTS.findall(name)]
@@ -237,12 +236,12 @@ def lexed_pairs(text: str) -> Iterator[tuple[str, float, int, int, bool]]:
     the assignments inside them; as a literal cannot hold its own quotes these
     lie a few deep, and the work is linear in the text.
     """
-    regions = [(0, len(text))]
+    regions, weigh = [(0, len(text))], lru_cache(maxsize=4096)(name_weight)
     while regions:
         found = list(_assignments(text, *regions.pop()))
         for a in reversed(found):
             for name in a.names:
-                if (weight := name_weight(name)) > a.weight:
+                if (weight := weigh(name)) > a.weight:
                     a.weight, a.name = weight, name
             for earlier in a.refers:
                 if a.weight > earlier.weight:

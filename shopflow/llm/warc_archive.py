@@ -33,6 +33,7 @@ TASK_BYTES = 16 << 20  # of archives per reading task
 AHEAD_BYTES = 1 << 20  # read beyond a range at once, for headers that cross its end
 DATE = "1970-01-01T00:00:00Z"  # the pages carry no capture time
 _LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]+)(?=\r\n)", re.IGNORECASE)
+_HEAD_END = re.compile(rb"\r\n(?=\r\n)")  # overlapping: three line breaks hold two header ends
 MANIFEST = "file string, n_records bigint, n_bytes bigint"
 _MANIFEST = pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 RECORDS = ("page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
@@ -146,16 +147,23 @@ def candidates(data: bytes, size: int) -> tuple[list[tuple[int, int]], bool]:
     """(offset, end) of everything that looks like a record starting in the first ``size`` bytes.
 
     The second result tells whether a header runs over the end of ``data``.
+    Header ends and lengths are found once and walked beside the magics, so
+    a payload full of magics takes time linear in its length.
     """
-    out, at, cut = [], data.find(MAGIC), False
+    heads = [m.start() for m in _HEAD_END.finditer(data)]
+    lengths = [(m.start(), m.end(), m[1].lstrip(b"0")) for m in _LENGTH.finditer(data)]
+    out, h, k, at = [], 0, 0, data.find(MAGIC)
     while 0 <= at < size:
-        end = record_end(data, at)
-        if end is not None:
-            out.append((at, end))
-        elif data.find(END, at) < 0:
-            cut = True
+        while h < len(heads) and heads[h] < at:
+            h += 1
+        if h == len(heads):
+            return out, True
+        while k < len(lengths) and lengths[k][0] < at:
+            k += 1
+        if k < len(lengths) and lengths[k][1] <= heads[h] and len(lengths[k][2]) <= 18:
+            out.append((at, heads[h] + len(END) + int(lengths[k][2] or b"0") + len(END)))
         at = data.find(MAGIC, at + 1)
-    return out, cut
+    return out, False
 
 
 def _ranges(manifest: DataFrame, range_bytes: int) -> DataFrame:
@@ -183,7 +191,7 @@ def range_entries(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
                     f.seek(r["lo"])
                     data = f.read(range_bytes + AHEAD_BYTES)
                     found, cut = candidates(data, range_bytes)
-                    while cut and (more := f.read(AHEAD_BYTES)):
+                    while cut and (more := f.read(max(AHEAD_BYTES, len(data)))):
                         data += more
                         found, cut = candidates(data, range_bytes)
                 leaves: dict[int, int] = {}

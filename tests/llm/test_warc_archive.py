@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -37,6 +39,29 @@ def test_without_verification_false_records_would_appear(pages):
     assert W.read_archives(manifest, 300).count() == 1
 
 
+def test_candidates_equal_a_search_from_each_magic():
+    rng = random.Random(5)
+    parts = [W.MAGIC, W.END, b"\r\n", b"\r\nContent-Length: 12", b"\r\ncontent-length:0007", b"x", b"9" * 20, b"\r"]
+    for _ in range(3000):
+        data = b"".join(rng.choices(parts, k=rng.randrange(14)))
+        size = rng.randrange(len(data) + 2)
+        at = [k for k in range(min(size, len(data))) if data.startswith(W.MAGIC, k)]
+        want = [(k, W.record_end(data, k)) for k in at if W.record_end(data, k) is not None]
+        assert W.candidates(data, size) == (want, any(data.find(W.END, k) < 0 for k in at))
+
+
+def test_a_payload_full_of_magics_takes_linear_time(spark):
+    data = W.MAGIC * (4_000_000 // len(W.MAGIC))
+    started = time.perf_counter()
+    assert W.candidates(data + W.END, len(data))[0] == []
+    assert len(W.candidates(data + b"W: 1\r\nContent-Length: 5" + W.END, len(data))[0]) == len(data) // len(W.MAGIC)
+    assert time.perf_counter() - started < 5
+    html = data.decode() + "W: 1\r\nContent-Length: 5\r\n\r\n"
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "b")], "page_id long, url string, html string")
+    got = W.read_archives(W.write_archives(pages), 1 << 20).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(1, len(html)), (2, 1)]
+
+
 @pytest.mark.parametrize("range_bytes", [100, 4 << 20])
 def test_lengths_beyond_the_file_in_payloads(spark, range_bytes):
     lengths = ["9" * 20, "9" * 18, "9" * 5000, str(2**63 - 1), str(2**63), "0" * 30 + "5", "70000"]
