@@ -847,3 +847,15 @@ for _name in ("conversion_trend", "conversion_by", "new_vs_repeat_value", "page_
     SQL[f"daily_{_name}"] = SQL[_name]
 
 SQL["customer_value_top"] = f"SELECT * FROM ({SQL['customer_value'].strip().rstrip(';')}) ORDER BY revenue DESC, user_id LIMIT 25"
+
+# a careless delivery through the keyed load
+for _name in ("conversion_trend", "top_pages", "distinct_values_rows"):
+    SQL[f"loaded_{_name}"] = SQL[_name]
+
+SQL["loaded_rejects"] = click("\nunion all\n".join(f"""
+select '{table}' as table_name, r.reason, count(*) as n_rows, count(distinct {key}) as n_keys
+from {source} join (values (7, 'repeated row'), (31, 'other row of the key'), (13, '{key} is not bigint'),
+                          (21, 'created_at is missing')) r(rest, reason) on {key} % 300 = r.rest
+group by r.reason""" for table, source, key in (
+    ("website_sessions", "website_sessions", "website_session_id"),
+    ("website_pageviews", "website_pageviews", "website_pageview_id"), ("orders", "web_orders", "order_id"))))

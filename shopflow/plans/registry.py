@@ -675,3 +675,26 @@ def q_daily_page_version_conversion(spark, folder):
     """Days before the marker's are pruned while the query runs: the marker is known only then."""
     d = data(spark, folder)
     return funnels.page_version_conversion_by_day(d.landed_pageviews(), d.daily.read(), VERSIONS, until="2024-01-25")
+
+
+# --- a careless delivery through the keyed load: results of the clean tables, and what was left out ----
+
+@query("loaded_conversion_trend")
+def q_loaded_conversion_trend(spark, folder):
+    return traffic.conversion_trend(data(spark, folder).delivery().facts, "day", before("created_at", CUT))
+
+
+@query("loaded_top_pages")
+def q_loaded_top_pages(spark, folder):
+    return pages.top_pages(data(spark, folder).delivery().pageviews, before("created_at", "2024-01-09"))
+
+
+@query("loaded_distinct_values_rows")
+def q_loaded_distinct_rows(spark, folder):
+    return traffic.distinct_values(data(spark, folder).delivery().sessions)
+
+
+@query("loaded_rejects")
+def q_loaded_rejects(spark, folder):
+    return (data(spark, folder).delivery().rejects().groupBy("table_name", "reason")
+            .agg(F.sum("copies").alias("n_rows"), F.countDistinct("key").alias("n_keys")))

@@ -217,3 +217,21 @@ def commerce(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> dict[st
     """``orders``, ``order_items`` and ``order_item_refunds`` (lazy)."""
     items = commerce_items(orders, lineitem, part)
     return {**commerce_from_items(orders, items), "order_items": items.drop("l_returnflag")}
+
+
+def careless(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a careless delivery: the key as text, times with a zone, money as doubles, flags as longs, and
+    besides every row, for one key in 300 each: the row again, a later row of the same key, the row under an
+    unreadable key and the row without a time."""
+    def copies(rest: int, **changed) -> DataFrame:
+        return df.where(F.pmod(F.col(key), F.lit(300)) == rest).withColumns(changed)
+
+    df = df.withColumn(key, F.col(key).cast("long"))
+    text = F.col(key).cast("string")
+    rows = (df.unionByName(copies(7)).unionByName(copies(31, created_at=F.col("created_at") + F.expr("INTERVAL 1 HOUR")))
+            .withColumn(key, text)
+            .unionByName(copies(13, **{key: F.concat(F.lit("#"), text)}))
+            .unionByName(copies(21, **{key: F.concat(F.lit("-"), text), "created_at": F.lit(None).cast("timestamp_ntz")})))
+    forms = {"timestamp_ntz": "timestamp", "decimal(18,2)": "double", "int": "bigint"}
+    return rows.select(*[F.col(f.name).cast(forms.get(f.dataType.simpleString(), f.dataType.simpleString())).alias(f.name)
+                         for f in rows.schema.fields])

@@ -10,12 +10,13 @@ and modification time of the input files.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.operators.grain import session_facts
 from shopflow.sources import store
+from shopflow.sources.load import Delivery, load
 from shopflow.sources.paths import SessionPaths, build_paths, nest_views
 from shopflow.sources.schema import check_unique, read_table
 
@@ -33,19 +34,36 @@ class ShopTables:
     spark: SparkSession
     paths: dict[str, str]
     materialize: bool = True
+    keyed_load: bool = False
 
     @classmethod
     def from_paths(cls, spark: SparkSession, *, sessions: str, pageviews: str, orders: str,
                    order_items: str | None = None, refunds: str | None = None,
-                   materialize: bool = True) -> ShopTables:
+                   materialize: bool = True, keyed_load: bool = False) -> ShopTables:
+        """The tables at these paths.
+
+        With ``keyed_load`` they are deliveries: columns in other types are cast,
+        rows that cannot be used or repeat a key go to :meth:`rejects` (see
+        :mod:`shopflow.sources.load`). Without it such tables raise.
+        """
         paths = {"website_sessions": sessions, "website_pageviews": pageviews, "orders": orders}
         if order_items:
             paths["order_items"] = order_items
         if refunds:
             paths["order_item_refunds"] = refunds
-        return cls(spark, paths, materialize)
+        return cls(spark, paths, materialize, keyed_load)
+
+    @cached_property
+    def _deliveries(self) -> dict[str, Delivery]:
+        return {name: load(self.spark, path, name, self.materialize) for name, path in self.paths.items()}
+
+    def rejects(self) -> DataFrame:
+        """The rows of all deliveries that were left out: table_name, reason, key, copies, row."""
+        return reduce(DataFrame.unionByName, [d.rejected for d in self._deliveries.values()])
 
     def table(self, name: str) -> DataFrame:
+        if self.keyed_load:
+            return self._deliveries[name].accepted
         return read_table(self.spark, self.paths[name], name)
 
     @property
@@ -74,6 +92,8 @@ class ShopTables:
             check_unique(self.table(name), name)
 
     def _facts(self) -> DataFrame:
+        if self.keyed_load:
+            return session_facts(self.sessions, self.orders)
         return session_facts(check_unique(self.sessions, "website_sessions"), check_unique(self.orders, "orders"))
 
     @cached_property
@@ -89,7 +109,8 @@ class ShopTables:
                                  input_bytes=self._size("website_sessions"))
 
     def _signature(self, *names: str) -> str:
-        return store.input_signature(self.spark, [self.paths[n] for n in names])
+        found = store.input_signature(self.spark, [self.paths[n] for n in names])
+        return f"{found}-loaded" if self.keyed_load else found
 
     def _size(self, *names: str) -> int:
         return sum(store.input_size(self.spark, self.paths[n]) for n in names)

@@ -168,6 +168,16 @@ class ShopData:
             table: store.current(self.spark, store.table_path(self.spark, name, sig))
             for table, (name, sig) in names.items()})
 
+    def delivery(self) -> ShopTables:
+        """The clickstream tables as a careless delivery, opened by the keyed load: see :func:`fixtures.careless`."""
+        tables = {"sessions": self.sessions, "pageviews": self.pageviews, "orders": self.web_orders}
+        keys = {"sessions": "website_session_id", "pageviews": "website_pageview_id", "orders": "order_id"}
+        sig = self._sig("events")
+        for name, df in tables.items():
+            store.materialize(self.spark, lambda d=df, n=name: fixtures.careless(d, keys[n]), f"careless_{name}", sig)
+        return ShopTables.from_paths(self.spark, keyed_load=True, **{
+            name: store.current(self.spark, store.table_path(self.spark, f"careless_{name}", sig)) for name in tables})
+
 
 _CACHE: dict = {}
 
