@@ -846,6 +846,12 @@ for _name in ("cross_sell_matrix", "refund_rate_trend"):
 for _name in ("conversion_trend", "conversion_by", "new_vs_repeat_value", "page_version_conversion"):
     SQL[f"daily_{_name}"] = SQL[_name]
 
+# distinct counts from words by day, over tables with repeated rows: the counts of the clean tables
+for _name in ("volume_trend", "volume_trend_month", "volume_trend_quarter", "volume_trend_sessions_with_order", "segment_trend",
+              "segment_trend_month", "segment_trend_device", "channel_mix_trend", "channel_mix_trend_month",
+              "conversion_trend", "conversion_trend_month", "conversion_by", "top_pages"):
+    SQL[f"distinct_{_name}"] = SQL[_name]
+
 SQL["customer_value_top"] = f"SELECT * FROM ({SQL['customer_value'].strip().rstrip(';')}) ORDER BY revenue DESC, user_id LIMIT 25"
 
 # a careless delivery through the keyed load

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import after, before, between
 from shopflow.functions.channels import campaign, src
-from shopflow.operators import funnels, pages, paths, products, traffic, users
+from shopflow.operators import distinct, funnels, pages, paths, products, traffic, users
+from shopflow.sources.daily import read_days
 from shopflow.sources.testdata import shop_data
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -698,3 +699,81 @@ def q_loaded_distinct_rows(spark, folder):
 def q_loaded_rejects(spark, folder):
     return (data(spark, folder).delivery().rejects().groupBy("table_name", "reason")
             .agg(F.sum("copies").alias("n_rows"), F.countDistinct("key").alias("n_keys")))
+
+
+# --- distinct counts merged from words by day, over tables with repeated rows -----------------------
+
+def words(spark, folder):
+    return data(spark, folder).daily_words.read(until="2024-01-26")
+
+
+@query("distinct_volume_trend")
+def q_distinct_volume(spark, folder):
+    return distinct.volume_trend(words(spark, folder), "day", src("gsearch"))
+
+
+@query("distinct_volume_trend_month")
+def q_distinct_volume_month(spark, folder):
+    return distinct.volume_trend(words(spark, folder), "month", src("gsearch"))
+
+
+@query("distinct_volume_trend_quarter")
+def q_distinct_volume_quarter(spark, folder):
+    return distinct.volume_trend(words(spark, folder), "quarter", src("gsearch"))
+
+
+@query("distinct_volume_trend_sessions_with_order")
+def q_distinct_volume_swo(spark, folder):
+    return distinct.volume_trend(data(spark, folder).daily_words.read(), "week", orders_as="sessions_with_order")
+
+
+@query("distinct_segment_trend")
+def q_distinct_segment(spark, folder):
+    return distinct.segment_trend(words(spark, folder), "utm_campaign", ["nonbrand", "brand"], "day", src("gsearch"))
+
+
+@query("distinct_segment_trend_month")
+def q_distinct_segment_month(spark, folder):
+    return distinct.segment_trend(words(spark, folder), "utm_campaign", ["nonbrand", "brand"], "month", src("gsearch"))
+
+
+@query("distinct_segment_trend_device")
+def q_distinct_segment_device(spark, folder):
+    return distinct.segment_trend(words(spark, folder), "device_type", ["mobile", "desktop"], "day",
+                                  src("gsearch") & campaign("nonbrand"))
+
+
+@query("distinct_channel_mix_trend")
+def q_distinct_channel_mix(spark, folder):
+    return distinct.channel_mix_trend(words(spark, folder), "day")
+
+
+@query("distinct_channel_mix_trend_month")
+def q_distinct_channel_mix_month(spark, folder):
+    return distinct.channel_mix_trend(words(spark, folder), "month")
+
+
+@query("distinct_conversion_trend")
+def q_distinct_conversion(spark, folder):
+    return distinct.conversion_trend(words(spark, folder), "day")
+
+
+@query("distinct_conversion_trend_month")
+def q_distinct_conversion_month(spark, folder):
+    return distinct.conversion_trend(words(spark, folder), "month")
+
+
+@query("distinct_conversion_by")
+def q_distinct_conversion_by(spark, folder):
+    """The period starts inside a day, so the words are built from the rows it leaves."""
+    d = data(spark, folder)
+    sessions = read_days(spark, d.repeated["website_sessions"], "website_sessions").where(
+        F.col("utm_source").isin("gsearch", "bsearch") & after("created_at", "2024-01-05")
+        & before("created_at", "2024-01-20") & campaign("nonbrand"))
+    return distinct.conversion_by(distinct.session_words(sessions, read_days(spark, d.repeated["orders"], "orders")),
+                                  ["device_type", "utm_source"])
+
+
+@query("distinct_top_pages")
+def q_distinct_top_pages(spark, folder):
+    return distinct.top_pages(data(spark, folder).page_words, F.col("day") < "2024-01-09")

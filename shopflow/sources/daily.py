@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopflow.operators import distinct
 from shopflow.operators.grain import session_facts
 from shopflow.session import checkpoint_dir
 from shopflow.sources import store
@@ -73,7 +74,7 @@ class DailyFacts:
 
     def _listed(self) -> tuple[int, dict]:
         """Newest published version and its list: ``days`` (day -> own signature, whole signature, folder) and
-        ``orders`` (day of orders -> signature, days of their sessions, number of orders without a session)."""
+        ``orders`` (day of orders -> signature, days of their sessions, number of their unknown sessions)."""
         p, fs = store._fs(self.spark, f"{self.root}/_days")
         names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
         versions = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
@@ -83,8 +84,9 @@ class DailyFacts:
         return max(versions), json.loads(text)
 
     def _session_days(self, order_days: list[str]) -> dict[str, tuple[list[str], int]]:
-        """For each day of orders: the days of their sessions, and how many orders have no session."""
-        orders = read_days(self.spark, self.orders, "orders", order_days).where("website_session_id IS NOT NULL")
+        """For each day of orders: the days of their sessions, and how many of their sessions are unknown."""
+        orders = (read_days(self.spark, self.orders, "orders", order_days).where("website_session_id IS NOT NULL")
+                  .select("website_session_id", "day").distinct())
         ids = orders.agg(F.min("website_session_id").alias("lo"), F.max("website_session_id").alias("hi")).first()
         sessions = (read_days(self.spark, self.sessions, "website_sessions")  # ids in range only, by the files' statistics
                     .where(F.col("website_session_id").between(F.lit(ids["lo"]), F.lit(ids["hi"])))
@@ -94,6 +96,12 @@ class DailyFacts:
         return {d: (sorted(r["s_day"] for r in pairs if r["day"] == d and r["s_day"]),
                     sum(r["n"] for r in pairs if r["day"] == d and not r["s_day"])) for d in order_days}
 
+    def _add_sessions_of(self, orders: dict[str, list], session_days: list[str]) -> None:
+        """Add new or changed days of sessions to the days of orders that have an order of theirs.
+
+        With unique sessions there is nothing to add: only orders of unknown sessions can be, and these are looked up.
+        """
+
     def refresh(self) -> list[str]:
         """Bring the facts up to date; returns the days that were rebuilt."""
         version, listed = self._listed()
@@ -103,6 +111,7 @@ class DailyFacts:
                  or (sessions_changed and listed["orders"][d][2])]
         looked_up = self._session_days(stale) if stale else {}
         orders = {d: [sig, *(looked_up[d] if d in looked_up else listed["orders"][d][1:])] for d, sig in ordered.items()}
+        self._add_sessions_of(orders, [d for d, sig in own.items() if listed["days"].get(d, [None])[0] != sig])
         want = {day: "|".join([sig, *[f"{d}={v[0]}" for d, v in sorted(orders.items()) if day in v[1]]]) for day, sig in own.items()}
         changed = sorted(d for d, sig in want.items() if listed["days"].get(d, [None, None])[1] != sig)
         if not changed and listed["days"].keys() == want.keys() and orders == listed["orders"]:
@@ -144,3 +153,36 @@ class DailyFacts:
     def _schema(self):
         empty = [self.spark.createDataFrame([], SCHEMAS[t]) for t in ("website_sessions", "orders")]
         return session_facts(*empty).withColumn("day", F.to_date(TIME)).schema
+
+
+@dataclass
+class DailyWords(DailyFacts):
+    """Session words by day (see :mod:`shopflow.operators.distinct`), kept up to date as the facts are.
+
+    Rows may repeat, within a day or on several days: the words of a period hold an id once.
+    """
+
+    name: str = "daily_words"
+
+    def _add_sessions_of(self, orders: dict[str, list], session_days: list[str]) -> None:
+        """A session may be delivered again on another day, where its orders then count too."""
+        if not session_days or not orders:
+            return
+        sessions = (read_days(self.spark, self.sessions, "website_sessions", session_days)
+                    .select("website_session_id", F.col("day").cast("string").alias("s_day")).distinct())
+        ids = sessions.agg(F.min("website_session_id").alias("lo"), F.max("website_session_id").alias("hi")).first()
+        placed = (read_days(self.spark, self.orders, "orders")
+                  .where(F.col("website_session_id").between(F.lit(ids["lo"]), F.lit(ids["hi"])))
+                  .select("website_session_id", F.col("day").cast("string").alias("day")).distinct())
+        for r in sessions.join(placed, "website_session_id").select("day", "s_day").distinct().collect():  # pairs of days
+            if r["day"] in orders:
+                orders[r["day"]][1] = sorted({*orders[r["day"]][1], r["s_day"]})
+
+    def _build(self, days: list[str], order_days: list[str]) -> DataFrame:
+        words = distinct.session_words(read_days(self.spark, self.sessions, "website_sessions", days),
+                                       read_days(self.spark, self.orders, "orders", order_days))
+        return (words.repartition("day", F.pmod("word", F.lit(FILES_A_DAY))).sortWithinPartitions("day", "ids", "word"))
+
+    def _schema(self):
+        return distinct.session_words(*[self.spark.createDataFrame([], SCHEMAS[t])
+                                        for t in ("website_sessions", "orders")]).schema

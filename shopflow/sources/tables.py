@@ -14,6 +14,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shopflow.operators import distinct
 from shopflow.operators.grain import session_facts
 from shopflow.sources import store
 from shopflow.sources.load import Delivery, load
@@ -124,6 +125,23 @@ class ShopTables:
         return build_paths(self.spark, self.facts, self.pageviews, self._signature(*names),
                            self._size("website_pageviews"), name="table_paths")
 
+    @cached_property
+    def session_words(self) -> DataFrame:
+        """Sets of session and order ids by day and channel, right where rows repeat (no key check)."""
+        return self._words("session_words", lambda: distinct.session_words(self.sessions, self.orders),
+                           "website_sessions", "orders")
+
+    @cached_property
+    def page_words(self) -> DataFrame:
+        """Sets of page-view ids by url and day, right where rows repeat (no key check)."""
+        return self._words("page_words", lambda: distinct.page_words(self.pageviews), "website_pageviews")
+
+    def _words(self, name: str, build, *tables: str) -> DataFrame:
+        if not self.materialize:
+            return build()
+        return store.materialize(self.spark, build, f"{name}_tables", self._signature(*tables), cluster_by="day",
+                                 input_bytes=self._size(*tables))
+
     @cached_property
     def items_and_refunds(self) -> tuple[DataFrame, DataFrame]:
         """Order items and refunds in the same buckets of the item id."""

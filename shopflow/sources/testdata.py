@@ -15,10 +15,12 @@ from functools import cached_property
 
 from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shopflow.operators import distinct
 from shopflow.operators.grain import session_facts
 from shopflow.sources import fixtures, store
-from shopflow.sources.daily import DailyFacts, land, read_days
+from shopflow.sources.daily import DailyFacts, DailyWords, land, read_days
 from shopflow.sources.paths import SessionPaths, build_paths, nest_views
 from shopflow.sources.tables import ShopTables, partitioned_pair
 
@@ -112,6 +114,36 @@ class ShopData:
         facts.refresh()
         return facts
 
+    @cached_property
+    def repeated(self) -> dict[str, str]:
+        """Sessions, page views and web orders in day folders, many rows landed two or three times."""
+        root = store.table_path(self.spark, "repeated", self._sig("events"))
+
+        def write(folder: str) -> None:
+            for name, df, key in (("website_sessions", self.sessions, "website_session_id"),
+                                  ("website_pageviews", self.pageviews, "website_pageview_id"),
+                                  ("orders", self.web_orders, "order_id")):
+                land(df, f"{folder}/{name}")
+                land(df.where(F.col(key) % 3 == 0).unionAll(df.where(F.col(key) % 6 == 0)), f"{folder}/{name}")
+        found = store._attempt(self.spark, root, write)
+        return {name: f"{found}/{name}" for name in ("website_sessions", "website_pageviews", "orders")}
+
+    @cached_property
+    def daily_words(self) -> DailyWords:
+        """Session words by day over the tables with repeated rows."""
+        words = DailyWords(self.spark, self.repeated["website_sessions"], self.repeated["orders"],
+                           f"daily_words-{self._sig('events')}")
+        words.refresh()
+        return words
+
+    @cached_property
+    def page_words(self) -> DataFrame:
+        """Page-view words by url and day over the page views with repeated rows."""
+        return store.materialize(
+            self.spark, lambda: distinct.page_words(read_days(self.spark, self.repeated["website_pageviews"],
+                                                              "website_pageviews")),
+            "page_words", self._sig("events"), cluster_by="day", input_bytes=self._size("events"))
+
     # commerce --------------------------------------------------------------
     @cached_property
     def _commerce(self) -> dict[str, DataFrame]:
