@@ -6,9 +6,11 @@ its whole sequence when shorter. Document windows of the same lengths are
 hashed by prefix sums over whole Arrow batches, looked up in the hash set, and
 each hit is verified on the words themselves.
 
-The test set is broadcast in blocks of at most ``block_windows`` windows; a
-larger one takes one pass over the documents per block, the findings of the
-earlier passes travelling with each row.
+The test set is broadcast in blocks of about ``block_windows`` rows, one per
+window and item that has it, however many items share a window; a larger one
+takes one pass over the documents per block, the findings of the earlier passes
+travelling with each row. Where only the documents are wanted that have none, a
+block has a row per distinct window.
 """
 
 from __future__ import annotations
@@ -144,14 +146,20 @@ def _spans(words, data, offsets, start, end, base, r) -> list[dict]:
     return out
 
 
-def window_blocks(benchmark: DataFrame, n: int, block_windows: int) -> Iterator[Broadcast]:
-    """The test set as broadcast blocks of about ``block_windows`` windows, one at least."""
+def window_blocks(benchmark: DataFrame, n: int, block_windows: int, with_items: bool = True) -> Iterator[Broadcast]:
+    """The test set as broadcast blocks of about ``block_windows`` rows, one block at least.
+
+    Without items a window is one row, whichever items have it.
+    """
     spark = benchmark.sparkSession
-    windows = stage(benchmark_windows(benchmark, n), "test-windows")
+    windows = benchmark_windows(benchmark, n)
+    if not with_items:
+        windows = windows.select(F.lit("").alias("item_id"), "length", "hash", "words").distinct()
+    windows = stage(windows, "test-windows")
     blocks = max(1, -(-windows.count() // block_windows))
     for block in range(blocks):
-        # dealt by hash, so a block is close to its bound
-        part = windows.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block) if blocks > 1 else windows
+        # dealt by hash of window and item, so a block is close to its bound even if one window is in every item
+        part = windows.where(F.pmod(F.xxhash64("hash", "item_id"), F.lit(blocks)) == block) if blocks > 1 else windows
         yield spark.sparkContext.broadcast(WindowSet(part.collect()))
 
 
@@ -188,7 +196,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10,
                     yield rows.filter(pa.array(keep))
         return run
 
-    for tests in window_blocks(benchmark, n, block_windows):
+    for tests in window_blocks(benchmark, n, block_windows, with_items=False):
         docs = docs.mapInArrow(clean(tests), docs.schema)
     return docs
 

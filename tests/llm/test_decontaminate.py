@@ -46,6 +46,20 @@ def test_equals_brute_force(spark, documents, sf0001, block):
     assert {r.doc_id for r in clean.collect()} == {i for i, v in want.items() if not v[1]}
 
 
+def test_a_window_of_every_item_is_dealt_over_the_blocks(spark):
+    shared = " ".join(f"w{k}" for k in range(10))
+    items = spark.createDataFrame([(k, f"{shared} own{k}") for k in range(200)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {shared} b"), (2, "w0 w1"), (3, f"{shared} own5")], "doc_id long, text string")
+    blocks = [b.value for b in D.window_blocks(items, 10, 50)]
+    sizes = [sum(map(len, b.items.values())) for b in blocks]
+    assert sum(sizes) == 400 and len(sizes) == 8 and max(sizes) < 100
+    assert sum(len(b.value.items) for b in D.window_blocks(items, 10, 50, with_items=False)) == 201
+    found = {r.doc_id: r.found for r in D.find_contamination(docs, items, block_windows=50).collect()}
+    assert found[1].hit_words == list(range(1, 11)) and len(found[1]["items"]) == 200
+    assert found[2].hit_words == [] and found[3].hit_words == list(range(11))
+    assert [r.doc_id for r in D.drop_contaminated(docs, items, block_windows=50).collect()] == [2]
+
+
 def test_short_items_spans_and_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "TWO three"), (2, "über ñandú"), (3, None), (4, ""), (None, "Short")],
                                   "item_id long, text string")
