@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +38,16 @@ _MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
 _META = struct.Struct("<BqB")
+_ENTRY = struct.Struct("<QQ")
 RECORDS_PER_READ = 1024
 CACHED_WORDS = 800_000  # about 160 MB in a worker
 SLICE_BYTES = 8 << 20  # of text encoded at once
 READ_BYTES = 16 << 20  # of records per reading task
-MANIFEST = ("file string, index_file string, first_id bigint, n_records bigint, n_ids bigint, n_bytes bigint")
+FILE_BYTES = 256 << 20  # of records in a file
+RANGE_BYTES = 256 << 20  # of texts in a writing task
+MANIFEST = "file string, index_file string, part int, seq int, n_records bigint, n_ids bigint, n_bytes bigint"
+_MANIFEST = pa.schema([("file", pa.string()), ("index_file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()),
+                       ("n_records", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
 
 def masked_crc(data: bytes) -> int:
@@ -175,10 +181,74 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
+class _Files:
+    """The data and index files that one task writes, a new pair every ``file_bytes``."""
+
+    def __init__(self, folder: str, file_bytes: int):
+        self.folder = folder
+        self.file_bytes = file_bytes
+        self.part = TaskContext.get().partitionId()
+        self.seq = 0
+        self.out = None
+
+    def _open(self) -> None:
+        fs, base = file_system(self.folder)
+        fs.create_dir(base, recursive=True)
+        self.name = f"part-{uuid.uuid4().hex}"
+        self.out = fs.open_output_stream(f"{base}/{self.name}.rec")
+        self.index = fs.open_output_stream(f"{base}/{self.name}.idx")
+        self.at = self.ids = self.records = 0
+
+    def add(self, record: bytes, n_ids: int) -> None:
+        if self.out is None:
+            self._open()
+        self.index.write(_ENTRY.pack(self.at, self.ids))
+        self.out.write(record)
+        self.at += len(record)
+        self.ids += n_ids
+        self.records += 1
+
+    @property
+    def full(self) -> bool:
+        return self.out is not None and self.at >= self.file_bytes
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """The manifest row of the open file, when one is open."""
+        if self.out is None:
+            return
+        self.out.close()
+        self.index.close()
+        row = {"file": f"{self.folder}/{self.name}.rec", "index_file": f"{self.folder}/{self.name}.idx",
+               "part": self.part, "seq": self.seq, "n_records": self.records, "n_ids": self.ids, "n_bytes": self.at}
+        self.out = None
+        self.seq += 1
+        yield pa.RecordBatch.from_pylist([row], _MANIFEST)
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """``rows`` in ascending (doc_id, text) over their partitions.
+
+    Rows of one id are told apart by how their text begins, so an id of very many rows is
+    several ranges. There are as many ranges as shuffles have partitions, more where their texts
+    would have over ``RANGE_BYTES`` each.
+    """
+    by = ["doc_id", F.substring("text", 1, 64)]
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = -(-size // RANGE_BYTES)
+    if ranges > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        ranged = rows.repartitionByRange(ranges, *by)
+    else:
+        ranged = rows.repartitionByRange(*by)
+    return ranged.sortWithinPartitions("doc_id", "text")
+
+
+def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None,
+                  file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode every text, append ``end_id``, write records in ascending doc_id order.
 
-    Returns the manifest: one row per finished file, in MANIFEST's columns.
+    Returns the manifest: one row per finished file, in MANIFEST's columns; the
+    files follow each other by ``part`` and ``seq``. A task starts a new file when
+    one has ``file_bytes``, and writes its index as it goes.
     Null texts are empty (their record holds the end id alone). Null doc_ids
     come first; repeated doc_ids are all written, ordered by text. Of an empty
     table nothing is written.
@@ -188,38 +258,18 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path)
         end = np.array([end_id], f"<u{encode.width}").tobytes()
-        fs, base = file_system(folder)
-        out = None
-        index: list[tuple[int, int]] = []
-        at = ids = 0
-        first_id = None
+        files = _Files(folder, file_bytes)
         for batch in batches:
             for rows, _, _ in text_slices(batch, "text", SLICE_BYTES):
                 texts = rows.column(1).fill_null("")
                 for doc_id, body in zip(rows.column(0).to_pylist(), encode(texts)):
-                    if out is None:
-                        fs.create_dir(base, recursive=True)
-                        name = f"part-{uuid.uuid4().hex}"
-                        out = fs.open_output_stream(f"{base}/{name}.rec")
-                        first_id = doc_id
-                    record = pack(doc_id, encode.width, body + end)
-                    index.append((at, ids))
-                    out.write(record)
-                    at += len(record)
-                    ids += len(body) // encode.width + 1
-        if out is not None:
-            out.close()
-            with fs.open_output_stream(f"{base}/{name}.idx") as f:
-                f.write(np.array(index, "<u8").tobytes())
-            row = {"file": f"{folder}/{name}.rec", "index_file": f"{folder}/{name}.idx", "first_id": first_id,
-                   "n_records": len(index), "n_ids": ids, "n_bytes": at}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([
-                ("file", pa.string()), ("index_file", pa.string()), ("first_id", pa.int64()),
-                ("n_records", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
+                    files.add(pack(doc_id, encode.width, body + end), len(body) // encode.width + 1)
+                    if files.full:
+                        yield from files.close()
+        yield from files.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return stage(_ordered(rows).mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_records(manifest: DataFrame, records_per_read: int = RECORDS_PER_READ) -> DataFrame:
@@ -229,7 +279,7 @@ def read_records(manifest: DataFrame, records_per_read: int = RECORDS_PER_READ)
     unsigned 32-bit integers. The work is dealt out by record ranges, which
     may be read in any order.
     """
-    in_order = Window.orderBy(F.col("first_id").asc_nulls_first())
+    in_order = Window.orderBy("part", "seq")  # a row per file
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(
         in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranges = files.select("file", "index_file", "base", "n_records", F.explode(

@@ -54,6 +54,22 @@ def test_odd_rows(odd_docs, no_docs, encoder):
     assert T.read_records(T.write_records(no_docs, VOCABULARY)).count() == 0
 
 
+def test_rolled_files_and_ids_of_many_rows(spark, encoder, monkeypatch):
+    """Small files and ranges; one id and null hold most rows, over several tasks."""
+    monkeypatch.setattr(T, "RANGE_BYTES", 2000)
+    rows = [(7 if k % 3 else None, f"{(k * 37) % 101} word {k}" + " more" * (k % 9)) for k in range(900)] + [(7, None), (8, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = T.write_records(docs, VOCABULARY, file_bytes=1500)
+    files = manifest.collect()
+    assert sum(r.n_records for r in files) == len(rows)
+    assert max(r.seq for r in files) > 0 and len({r.part for r in files}) > 3
+    assert all(r.n_bytes < 1500 + 500 for r in files)
+    assert all(os.path.getsize(r.index_file.removeprefix("file:")) == 16 * r.n_records for r in files)
+    got = T.read_records(manifest, records_per_read=7).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    check(sorted(got, key=lambda r: r.start), want, encoder)
+
+
 def test_damage_is_found(spark, documents):
     manifest = T.write_records(documents, VOCABULARY)
     path = manifest.first().file.removeprefix("file:")
