@@ -15,8 +15,8 @@ all suffixes with all:
    in two stages: suffixes smaller than their successor directly, the others
    induced by scanning the buckets of first bytes in order. Common prefixes of
    neighbours then tell which starts repeat.
-4. A gram with too many distinct fragments for one task is cut into blocks;
-   the strings at their starts are counted by hash across the blocks.
+4. A gram with too many distinct fragments for one task is cut into blocks.
+   Strings whose hashes meet across the blocks are compared as bytes.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from shopflow.llm.staging import stage
 LENGTH = 400
 GRAM = 64
 POSITION_BITS = 30
+CHUNK_BYTES = 2 << 20  # of starts hashed at once
 FRAGMENTS_PER_BLOCK = 4000
 TASK_BYTES = 2 << 20
 BROADCAST_ROWS = 250_000
@@ -158,17 +159,23 @@ def text_node(raw: bytes, salt: int) -> int:
                           "little", signed=True)
 
 
-def fragments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+def fragments_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, chunk: int = CHUNK_BYTES):
     """(row, gram hash, fragment hash, first start, last start) of the fragments of a slice's texts.
 
-    Starts are relative to their text.
+    Starts are relative to their text. A long slice is read ``chunk`` starts at a
+    time; a fragment across two chunks becomes two, whose strings meet again by
+    their gram.
     """
-    none = (np.zeros(0, np.int64),) * 5
+    parts = [_chunk_fragments(data[at:at + chunk + length - 1], offsets - at, length, gram)
+             for at in range(0, max(len(data), 1), chunk)]
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _chunk_fragments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     n = len(data)
     if n < length:
         return none
-    if n >> POSITION_BITS:
-        raise ValueError("a text is longer than positions can tell")
     at = np.arange(n - gram + 1)
     grams = span_hashes(data, at, at + gram)
     shift = np.uint64(POSITION_BITS)
@@ -289,8 +296,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     starts = found.select("gram", "content", F.explode("runs").alias("r")).select("gram", "content", "r.*")
     opened = found.where("open IS NOT NULL").select("gram", "content", F.posexplode("open").alias("a", "seen"))
     opened = opened.where("seen IS NOT NULL")
-    twice = opened.groupBy("gram", "seen").agg(F.count("*").alias("n")).where("n > 1").select("gram", "seen")
-    across = opened.join(twice, ["gram", "seen"]).select("gram", "content", "a", (F.col("a") + 1).alias("b"))
+    across = _same_strings(opened, pieces, length)
     covers = (members.join(starts.union(across), ["gram", "content"])
               .select("node", F.struct((F.col("s1") + F.col("a")).alias("start"),
                                        (F.col("s1") + F.col("b") - 1 + length).alias("end")).alias("range"))
@@ -298,6 +304,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     return table, stage(covers, "repeat-covers"), salt
 
 
+def _same_strings(opened: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
+    """``gram, content, a, b``: the starts of ``opened`` whose string also starts in another block of their gram.
+
+    Hashes only choose which strings to look at; these are cut out of their
+    fragments and compared as bytes.
+    """
+    twice = opened.groupBy("gram", "seen").agg(F.count("*").alias("n")).where("n > 1").select("gram", "seen")
+    likely = stage(opened.join(twice, ["gram", "seen"]), "strings-of-several-blocks")
+    if likely.isEmpty():  # no gram has blocks, or their strings differ: no fragment is read again
+        return likely.select("gram", "content", "a", (F.col("a") + 1).alias("b"))
+    strings = likely.join(pieces.select("gram", "content", "piece"), ["gram", "content"]).select(
+        "gram", "seen", "content", "a", F.expr(f"substring(piece, a + 1, {length})").alias("string"))
+    strings = stage(strings, "strings-compared")
+    same = (strings.groupBy("gram", "seen", "string").agg(F.count("*").alias("n")).where("n > 1")
+            .select("gram", "seen", "string"))
+    return strings.join(same, ["gram", "seen", "string"]).select("gram", "content", "a", (F.col("a") + 1).alias("b"))
+
+
 def _sorted_fragments(pieces: DataFrame, length: int) -> DataFrame:
     """``gram, content, runs, open``: repeated starts of each distinct fragment.
 
