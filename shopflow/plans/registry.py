@@ -568,27 +568,27 @@ def q_bounce_by_landing_exclusive(spark, folder):
 
 @query("tables_conversion_trend")
 def q_tables_conversion_trend(spark, folder):
-    return traffic.conversion_trend(data(spark, folder).deployment().facts, "day", before("created_at", CUT))
+    return traffic.conversion_trend(data(spark, folder).deployment("sessions", "orders").facts, "day", before("created_at", CUT))
 
 
 @query("tables_top_pages")
 def q_tables_top_pages(spark, folder):
-    return pages.top_pages(data(spark, folder).deployment().pageviews, before("created_at", "2024-01-09"))
+    return pages.top_pages(data(spark, folder).deployment("pageviews").pageviews, before("created_at", "2024-01-09"))
 
 
 @query("tables_distinct_values_rows")
 def q_tables_distinct_rows(spark, folder):
-    return traffic.distinct_values(data(spark, folder).deployment().sessions)
+    return traffic.distinct_values(data(spark, folder).deployment("sessions").sessions)
 
 
 @query("tables_product_revenue_trend")
 def q_tables_product_revenue(spark, folder):
-    return products.product_revenue_trend(data(spark, folder).deployment().order_items, PRODUCT_TYPES, "month")
+    return products.product_revenue_trend(data(spark, folder).deployment("order_items").order_items, PRODUCT_TYPES, "month")
 
 
 @query("tables_refund_rate_trend")
 def q_tables_refund_rate_trend(spark, folder):
-    t = data(spark, folder).deployment()
+    t = data(spark, folder).deployment("order_items", "refunds")
     return products.refund_rate_trend(t.order_items, t.refunds, PRODUCT_TYPES, "month",
                                       before("created_at", "2001-01-01"))
 

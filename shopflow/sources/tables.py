@@ -38,21 +38,18 @@ class ShopTables:
     keyed_load: bool = False
 
     @classmethod
-    def from_paths(cls, spark: SparkSession, *, sessions: str, pageviews: str, orders: str,
-                   order_items: str | None = None, refunds: str | None = None,
+    def from_paths(cls, spark: SparkSession, *, sessions: str | None = None, pageviews: str | None = None,
+                   orders: str | None = None, order_items: str | None = None, refunds: str | None = None,
                    materialize: bool = True, keyed_load: bool = False) -> ShopTables:
-        """The tables at these paths.
+        """The tables at these paths; analyses need only those that they read.
 
         With ``keyed_load`` they are deliveries: columns in other types are cast,
         rows that cannot be used or repeat a key go to :meth:`rejects` (see
         :mod:`shopflow.sources.load`). Without it such tables raise.
         """
-        paths = {"website_sessions": sessions, "website_pageviews": pageviews, "orders": orders}
-        if order_items:
-            paths["order_items"] = order_items
-        if refunds:
-            paths["order_item_refunds"] = refunds
-        return cls(spark, paths, materialize, keyed_load)
+        paths = {"website_sessions": sessions, "website_pageviews": pageviews, "orders": orders,
+                 "order_items": order_items, "order_item_refunds": refunds}
+        return cls(spark, {name: path for name, path in paths.items() if path}, materialize, keyed_load)
 
     @cached_property
     def _deliveries(self) -> dict[str, Delivery]:

@@ -48,33 +48,32 @@ class ShopData:
 
     # clickstream -----------------------------------------------------------
     @cached_property
-    def _click(self) -> dict[str, DataFrame]:
-        lazy = fixtures.clickstream(self.raw("events"), self.gap, self.split_hours)
+    def _lazy_click(self) -> dict[str, DataFrame]:
+        return fixtures.clickstream(self.raw("events"), self.gap, self.split_hours)
+
+    def _click(self, table: str, short: str, make) -> DataFrame:
+        """One clickstream table: the first one asked for writes the sessionised events that feed them all."""
         if not self.materialize:
-            return lazy
+            return self._lazy_click[table]
         sig = self._sig("events")
-        # one sessionisation, written once, feeds the three tables
-        tagged = store.materialize(self.spark, lambda: fixtures.tag_sessions(self.raw("events"), self.gap,
-                                                                             self.split_hours), "tagged", sig)
-        size = self._size("events")
-        build = {"website_sessions": ("sessions", fixtures.sessions_from_tagged),
-                 "website_pageviews": ("pageviews", fixtures.pageviews_from_tagged),
-                 "orders": ("web_orders", fixtures.web_orders_from_tagged)}
-        return {table: store.materialize(self.spark, lambda f=make: f(tagged), short, sig, cluster_by="created_at",
-                                         input_bytes=size)
-                for table, (short, make) in build.items()}
 
-    @property
+        def tagged() -> DataFrame:
+            return store.materialize(self.spark, lambda: fixtures.tag_sessions(self.raw("events"), self.gap,
+                                                                               self.split_hours), "tagged", sig)
+        return store.materialize(self.spark, lambda: make(tagged()), short, sig, cluster_by="created_at",
+                                 input_bytes=self._size("events"))
+
+    @cached_property
     def sessions(self) -> DataFrame:
-        return self._click["website_sessions"]
+        return self._click("website_sessions", "sessions", fixtures.sessions_from_tagged)
 
-    @property
+    @cached_property
     def pageviews(self) -> DataFrame:
-        return self._click["website_pageviews"]
+        return self._click("website_pageviews", "pageviews", fixtures.pageviews_from_tagged)
 
-    @property
+    @cached_property
     def web_orders(self) -> DataFrame:
-        return self._click["orders"]
+        return self._click("orders", "web_orders", fixtures.web_orders_from_tagged)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -190,15 +189,18 @@ class ShopData:
             return tuple(tables.values())
         return partitioned_pair(self.spark, key, self._sig("orders", "lineitem", "part"), self._size("lineitem"), **tables)
 
-    def deployment(self) -> ShopTables:
-        """The written tables, opened from their paths as a deployment opens its own."""
+    def deployment(self, *tables: str) -> ShopTables:
+        """The written tables (or those named), opened from their paths as a deployment opens its own."""
         click, shop = self._sig("events"), self._sig("orders", "lineitem", "part")
-        names = {"sessions": ("sessions", click), "pageviews": ("pageviews", click), "orders": ("web_orders", click),
-                 "order_items": ("shop_items", shop), "refunds": ("shop_order_item_refunds", shop)}
-        self._click, self._commerce  # written by now
-        return ShopTables.from_paths(self.spark, **{
-            table: store.current(self.spark, store.table_path(self.spark, name, sig))
-            for table, (name, sig) in names.items()})
+
+        def path(name: str, sig: str) -> str:
+            return store.current(self.spark, store.table_path(self.spark, name, sig))
+        paths = {"sessions": lambda: (self.sessions, path("sessions", click))[1],
+                 "pageviews": lambda: (self.pageviews, path("pageviews", click))[1],
+                 "orders": lambda: (self.web_orders, path("web_orders", click))[1],
+                 "order_items": lambda: (self._commerce, path("shop_items", shop))[1],
+                 "refunds": lambda: (self._commerce, path("shop_order_item_refunds", shop))[1]}
+        return ShopTables.from_paths(self.spark, **{name: paths[name]() for name in tables or paths})
 
     def delivery(self) -> ShopTables:
         """The clickstream tables as a careless delivery, opened by the keyed load: see :func:`fixtures.careless`."""
