@@ -166,7 +166,8 @@ ITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
 RANK_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
-def commerce_items(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> DataFrame:
+def commerce_items(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
+                   partitions: int | None = None) -> DataFrame:
     """Order items (with ``l_returnflag``) from line items, orders and parts.
 
     The primary item of an order is its first item by (line number, part,
@@ -174,12 +175,20 @@ def commerce_items(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> D
     on the order key already leaves the items partitioned and sorted by
     order, so the window adds no shuffle and no sort (an aggregate joined
     back would scan and shuffle the line items a second time).
+
+    ``partitions`` deals the items by order into so many partitions, whatever
+    shuffles have by default, and joins the parts by a hash table of each
+    partition's parts: the line items are sorted once, by order.
     """
     li = lineitem.select(*ITEM_KEY, "l_returnflag")
+    parts = part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice")
+    dates = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     # parts first, orders last: the per-order minimum and its join back then
     # reuse the partitioning by order key instead of shuffling the items again
-    items = (li.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice"), "l_partkey")
-             .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    typed = li.join(parts if partitions is None else parts.hint("shuffle_hash"), "l_partkey")
+    if partitions is not None:
+        typed, dates = (df.repartition(partitions, "l_orderkey") for df in (typed, dates))
+    items = (typed.join(dates, "l_orderkey")
              .withColumn("rank_key", F.struct(*RANK_KEY))
              .withColumn("first_key", F.min("rank_key").over(Window.partitionBy("l_orderkey"))))
     return items.select(
@@ -193,8 +202,14 @@ def commerce_items(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> D
         "l_returnflag")
 
 
-def commerce_from_items(orders: DataFrame, order_items: DataFrame) -> dict[str, DataFrame]:
-    """``orders`` (one row per order, items summed) and ``order_item_refunds``."""
+def commerce_from_items(orders: DataFrame, order_items: DataFrame,
+                        partitions: int | None = None) -> dict[str, DataFrame]:
+    """``orders`` (one row per order, items summed) and ``order_item_refunds``.
+
+    Items in ``partitions`` buckets of the order are not shuffled: the orders are dealt into as many.
+    """
+    if partitions is not None:
+        orders = orders.select("o_orderkey", "o_orderdate").repartition(partitions, "o_orderkey")
     per_order = order_items.groupBy("order_id").agg(
         F.max(F.when(F.col("is_primary_item") == 1, F.col("product_id"))).alias("primary_product_id"),
         F.count(F.lit(1)).cast("int").alias("items_purchased"),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.session import checkpoint_dir
 
-FORMAT_VERSION = "4"
+FORMAT_VERSION = "5"
 POINTER = "_current"
 ABANDONED_AFTER = 24 * 3600  # seconds without change after which an attempt without pointer is removed
 FILE_BYTES = 128 << 20
@@ -123,24 +123,37 @@ def _attempt(spark: SparkSession, path: str, write) -> str:
     return found
 
 
+def dealt_count(spark: SparkSession, buckets: int) -> int:
+    """Partitions for a join that fills ``buckets`` buckets without another shuffle: a multiple of them, so that a
+    partition holds rows of one bucket, and no fewer than shuffles have (a join deals fewer ones anew)."""
+    return buckets * -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+
+
+def bucketed_path(spark: SparkSession, name: str, signature: str, buckets: int) -> str:
+    return table_path(spark, name, f"{signature}-{buckets}")
+
+
 def materialize_bucketed(spark: SparkSession, df_factory, name: str, signature: str, by: str, buckets: int,
-                         sort: list[str] | None = None) -> DataFrame:
+                         sort: list[str] | None = None, dealt: bool = False) -> DataFrame:
     """Table ``name`` for ``signature`` in ``buckets`` files by the hash of ``by``, written first if absent.
 
     Tables bucketed by the same key into the same number of buckets join, and
     aggregate by that key, without a shuffle. Each bucket is one file sorted by
-    ``sort`` (default: the key). The catalog entry that tells Spark of the
-    buckets belongs to the session; it is made again wherever the files are opened.
+    ``sort`` (default: the key), or one for each partition with rows of it where
+    ``df_factory`` has ``dealt`` the rows (see :func:`dealt_count`). The catalog
+    entry that tells Spark of the buckets belongs to the session; it is made
+    again wherever the files are opened.
     """
     sort = sort or [by]
-    path = table_path(spark, name, f"{signature}-{buckets}")
+    path = bucketed_path(spark, name, signature, buckets)
 
     def table(folder: str) -> str:
         return "shopflow_" + hashlib.sha1(folder.encode()).hexdigest()[:20]
 
     def write(folder: str) -> None:
-        (df_factory().repartition(buckets, by).write.bucketBy(buckets, by).sortBy(*sort)
-         .option("path", folder).format("parquet").saveAsTable(table(folder)))
+        df = df_factory()
+        ((df if dealt else df.repartition(buckets, by)).write.bucketBy(buckets, by).sortBy(*sort)
+         .option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(table(folder)))
 
     found = _attempt(spark, path, write)
     if not spark.catalog.tableExists(table(found)):

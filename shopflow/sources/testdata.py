@@ -145,44 +145,49 @@ class ShopData:
 
     # commerce --------------------------------------------------------------
     @cached_property
-    def _commerce(self) -> dict[str, DataFrame]:
-        lazy = fixtures.commerce(self.raw("orders"), self.raw("lineitem"), self.raw("part"))
-        if not self.materialize:
-            return lazy
-        sig = self._sig("orders", "lineitem", "part")
-        # write the items once; orders and refunds are derived from the written table
-        size = self._size("lineitem")
-        items = store.materialize(self.spark, lambda: fixtures.commerce_items(
-            self.raw("orders"), self.raw("lineitem"), self.raw("part")), "shop_items", sig,
-            cluster_by="created_at", input_bytes=size)
-        derived = fixtures.commerce_from_items(self.raw("orders"), items)
-        return {"order_items": items.drop("l_returnflag"),
-                "orders": store.materialize(self.spark, lambda: derived["orders"], "shop_orders", sig,
-                                            cluster_by="created_at", input_bytes=size),
-                "order_item_refunds": store.materialize(self.spark, lambda: derived["order_item_refunds"],
-                                                        "shop_order_item_refunds", sig)}
+    def _lazy_commerce(self) -> dict[str, DataFrame]:
+        return fixtures.commerce(self.raw("orders"), self.raw("lineitem"), self.raw("part"))
 
     @property
+    def _shop(self) -> tuple[str, int]:
+        """Signature and number of buckets of the commerce tables."""
+        return self._sig("orders", "lineitem", "part"), store.bucket_count(self._size("lineitem"))
+
+    @cached_property
+    def _flagged_items(self) -> DataFrame:
+        """Order items with their return flag, written in buckets of the order: the other tables are derived from it."""
+        sig, n = self._shop
+        return store.materialize_bucketed(self.spark, lambda: fixtures.commerce_items(
+            self.raw("orders"), self.raw("lineitem"), self.raw("part"), store.dealt_count(self.spark, n)),
+            "shop_items", sig, "order_id", n, dealt=True)
+
+    @cached_property
     def shop_orders(self) -> DataFrame:
-        return self._commerce["orders"]
+        if not self.materialize:
+            return self._lazy_commerce["orders"]
+        sig, n = self._shop
+        return store.materialize_bucketed(self.spark, lambda: fixtures.commerce_from_items(
+            self.raw("orders"), self._flagged_items, n)["orders"], "shop_orders", sig, "order_id", n)
 
-    @property
+    @cached_property
     def order_items(self) -> DataFrame:
-        return self._commerce["order_items"]
+        return self._flagged_items.drop("l_returnflag") if self.materialize else self._lazy_commerce["order_items"]
 
-    @property
+    @cached_property
     def refunds(self) -> DataFrame:
-        return self._commerce["order_item_refunds"]
+        if not self.materialize:
+            return self._lazy_commerce["order_item_refunds"]
+        return fixtures.commerce_from_items(self.raw("orders"), self._flagged_items)["order_item_refunds"]
 
     @cached_property
     def items_and_refunds(self) -> tuple[DataFrame, DataFrame]:
         """Order items and refunds in the same buckets of the item id."""
         return self._pair("order_item_id", shop_items=self.order_items, shop_refunds=self.refunds)
 
-    @cached_property
+    @property
     def orders_and_items(self) -> tuple[DataFrame, DataFrame]:
-        """Orders and order items in the same buckets of the order id."""
-        return self._pair("order_id", shop_orders=self.shop_orders, shop_items=self.order_items)
+        """Orders and order items in the same buckets of the order id, as they are written."""
+        return self.shop_orders, self.order_items
 
     def _pair(self, key: str, **tables: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not self.materialize:
@@ -191,15 +196,22 @@ class ShopData:
 
     def deployment(self, *tables: str) -> ShopTables:
         """The written tables (or those named), opened from their paths as a deployment opens its own."""
-        click, shop = self._sig("events"), self._sig("orders", "lineitem", "part")
+        (shop, n), click = self._shop, self._sig("events")
 
         def path(name: str, sig: str) -> str:
             return store.current(self.spark, store.table_path(self.spark, name, sig))
+
+        def items() -> str:
+            self._flagged_items  # written by now
+            return store.current(self.spark, store.bucketed_path(self.spark, "shop_items", shop, n))
+
+        def refunds() -> str:
+            store.materialize(self.spark, lambda: self.refunds, "shop_order_item_refunds", shop)
+            return path("shop_order_item_refunds", shop)
         paths = {"sessions": lambda: (self.sessions, path("sessions", click))[1],
                  "pageviews": lambda: (self.pageviews, path("pageviews", click))[1],
                  "orders": lambda: (self.web_orders, path("web_orders", click))[1],
-                 "order_items": lambda: (self._commerce, path("shop_items", shop))[1],
-                 "refunds": lambda: (self._commerce, path("shop_order_item_refunds", shop))[1]}
+                 "order_items": items, "refunds": refunds}
         return ShopTables.from_paths(self.spark, **{name: paths[name]() for name in tables or paths})
 
     def delivery(self) -> ShopTables:
