@@ -28,6 +28,8 @@ FORMAT_VERSION = "5"
 POINTER = "_current"
 ABANDONED_AFTER = 24 * 3600  # seconds without change after which an attempt without pointer is removed
 FILE_BYTES = 128 << 20
+BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 20_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -104,8 +106,12 @@ def _clean(spark: SparkSession, path: str, kept: str) -> None:
 
 
 def bucket_count(input_bytes: int) -> int:
-    """Buckets of a co-partitioned table made from ``input_bytes``: about ``FILE_BYTES`` each, 8 at least."""
-    return max(8, -(-input_bytes // FILE_BYTES))
+    """Buckets of a co-partitioned table made from ``input_bytes``: about ``BUCKET_BYTES`` each, 8 at least.
+
+    One task sorts, joins and aggregates a bucket, and compressed input grows about tenfold in memory, so a
+    bucket's size sets the memory of a task. Beyond ``MOST_BUCKETS`` buckets grow instead.
+    """
+    return max(8, min(-(-input_bytes // BUCKET_BYTES), MOST_BUCKETS))
 
 
 def _attempt(spark: SparkSession, path: str, write) -> str:

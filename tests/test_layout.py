@@ -90,3 +90,10 @@ def test_a_bucket_of_dealt_rows_is_whole(spark):
     a = store.materialize_bucketed(spark, lambda: rows.repartition(16, "k"), "probe_dealt", sig, "k", 8, dealt=True)
     assert {(r.k, r["count"]) for r in a.groupBy("k").count().collect()} == {(k, 10) for k in range(100)}
     assert checks.shuffle_keys(a.groupBy("k").count()) == []
+
+
+def test_the_memory_of_a_bucket_does_not_grow_with_the_input():
+    """Line items of sf 0.6, 6 and 36 (about 0.1, 1 and 6 GB of tables): at most 16 MB of files for each bucket."""
+    for mb in (65, 645, 3872):
+        assert (mb << 20) / store.bucket_count(mb << 20) <= 16 << 20
+    assert store.bucket_count(0) == 8 and store.bucket_count(1 << 50) <= 100_000  # Spark's most
