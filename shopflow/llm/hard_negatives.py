@@ -14,8 +14,9 @@ exactly, on integers. A set whose points are about equally far apart (as random
 directions are) has no smaller cover: it stays one leaf and is scored whole.
 
 Rows are dealt into trees of at most ``TREE_ROWS`` rows, ordered by label so that most
-trees hold one label; queries travel in chunks to each group of trees and bring
-back their best matches per group. No step holds more than a chunk and a tree.
+trees hold one label. The trees are written once; a task holds a chunk of queries
+and reads the trees past it, one at a time, so neither is copied through a shuffle.
+Windows of one row are searched together: its scores are computed once.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ LEAF_ROWS = 64
 ROWS_A_CENTER = 16
 TRIED_CENTERS = 32
 TREE_ROWS = 4096
-CHUNK_QUERIES = 1024
+CHUNK_QUERIES = 16384
+#: Rows of a chunk and points of a leaf that are scored at once.
+SCORED_ROWS, SCORED_POINTS = 256, 1024
 #: Nodes of a query that are expanded in one step.
 BEAM = 8
 
@@ -92,6 +95,9 @@ class CoverTree:
                     radii.append(todo[-1][3])
                     lo += len(members)
             at += 1
+        for _, lo, hi, child, end in nodes:
+            if child == end:  # by id: the first of equal scores win
+                order[lo:hi] = order[lo:hi][np.lexsort((marks[order[lo:hi]], ids[order[lo:hi]]))]
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         table = np.array(nodes, np.int64)
@@ -124,12 +130,11 @@ class CoverTree:
         return parts if ROWS_A_CENTER * len(parts) <= len(rows) else None
 
     # as a row of a table ---------------------------------------------------------
-    FIELDS = (("points", np.int32), ("labels", np.int64), ("ids", np.int64), ("marks", np.int64),
-              ("nodes", np.int64), ("radii", np.float64))
-    SCHEMA = ("width long, top_square double, " + ", ".join(f"{name} binary" for name, _ in FIELDS))
+    FIELDS = (("labels", np.int64), ("ids", np.int64), ("marks", np.int64), ("nodes", np.int64), ("radii", np.float64))
+    SCHEMA = ("width long, top_square double, points binary, " + ", ".join(f"{name} binary" for name, _ in FIELDS))
 
     def packed(self) -> dict:
-        return {"width": self.points.shape[1], "top_square": self.top_square} | {
+        return {"width": self.points.shape[1], "top_square": self.top_square, "points": whole_bytes(self.points)} | {
             name: getattr(self, name).astype(kind).tobytes() for name, kind in self.FIELDS}
 
     @classmethod
@@ -139,27 +144,41 @@ class CoverTree:
         for name, kind in cls.FIELDS:
             setattr(tree, name, np.frombuffer(row[name], kind))
         tree.nodes = tree.nodes.reshape(-1, 7)
-        tree.points = tree.points.reshape(len(tree.ids), row["width"])
+        tree.points = whole_matrix(row["points"], len(tree.ids), row["width"])
         return tree
 
 
 class Search:
-    """The best ``k`` matches of each query of a chunk, over one tree after another.
+    """The best ``k`` matches of each window of a chunk, over one tree after another.
 
-    A match has a label equal to the query's (``same``) or another one, a score
-    from ``lo`` to ``hi`` and is not the query's own row; higher scores come
-    first, then smaller ids.
+    A match of a window has a label equal to that of the window's row (``same``)
+    or another one, a score from ``lo`` to ``hi`` (whole numbers or infinite) and
+    is not the row itself; higher scores come first, then smaller ids. ``of`` has
+    the row of each window, ascending, and no row without one; left out, each row
+    has one window.
     """
 
-    def __init__(self, vecs: np.ndarray, labels: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, same: bool, k: int):
+    def __init__(self, vecs: np.ndarray, labels: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, same: bool, k: int,
+                 of: np.ndarray | None = None):
         self.vecs, self.labels, self.own, self.lo, self.hi, self.same, self.k = vecs, labels, own, lo, hi, same, k
+        self.of = np.arange(len(vecs)) if of is None else of
+        self.first = np.searchsorted(self.of, np.arange(len(vecs) + 1))
         self.square = (vecs.astype(np.float64) ** 2).sum(axis=1)
-        self.score = np.full((len(vecs), k), -np.inf)
-        self.found = np.zeros((len(vecs), k, 2), np.int64)
-
-    def floor(self, q: np.ndarray) -> np.ndarray:
-        """Least score that can still count."""
-        return np.maximum(self.lo[q], self.score[q, -1])
+        self.score = np.full((len(lo), k), -np.inf)
+        self.found = np.zeros((len(lo), k, 2), np.int64)
+        #: Of a row, over its windows: the least score that can still count, and the greatest.
+        self.least = np.minimum.reduceat(lo, self.first[:-1]).astype(np.float64)
+        self.most = np.maximum.reduceat(hi, self.first[:-1])
+
+    def floor(self, w: np.ndarray) -> np.ndarray:
+        """Least score that can still count in a window."""
+        return np.maximum(self.lo[w], self.score[w, -1])
+
+    def _windows(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of rows ``q``, each after the place of its row in ``q``."""
+        n = self.first[q + 1] - self.first[q]
+        at = np.repeat(np.arange(len(q)), n)
+        return at, np.arange(len(at)) + (self.first[q] - np.cumsum(n) + n)[at]
 
     def over(self, tree: CoverTree) -> None:
         width = max(tree.points.shape[1], self.vecs.shape[1])
@@ -178,13 +197,16 @@ class Search:
             for n, who in zip(which.tolist(), np.split(q[now][order], cuts[1:])):
                 _, lo, hi, child, end, _, _ = tree.nodes[n].tolist()
                 if child == end:
-                    self._verify(tree, who, lo, hi, (vecs[who] @ points[lo:hi].T))
+                    for some in np.split(who, range(SCORED_ROWS, len(who), SCORED_ROWS)):
+                        for a in range(lo, hi, SCORED_POINTS):
+                            b = min(hi, a + SCORED_POINTS)
+                            self._verify(tree, some, a, b, vecs[some] @ points[a:b].T)
                 else:
                     score = vecs[who] @ points[tree.nodes[child:end, 0]].T
                     parts.append(self._viable(tree, np.repeat(who, end - child), np.tile(np.arange(child, end), len(who)),
                                               score.astype(np.float64).ravel()))
             q, node, high = (np.concatenate(x) for x in zip(*parts))
-            open_ = high >= self.floor(q)
+            open_ = high >= self.least[q]
             q, node, high = q[open_], node[open_], high[open_]
 
     def _viable(self, tree: CoverTree, q: np.ndarray, node: np.ndarray, score: np.ndarray):
@@ -196,34 +218,78 @@ class Search:
         low = (total - (distance + radius) ** 2) / 2 - slack
         least, most, label = tree.nodes[node, 5], tree.nodes[node, 6], self.labels[q]
         fits = ((least <= label) & (label <= most)) if self.same else ((least != label) | (most != label))
-        fits &= (high >= self.floor(q)) & (low <= self.hi[q])
+        fits &= (high >= self.least[q]) & (low <= self.most[q])
         return q[fits], node[fits], high[fits]
 
     def _verify(self, tree: CoverTree, q: np.ndarray, lo: int, hi: int, score: np.ndarray) -> None:
+        some = np.flatnonzero(score.max(axis=1) >= self.least[q])
+        if not len(some):
+            return
+        q, score = q[some], score[some]
+        row, at = np.nonzero(score >= self.least[q].astype(score.dtype)[:, None])
+        if 16 * len(row) > score.size:
+            row, at, w = self._first(tree, q, lo, hi, score)
+        else:
+            pair, w = self._windows(q[row])
+            row, at = row[pair], at[pair]
+        self._merge(w, score[row, at].astype(np.float64), q[row], tree, lo + at)
+
+    def _first(self, tree: CoverTree, q: np.ndarray, lo: int, hi: int, score: np.ndarray):
+        """Row, place and window of the first ``k`` fitting scores of each window."""
         fits = (tree.labels[lo:hi] == self.labels[q][:, None]) == self.same
-        fits &= (score >= self.floor(q)[:, None]) & (score <= self.hi[q][:, None])
         mine = np.flatnonzero(np.isin(self.own[q, 0], tree.ids[lo:hi]))
         if len(mine):
             fits[mine] &= (tree.ids[lo:hi] != self.own[q[mine], :1]) | (tree.marks[lo:hi] != self.own[q[mine], 1:])
-        score = np.where(fits, score, -np.inf)
-        some = np.flatnonzero(fits.any(axis=1))
-        q, score = q[some], score[some]
+        score = np.where(fits, score, score.dtype.type(-np.inf))
+        of, w = self._windows(q)
+        score = score[of]
+        score[(score < self.floor(w).astype(score.dtype)[:, None]) | (score > self.hi[w].astype(score.dtype)[:, None])] = -np.inf
         if score.shape[1] > self.k:
-            cut = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1]
+            cut = np.partition(score, -self.k, axis=1)[:, -self.k]
         else:
-            cut = np.full(len(q), -np.inf)
-        row, at = np.nonzero((score >= cut[:, None]) & np.isfinite(score))
-        held, place = np.nonzero(np.isfinite(self.score[q]))
-        who = np.concatenate([row, held])
-        value = np.concatenate([score[row, at], self.score[q[held], place]])
-        what = np.concatenate([np.stack([tree.ids[lo + at], tree.marks[lo + at]], axis=1), self.found[q[held], place]])
+            cut = np.full(len(score), -np.inf)
+        window, at = np.nonzero((score >= cut[:, None]) & (score > -np.inf))
+        tied = score[window, at] == cut[window]
+        n_tied = np.concatenate([[0], np.cumsum(tied)])
+        few = ~tied | (n_tied[1:] - n_tied[np.searchsorted(window, window)] <= self.k)
+        window, at = window[few], at[few]
+        return of[window], at, w[window]
+
+    def _merge(self, w: np.ndarray, value: np.ndarray, q: np.ndarray, tree: CoverTree, at: np.ndarray) -> None:
+        """Take the points ``at`` that fit their windows ``w`` among the matches held."""
+        what = np.stack([tree.ids[at], tree.marks[at]], axis=1)
+        last, tied = self.found[w, -1], value == self.score[w, -1]
+        fits = ((tree.labels[at] == self.labels[q]) == self.same) & (value >= self.floor(w)) & (value <= self.hi[w])
+        fits &= (what != self.own[q]).any(axis=1)
+        fits &= ~tied | (what[:, 0] < last[:, 0]) | ((what[:, 0] == last[:, 0]) & (what[:, 1] < last[:, 1]))
+        if not fits.any():
+            return
+        w, value, what = w[fits], value[fits], what[fits]
+        mine = np.unique(w)
+        held, place = np.nonzero(np.isfinite(self.score[mine]))
+        who = np.concatenate([w, mine[held]])
+        value = np.concatenate([value, self.score[mine[held], place]])
+        what = np.concatenate([what, self.found[mine[held], place]])
         order = np.lexsort((what[:, 1], what[:, 0], -value, who))
         who, value, what = who[order], value[order], what[order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         top = rank < self.k
-        self.score[q] = -np.inf
-        self.score[q[who[top]], rank[top]] = value[top]
-        self.found[q[who[top]], rank[top]] = what[top]
+        self.score[mine] = -np.inf
+        self.score[who[top], rank[top]] = value[top]
+        self.found[who[top], rank[top]] = what[top]
+        rows = np.unique(self.of[mine])
+        of, w = self._windows(rows)
+        self.least[rows] = np.minimum.reduceat(self.floor(w), np.searchsorted(of, np.arange(len(rows))))
+
+
+def whole_bytes(m: np.ndarray) -> bytes:
+    """Whole numbers in 2 bytes each where all fit, else in 4."""
+    return m.astype(np.int16 if len(m) and np.abs(m).max(initial=0) < 2 ** 15 else np.int32).tobytes()
+
+
+def whole_matrix(data, rows: int, width: int) -> np.ndarray:
+    """The matrix that :func:`whole_bytes` wrote."""
+    return np.frombuffer(data, np.int16 if len(data) == 2 * rows * width else np.int32).reshape(rows, width)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -252,66 +318,73 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def tree_table(rows: DataFrame, n_rows: int, groups: int) -> DataFrame:
-    """A row per cover tree (``g, least, most`` and the tree) over all rows, written in the shared folder."""
+def tree_table(rows: DataFrame, n_rows: int) -> DataFrame:
+    """A row per cover tree (``least, most`` and the tree) over all rows, written in the shared folder."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        part = TaskContext.get().partitionId()
-        for k, run in enumerate(_runs(batches, TREE_ROWS)):
+        for run in _runs(batches, TREE_ROWS):
             label, ids, marks = (np.asarray(run[c].combine_chunks()) for c in ("label", "vec_id", "mark"))
             tree = CoverTree(matrix(run["vec"]), label, ids, marks)
-            yield pa.RecordBatch.from_pylist([{"g": (part + k) % groups, "least": int(label.min()), "most": int(label.max())}
-                                              | tree.packed()])
+            yield pa.RecordBatch.from_pylist([{"least": int(label.min()), "most": int(label.max())} | tree.packed()])
 
-    parts = max(1, -(-n_rows // TREE_ROWS))
+    parts = max(1, -(-n_rows * 5 // (TREE_ROWS * 4)))  # ranges are of about equal size: few hold more than a tree
     return stage(rows.repartitionByRange(parts, "label", F.xxhash64("mark", "vec_id"))
                  .select("vec_id", "label", "vec", "mark")
-                 .mapInArrow(build, f"g long, least long, most long, {CoverTree.SCHEMA}"), "negatives-trees")
+                 .mapInArrow(build, f"least long, most long, {CoverTree.SCHEMA}"), "negatives-trees")
 
 
-def best_matches(trees: DataFrame, queries: DataFrame, keys: list[str], same: bool, k: int, groups: int) -> DataFrame:
+def best_matches(trees: DataFrame, queries: DataFrame, n_queries: int, keys: list[str], same: bool, k: int, tasks: int) -> DataFrame:
     """The first ``k`` matches of each query: ``keys``, ``rank`` (from 1), ``found_id, found_mark, score``.
 
     ``queries`` has ``keys`` (long; the first two are the id and mark of the
-    query's own row), ``label``, ``vec``, ``lo`` and ``hi``. Each chunk of
-    queries meets each group of trees in one task, tree by tree; a group brings
-    back at most ``k`` rows a query.
+    query's own row), ``label``, ``vec``, ``lo`` and ``hi``; no two have the same
+    keys. Each chunk of queries meets the trees in one task, tree by tree, as they
+    are read from the shared folder. Only where there are fewer chunks than
+    ``tasks`` are the trees dealt to several tasks as well, so the search brings
+    back no more than about ``k * CHUNK_QUERIES`` rows for each of ``tasks``, or ``k`` a query.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, CHUNK_QUERIES):
-            vecs = matrix(run["vec"])
             lists = {c: np.asarray(run[c].combine_chunks()).astype(np.float64 if c in ("lo", "hi") else np.int64)
                      for c in [*keys, "label", "lo", "hi"]}
+            own = np.stack([lists[keys[0]], lists[keys[1]]], axis=1)
+            new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)]))
+            vecs = matrix(run["vec"].combine_chunks().take(pa.array(new)))
             yield pa.RecordBatch.from_pylist([{
-                "q_least": int(lists["label"].min()), "q_most": int(lists["label"].max()), "q_n": len(vecs),
-                "q_vecs": vecs.tobytes(), **{f"q_{c}": v.tobytes() for c, v in lists.items()}}])
-
-    packed = ["q_vecs", *[f"q_{c}" for c in [*keys, "label", "lo", "hi"]]]
-    chunks = stage(queries.repartitionByRange("label", *keys).select(*keys, "label", "vec", "lo", "hi").mapInArrow(
-        pack, "q_least long, q_most long, q_n long, " + ", ".join(f"{c} binary" for c in packed)), "negatives-queries")
-    chunks = chunks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = chunks.join(trees, "g")
-    if same:
-        pairs = pairs.where("q_least <= most AND least <= q_most")
+                "q_least": int(lists["label"].min()), "q_most": int(lists["label"].max()), "q_width": vecs.shape[1],
+                "q_first": new.tobytes(), "q_vecs": whole_bytes(vecs), **{f"q_{c}": v.tobytes() for c, v in lists.items()}}])
+
+    packed = ["q_first", "q_vecs", *[f"q_{c}" for c in [*keys, "label", "lo", "hi"]]]
+    n_chunks = max(1, -(-n_queries // CHUNK_QUERIES))
+    chunks = queries.repartitionByRange(n_chunks, "label", *keys[:2]).sortWithinPartitions("label", *keys).select(
+        *keys, "label", "vec", "lo", "hi").coalesce(n_chunks).mapInArrow(
+        pack, "q_least long, q_most long, q_width long, " + ", ".join(f"{c} binary" for c in packed))
+    # a Cartesian product: its tasks read the trees where they are written, past the chunks of a partition
+    meets = "q_least <= most AND least <= q_most" if same else "q_least < most OR least < q_most"
+    pairs = trees.coalesce(-(-tasks // n_chunks)).hint("shuffle_replicate_nl").join(chunks, F.expr(meets))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mark = None, None
+        held = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["q_vecs"] != mark or held[1]["g"] != row["g"]:
-                    if held:
-                        yield found(*held)
-                    lists = {c: np.frombuffer(row[f"q_{c}"], np.float64 if c in ("lo", "hi") else np.int64)
-                             for c in [*keys, "label", "lo", "hi"]}
-                    vecs = np.frombuffer(row["q_vecs"], np.int32).reshape(row["q_n"], -1)
-                    own = np.stack([lists[keys[0]], lists[keys[1]]], axis=1)
-                    held = (Search(vecs, lists["label"], own, lists["lo"], lists["hi"], same, k), {"g": row["g"], **lists})
-                    mark = row["q_vecs"]
-                held[0].over(CoverTree.unpacked(row))
-        if held:
-            yield found(*held)
+            for i in range(len(batch)):
+                row = {name: x.as_buffer() if pa.types.is_binary(x.type) else x.as_py()
+                       for name, x in zip(batch.schema.names, (c[i] for c in batch.columns))}
+                chunk = tuple(bytes(row[f"q_{c}"][:8]) for c in keys)
+                if chunk not in held:
+                    held[chunk] = begun(row)
+                held[chunk][0].over(CoverTree.unpacked(row))
+        for run, lists in held.values():
+            yield found(run, lists)
+
+    def begun(row: dict) -> tuple[Search, dict]:
+        lists = {c: np.frombuffer(row[f"q_{c}"], np.float64 if c in ("lo", "hi") else np.int64).copy()
+                 for c in [*keys, "label", "lo", "hi"]}
+        new = np.frombuffer(row["q_first"], np.int64)
+        vecs = whole_matrix(row["q_vecs"], len(new), row["q_width"]).astype(np.int32)
+        own = np.stack([lists[keys[0]], lists[keys[1]]], axis=1)[new]
+        of = np.searchsorted(new, np.arange(len(lists["lo"])), side="right") - 1
+        return Search(vecs, lists["label"][new], own, lists["lo"], lists["hi"], same, k, of), lists
 
     def found(run: Search, lists: dict) -> pa.RecordBatch:
         q, place = np.nonzero(np.isfinite(run.score))
@@ -340,13 +413,14 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, scale: int = 256, n_posit
     positive_score, negative_score``.
     """
     whole, n = quantised(rows, scale)
-    groups = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-n // TREE_ROWS)))
     whole = stage(whole, "negatives-rows")
-    trees = tree_table(whole, n, groups)
+    trees = tree_table(whole, n)
+    tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-n // TREE_ROWS)))
+    n_anchors = whole.where(is_anchor).count()
     anchors = whole.where(is_anchor).select(F.col("vec_id").alias("anchor_id"), F.col("mark").alias("anchor_mark"), "label", "vec")
     keys = ["anchor_id", "anchor_mark"]
     open_ = anchors.select("*", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    positives = stage(best_matches(trees, open_, keys, True, n_positives, groups).select(
+    positives = stage(best_matches(trees, open_, n_anchors, keys, True, n_positives, tasks).select(
         *keys, F.col("found_id").alias("positive_id"), F.col("found_mark").alias("positive_mark"),
         F.col("score").alias("positive_score")), "negatives-positives")
     windows = positives.join(anchors, keys).select(
@@ -354,6 +428,6 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, scale: int = 256, n_posit
         F.ceil(F.col("positive_score") * low / 100).cast("double").alias("lo"),
         F.floor(F.col("positive_score") * high / 100).cast("double").alias("hi")).where("lo <= hi")
     keys += ["positive_id", "positive_mark", "positive_score"]
-    return best_matches(trees, windows, keys, False, n_negatives, groups).select(
+    return best_matches(trees, windows, n_anchors * n_positives, keys, False, n_negatives, tasks).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("found_id").alias("negative_id"),
         "positive_score", F.col("score").alias("negative_score"))

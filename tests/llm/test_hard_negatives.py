@@ -93,3 +93,49 @@ def test_search_skips_nodes(monkeypatch):
     run.over(tree)
     want = -np.sort(-(points[:5].astype(np.int64) @ points.T.astype(np.int64)), axis=1)[:, :3]
     assert (run.score == want).all() and sum(scored) < 5 * 4000 / 4
+
+
+def test_chunks_of_equal_vectors(spark, monkeypatch):
+    """Queries of one vector and label fill several chunks; none is taken for another."""
+    monkeypatch.setattr(hard_negatives, "CHUNK_QUERIES", 4)
+    monkeypatch.setattr(hard_negatives, "TREE_ROWS", 40)
+    rows = [(50 * i, 1, [1.0, 0.5]) for i in range(30)] + [(50 * i + 1, 2, [0.75, 0.25]) for i in range(90)]
+    want = brute_force(rows)
+    assert len(want) == 30 * 5 * 3 and mined(spark, rows) == want
+
+
+def test_empty_vectors_only(spark):
+    rows = [(0, 1, []), (50, 1, []), (51, 2, [])]
+    want = brute_force(rows)
+    assert len(want) == 2 and mined(spark, rows) == want
+
+
+def test_chunks_and_trees_are_not_copied_through_a_shuffle(spark):
+    """Chunks once went to each group of trees: 45 GB of shuffle files on 3.4 GB of vectors."""
+    df = spark.createDataFrame([(*r, 1, 1) for r in vectors(600, 12, 15, 1.0, 3)], SCHEMA)
+    plan = hard_negatives.hard_negatives(df, F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("CartesianProduct") == 1
+    trees = plan[plan.index("CartesianProduct"):].split("FileScan")[0]
+    assert "Exchange" not in trees
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_windows_of_one_row(same, monkeypatch):
+    """Rows with several windows, few and many hits, ties at the last rank: as each window by itself."""
+    monkeypatch.setattr(hard_negatives, "SCORED_POINTS", 100)
+    monkeypatch.setattr(hard_negatives, "SCORED_ROWS", 7)
+    rng = np.random.default_rng(4)
+    points, labels = rng.integers(-3, 4, (900, 3)).astype(np.int32), rng.integers(0, 3, 900)
+    ids, marks = rng.integers(0, 600, 900), np.arange(900)
+    of = np.sort(np.concatenate([np.arange(40), rng.integers(0, 40, 60)]))
+    lo = np.where(rng.random(100) < 0.3, -np.inf, rng.integers(-20, 20, 100))
+    hi = np.where(rng.random(100) < 0.3, np.inf, lo + rng.integers(0, 25, 100))
+    run = hard_negatives.Search(points[:40], labels[:40], np.stack([ids[:40], marks[:40]], axis=1), lo, hi, same, 4, of)
+    for a in range(0, 900, 300):
+        run.over(hard_negatives.CoverTree(*(x[a:a + 300] for x in (points, labels, ids, marks))))
+    for w, q in enumerate(of):
+        score = points @ points[q]
+        fits = ((labels == labels[q]) == same) & (score >= lo[w]) & (score <= hi[w]) & (marks != q)
+        want = sorted((-score[i], ids[i], marks[i]) for i in np.flatnonzero(fits))[:4]
+        n = np.isfinite(run.score[w]).sum()
+        assert [(-s, *f) for s, f in zip(run.score[w, :n], run.found[w, :n].tolist())] == want
