@@ -36,6 +36,8 @@ LEAF_ROWS = 64
 ROWS_A_CENTER = 16
 TRIED_CENTERS = 32
 TREE_ROWS = 4096
+#: Trees of a written file where there are more than a file for each partition of a shuffle.
+FILE_TREES = 16
 CHUNK_QUERIES = 16384
 #: Rows of a chunk and points of a leaf that are scored at once.
 SCORED_ROWS, SCORED_POINTS = 256, 1024
@@ -318,7 +320,7 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def tree_table(rows: DataFrame, n_rows: int) -> DataFrame:
+def tree_table(rows: DataFrame, n_rows: int, tasks: int) -> DataFrame:
     """A row per cover tree (``least, most`` and the tree) over all rows, written in the shared folder."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +329,7 @@ def tree_table(rows: DataFrame, n_rows: int) -> DataFrame:
             tree = CoverTree(matrix(run["vec"]), label, ids, marks)
             yield pa.RecordBatch.from_pylist([{"least": int(label.min()), "most": int(label.max())} | tree.packed()])
 
-    parts = max(1, -(-n_rows * 5 // (TREE_ROWS * 4)))  # ranges are of about equal size: few hold more than a tree
+    parts = max(tasks, -(-n_rows // (TREE_ROWS * FILE_TREES)))
     return stage(rows.repartitionByRange(parts, "label", F.xxhash64("mark", "vec_id"))
                  .select("vec_id", "label", "vec", "mark")
                  .mapInArrow(build, f"least long, most long, {CoverTree.SCHEMA}"), "negatives-trees")
@@ -414,8 +416,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, scale: int = 256, n_posit
     """
     whole, n = quantised(rows, scale)
     whole = stage(whole, "negatives-rows")
-    trees = tree_table(whole, n)
     tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-n // TREE_ROWS)))
+    trees = tree_table(whole, n, tasks)
     n_anchors = whole.where(is_anchor).count()
     anchors = whole.where(is_anchor).select(F.col("vec_id").alias("anchor_id"), F.col("mark").alias("anchor_mark"), "label", "vec")
     keys = ["anchor_id", "anchor_mark"]
