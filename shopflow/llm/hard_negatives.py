@@ -14,21 +14,21 @@ exactly, on integers. A set whose points are about equally far apart (as random
 directions are) has no smaller cover: it stays one leaf and is scored whole.
 
 Rows are dealt into trees of at most ``TREE_ROWS`` rows, ordered by label so that most
-trees hold one label. The trees are written once; a task holds a chunk of queries
-and reads the trees past it, one at a time, so neither is copied through a shuffle.
+trees hold one label. The trees are written once in the shared folder; a task holds a
+chunk of queries and reads the trees one at a time, so neither is copied through a shuffle.
 Windows of one row are searched together: its scores are computed once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopflow.llm.staging import stage
+from shopflow.llm.staging import file_system, scratch_path, stage
 
 BASE = 1.5
 LEAF_ROWS = 64
@@ -320,8 +320,8 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def tree_table(rows: DataFrame, n_rows: int, tasks: int) -> DataFrame:
-    """A row per cover tree (``least, most`` and the tree) over all rows, written in the shared folder."""
+def write_trees(rows: DataFrame, n_rows: int, tasks: int) -> str:
+    """The folder, in the shared one, where the cover trees over all rows are written, a row each with ``least, most``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, TREE_ROWS):
@@ -330,15 +330,40 @@ def tree_table(rows: DataFrame, n_rows: int, tasks: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"least": int(label.min()), "most": int(label.max())} | tree.packed()])
 
     parts = max(tasks, -(-n_rows // (TREE_ROWS * FILE_TREES)))
-    return stage(rows.repartitionByRange(parts, "label", F.xxhash64("mark", "vec_id"))
-                 .select("vec_id", "label", "vec", "mark")
-                 .mapInArrow(build, f"least long, most long, {CoverTree.SCHEMA}"), "negatives-trees")
+    folder = scratch_path(rows.sparkSession, "negatives-trees")
+    rows.repartitionByRange(parts, "label", F.xxhash64("mark", "vec_id")).select("vec_id", "label", "vec", "mark").mapInArrow(
+        build, f"least long, most long, {CoverTree.SCHEMA}").write.parquet(folder)
+    return folder
 
 
-def best_matches(trees: DataFrame, queries: DataFrame, n_queries: int, keys: list[str], same: bool, k: int, tasks: int) -> DataFrame:
+def read_trees(folder: str, g: int, groups: int, meets: Callable[[int, int], bool]) -> Iterator[CoverTree]:
+    """The trees of every ``groups``-th file from ``g`` on whose labels meet, one at a time."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    files, base = file_system(folder)
+    parts = sorted(f.path for f in files.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("part-"))
+    for path in parts[g::groups]:
+        with files.open_input_file(path) as data:
+            file = pq.ParquetFile(data)
+            if not any(meets(x["least"], x["most"]) for x in file.read(["least", "most"]).to_pylist()):
+                continue
+            for batch in file.iter_batches(batch_size=1):
+                row = _row(batch, 0)
+                if meets(row["least"], row["most"]):
+                    yield CoverTree.unpacked(row)
+
+
+def _row(batch: pa.RecordBatch, i: int) -> dict:
+    """A row, bytes as buffers of the batch."""
+    return {name: x.as_buffer() if pa.types.is_binary(x.type) else x.as_py()
+            for name, x in zip(batch.schema.names, (c[i] for c in batch.columns))}
+
+
+def best_matches(trees: str, queries: DataFrame, n_queries: int, keys: list[str], same: bool, k: int, tasks: int) -> DataFrame:
     """The first ``k`` matches of each query: ``keys``, ``rank`` (from 1), ``found_id, found_mark, score``.
 
-    ``queries`` has ``keys`` (long; the first two are the id and mark of the
+    ``trees`` is the folder. ``queries`` has ``keys`` (long; the first two are the id and mark of the
     query's own row), ``label``, ``vec``, ``lo`` and ``hi``; no two have the same
     keys. Each chunk of queries meets the trees in one task, tree by tree, as they
     are read from the shared folder. Only where there are fewer chunks than
@@ -362,22 +387,20 @@ def best_matches(trees: DataFrame, queries: DataFrame, n_queries: int, keys: lis
     chunks = queries.repartitionByRange(n_chunks, "label", *keys[:2]).sortWithinPartitions("label", *keys).select(
         *keys, "label", "vec", "lo", "hi").coalesce(n_chunks).mapInArrow(
         pack, "q_least long, q_most long, q_width long, " + ", ".join(f"{c} binary" for c in packed))
-    # a Cartesian product: its tasks read the trees where they are written, past the chunks of a partition
-    meets = "q_least <= most AND least <= q_most" if same else "q_least < most OR least < q_most"
-    pairs = trees.coalesce(-(-tasks // n_chunks)).hint("shuffle_replicate_nl").join(chunks, F.expr(meets))
+    groups = -(-tasks // n_chunks)
+    pairs = queries.sparkSession.range(0, groups, 1, groups).withColumnRenamed("id", "g").hint(
+        "shuffle_replicate_nl").crossJoin(chunks)  # a task for each group and partition of chunks
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {}
         for batch in batches:
             for i in range(len(batch)):
-                row = {name: x.as_buffer() if pa.types.is_binary(x.type) else x.as_py()
-                       for name, x in zip(batch.schema.names, (c[i] for c in batch.columns))}
-                chunk = tuple(bytes(row[f"q_{c}"][:8]) for c in keys)
-                if chunk not in held:
-                    held[chunk] = begun(row)
-                held[chunk][0].over(CoverTree.unpacked(row))
-        for run, lists in held.values():
-            yield found(run, lists)
+                row = _row(batch, i)
+                first, last = row["q_least"], row["q_most"]
+                run, lists = begun(row)
+                for tree in read_trees(trees, row["g"], groups, lambda least, most: (
+                        first <= most and least <= last if same else first < last or least < most or first != least)):
+                    run.over(tree)
+                yield found(run, lists)
 
     def begun(row: dict) -> tuple[Search, dict]:
         lists = {c: np.frombuffer(row[f"q_{c}"], np.float64 if c in ("lo", "hi") else np.int64).copy()
@@ -417,7 +440,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, scale: int = 256, n_posit
     whole, n = quantised(rows, scale)
     whole = stage(whole, "negatives-rows")
     tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-n // TREE_ROWS)))
-    trees = tree_table(whole, n, tasks)
+    trees = write_trees(whole, n, tasks)
     n_anchors = whole.where(is_anchor).count()
     anchors = whole.where(is_anchor).select(F.col("vec_id").alias("anchor_id"), F.col("mark").alias("anchor_mark"), "label", "vec")
     keys = ["anchor_id", "anchor_mark"]
